@@ -102,7 +102,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     # nulls last: (is null, id) orders them so
     key = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", "place")
     first = found.groupBy("h", "g").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first")
-    met = found.join(first, ["h", "g"])
+    # written, so that the join shuffles both sides and AQE can split a hot window
+    met = found.join(written(first, "lines-first"), ["h", "g"])
     same_doc = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("text_key") == F.col("first.text_key"))
     later = met.where(~(same_doc & (F.col("place") == F.col("first.place"))))
     own = F.when(same_doc, F.sequence(F.col("first.place"), F.col("first.place") + (width - 1))).otherwise(F.array().cast("array<int>"))
