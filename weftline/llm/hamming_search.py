@@ -88,8 +88,9 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, segments: int = 4)
             probes = here if probes is None else probes.unionByName(here)
         if probes is None:
             break
+        # a merge join: the probes are many more than the estimate of their source says
         near = F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int")
-        hits = probes.join(index, ["part", "value"]).where(F.col("kth").isNull() | (near <= F.col("kth"))).select("q", "code", near.alias("distance")).distinct()
+        hits = probes.join(index.hint("merge"), ["part", "value"]).where(F.col("kth").isNull() | (near <= F.col("kth"))).select("q", "code", near.alias("distance")).distinct()
         joined = hits.join(distinct, "code").select("q", "code", "distance", F.col("ids")[0].alias("first_id"), F.size("ids").alias("n"))
         found = joined if found is None else found.unionByName(joined).distinct()
         # the k best codes by (distance, smallest id) hold the k best rows
