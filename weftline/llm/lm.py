@@ -80,7 +80,7 @@ def _bigrams(vocabulary: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) ->
     return (before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64), _text_of(bounds), ids
 
 
-def model(rows: DataFrame, vocabulary: int = 16384, max_bigrams: int = 1_000_000, mix: float = 0.6, uniform: float = 0.05) -> dict[str, np.ndarray]:
+def model(rows: DataFrame, vocabulary: int = 16384, max_bigrams: int = 250_000, mix: float = 0.6, uniform: float = 0.05) -> dict[str, np.ndarray]:
     """Arrays of both models: word hashes, unigram losses and, for kept bigrams, interpolated losses."""
     words = written(_count(rows, lambda h, b: (h, _text_of(b)), "word"), "lm-words")
     all_n, all_t = (int(x or 0) for x in words.agg(F.sum("n"), F.sum("t")).first())
