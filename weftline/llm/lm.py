@@ -135,8 +135,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     """
     ids = target.select(F.col(target_id_col).cast("long").alias("_target")).where("_target is not null").distinct()
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    # written once: the counts and the scores read it again
-    rows = written(src.join(ids, F.col("doc_id") == F.col("_target"), "left").select("doc_id", "text", F.col("_target").isNotNull().alias("target")), "lm-documents")
+    # written once: the counts and the scores read it again; the same kind of join at every size
+    rows = written(src.join(ids.hint("merge"), F.col("doc_id") == F.col("_target"), "left").select("doc_id", "text", F.col("_target").isNotNull().alias("target")), "lm-documents")
     shared = docs.sparkSession.sparkContext.broadcast(model(rows, **how))
 
     def run(batches):
