@@ -29,7 +29,9 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -108,10 +110,22 @@ def records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 # ---------------------------------------------------------------- writing
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """``rows`` with the payload compressed, as it is shuffled twice."""
+
+    def run(batches):
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            payload = pa.array([pack.compress(x) for x in batch.column("payload").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_pydict({c: payload if c == "payload" else batch.column(c) for c in batch.schema.names})
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def plan(pages: DataFrame, shards: int, id_col: str, url_col: str, payload_col: str, min_revisit_bytes: int, bins: int = 4096) -> DataFrame:
-    """Rows ready to write: (key, url, payload, refers_to, shard)."""
+    """Rows ready to write: (key, url, payload, refers_to, shard); payloads are compressed."""
     text = F.coalesce(pages[payload_col].cast("string"), F.lit(""))
-    rows = own_columns(pages, key=pages[id_col].cast("long"), url=url_col, payload=text, size=F.octet_length(text), digest=F.sha2(text, 256))
+    rows = packed(own_columns(pages, key=pages[id_col].cast("long"), url=url_col, payload=F.encode(text, "UTF-8"), size=F.octet_length(text), digest=F.sha2(text, 256)))
     first = rows.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.min("key").alias("first_key"), F.count("*").alias("n")).where("n > 1 and first_key is not null").drop("n")
     revisit = (F.col("size") >= min_revisit_bytes) & ~F.col("key").eqNullSafe(F.col("first_key"))
     rows = rows.join(first, "digest", "left").withColumn("refers_to", F.when(revisit, F.col("first_key")))
@@ -146,10 +160,11 @@ def write(pages: DataFrame, out: str, shards: int = 16, roll_bytes: int = 64 <<
             return pd.DataFrame([{**state["row"], "sha256": state["sha"].hexdigest()}])
 
         seqs: dict[int, int] = {}
+        unpack = zstandard.ZstdDecompressor()
         for pdf in batches:
             for key, url, payload, refers, shard in zip(*(pdf[c] for c in ("key", "url", "payload", "refers_to", "shard"))):
                 key, refers = (None if pd.isna(x) else int(x) for x in (key, refers))
-                packed = gzip.compress(record(key, url, payload.encode("utf-8"), refers, date), 6, mtime=0)
+                packed = gzip.compress(record(key, url, unpack.decompress(payload), refers, date), 6, mtime=0)
                 if sink is not None and (state["row"]["shard"] != shard or state["row"]["file_bytes"] + len(packed) > roll_bytes):
                     yield close()
                     sink = None
