@@ -123,6 +123,27 @@ def test_near_copies_of_texts(spark):
     assert sorted(x["doc_id"] for x in out.collect()) == [0, 1, 4]
 
 
+@pytest.mark.parametrize("how", [{}, {"small": 2, "anchors": 1}])
+def test_near_groups_equal_brute_force(spark, how):
+    """Chains, whose ends are linked only through texts that match no common anchor."""
+    r = np.random.default_rng(5)
+    texts = []
+    for n, step in ((40, 4), (25, 9), (12, 30)):
+        words = [f"w{x}" for x in r.integers(0, 10**6, 120 + n * step)]
+        texts += [" ".join(words[i * step : i * step + 120]) for i in range(n)]
+    texts = [texts[i] for i in r.permutation(len(texts))]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            same = len(sets[i] & sets[j])
+            if same >= 0.8 * (len(sets[i]) + len(sets[j]) - same):
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    got = dict(enumerate(range(len(texts)))) | {x["id"]: x["group"] for x in simhash_jaccard.groups(docs(spark, *texts), **how).collect()}
+    assert [got[i] for i in range(len(texts))] == group
+
+
 def test_pii_spans(spark):
     texts = ["mail a.b@c.de, 10.0.0.255 and 256.1.1.1", "card 4111 1111 1111 1111 or 4111111111111112", "+1 (523) 555-1055x +12", None, "", "日本 é@x.yz x@y.z@w.v 1.2.3.4.5.6.7.8", "9" * 3000 + "@"]
     got = {r["doc_id"]: r for r in pii.per_document(docs(spark, *texts)).collect()}
