@@ -1,158 +1,267 @@
 """Cross-entropy difference of two n-gram models (Moore and Lewis, 2010).
 
-A target and a background bigram model of the same kind share one vocabulary: the most frequent
-words of all documents, all others being one unknown word. Both are interpolated: bigram with
-unigram, unigram with uniform. The score of a document is the mean over its tokens of target
-loss minus background loss; lower means more like the target.
+A target and a background bigram model of the same kind share one vocabulary: the ``vocabulary``
+most frequent words of all documents, all others being one unknown word. Both are interpolated:
+bigram with unigram, unigram with uniform. The score of a document is the mean over its tokens of
+target loss minus background loss; lower means more like the target.
 
-All counts are over all documents and whole texts: words are counted and summed by Spark, then
-bigrams of vocabulary ids. ``vocabulary`` and ``max_bigrams`` are the size of the model that goes
-to all tasks. Bigrams below a count cutoff are left to the unigram model, the usual pruning; the
-cutoff is the smallest that keeps at most ``max_bigrams``.
+All counts are over all documents and whole texts, and no bigram is pruned, so the model grows with
+the input and is never sent whole to a task. Texts become word ids once; counts and scores read
+those. Bigrams are split into ``PARTS`` by hash. To score, each block of documents sends its bigrams
+to their parts (once a document, with how often), the counts of a part go ahead of them in the same
+sorted partition, and a task sums losses while it streams by, holding one part's counts. Parts that
+are asked for much are salted: each salt has a copy of the part's counts. Only unigram and context
+totals, at most ``vocabulary`` + 2 rows, are broadcast.
 
-Target: documents for which ``target`` (a column expression or ids) holds. Matched: the target's
-counts are scaled to the background's token total, so that smoothing weighs alike in both.
+Target: documents whose id is among those of ``target``. Matched: the target's counts are scaled to
+the background's token total, so that smoothing weighs alike in both.
 
 Defined cases: null and empty texts have no tokens and score zero; ties at the edge of the
-vocabulary go by word hash; repeated rows count as often as they come; an empty target gives
-losses equal to the uniform share; null ids are scored like any other.
+vocabulary go by word hash; repeated rows count as often as they come, and each is scored; an empty
+target gives losses of the uniform share; null ids are scored like any other, as background.
+Results are rounded to nine places, as the order of sums is not fixed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import hashed_texts, long_array, written
+from weftline.llm.common import hashed_texts, long_array, mix, written
+
+PARTS = 64
+#: tokens of a block of documents, and of a part's share in one salt
+BLOCK_TOKENS, SALT_TOKENS = 1 << 20, 1 << 24
+ASKED = "key int, kind int, a binary, b binary, c binary, d binary"
+
+
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): summed in each task first."""
+
+    def run(batches):
+        for batch in batches:
+            found = [hashes for _, _, _, hashes, *_ in hashed_texts(batch.column("text").to_pylist())]
+            if found:
+                word, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"word": long_array(word), "n": n.astype(np.int64)})
+
+    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _vocabulary(docs: DataFrame, size: int) -> np.ndarray:
+    """Sorted hashes of the most frequent words."""
+    top = _word_counts(docs).orderBy(F.desc("n"), "word").limit(size).toPandas()
+    return np.sort(top["word"].to_numpy(dtype=np.int64).view(np.uint64))
+
+
+def _ids(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Vocabulary ids 1..; 0 is the unknown word."""
+    if not len(vocabulary):
+        return np.zeros(len(hashes), np.uint16)
+    at = np.searchsorted(vocabulary, hashes)
+    at[at == len(vocabulary)] = 0
+    return np.where(vocabulary[at] == hashes, at + 1, 0).astype(np.uint16)
+
+
+def _coded(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
+    """(doc_id, tokens): word ids of two bytes each."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        for batch in batches:
+            tokens: list[bytes] = []
+            for lo, hi, bounds, hashes, *_ in hashed_texts(batch.column("text").to_pylist()):
+                ids = _ids(shared.value, hashes)
+                tokens += [ids[bounds[i] : bounds[i + 1]].tobytes() for i in range(hi - lo)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "tokens": pa.array(tokens, pa.binary())})
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens binary")
+
 
-SCORES = "doc_id long, n_tokens long, target_loss double, background_loss double, score double"
+def _blocks(tokens: list[bytes], start: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, bigrams, text of each) of groups of documents of about ``BLOCK_TOKENS``.
+
+    A bigram is the id before times 2**16 plus the id; ``start`` stands before a text's first word.
+    """
+    size = np.array([len(t) // 2 for t in tokens], dtype=np.int64)
+    group = np.cumsum(size) // BLOCK_TOKENS
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(tokens)])) if len(tokens) else np.zeros(1, np.int64)
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        ids = np.frombuffer(b"".join(tokens[lo:hi]), dtype=np.uint16).astype(np.uint32)
+        if not len(ids):
+            continue
+        n = size[lo:hi]
+        before = np.concatenate(([np.uint32(0)], ids[:-1]))
+        before[(np.cumsum(n) - n)[n > 0]] = start
+        yield lo, hi, (before << np.uint32(16)) | ids, np.repeat(np.arange(hi - lo), n)
 
 
-def _count(rows: DataFrame, codes_of, name: str) -> DataFrame:
-    """(name, n, t): how often each code occurs in all and in target texts; summed in each task first."""
+def _bigram_counts(rows: DataFrame, start: int) -> DataFrame:
+    """(pair, n, t): how often each bigram occurs in all and in target documents; summed in each task first."""
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def emit():
-            k = np.concatenate([x[0] for x in held])
-            u, inverse = np.unique(k, return_inverse=True)
-            n, t = (np.bincount(inverse, weights=np.concatenate([x[i] for x in held]), minlength=len(u)).astype(np.int64) for i in (1, 2))
-            return pa.RecordBatch.from_pydict({name: long_array(u), "n": n, "t": t})
+            pair, inverse = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            n, t = (np.bincount(inverse, weights=np.concatenate([x[i] for x in held])).astype(np.int64) for i in (1, 2))
+            return pa.RecordBatch.from_pydict({"pair": pair.astype(np.int64), "n": n, "t": t})
 
         for batch in batches:
             target = np.array(batch.column("target").to_pylist(), dtype=bool)
-            for lo, hi, bounds, hashes, *_ in hashed_texts(batch.column("text").to_pylist()):
-                codes, text = codes_of(hashes, bounds)
-                mine = target[lo:hi][text]
-                u, inverse, n = np.unique(codes, return_inverse=True, return_counts=True)
-                held.append((u, n, np.bincount(inverse, weights=mine, minlength=len(u))))
-                size += len(u)
-                if size > 2_000_000:
+            for lo, hi, codes, text in _blocks(batch.column("tokens").to_pylist(), start):
+                pair, inverse, n = np.unique(codes, return_inverse=True, return_counts=True)
+                held.append((pair, n, np.bincount(inverse, weights=target[lo:hi][text])))
+                size += len(pair)
+                if size > 4_000_000:
                     yield emit()
                     held, size = [], 0
         if held:
             yield emit()
 
-    return rows.select("text", "target").mapInArrow(run, f"{name} long, n long, t long").groupBy(name).agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    return rows.select("tokens", "target").mapInArrow(run, "pair long, n long, t long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
 
 
-def _text_of(bounds: np.ndarray) -> np.ndarray:
-    return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+def _part(pair: np.ndarray) -> np.ndarray:
+    return (mix(pair.astype(np.uint64)) % np.uint64(PARTS)).astype(np.uint8)
 
 
-def _ids(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Vocabulary ids 1..; 0 is the unknown word. ``vocabulary``: sorted hashes."""
-    at = np.searchsorted(vocabulary, hashes)
-    at[at == len(vocabulary)] = 0
-    return np.where(vocabulary[at] == hashes, at + 1, 0) if len(vocabulary) else np.zeros(len(hashes), np.int64)
-
-
-def _bigrams(vocabulary: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(code, text number, id): each token with the one before it, a text's first with a start mark."""
-    ids = _ids(vocabulary, hashes)
-    before = np.concatenate(([0], ids[:-1]))
-    starts = bounds[:-1][np.diff(bounds) > 0]
-    before[starts] = len(vocabulary) + 1
-    return (before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64), _text_of(bounds), ids
-
-
-def model(rows: DataFrame, vocabulary: int = 16384, max_bigrams: int = 250_000, mix: float = 0.6, uniform: float = 0.05) -> dict[str, np.ndarray]:
-    """Arrays of both models: word hashes, unigram losses and, for kept bigrams, interpolated losses."""
-    words = written(_count(rows, lambda h, b: (h, _text_of(b)), "word"), "lm-words")
-    all_n, all_t = (int(x or 0) for x in words.agg(F.sum("n"), F.sum("t")).first())
-    top = words.orderBy(F.desc("n"), "word").limit(vocabulary).toPandas()
-    order = np.argsort(top["word"].to_numpy(dtype=np.int64).view(np.uint64))
-    vocab = top["word"].to_numpy(dtype=np.int64).view(np.uint64)[order]
-    scale = all_n / all_t if all_t else 0.0
-    uni = []
-    for c, total, by in (("t", all_t, scale), ("n", all_n, 1.0)):
-        n = top[c].to_numpy(dtype=np.float64)[order]
-        n = np.concatenate(([total - n.sum()], n, [0.0])) * by
-        uni.append((1 - uniform) * n / max(all_n, 1) + uniform / len(n))
-    pairs = written(_count(rows, lambda h, b: _bigrams(vocab, h, b)[:2], "pair"), "lm-bigrams")
-    cutoff = _cutoff(pairs, max_bigrams)
-    context = written(pairs.groupBy(F.shiftrightunsigned("pair", 32).alias("w")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "lm-contexts").toPandas()
-    total = np.zeros((2, len(vocab) + 2))
-    total[0, context["w"].to_numpy(np.int64)] = context["t"].to_numpy(np.float64) * scale
-    total[1, context["w"].to_numpy(np.int64)] = context["n"].to_numpy(np.float64)
-    kept = pairs.where(F.col("n") >= cutoff).toPandas()
-    codes = kept["pair"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(codes)
-    codes = codes[order]
-    first, second = (codes >> np.uint64(32)).astype(np.int64), (codes & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    bi = []
-    for i, (c, by) in enumerate((("t", scale), ("n", 1.0))):
-        n = kept[c].to_numpy(np.float64)[order] * by
-        bi.append(mix * n / np.maximum(total[i][first], 1.0) + (1 - mix) * uni[i][second])
-    loss = lambda p: -np.log(p).astype(np.float32)
-    # words whose bigram is not kept: the bigram part is nothing
-    return {"vocab": vocab, "codes": codes, "uni_t": loss((1 - mix) * uni[0]), "uni_n": loss((1 - mix) * uni[1]), "bi_t": loss(bi[0]), "bi_n": loss(bi[1])}
-
-
-def _cutoff(pairs: DataFrame, most: int) -> int:
-    """The smallest count such that at most ``most`` bigrams have it or more, by a histogram of
-    counts in steps of 1/8 octave (a few hundred rows)."""
-    octave = F.floor(F.log2("n") * 8).cast("int")
-    steps = {r["o"]: r["k"] for r in pairs.groupBy(octave.alias("o")).agg(F.count("*").alias("k")).collect()}
-    have, edge = 0, max(steps, default=0) + 1
-    for o in sorted(steps, reverse=True):
-        have += steps[o]
-        if have > most:
-            break
-        edge = o
-    low = int(np.floor(2 ** (edge / 8) - 1e-9)) + 1 if edge else 1
-    return max(1, low)
-
-
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_id_col: str = "doc_id", **how) -> DataFrame:
+def _by_part(pair: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places) of the bigrams of each part, in their order."""
+    part = _part(pair)
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(PARTS + 1))
+    for p in range(PARTS):
+        if edges[p] < edges[p + 1]:
+            yield p, order[edges[p] : edges[p + 1]]
+
+
+def _packed_counts(pairs: DataFrame, salts: int) -> DataFrame:
+    """Counts of each part as arrays, a copy a salt: kind 0 with bigrams, n and t."""
+
+    def run(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def emit():
+            pair, n, t = (np.concatenate(x) for x in zip(*held))
+            got = [(p, pair[at].astype(np.uint32).tobytes(), n[at].tobytes(), t[at].tobytes()) for p, at in _by_part(pair)]
+            part, a, b, c = zip(*got)
+            return pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "c": pa.array(c, pa.binary())})
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("pair", "n", "t")))
+            if sum(len(x[0]) for x in held) > 1_000_000:
+                yield emit()
+                held = []
+        if held:
+            yield emit()
+
+    packed = pairs.select("pair", "n", "t").mapInArrow(run, "part int, a binary, b binary, c binary")
+    salted = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.select((F.col("salt") * PARTS + F.col("part")).cast("int").alias("key"), F.lit(0).alias("kind"), "a", "b", "c", F.lit(None).cast("binary").alias("d"))
+
+
+def _asked(rows: DataFrame, start: int, salts: int) -> DataFrame:
+    """The bigrams of each block of documents by part: kind 1 with bigrams, how often, rows and bigrams of each row."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column("row").to_numpy(zero_copy_only=False).astype(np.int64)
+            for lo, hi, codes, text in _blocks(batch.column("tokens").to_pylist(), start):
+                both, n = np.unique((text.astype(np.uint64) << np.uint64(32)) | codes, return_counts=True)
+                pair, text, n = both.astype(np.uint32), (both >> np.uint64(32)).astype(np.int64), n.astype(np.uint32)
+                salt = int(mix(ids[lo : lo + 1].astype(np.uint64))[0] % np.uint64(salts))
+                got = []
+                for p, at in _by_part(pair):
+                    of = text[at]
+                    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+                    got.append((salt * PARTS + p, 1, pair[at].tobytes(), n[at].tobytes(), ids[lo:hi][of[first]].tobytes(), np.diff(np.append(first, len(of))).astype(np.uint32).tobytes()))
+                key, kind, *columns = zip(*got)
+                a, b, c, d = (pa.array(x, pa.binary()) for x in columns)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int32()), "kind": pa.array(kind, pa.int32()), "a": a, "b": b, "c": c, "d": d})
+
+    return rows.select("row", "tokens").mapInArrow(run, ASKED)
+
+
+def _totals(pairs: DataFrame, by, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of n and t by a part of the bigram, as arrays over word ids (at most ``size`` rows)."""
+    got = pairs.groupBy(by.alias("w")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toPandas()
+    n, t = np.zeros(size), np.zeros(size)
+    at = got["w"].to_numpy(np.int64)
+    n[at], t[at] = got["n"].to_numpy(np.float64), got["t"].to_numpy(np.float64)
+    return n, t
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_id_col: str = "doc_id", vocabulary: int = 16384, weight: float = 0.6, uniform: float = 0.05) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, score) of every row of ``docs``.
 
-    ``target``: the ids of the documents that make up the target corpus.
+    ``target``: the ids of the documents that make up the target corpus. ``vocabulary``: words, at
+    most 65,534; ``weight``: of bigrams against unigrams; ``uniform``: of the uniform share in unigrams.
     """
-    ids = target.select(F.col(target_id_col).cast("long").alias("_target")).where("_target is not null").distinct()
+    if not 0 < vocabulary <= 65_534:
+        raise ValueError("vocabulary must be 1 to 65534 words")
+    spark = docs.sparkSession
     src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    # written once: the counts and the scores read it again; the same kind of join at every size
-    rows = written(src.join(ids.hint("merge"), F.col("doc_id") == F.col("_target"), "left").select("doc_id", "text", F.col("_target").isNotNull().alias("target")), "lm-documents")
-    shared = docs.sparkSession.sparkContext.broadcast(model(rows, **how))
+    ids = target.select(F.col(target_id_col).cast("long").alias("_target")).where("_target is not null").distinct()
+    vocab = _vocabulary(src, vocabulary)
+    start, size = len(vocab) + 1, len(vocab) + 2
+    # word ids, not texts, are shuffled; written once, as counts and scores read them; the same kind of join at every size
+    coded = _coded(src, vocab).join(ids.hint("merge"), F.col("doc_id") == F.col("_target"), "left")
+    rows = written(coded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "tokens", F.col("_target").isNotNull().alias("target")), "lm-tokens")
+    pairs = written(_bigram_counts(rows, start), "lm-bigrams")
+
+    as_word = _totals(pairs, F.col("pair").bitwiseAND(0xFFFF), size)
+    as_context = _totals(pairs, F.shiftright("pair", 16), size)
+    all_n, all_t = as_word[0].sum(), as_word[1].sum()
+    scale = (1.0, all_n / all_t if all_t else 0.0)
+    losses = []
+    for word, context, by in zip(as_word, as_context, scale):
+        share = (1 - uniform) * word * by / max(all_n, 1) + uniform / size
+        losses.append(((1 - weight) * share, weight * by / np.maximum(context * by, 1.0)))
+    shared = spark.sparkContext.broadcast(losses)
 
     def run(batches):
-        m = shared.value
+        key, counts, known = None, [], None
         for batch in batches:
-            counts, losses = [], []
-            for lo, hi, bounds, hashes, *_ in hashed_texts(batch.column("text").to_pylist()):
-                codes, text, ids = _bigrams(m["vocab"], hashes, bounds)
-                at = np.searchsorted(m["codes"], codes)
-                at[at == len(m["codes"])] = 0
-                known = m["codes"][at] == codes if len(m["codes"]) else np.zeros(len(codes), bool)
-                counts.append(np.diff(bounds))
-                losses.append([np.bincount(text, weights=np.where(known, m[f"bi_{c}"][at], m[f"uni_{c}"][ids]) if len(m["codes"]) else m[f"uni_{c}"][ids], minlength=hi - lo) for c in "tn"])
-            if counts:
-                n = np.concatenate(counts)
-                t, b = (np.concatenate([x[i] for x in losses]) / np.maximum(n, 1) for i in (0, 1))
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "target_loss": t, "background_loss": b, "score": t - b})
-
-    return rows.select("doc_id", "text").mapInArrow(run, SCORES)
+            out: list[tuple[np.ndarray, ...]] = []
+            for k, kind, a, b, c, d in zip(*(batch.column(x) for x in ("key", "kind", "a", "b", "c", "d"))):
+                if k.as_py() != key:
+                    key, counts, known = k.as_py(), [], None
+                a, b, c = a.as_py(), b.as_py(), c.as_py()
+                if kind.as_py() == 0:
+                    counts.append((np.frombuffer(a, np.uint32), np.frombuffer(b, np.int64), np.frombuffer(c, np.int64)))
+                    continue
+                if known is None:
+                    pair, n, t = (np.concatenate(x) for x in zip(*counts))
+                    order = np.argsort(pair)
+                    pair, counts = pair[order], []
+                    first, word = pair >> np.uint32(16), pair & np.uint32(0xFFFF)
+                    known = (pair, *(-np.log(m[first] * x[order] + u[word]) for (u, m), x in zip(shared.value, (n, t))))
+                at = np.searchsorted(known[0], np.frombuffer(a, np.uint32))
+                often, length = np.frombuffer(b, np.uint32), np.frombuffer(d.as_py(), np.uint32).astype(np.int64)
+                out.append((np.frombuffer(c, np.int64), *(np.add.reduceat(x[at] * often, np.cumsum(length) - length) for x in known[1:])))
+            if out:
+                yield pa.RecordBatch.from_pydict(dict(zip(("row", "n_loss", "t_loss"), (np.concatenate(x) for x in zip(*out)))))
+
+    salts = max(1, int(np.ceil(all_n / (PARTS * SALT_TOKENS))))
+    sums = (
+        _packed_counts(pairs, salts).unionByName(_asked(rows, start, salts))
+        .repartition("key").sortWithinPartitions("key", "kind")
+        .mapInArrow(run, "row long, n_loss double, t_loss double")
+    )
+    # a union, not a join: each row has its own key, and rows without words have no sums
+    none = rows.select("row", "doc_id", (F.length("tokens") / 2).cast("long").alias("n_tokens"), F.lit(0.0).alias("n_loss"), F.lit(0.0).alias("t_loss"))
+    total = none.unionByName(sums, allowMissingColumns=True).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_loss").alias("n_loss"), F.sum("t_loss").alias("t_loss"))
+    each = F.greatest("n_tokens", F.lit(1))
+    return total.select(
+        "doc_id", "n_tokens",
+        F.round(F.col("t_loss") / each, 9).alias("target_loss"),
+        F.round(F.col("n_loss") / each, 9).alias("background_loss"),
+        F.round((F.col("t_loss") - F.col("n_loss")) / each, 9).alias("score"),
+    )
