@@ -116,6 +116,21 @@ def test_line_dedup(spark):
     assert lines.dedup(docs(spark, *texts).limit(0)).count() == 0
 
 
+def test_line_dedup_short_dense_and_long_lines(spark):
+    menu = "".join(f"dish number {i}\n" for i in range(17))
+    four = "En laleenéelle la des et. Enmentai. Réleou eauoué. Les. "
+    dense = "春眠不覚暁。処処聞啼鳥。夜来風雨声。花落知多少。"
+    run = " ".join(f"w{i * i % 1009}" for i in range(50))
+    texts = [f"{x} here.\n{p}{y} there" for p in (menu, four, dense) for x, y in (("one", "two"), ("three", "four"))]
+    texts += [" ".join(f"{c}{i}" for i in range(23)) + f" {run} " + " ".join(f"{c}{i}{c}" for i in range(31)) for c in "xy"]
+    got = {r["doc_id"]: r for r in lines.dedup(docs(spark, *texts)).collect()}
+    assert all(got[i]["text"] == texts[i] for i in (0, 2, 4, 6))
+    assert [got[i]["text"] for i in (1, 3, 5)] == ["three here.\nfour there"] * 3
+    left = got[7]["text"].split()
+    assert 53 < len(left) < 54 + 25 and all(f"y{i}" in left for i in range(23)) and all(f"y{i}y" in left for i in range(31))
+    assert all("".join(x) == t for x, t in zip(lines._all_lines([*ODD, *texts]), ["" if t is None else t for t in (*ODD, *texts)]))
+
+
 def test_near_copies_of_texts(spark):
     r = np.random.default_rng(4)
     base = [f"w{x}" for x in r.integers(0, 10**6, 300)]

@@ -1,24 +1,30 @@
 """Line dedup by overlapping three-line windows.
 
 A text is cut into lines at newlines and, as a passage is often pasted into a longer line, after
-sentence ends (``. `` ``! `` ``? ``). Each run of three consecutive non-blank lines is a window.
-Windows are hashed and counted over all documents; of a window that occurs more than once, the
-first occurrence (smallest doc_id, then place) is kept and later ones cover their lines; covered
-lines of overlapping windows merge, and are removed.
+sentence ends (``. `` ``! `` ``? `` and those of Chinese and Japanese). A line of more than
+``LONG`` words is cut on, before words where a hash of the bytes on both sides is smallest among its
+neighbours' (at least every ``LONG`` words): the places go by the words around them, so a passage
+inside two long lines is cut alike in both. In scripts without spaces each character is a word.
+
+Each run of three consecutive non-blank lines is a window. All windows are hashed and counted over
+all documents; of a window that occurs more than once, the first occurrence (smallest doc_id, then
+place) is kept and later ones cover their lines. Covered lines that follow one another merge into a
+run, and runs are removed.
 
 Only windows that pass a bit filter of the repeated hashes are dealt out a second time, so that
 unique lines are shuffled once, as 12 bytes.
 
 Defined cases: null and empty texts, and texts of fewer than three lines, stay as they are;
-blank lines are in no window, and go if the lines on both sides of them go; a window of fewer
-than ``min_words`` words is no repeat (short lines recur by chance); a later occurrence that
-overlaps the first one in the same document leaves the first one's lines; rows that repeat both
+blank lines are in no window, and go if the lines on both sides of them go; a merged run of fewer
+than ``min_words`` words and fewer than ``min_chars`` characters stays (tiny lines recur by chance);
+a later occurrence that overlaps the first one in the same document leaves the first one's lines; rows that repeat both
 doc_id and text are treated alike, so all or none of their lines go; null ids come last.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,43 +32,116 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bit_filter, long_array, passes, written
+from weftline.llm.common import bit_filter, long_array, mix, passes, written
 
-_END = re.compile(r"(?<=[.!?]) (?=\S)|(?<=\n)")
+#: scripts written without spaces between words
+_DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u9fff\U00020000-\U0003ffff]")
+#: words a line may have uncut, and words on each side that a cut is smallest among
+LONG, NEAR = 12, 4
+BLOCK, GAP = 1 << 20, b"\n" * 8
 WINDOW = 3
 
 
+def _n_words(line: str) -> int:
+    return len(line.split()) if line.isascii() else len(_DENSE.sub(" x ", line).split())
+
+
+def _cuts(data: bytes) -> np.ndarray:
+    """Where lines start (but the first) and the end, in bytes of UTF-8."""
+    buf = np.frombuffer(data, dtype=np.uint8)
+    n = len(buf)
+    pad = np.full(n + 16, 10, dtype=np.uint8)
+    pad[8 : n + 8] = buf
+    space = buf == 32
+    before = pad[7 : n + 7]
+    ends = (buf == 10) | (space & ((before == 46) | (before == 33) | (before == 63)))
+    word = np.zeros(n, dtype=bool)
+    word[1:] = space[:-1] & ~space[1:]
+    if not data.isascii():
+        # full stop, exclamation and question mark of Chinese and Japanese
+        for mark in ("。", "！", "？"):
+            x, y, z = mark.encode()
+            ends |= (buf == z) & (before == y) & (pad[6 : n + 6] == x)
+        after = pad[9 : n + 9]
+        word |= (buf >= 0xE3) & (buf <= 0xE9)
+        word |= (buf == 0xE0) & (after >= 0xB8) & (after <= 0xBB)
+        word |= (buf == 0xE1) & ((after >= 0x80) & (after <= 0x82) | (after >= 0x9E) & (after <= 0x9F))
+        word |= (buf == 0xF0) & (after >= 0xA0) & (after <= 0xBF)
+    edges = np.flatnonzero(ends) + 1
+    if not len(edges) or edges[-1] < n:
+        edges = np.append(edges, n)
+    at = np.flatnonzero(word)
+    line = np.searchsorted(edges, at, side="right")
+    count = np.bincount(line, minlength=len(edges))
+    inside = count[line] > LONG
+    # the first bytes of a line are no place to cut
+    inside &= at != np.concatenate(([0], edges))[line]
+    at, line = at[inside], line[inside]
+    if not len(at):
+        return edges
+    # the key of a place: the eight bytes on either side
+    views = np.lib.stride_tricks.sliding_window_view(pad, 8)
+    sides = [np.ascontiguousarray(views[x]).view(np.uint64).ravel() for x in (at, at + 8)]
+    key = mix(mix(sides[0]) + sides[1])
+    low = np.ones(len(at), dtype=bool)
+    for k in range(1, NEAR + 1):
+        apart = line[k:] != line[:-k]
+        low[k:] &= apart | (key[k:] < key[:-k])
+        low[:-k] &= apart | (key[:-k] <= key[k:])
+    # what is longer still is cut at every LONG-th word from its start, which its own words have chosen
+    first = np.flatnonzero(low | np.concatenate(([True], line[1:] != line[:-1])))
+    since = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    low |= (since > 0) & (since % LONG == 0)
+    cut = np.zeros(n + 1, dtype=bool)
+    cut[edges] = cut[at[low]] = True
+    return np.flatnonzero(cut)
+
+
+def _all_lines(texts: list[str | None]) -> Iterator[list[str]]:
+    """The lines of each text, for groups of texts of about ``BLOCK`` bytes at once."""
+    at = 0
+    while at < len(texts):
+        group, size = [], 0
+        while at < len(texts) and (not group or size < BLOCK):
+            group.append((texts[at] or "").encode("utf-8", "surrogatepass"))
+            size += len(group[-1])
+            at += 1
+        # so many ends between texts, that no key of a text has bytes of another one
+        data = b"".join(x + GAP for x in group)
+        cuts = _cuts(data)
+        lengths = np.array([len(x) for x in group], dtype=np.int64)
+        start = np.cumsum(lengths + len(GAP)) - lengths - len(GAP)
+        lo, hi = np.searchsorted(cuts, start, side="right").tolist(), np.searchsorted(cuts, start + lengths, side="left").tolist()
+        if not data.isascii():
+            chars = np.concatenate(([0], np.cumsum((np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80)))
+            cuts, start = chars[cuts], chars[start]
+        cuts = cuts.tolist()
+        for text, a, b, s in zip(texts[at - len(group) : at], lo, hi, start.tolist()):
+            if not text:
+                yield []
+                continue
+            ends = [c - s for c in cuts[a:b]]
+            yield [text[x:y] for x, y in zip([0, *ends], [*ends, len(text)])]
+
+
 def lines_of(text: str) -> list[str]:
     """The lines of a text; joined they are the text again."""
-    if "\x00" in text:
-        out, at = [], 0
-        for m in _END.finditer(text):
-            cut = m.end()
-            if cut > at:
-                out.append(text[at:cut])
-                at = cut
-        return [*out, text[at:]] if at < len(text) else out
-    marked = text.replace("\n", "\n\x00").replace(". ", ". \x00").replace("! ", "! \x00").replace("? ", "? \x00")
-    return [x for x in marked.split("\x00") if x]
-
-
-def windows(text: str | None, min_words: int, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(hash, second hash, place, number of lines): place is the window's first non-blank line."""
-    lines = [s for x in lines_of(text or "") if (s := x.strip())]
+    return next(_all_lines([text]))
+
+
+def windows(lines: list[str], width: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(hash, second hash, place, number of lines) of a text's lines: place is the window's first non-blank line."""
+    lines = [s for x in lines if (s := x.strip())]
     n = len(lines) - width + 1
     if n < 1:
         return np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32), len(lines)
     digest = xxhash.xxh3_128_digest
     each = np.frombuffer(b"".join([digest(x) for x in lines]), dtype=np.uint64).reshape(-1, 2)
-    words = np.fromiter((x.count(" ") + 1 for x in lines), dtype=np.int64, count=len(lines))
     h = np.zeros((n, 2), dtype=np.uint64)
-    total = np.zeros(n, dtype=np.int64)
     for k in range(width):
         h = (h ^ each[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-        total += words[k : k + n]
-    at = np.flatnonzero(total >= min_words)
-    return h[at, 0], (h[at, 1] >> np.uint64(32)).astype(np.uint32).view(np.int32), at.astype(np.int32), len(lines)
+    return h[:, 0], (h[:, 1] >> np.uint64(32)).astype(np.uint32).view(np.int32), np.arange(n, dtype=np.int32), len(lines)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -70,13 +149,13 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("text_key"))
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, filter_bits: int = 24, width: int = WINDOW) -> DataFrame:
-    """(id, text_key, places): the non-blank lines to remove from each document that has any."""
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 24, width: int = WINDOW) -> DataFrame:
+    """(id, text_key, places): the non-blank lines of each document that later occurrences cover, if any."""
     src = keyed(docs, id_col, text_col)
 
     def hashes(batches):
         for batch in batches:
-            parts = [windows(t, min_words, width)[:2] for t in batch.column("text").to_pylist()]
+            parts = [windows(x, width)[:2] for x in _all_lines(batch.column("text").to_pylist())]
             if parts:
                 yield pa.RecordBatch.from_pydict({"h": long_array(np.concatenate([p[0] for p in parts])), "g": np.concatenate([p[1] for p in parts])})
 
@@ -87,8 +166,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     def places(batches):
         for batch in batches:
             h, g, at, row = [], [], [], []
-            for i, t in enumerate(batch.column("text").to_pylist()):
-                h_, g_, at_, _ = windows(t, min_words, width)
+            for i, x in enumerate(_all_lines(batch.column("text").to_pylist())):
+                h_, g_, at_, _ = windows(x, width)
                 ok = passes(table.value, h_)
                 h.append(h_[ok])
                 g.append(g_[ok])
@@ -111,10 +190,22 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     return later.select("id", "text_key", F.explode(covered).alias("place")).groupBy("id", "text_key").agg(F.sort_array(F.collect_set("place")).alias("places"))
 
 
-def cut(text: str, places: set[int]) -> str:
-    """The text without those non-blank lines; blank lines between two removed ones go as well."""
+def large_runs(lines: list[str], places: list[int], min_words: int, min_chars: int) -> list[int]:
+    """Of the (sorted) places those in runs that are too large to be chance; ``lines``: the non-blank ones."""
+    out, at = [], 0
+    for i in range(1, len(places) + 1):
+        if i == len(places) or places[i] != places[i - 1] + 1:
+            run = [lines[p].strip() for p in places[at:i]]
+            if sum(map(len, run)) >= min_chars or sum(map(_n_words, run)) >= min_words:
+                out += places[at:i]
+            at = i
+    return out
+
+
+def cut(lines: list[str], places: set[int]) -> str:
+    """The text of these lines without those non-blank lines; blank lines between two removed ones go as well."""
     out, i, gone, blanks = [], 0, False, []
-    for x in lines_of(text):
+    for x in lines:
         if not x.strip():
             blanks.append(x)
             continue
@@ -128,7 +219,7 @@ def cut(text: str, places: set[int]) -> str:
     return "".join(out + blanks)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, min_chars: int = 30, **how) -> DataFrame:
     """``docs`` with repeated lines removed from the text, and three more columns:
     ``n_lines`` (non-blank lines before), ``n_removed`` and ``line_places`` (those removed)."""
     gone = removals(docs, id_col, text_col, **how).select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("places").alias("_places"))
@@ -141,8 +232,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
             places = [x or [] for x in batch.column("_places").to_pylist()]
-            lines = [sum(1 for x in lines_of(t or "") if x.strip()) for t in texts]
-            texts = [cut(t, set(p)) if p else t for t, p in zip(texts, places)]
+            lines = []
+            for i, every in enumerate(_all_lines(texts)):
+                own = [x for x in every if x.strip()]
+                lines.append(len(own))
+                places[i] = large_runs(own, places[i], min_words, min_chars)
+                texts[i] = cut(every, set(places[i])) if places[i] else texts[i]
             kept = {c: batch.column(c) for c in names}
             kept[text_col] = pa.array(texts, type=batch.schema.field(text_col).type)
             yield pa.RecordBatch.from_pydict(kept | {"n_lines": pa.array(lines, pa.int32()), "n_removed": pa.array([len(p) for p in places], pa.int32()), "line_places": pa.array(places, pa.list_(pa.int32()))})
