@@ -140,6 +140,15 @@ def test_near_copies_of_texts(spark):
     assert sorted(x["doc_id"] for x in out.collect()) == [0, 1, 4]
 
 
+def test_near_copies_with_a_repeated_phrase(spark):
+    """Shingle sets hardly differ, however often a phrase is repeated inside a text."""
+    r = np.random.default_rng(6)
+    base = [" ".join(f"w{x}" for x in r.integers(0, 10**6, 400)) for _ in range(6)]
+    more = [f"{b}{tail}" for b, tail in zip(base, [" click here now" * 100] * 3 + [" spam" * 450] * 3)]
+    got = {x["id"]: x["group"] for x in simhash_jaccard.groups(docs(spark, *base, *more)).collect()}
+    assert got == {i + 6: i for i in range(6)}
+
+
 @pytest.mark.parametrize("how", [{}, {"small": 2, "anchors": 1}])
 def test_near_groups_equal_brute_force(spark, how):
     """Chains, whose ends are linked only through texts that match no common anchor."""
