@@ -242,34 +242,33 @@ def test_language_model(spark):
     assert lm.cross_entropy_difference(d.limit(0), d.select("doc_id")).count() == 0
 
 
-@pytest.mark.parametrize("salt_tokens", [1 << 24, 2000])
-def test_language_model_equals_brute_force(spark, monkeypatch, salt_tokens):
-    """No bigram is left out, rare ones included; repeated and null ids are rows of their own."""
-    monkeypatch.setattr(lm, "SALT_TOKENS", salt_tokens)
-    texts = [*ODD, *[" ".join(f"w{(i * 7 + k * k) % 31}" for k in range(i % 17)) for i in range(60)], "the the the"]
+@pytest.mark.parametrize("sizes", [{}, {"HOT_BITS": 0, "LEAST_PARTS": 3, "PART_ROWS": 5}, {"HOT_BITS": 4}])
+def test_language_model_equals_brute_force(spark, monkeypatch, sizes):
+    """No word or bigram is left out, rare ones included; repeated and null ids are rows of their own."""
+    for k, v in sizes.items():
+        monkeypatch.setattr(lm, k, v)
+    texts = [*ODD, *[" ".join(f"w{(i * 7 + k * k) % 31}" for k in range(i % 17)) for i in range(60)], "the the the", " ".join(f"once{i}" for i in range(70_000))]
     d = docs(spark, *texts).unionByName(docs(spark, "w1 w2 w3", start=3)).unionByName(docs(spark, "w9 w1").withColumn("doc_id", F.lit(None).cast("long"))).repartition(5)
     target = d.where("doc_id % 3 = 0").select("doc_id", "key")
     rows = [(i, t) for i, t in enumerate(texts)] + [(3, "w1 w2 w3"), (None, "w9 w1")]
-    words = [re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower()) for _, t in rows]
-    size, models = len({w for ws in words for w in ws}) + 2, []
-    total = sum(map(len, words))
+    words = [[*w, "</s>"] if w else [] for w in (re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").lower()) for _, t in rows)]
+    size, total, models = len({w for ws in words for w in ws}), sum(map(len, words)), []
+    assert size > 70_000
     for inside in ([i is not None and i % 3 == 0 for i, _ in rows], [True] * len(rows)):
-        uni, bi, ctx = Counter(), Counter(), Counter()
+        uni, bi = Counter(), Counter()
         for ws, use in zip(words, inside):
             if use:
                 uni.update(ws)
-                bi.update(zip(["<s>", *ws], ws))
-                ctx.update(["<s>", *ws][: len(ws)])
-        models.append((uni, bi, ctx, total / sum(uni.values())))
+                bi.update(zip(["</s>", *ws], ws))
+        models.append((uni, bi, total / sum(uni.values())))
     want = []
     for (i, _), ws in zip(rows, words):
         loss = [0.0, 0.0]
-        for a, b in zip(["<s>", *ws], ws):
-            for m, (uni, bi, ctx, by) in enumerate(models):
-                share = 0.95 * uni[b] * by / total + 0.05 / size
-                loss[m] -= math.log(0.6 * bi[a, b] * by / max(ctx[a] * by, 1.0) + 0.4 * share)
+        for a, b in zip(["</s>", *ws], ws):
+            for m, (uni, bi, by) in enumerate(models):
+                loss[m] -= 0.4 * math.log((uni[b] * by + 0.5) / (total + 0.5 * size)) + 0.6 * math.log((bi[a, b] * by + 20 / size) / (uni[a] * by + 20))
         n = max(len(ws), 1)
-        want.append((-1 if i is None else i, len(ws), loss[0] / n, loss[1] / n, (loss[0] - loss[1]) / n))
+        want.append((-1 if i is None else i, max(len(ws) - 1, 0), loss[0] / n, loss[1] / n, (loss[0] - loss[1]) / n))
     got = [(-1 if r["doc_id"] is None else r["doc_id"], *r[1:]) for r in lm.cross_entropy_difference(d, target).collect()]
     assert len(got) == len(want)
     for g, w in zip(sorted(got), sorted(want)):

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,11 +157,23 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.nda
 
 # ---------------------------------------------------------------- bit filters
 
+#: bits of the smallest and of the largest filter; the largest is 16 MB
+LEAST_BITS, MOST_BITS = 18, 27
+
+
+def filter_bits(keys: int) -> int:
+    """Bits of a filter for so many keys, as a power of two: about 16 a key where that fits.
+
+    Beyond that a filter lets more strangers pass, which costs time but changes no result:
+    whatever passes is joined with the keys themselves.
+    """
+    return min(MOST_BITS, max(LEAST_BITS, (16 * keys).bit_length()))
+
 
 def bit_filter(keys: DataFrame, column: str, bits: int = 22) -> np.ndarray:
     """A filter of ``2**bits`` bits over a column of 64-bit keys: no key is missed, some strangers pass.
 
-    Its size is fixed, however many keys there are, so it can always be sent to all tasks.
+    Its size is bounded, however many keys there are, so it can always be sent to all tasks.
     At most ``2**bits / 64`` rows come to the driver.
     """
     k = F.col(column)
@@ -180,6 +193,17 @@ def passes(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
+def maybe(key: Column, table: np.ndarray) -> Column:
+    """Whether a row may have one of the keys of a filter. Only the key goes through Python."""
+    shared = SparkSession.getActiveSession().sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def run(keys: pd.Series) -> pd.Series:
+        return pd.Series(passes(shared.value, keys.to_numpy(np.int64).view(np.uint64)))
+
+    return run(key)
+
+
 def long_array(x: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit values as Spark's signed longs, bit for bit."""
     return np.ascontiguousarray(x).view(np.int64)

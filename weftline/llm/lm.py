@@ -1,25 +1,36 @@
 """Cross-entropy difference of two n-gram models (Moore and Lewis, 2010).
 
-A target and a background bigram model of the same kind share one vocabulary: the ``vocabulary``
-most frequent words of all documents, all others being one unknown word. Both are interpolated:
-bigram with unigram, unigram with uniform. The score of a document is the mean over its tokens of
-target loss minus background loss; lower means more like the target.
-
-All counts are over all documents and whole texts, and no bigram is pruned, so the model grows with
-the input and is never sent whole to a task. Texts become word ids once; counts and scores read
-those. Bigrams are split into ``PARTS`` by hash. To score, each block of documents sends its bigrams
-to their parts (once a document, with how often), the counts of a part go ahead of them in the same
-sorted partition, and a task sums losses while it streams by, holding one part's counts. Parts that
-are asked for much are salted: each salt has a copy of the part's counts. Only unigram and context
-totals, at most ``vocabulary`` + 2 rows, are broadcast.
-
-Target: documents whose id is among those of ``target``. Matched: the target's counts are scaled to
-the background's token total, so that smoothing weighs alike in both.
-
-Defined cases: null and empty texts have no tokens and score zero; ties at the edge of the
-vocabulary go by word hash; repeated rows count as often as they come, and each is scored; an empty
-target gives losses of the uniform share; null ids are scored like any other, as background.
-Results are rounded to nine places, as the order of sums is not fixed.
+A target and a background model of the same kind share one vocabulary: every distinct word of all
+documents and an end mark, nothing is cut off or mapped to an unknown word. A model is of orders one
+and two, and a token's loss is the weighted mean of its losses under both:
+
+- order one: ``(c(b) + UNSEEN) / (N + UNSEEN * V)``
+- order two: ``(c(ab) + MASS / V) / (c(a) + MASS)``
+
+with counts c, N tokens and V words. As every document is closed by the end mark, a word is a
+context as often as it is a token (the start of a text counts as its end mark does), so the loss of
+a document is a sum of one term for each of its words and one for each of its bigrams, and every
+term needs a single count. The score is the mean over the tokens, the end mark included, of target
+loss minus background loss; lower means more like the target. Matched: the target's counts are
+scaled to the background's token total, so that smoothing weighs alike in both.
+
+All counts are over all documents and whole texts. Words and bigrams are 64-bit hashes. What occurs
+once in all documents needs no row: a document asks for it exactly once, and whether the target has
+it follows from the document being one of the target. The rest is the model table; it grows with the
+input and is never sent whole to a task:
+
+- grams with a share of at least ``2**-HOT_BITS`` of all tokens, at most ``2**(HOT_BITS + 1)`` rows,
+  go to all tasks, so that frequent grams are looked up where the text is read and none is hot;
+- the others are split by hash into parts, as many as counts demand. Each block of documents sends
+  what it asks (once a document, with how often) to the parts; the rows of a part go ahead in the
+  same sorted partition, and a task answers while questions stream by, holding one part's rows;
+- a bit filter of the table (of bounded size) lets what occurs once stay at home.
+
+Defined cases: null and empty texts have no tokens and score zero; repeated rows count as often as
+they come, and each is scored; an empty target gives losses of the uniform share; null ids are scored
+like any other, as background; very long texts are hashed in blocks, whole; an empty table gives no
+rows; there are no ties. Extra columns are not looked at. Results are rounded to nine places, as the
+order of sums is not fixed.
 """
 
 from __future__ import annotations
@@ -28,240 +39,218 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from weftline.llm.common import hashed_texts, long_array, mix, written
+from weftline.llm.common import bit_filter, filter_bits, hashed_texts, long_array, maybe, mix, own_columns, passes, written
 
-PARTS = 64
-#: tokens of a block of documents, and of a part's share in one salt
-BLOCK_TOKENS, SALT_TOKENS = 1 << 20, 1 << 24
-ASKED = "key int, kind int, a binary, b binary, c binary, d binary"
+#: weight of order two, unseen mass of orders one and two
+WEIGHT, UNSEEN, MASS = 0.6, 0.5, 20.0
+#: share of a gram that is sent to all tasks; tokens of a block; rows and questions of a part
+HOT_BITS, BLOCK_TOKENS, PART_ROWS, PART_TOKENS, LEAST_PARTS = 18, 1 << 20, 1 << 19, 1 << 22, 256
+START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+MESSAGE = "key int, kind int, a binary, b binary, c binary, d binary"
+SUMS = "row long, doc_id long, n_tokens long, n_loss double, t_loss double, words long, pairs long"
 
 
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n): summed in each task first."""
-
-    def run(batches):
-        for batch in batches:
-            found = [hashes for _, _, _, hashes, *_ in hashed_texts(batch.column("text").to_pylist())]
-            if found:
-                word, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"word": long_array(word), "n": n.astype(np.int64)})
-
-    return docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _vocabulary(docs: DataFrame, size: int) -> np.ndarray:
-    """Sorted hashes of the most frequent words."""
-    top = _word_counts(docs).orderBy(F.desc("n"), "word").limit(size).toPandas()
-    return np.sort(top["word"].to_numpy(dtype=np.int64).view(np.uint64))
+def _grams(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first, last, words, bigrams, text of each) of groups of texts: a text of words has an end
+    mark after them. The lowest bit tells bigrams (1) from words (0)."""
+    for lo, hi, bounds, hashes, *_ in hashed_texts(texts):
+        n = np.diff(bounds)
+        full = n > 0
+        size = n + full
+        ends = np.cumsum(size)
+        word = np.full(int(ends[-1]) if len(ends) else 0, END)
+        word[np.arange(len(hashes)) + np.repeat(np.cumsum(full) - full, n)] = hashes
+        before = np.concatenate(([START], word[:-1]))[: len(word)]
+        before[(ends - size)[full]] = START
+        yield lo, hi, word & ~np.uint64(1), mix(before * _BASE + word) | np.uint64(1), np.repeat(np.arange(hi - lo), size)
 
 
-def _ids(vocabulary: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Vocabulary ids 1..; 0 is the unknown word."""
-    if not len(vocabulary):
-        return np.zeros(len(hashes), np.uint16)
-    at = np.searchsorted(vocabulary, hashes)
-    at[at == len(vocabulary)] = 0
-    return np.where(vocabulary[at] == hashes, at + 1, 0).astype(np.uint16)
-
-
-def _coded(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """(doc_id, tokens): word ids of two bytes each."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def _counts(texts: DataFrame, target: bool) -> DataFrame:
+    """(gram, n, t): how often each word and bigram occurs; summed in each task first."""
 
     def run(batches):
-        for batch in batches:
-            tokens: list[bytes] = []
-            for lo, hi, bounds, hashes, *_ in hashed_texts(batch.column("text").to_pylist()):
-                ids = _ids(shared.value, hashes)
-                tokens += [ids[bounds[i] : bounds[i + 1]].tobytes() for i in range(hi - lo)]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "tokens": pa.array(tokens, pa.binary())})
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, tokens binary")
-
-
-def _blocks(tokens: list[bytes], start: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first, last, bigrams, text of each) of groups of documents of about ``BLOCK_TOKENS``.
-
-    A bigram is the id before times 2**16 plus the id; ``start`` stands before a text's first word.
-    """
-    size = np.array([len(t) // 2 for t in tokens], dtype=np.int64)
-    group = np.cumsum(size) // BLOCK_TOKENS
-    edges = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(tokens)])) if len(tokens) else np.zeros(1, np.int64)
-    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        ids = np.frombuffer(b"".join(tokens[lo:hi]), dtype=np.uint16).astype(np.uint32)
-        if not len(ids):
-            continue
-        n = size[lo:hi]
-        before = np.concatenate(([np.uint32(0)], ids[:-1]))
-        before[(np.cumsum(n) - n)[n > 0]] = start
-        yield lo, hi, (before << np.uint32(16)) | ids, np.repeat(np.arange(hi - lo), n)
-
-
-def _bigram_counts(rows: DataFrame, start: int) -> DataFrame:
-    """(pair, n, t): how often each bigram occurs in all and in target documents; summed in each task first."""
-
-    def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
         def emit():
-            pair, inverse = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
-            n, t = (np.bincount(inverse, weights=np.concatenate([x[i] for x in held])).astype(np.int64) for i in (1, 2))
-            return pa.RecordBatch.from_pydict({"pair": pair.astype(np.int64), "n": n, "t": t})
+            gram, inverse = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
+            n = np.bincount(inverse, weights=np.concatenate([c for _, c in held])).astype(np.int64)
+            none = np.zeros(len(n), np.int64)
+            return pa.RecordBatch.from_pydict({"gram": long_array(gram), "n": none if target else n, "t": n if target else none})
 
         for batch in batches:
-            target = np.array(batch.column("target").to_pylist(), dtype=bool)
-            for lo, hi, codes, text in _blocks(batch.column("tokens").to_pylist(), start):
-                pair, inverse, n = np.unique(codes, return_inverse=True, return_counts=True)
-                held.append((pair, n, np.bincount(inverse, weights=target[lo:hi][text])))
-                size += len(pair)
-                if size > 4_000_000:
+            for _, _, words, pairs, _ in _grams(batch.column("text").to_pylist()):
+                held.append(np.unique(np.concatenate((words, pairs)), return_counts=True))
+                if sum(len(g) for g, _ in held) > 3_000_000:
                     yield emit()
-                    held, size = [], 0
+                    held.clear()
         if held:
             yield emit()
 
-    return rows.select("tokens", "target").mapInArrow(run, "pair long, n long, t long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    return texts.select("text").mapInArrow(run, "gram long, n long, t long")
 
 
-def _part(pair: np.ndarray) -> np.ndarray:
-    return (mix(pair.astype(np.uint64)) % np.uint64(PARTS)).astype(np.uint8)
+def _by_part(gram: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places) of the grams of each part, in their order."""
+    part = (mix(gram) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(part[order])) + 1, [len(part)])) if len(part) else np.zeros(1, np.int64)
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        yield int(part[order[lo]]), order[lo:hi]
 
 
-def _by_part(pair: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(part, places) of the bigrams of each part, in their order."""
-    part = _part(pair)
-    order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(PARTS + 1))
-    for p in range(PARTS):
-        if edges[p] < edges[p + 1]:
-            yield p, order[edges[p] : edges[p + 1]]
+def _messages(rows: list[tuple]) -> pa.RecordBatch:
+    key, kind, *columns = zip(*rows)
+    return pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int32()), "kind": pa.array(kind, pa.int32())} | {k: pa.array(x, pa.binary()) for k, x in zip("abcd", columns)})
 
 
-def _packed_counts(pairs: DataFrame, salts: int) -> DataFrame:
-    """Counts of each part as arrays, a copy a salt: kind 0 with bigrams, n and t."""
+def _model_rows(model: DataFrame, parts: int) -> DataFrame:
+    """The table as arrays by part: kind 0 with grams, n and t."""
 
     def run(batches):
-        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            gram, n, t = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "n", "t"))
+            rows = [(p, 0, gram[at].tobytes(), n[at].tobytes(), t[at].tobytes(), None) for p, at in _by_part(gram.view(np.uint64), parts)]
+            if rows:
+                yield _messages(rows)
 
-        def emit():
-            pair, n, t = (np.concatenate(x) for x in zip(*held))
-            got = [(p, pair[at].astype(np.uint32).tobytes(), n[at].tobytes(), t[at].tobytes()) for p, at in _by_part(pair)]
-            part, a, b, c = zip(*got)
-            return pa.RecordBatch.from_pydict({"part": pa.array(part, pa.int32()), "a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "c": pa.array(c, pa.binary())})
+    return model.select("gram", "n", "t").mapInArrow(run, MESSAGE)
 
-        for batch in batches:
-            if batch.num_rows:
-                held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("pair", "n", "t")))
-            if sum(len(x[0]) for x in held) > 1_000_000:
-                yield emit()
-                held = []
-        if held:
-            yield emit()
 
-    packed = pairs.select("pair", "n", "t").mapInArrow(run, "part int, a binary, b binary, c binary")
-    salted = packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.select((F.col("salt") * PARTS + F.col("part")).cast("int").alias("key"), F.lit(0).alias("kind"), "a", "b", "c", F.lit(None).cast("binary").alias("d"))
+class _Losses:
+    """Terms of words and bigrams under the background and the target model."""
 
+    def __init__(self, n: int, t: int, vocabulary: int):
+        self.total, self.vocabulary = n, max(vocabulary, 1)
+        self.scale = n / t if t else 0.0
 
-def _asked(rows: DataFrame, start: int, salts: int) -> DataFrame:
-    """The bigrams of each block of documents by part: kind 1 with bigrams, how often, rows and bigrams of each row."""
+    def __call__(self, gram: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pair, out = (gram & np.uint64(1)) == 1, []
+        for c, total in ((n.astype(np.float64), self.total), (t * self.scale, self.total if self.scale else 0)):
+            word = WEIGHT * np.log(c + MASS) - (1 - WEIGHT) * (np.log(c + UNSEEN) - np.log(total + UNSEEN * self.vocabulary))
+            out.append(np.where(pair, -WEIGHT * np.log(c + MASS / self.vocabulary), word))
+        return tuple(out)
 
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("row").to_numpy(zero_copy_only=False).astype(np.int64)
-            for lo, hi, codes, text in _blocks(batch.column("tokens").to_pylist(), start):
-                both, n = np.unique((text.astype(np.uint64) << np.uint64(32)) | codes, return_counts=True)
-                pair, text, n = both.astype(np.uint32), (both >> np.uint64(32)).astype(np.int64), n.astype(np.uint32)
-                salt = int(mix(ids[lo : lo + 1].astype(np.uint64))[0] % np.uint64(salts))
-                got = []
-                for p, at in _by_part(pair):
-                    of = text[at]
-                    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-                    got.append((salt * PARTS + p, 1, pair[at].tobytes(), n[at].tobytes(), ids[lo:hi][of[first]].tobytes(), np.diff(np.append(first, len(of))).astype(np.uint32).tobytes()))
-                key, kind, *columns = zip(*got)
-                a, b, c, d = (pa.array(x, pa.binary()) for x in columns)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int32()), "kind": pa.array(kind, pa.int32()), "a": a, "b": b, "c": c, "d": d})
 
-    return rows.select("row", "tokens").mapInArrow(run, ASKED)
+def _looked_up(known: tuple[np.ndarray, ...], gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(found, n_loss, t_loss): zero where the gram is not known."""
+    if not len(known[0]):
+        return np.zeros(len(gram), dtype=bool), np.zeros(len(gram)), np.zeros(len(gram))
+    at = np.minimum(np.searchsorted(known[0], gram), len(known[0]) - 1)
+    found = known[0][at] == gram
+    return found, np.where(found, known[1][at], 0.0), np.where(found, known[2][at], 0.0)
 
 
-def _totals(pairs: DataFrame, by, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of n and t by a part of the bigram, as arrays over word ids (at most ``size`` rows)."""
-    got = pairs.groupBy(by.alias("w")).agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toPandas()
-    n, t = np.zeros(size), np.zeros(size)
-    at = got["w"].to_numpy(np.int64)
-    n[at], t[at] = got["n"].to_numpy(np.float64), got["t"].to_numpy(np.float64)
-    return n, t
+def _asked(rows: DataFrame, hot, table, parts: int) -> DataFrame:
+    """The questions of each block of documents by part (kind 1: grams, how often, rows, grams of
+    each row), and what needs no question (kind 2: rows, ids and tokens, sums, single words and bigrams)."""
 
+    def run(batches):
+        for batch in batches:
+            ids, doc = batch.column("row").to_numpy(zero_copy_only=False), batch.column("doc_id")
+            for lo, hi, words, pairs, text in _grams(batch.column("text").to_pylist()):
+                size = np.bincount(text, minlength=hi - lo)
+                # blocks, as a group is of about a megabyte
+                gram, text = np.concatenate((words, pairs)), np.concatenate((text, text))
+                order = np.lexsort((gram, text))
+                gram, text = gram[order], text[order]
+                first = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])))) if len(gram) else np.empty(0, np.int64)
+                often = np.diff(np.append(first, len(gram)))
+                gram, text = gram[first], text[first]
+                found, n_loss, t_loss = _looked_up(hot.value, gram)
+                ask = ~found & passes(table.value, gram)
+                single, pair = ~found & ~ask, (gram & np.uint64(1)) == 1
+                sums = [np.bincount(text, weights=w, minlength=hi - lo) for w in (n_loss * often, t_loss * often, single & ~pair, single & pair)]
+                null = np.array([not x.is_valid for x in doc.slice(lo, hi - lo)]) if doc.null_count else np.zeros(hi - lo, dtype=bool)
+                who = np.stack([doc.slice(lo, hi - lo).fill_null(0).to_numpy(zero_copy_only=False), null.astype(np.int64), size - (size > 0)]).astype(np.int64)
+                out = [(int(mix(ids[lo : lo + 1].view(np.uint64))[0] % np.uint64(parts)), 2, ids[lo:hi].tobytes(), who.tobytes(), np.stack(sums[:2]).tobytes(), np.stack(sums[2:]).astype(np.int64).tobytes())]
+                gram, text, often = gram[ask], text[ask], often[ask].astype(np.uint32)
+                for p, at in _by_part(gram, parts):
+                    of = text[at]
+                    start = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+                    out.append((p, 1, gram[at].tobytes(), often[at].tobytes(), ids[lo:hi][of[start]].tobytes(), np.diff(np.append(start, len(of))).astype(np.uint32).tobytes()))
+                yield _messages(out)
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_id_col: str = "doc_id", vocabulary: int = 16384, weight: float = 0.6, uniform: float = 0.05) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score) of every row of ``docs``.
+    return rows.mapInArrow(run, MESSAGE)
 
-    ``target``: the ids of the documents that make up the target corpus. ``vocabulary``: words, at
-    most 65,534; ``weight``: of bigrams against unigrams; ``uniform``: of the uniform share in unigrams.
-    """
-    if not 0 < vocabulary <= 65_534:
-        raise ValueError("vocabulary must be 1 to 65534 words")
-    spark = docs.sparkSession
-    src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    ids = target.select(F.col(target_id_col).cast("long").alias("_target")).where("_target is not null").distinct()
-    vocab = _vocabulary(src, vocabulary)
-    start, size = len(vocab) + 1, len(vocab) + 2
-    # word ids, not texts, are shuffled; written once, as counts and scores read them; the same kind of join at every size
-    coded = _coded(src, vocab).join(ids.hint("merge"), F.col("doc_id") == F.col("_target"), "left")
-    rows = written(coded.select(F.monotonically_increasing_id().alias("row"), "doc_id", "tokens", F.col("_target").isNotNull().alias("target")), "lm-tokens")
-    pairs = written(_bigram_counts(rows, start), "lm-bigrams")
-
-    as_word = _totals(pairs, F.col("pair").bitwiseAND(0xFFFF), size)
-    as_context = _totals(pairs, F.shiftright("pair", 16), size)
-    all_n, all_t = as_word[0].sum(), as_word[1].sum()
-    scale = (1.0, all_n / all_t if all_t else 0.0)
-    losses = []
-    for word, context, by in zip(as_word, as_context, scale):
-        share = (1 - uniform) * word * by / max(all_n, 1) + uniform / size
-        losses.append(((1 - weight) * share, weight * by / np.maximum(context * by, 1.0)))
-    shared = spark.sparkContext.broadcast(losses)
+
+def _answered(messages: DataFrame, losses: _Losses) -> DataFrame:
+    """Sums of each row over the questions of a part; what a part doesn't know occurs once."""
 
     def run(batches):
         key, counts, known = None, [], None
         for batch in batches:
-            out: list[tuple[np.ndarray, ...]] = []
-            for k, kind, a, b, c, d in zip(*(batch.column(x) for x in ("key", "kind", "a", "b", "c", "d"))):
-                if k.as_py() != key:
-                    key, counts, known = k.as_py(), [], None
-                a, b, c = a.as_py(), b.as_py(), c.as_py()
-                if kind.as_py() == 0:
-                    counts.append((np.frombuffer(a, np.uint32), np.frombuffer(b, np.int64), np.frombuffer(c, np.int64)))
+            out: list[tuple] = []
+            for k, kind, a, b, c, d in zip(*(batch.column(x).to_pylist() for x in ("key", "kind", "a", "b", "c", "d"))):
+                if k != key:
+                    key, counts, known = k, [], None
+                if kind == 0:
+                    counts.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64), np.frombuffer(c, np.int64)))
+                    continue
+                if kind == 2:
+                    rows, (doc, null, n), sums, single = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64).reshape(3, -1), np.frombuffer(c).reshape(2, -1), np.frombuffer(d, np.int64).reshape(2, -1)
+                    out.append((rows, doc, null == 1, n, *sums, *single))
                     continue
                 if known is None:
-                    pair, n, t = (np.concatenate(x) for x in zip(*counts))
-                    order = np.argsort(pair)
-                    pair, counts = pair[order], []
-                    first, word = pair >> np.uint32(16), pair & np.uint32(0xFFFF)
-                    known = (pair, *(-np.log(m[first] * x[order] + u[word]) for (u, m), x in zip(shared.value, (n, t))))
-                at = np.searchsorted(known[0], np.frombuffer(a, np.uint32))
-                often, length = np.frombuffer(b, np.uint32), np.frombuffer(d.as_py(), np.uint32).astype(np.int64)
-                out.append((np.frombuffer(c, np.int64), *(np.add.reduceat(x[at] * often, np.cumsum(length) - length) for x in known[1:])))
+                    gram, n, t = (np.concatenate(x) for x in zip(*counts)) if counts else (np.empty(0, np.uint64), np.empty(0), np.empty(0))
+                    order = np.argsort(gram)
+                    known, counts = (gram[order], *losses(gram[order], n[order], t[order])), []
+                gram, often = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)
+                rows, length = np.frombuffer(c, np.int64), np.frombuffer(d, np.uint32).astype(np.int64)
+                found, n_loss, t_loss = _looked_up(known, gram)
+                pair, cuts = (gram & np.uint64(1)) == 1, np.cumsum(length) - length
+                sums = [np.add.reduceat(x, cuts) for x in (n_loss * often, t_loss * often, (~found & ~pair).astype(np.int64), (~found & pair).astype(np.int64))]
+                none = np.zeros(len(rows), np.int64)
+                out.append((rows, none, none == 0, none, *sums))
             if out:
-                yield pa.RecordBatch.from_pydict(dict(zip(("row", "n_loss", "t_loss"), (np.concatenate(x) for x in zip(*out)))))
+                row, doc, null, n, *sums = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_pydict({"row": row, "doc_id": pa.array(doc, mask=null), "n_tokens": n} | dict(zip(("n_loss", "t_loss", "words", "pairs"), sums)))
 
-    salts = max(1, int(np.ceil(all_n / (PARTS * SALT_TOKENS))))
-    sums = (
-        _packed_counts(pairs, salts).unionByName(_asked(rows, start, salts))
-        .repartition("key").sortWithinPartitions("key", "kind")
-        .mapInArrow(run, "row long, n_loss double, t_loss double")
-    )
-    # a union, not a join: each row has its own key, and rows without words have no sums
-    none = rows.select("row", "doc_id", (F.length("tokens") / 2).cast("long").alias("n_tokens"), F.lit(0.0).alias("n_loss"), F.lit(0.0).alias("t_loss"))
-    total = none.unionByName(sums, allowMissingColumns=True).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_loss").alias("n_loss"), F.sum("t_loss").alias("t_loss"))
-    each = F.greatest("n_tokens", F.lit(1))
+    return messages.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(run, SUMS)
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score) of every row of ``docs``.
+
+    ``target``: the ids of the documents that make up the target corpus.
+    """
+    spark = docs.sparkSession
+    src = own_columns(docs, doc_id=docs[id_col].cast("long"), text=text_col)
+    ids = written(own_columns(target, target_id=target[target_id_col].cast("long")).where("target_id is not null").distinct(), "lm-target")
+    # texts that can't be of the target are not shuffled
+    of_target = bit_filter(ids.select(F.xxhash64("target_id").alias("h")), "h", filter_bits(ids.count()))
+    chosen = src.where(maybe(F.xxhash64("doc_id"), of_target)).join(ids.hint("merge"), F.col("doc_id") == F.col("target_id"), "left_semi")
+    seen, word = Observation(), F.col("gram").bitwiseAND(1) == 0
+    every = _counts(src, False).unionByName(_counts(chosen, True)).groupBy("gram").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    every = every.observe(seen, F.count_if(word).alias("words"), F.sum(F.when(word, F.col("n"))).alias("n"), F.sum(F.when(word, F.col("t"))).alias("t"))
+    model = written(every.where("n > 1"), "lm-model")
+    n, t, vocabulary = (int(seen.get[k] or 0) for k in ("n", "t", "words"))
+
+    losses, size = _Losses(n, t, vocabulary), model.count()
+    # at most 2**HOT_BITS words and as many bigrams have such a share
+    top = model.where(F.col("n") * float(1 << HOT_BITS) >= float(max(n, 1))).toPandas().sort_values("gram", key=lambda x: x.to_numpy(np.int64).view(np.uint64))
+    gram = top["gram"].to_numpy(np.int64).view(np.uint64)
+    hot = spark.sparkContext.broadcast((gram, *losses(gram, top["n"].to_numpy(np.int64), top["t"].to_numpy(np.int64))))
+    table = spark.sparkContext.broadcast(bit_filter(model, "gram", filter_bits(size)))
+    parts = max(LEAST_PARTS, -(-size // PART_ROWS), -(-n // PART_TOKENS))
+
+    rows = src.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    sums = _answered(_model_rows(model, parts).unionByName(_asked(rows, hot, table, parts)), losses)
+    total = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_loss", "t_loss", "words", "pairs")])
+    total = total.join(ids.hint("merge"), F.col("doc_id") == F.col("target_id"), "left")
+    # terms of what occurs once: in the target if and only if the document is
+    one = np.array([1])
+    single = {(g, inside): [float(x[0]) for x in losses(np.array([g], np.uint64), one, one * inside)] for g in (0, 1) for inside in (0, 1)}
+    in_target = F.col("target_id").isNotNull()
+    n_loss = F.col("n_loss") + F.col("words") * single[0, 0][0] + F.col("pairs") * single[1, 0][0]
+    t_loss = F.col("t_loss") + F.when(in_target, F.col("words") * single[0, 1][1] + F.col("pairs") * single[1, 1][1]).otherwise(F.col("words") * single[0, 0][1] + F.col("pairs") * single[1, 0][1])
+    each = F.when(F.col("n_tokens") > 0, F.col("n_tokens") + 1).otherwise(1)
     return total.select(
         "doc_id", "n_tokens",
-        F.round(F.col("t_loss") / each, 9).alias("target_loss"),
-        F.round(F.col("n_loss") / each, 9).alias("background_loss"),
-        F.round((F.col("t_loss") - F.col("n_loss")) / each, 9).alias("score"),
+        F.round(t_loss / each, 9).alias("target_loss"),
+        F.round(n_loss / each, 9).alias("background_loss"),
+        F.round((t_loss - n_loss) / each, 9).alias("score"),
     )
