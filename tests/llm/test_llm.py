@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -277,13 +278,14 @@ def test_language_model_equals_brute_force(spark, monkeypatch, sizes):
 
 def test_packing_round_trip(spark):
     texts = [*ODD, *[f"some text number {i} " * (i % 40) for i in range(120)], "<|endoftext|> inside"]
-    got = packing.pack(docs(spark, *texts), queries.ENCODER, window_tokens=4096, max_queues=2).collect()
+    rows = docs(spark, *texts).unionByName(docs(spark, "null id").withColumn("doc_id", F.lit(None).cast("long")).withColumn("source", F.lit("")))
+    got = packing.pack(rows, queries.ENCODER, targets={"s": 0.3, "nowhere": 0.2}).collect()
     encode = packing.encoder(queries.ENCODER[0])
     by, seqs = {}, {}
     for r in got:
         by.setdefault(r["doc_id"], []).append(r)
         seqs.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
-    assert set(by) == set(range(len(texts)))
+    assert set(by) == {*range(len(texts)), None} and {r["source"] for r in got} == {"s", None, ""}
     for i, t in enumerate(texts):
         ids = np.append(encode(t or "") if t else [], 1).astype("<u4")
         at = 0
@@ -299,4 +301,70 @@ def test_packing_round_trip(spark):
             at += n
         fill[s] = at
     assert sum(v < 2048 for v in fill.values()) <= 1 and max(fill.values()) <= 2048 and set(fill) == set(range(len(fill)))
+    twice = packing.pack(docs(spark, "a b c", "d").union(docs(spark, "a b c", "d")), queries.ENCODER).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"]: r["n"] for r in twice} == {0: 8, 1: 4}
     assert packing.pack(docs(spark, *texts).limit(0), queries.ENCODER).count() == 0
+
+
+def simulated(tokens, share, size, grain):
+    """Deficit round-robin, window by window, in whole numbers of a very small unit: the (window, queue) of each token."""
+    unit = Fraction(1)
+    left, credit, given, out, window = list(tokens), [Fraction(0)] * len(tokens), [0] * len(tokens), [], 0
+    share = [Fraction(float(s)) for s in share]
+    step = [unit if s * size >= grain else unit * grain for s in share]
+    while any(left):
+        # credit flows to all queues whose credited tokens are not yet all they have, until a window's worth is spent
+        spent = Fraction(0)
+        while spent < size and any(c < t for c, t in zip(credit, tokens)):
+            live = [i for i, t in enumerate(tokens) if credit[i] < t]
+            total = sum(share[i] for i in live)
+            time = min((size - spent) / total, *[(tokens[i] - credit[i]) / share[i] for i in live])
+            for i in live:
+                credit[i] += time * share[i]
+            spent += time * total
+        for i, t in enumerate(tokens):
+            due = t if credit[i] == t else int(credit[i] / step[i] + Fraction(1, 10**6)) * int(step[i])
+            out += [(window, i)] * (due - given[i])
+            left[i], given[i] = t - due, due
+        window += 1
+    return out
+
+
+@pytest.mark.parametrize("tokens, share, grain", [((5000, 9000, 300), (0.5, 0.25, 0.25), 32), ((40_000, 700, 9), (0.7, 0.299, 0.001), 32), ((1, 1, 1), (0.2, 0.3, 0.5), 8), ((20_000,), (1.0,), 32), ((8192, 8192), (0.5, 0.5), 4)])
+def test_packing_schedule_equals_simulation(tokens, share, grain):
+    plan = packing.Schedule(np.array(tokens), np.array(share), 2048, grain)
+    want, got = simulated(tokens, share, 2048, grain), {}
+    r = np.random.default_rng(7)
+    for q, n in enumerate(tokens):
+        at = 0
+        while at < n:
+            doc = min(n - at, int(r.integers(1, 900)))
+            for start, length, seq, offset, _ in plan.layout(at, doc, q):
+                for i in range(length):
+                    got[seq * 2048 + offset + i] = (q, at + start + i)
+            at += doc
+    seen = [0] * len(tokens)
+    for place, (_, q) in enumerate(want):
+        assert got[place] == (q, seen[q])
+        seen[q] += 1
+    assert len(got) == len(want)
+
+
+def test_packing_windows_hold_the_mixture(spark):
+    rows = spark.createDataFrame([(i, f"number {i} of a source with words " * 20, f"s{min(i % 10, 3)}") for i in range(1500)], "doc_id long, text string, source string").repartition(7)
+    targets = {"s0": 0.4, "s1": 0.3, "s2": 0.2, "s3": 0.1}
+    got = packing.pack(rows, queries.ENCODER, targets=targets).groupBy("sequence_id", "source").agg(F.sum("length").alias("n")).collect()
+    per = {}
+    for r in got:
+        per.setdefault(r["sequence_id"], {})[r["source"]] = r["n"]
+    dry = packing.pack(rows, queries.ENCODER, targets=targets).groupBy("source").agg(F.max("sequence_id").alias("last")).agg(F.min("last")).first()[0]
+    assert dry > 10
+    # a sequence starts up to one token a queue away from its window
+    assert all(abs(per[s].get(q, 0) - share * 2048) <= 5 for s in range(dry) for q, share in targets.items())
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 1_000_000, "\u3000" * 1_000_000, "x" * 300_000, "a \t" * 100_000])
+def test_packing_of_long_runs(spark, text):
+    got = packing.pack(docs(spark, text, "end"), queries.ENCODER).where("doc_id = 0").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("d")).first()
+    ids = packing.encoder(queries.ENCODER[0])(text)
+    assert got["n"] == got["d"] == len(ids) + 1

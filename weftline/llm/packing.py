@@ -1,26 +1,30 @@
 """Mixture-controlled packing: deficit round-robin over source queues.
 
-All documents are tokenised, each followed by an end id, and queued by source. Round by round
-every queue gets a quantum of tokens in proportion to its target share; what a quantum has left
-over below a whole token is carried to the next round as the queue's deficit, so after any
-number of rounds each queue is within one token of its share. A window is one round: about
-``window_tokens`` tokens at target proportions. The windows follow one another without a gap and
-are cut into sequences of ``sequence_tokens``; documents are cut where a quantum or a sequence
-ends. Only the last sequence is short.
-
-The schedule is arithmetic, not a loop over documents: queue q has served floor(r * quantum_q)
-tokens after r rounds, so a document's place in its queue gives its windows, sequences and
-offsets, in whatever partition it lies. Places come from per-task counts: a task numbers the
-tokens of each source it reads, and sums of (task, source) totals give where it starts, so
-deficits carry across partitions, no queue is brought to one task, and texts are never shuffled.
-
-At most ``max_queues`` queues: the sources with the most tokens have their own, the others share
-the last one, so the table of quanta that goes to all tasks is of a fixed size.
+All documents are tokenised, each followed by an end id, and queued by source. Window by window of
+``sequence_tokens`` every queue that has tokens left is credited its target share of the window and
+serves whole grains of its credit; what is left below a grain is carried to the next window as the
+queue's deficit. A queue that runs dry leaves its share to the others in proportion to theirs. So
+after any number of windows each queue is within one grain of its target. A grain is one token, but
+for a queue whose share of a window is below ``grain`` tokens: that one waits until so many are due,
+or documents of rare sources would be cut into single tokens. The windows follow one another
+without a gap and are cut into sequences of ``sequence_tokens``; documents are cut where a queue's
+turn or a sequence ends. Only the last sequence is short.
+
+Targets: ``targets`` names shares of sources; the others share what is left in proportion to their
+tokens to the power ``temperature`` (1: the mix of the corpus, 0: all alike).
+
+The schedule is arithmetic, not a loop over documents: credit is a piecewise linear function of the
+tokens served, with one piece for each queue that runs dry, so a document's place in its queue gives
+its windows, sequences and offsets, in whatever partition it lies. Places come from per-task counts:
+a task numbers the tokens of each source it reads, and sums of (task, source) totals give where it
+starts, so deficits carry across partitions, no queue is brought to one task, and texts are never
+shuffled. What goes to all tasks are three numbers a source; more than ``MOST_SOURCES`` are refused.
 
 Defined cases: a null or empty text has the end id alone; a null source is a queue of its own;
-repeated rows are packed as often as they come; an empty table gives no rows; ties between
-queues go by source name; targets for sources that don't occur are ignored and sources without
-a target share what is left in proportion to their tokens.
+repeated rows are packed as often as they come, null ids like others; very long texts are encoded
+whole, and their windows taken in bounded blocks; an empty table gives no rows; ties between
+queues go by source name; targets for sources that don't occur are ignored, and a target of zero or
+less is a very small one; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -42,15 +46,17 @@ from tokenizers import Tokenizer
 from weftline.llm.common import written
 
 END_ID = 1
-FRACTION = 16  # bits of a token that a deficit is kept to
+#: characters up to which the faster library is used; its pattern fails on runs of near a million spaces
+FAST_CHARS = 200_000
+MOST_SOURCES, LEAST_SHARE, BLOCK_CELLS = 1 << 20, 1e-9, 1 << 21
 TOKENISED = "row long, doc_id long, source string, n long, ids binary, task int, start long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, source string"
 
 
 @lru_cache(maxsize=4)
 def encoder(tokenizer_path: str, ranks_path: str | None = None, pattern: str | None = None):
-    """A function from text to ids. With ranks of the same vocabulary a faster library is used,
-    after it has given the tokenizer's own ids on a probe."""
+    """A function from text to ids. With ranks of the same vocabulary a faster library is used for
+    texts of up to ``FAST_CHARS``, after it has given the tokenizer's own ids on a probe."""
     tok = Tokenizer.from_file(tokenizer_path)
     plain = lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
     if ranks_path is None:
@@ -63,7 +69,7 @@ def encoder(tokenizer_path: str, ranks_path: str | None = None, pattern: str | N
     probe = "It's 2 o'clock,\n\n  naïve Köln  \t日本 🙂!! x" + "".join(special) + " end "
     if not np.array_equal(plain(probe), fast(probe)):
         raise ValueError(f"{ranks_path} does not give the ids of {tokenizer_path}")
-    return fast
+    return lambda text: fast(text) if len(text) <= FAST_CHARS else plain(text)
 
 
 def tokenised(docs: DataFrame, encode_args: tuple, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -92,73 +98,103 @@ def tokenised(docs: DataFrame, encode_args: tuple, id_col: str = "doc_id", text_
     return written(src.mapInArrow(run, TOKENISED), "packing-ids")
 
 
-def quanta(totals: list[tuple[str, int]], targets: dict[str, float] | None, window_tokens: int) -> list[tuple[str, int, int]]:
-    """(queue, tokens, quantum) by name; a quantum is in 1 / 2**FRACTION tokens, at least one token."""
-    everything = sum(n for _, n in totals) or 1
-    named = {q: targets[q] for q, _ in totals if targets and q in targets}
-    free = sum(n for q, n in totals if q not in named) or 1
-    rest = max(0.0, 1.0 - sum(named.values()))
-    share = {q: named[q] if q in named else (rest * n / free if named else n / everything) for q, n in totals}
-    return [(q, n, max(1 << FRACTION, round(share[q] * window_tokens * (1 << FRACTION)))) for q, n in sorted(totals)]
-
-
-def served(rounds: np.ndarray, quantum: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """Tokens that queues have given after so many rounds."""
-    return np.minimum((rounds * quantum) >> FRACTION, tokens)
-
-
-def layout(a: int, n: int, q: int, tokens: np.ndarray, quantum: np.ndarray, sequence_tokens: int) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (start, length, sequence, offset, window) of the document at tokens a..a+n-1 of queue q."""
-    out, at = [], a
-    # the round r of token t: served(r) <= t < served(r + 1)
-    r = (at << FRACTION) // int(quantum[q])
-    while served(np.int64(r + 1), quantum[q], tokens[q]) <= at:
-        r += 1
-    while r > 0 and served(np.int64(r), quantum[q], tokens[q]) > at:
-        r -= 1
-    while at < a + n:
-        before = served(np.int64(r), quantum, tokens)
-        after = served(np.int64(r + 1), quantum, tokens)
-        where = int(before.sum() + (after[:q] - before[:q]).sum()) + at - int(before[q])
-        stop = min(a + n, int(after[q]))
-        while at < stop:
-            take = min(stop - at, sequence_tokens - where % sequence_tokens)
-            out.append((at - a, take, where // sequence_tokens, where % sequence_tokens, r))
-            at, where = at + take, where + take
-        r += 1
-    return out
-
-
-def pack(docs: DataFrame, encode_args: tuple, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", sequence_tokens: int = 2048, window_tokens: int = 65536, targets: dict[str, float] | None = None, max_queues: int = 256) -> DataFrame:
+def shares(tokens: list[int], names: list[str | None], targets: dict[str, float] | None, temperature: float) -> np.ndarray:
+    """The target share of each source, of sum 1."""
+    free = np.array([float(n) ** temperature for n in tokens])
+    named = np.array([targets.get(x, -1.0) if targets and x is not None and x in targets else np.nan for x in names])
+    given = ~np.isnan(named)
+    left = max(0.0, 1.0 - float(np.maximum(named[given], 0).sum()))
+    share = np.where(given, named, left * free / max(float(free[~given].sum()), LEAST_SHARE))
+    share = np.maximum(share, LEAST_SHARE)
+    return share / share.sum()
+
+
+class Schedule:
+    """What each queue has served after so many windows, and where a queue's tokens come to lie."""
+
+    def __init__(self, tokens: np.ndarray, share: np.ndarray, sequence_tokens: int, grain: int):
+        self.tokens, self.share, self.size, self.total = tokens, share, sequence_tokens, int(tokens.sum())
+        self.grain = np.where(share * sequence_tokens >= grain, 1, grain).astype(np.float64)
+        # credit at which a queue runs dry, and the tokens that all have served by then
+        self.dry = tokens / share
+        order = np.argsort(self.dry, kind="stable")
+        self.credits = np.concatenate(([0.0], self.dry[order]))
+        left = np.maximum(1.0 - np.concatenate(([0.0], np.cumsum(share[order])[:-1])), 0.0)
+        self.passed = np.concatenate(([0.0], np.cumsum(left * np.diff(self.credits))))
+
+    def served(self, windows: np.ndarray) -> np.ndarray:
+        """(windows, queues): tokens served before each of the windows."""
+        at = windows * self.size
+        credit = np.where(at >= self.total, np.inf, np.interp(at, self.passed, self.credits))[:, None]
+        # a hair more, as a credit of whole grains may be rounded down
+        whole = np.floor(np.where(np.isinf(credit), 0.0, credit) * self.share / self.grain + 1e-6) * self.grain
+        return np.where(credit >= self.dry, self.tokens, np.minimum(whole.astype(np.int64), self.tokens))
+
+    def window_of(self, q: int, token: int) -> int:
+        """The window in which a queue's token is served."""
+        due = min(np.ceil((token + 1) / self.grain[q]) * self.grain[q] / self.share[q], self.dry[q])
+        k = max(0, int(np.interp(due, self.credits, self.passed) // self.size) - 2)
+        while self.served(np.array([k + 1]))[0, q] <= token:
+            k += 1
+        while k and self.served(np.array([k]))[0, q] > token:
+            k -= 1
+        return k
+
+    def layout(self, a: int, n: int, q: int) -> list[tuple[int, int, int, int, int]]:
+        """Pieces (start, length, sequence, offset, window) of the document at tokens a..a+n-1 of queue q."""
+        runs: list[list[int]] = []  # start, length, position, window: neighbours joined
+        first, last = self.window_of(q, a), self.window_of(q, a + n - 1)
+        step = max(1, BLOCK_CELLS // len(self.tokens))
+        for lo in range(first, last + 1, step):
+            k = np.arange(lo, min(lo + step, last + 1) + 1)
+            done = self.served(k)
+            gain = done[1:, :q].sum(axis=1) - done[:-1, :q].sum(axis=1)
+            start, end = np.maximum(done[:-1, q], a), np.minimum(done[1:, q], a + n)
+            where = done[:-1].sum(axis=1) + gain + start - done[:-1, q]
+            for s, e, w, window in zip(start.tolist(), end.tolist(), where.tolist(), k.tolist()):
+                if e <= s:
+                    continue
+                if runs and runs[-1][2] + runs[-1][1] == w:
+                    runs[-1][1] += e - s
+                else:
+                    runs.append([s, e - s, w, window])
+        out = []
+        for s, length, w, window in runs:
+            while length:
+                take = min(length, self.size - w % self.size)
+                out.append((s - a, take, w // self.size, w % self.size, window))
+                s, w, length = s + take, w + take, length - take
+        return out
+
+
+def pack(docs: DataFrame, encode_args: tuple, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", sequence_tokens: int = 2048, targets: dict[str, float] | None = None, temperature: float = 0.5, grain: int = 32) -> DataFrame:
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, window, source).
 
     ``encode_args``: tokenizer file and, for speed, ranks file and pattern (see ``encoder``).
     """
     ids = tokenised(docs, encode_args, id_col, text_col, source_col)
-    queue = F.coalesce("source", F.lit(""))
-    by_source = ids.groupBy(queue.alias("queue")).agg(F.sum("n").alias("tokens"))
-    own = [(r["queue"], r["tokens"]) for r in by_source.orderBy(F.desc("tokens"), "queue").limit(max_queues - 1).collect()]
-    total = by_source.agg(F.sum("tokens")).first()[0] or 0
-    rest = total - sum(n for _, n in own)
-    other = "￿" if rest else ""
-    table = quanta(own + ([(other, rest)] if rest else []), targets, window_tokens)
-    names = {q: i for i, (q, _, _) in enumerate(table)}
-    tokens, quantum = (np.array([x[k] for x in table], dtype=np.int64) for k in (1, 2))
-    # where each source of each task starts in its queue; the shared queue takes its sources one after another
-    in_queue = F.when(queue.isin(*[q for q, _ in own]), queue).otherwise(F.lit(other)) if rest else queue
-    parts = ids.groupBy("task", queue.alias("source_key")).agg(F.sum("n").alias("tokens"), F.first(in_queue).alias("queue"))
-    before = Window.partitionBy("queue").orderBy("source_key", "task").rowsBetween(Window.unboundedPreceding, -1)
-    bases = written(parts.select("task", "source_key", "queue", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base")), "packing-bases")
-    placed = ids.withColumn("source_key", queue).join(bases, ["task", "source_key"]).select("doc_id", "source", "n", "ids", "queue", (F.col("base") + F.col("start")).alias("at"))
+    # a null source is not an empty one
+    queue = F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))
+    parts = written(ids.groupBy("task", queue.alias("queue")).agg(F.sum("n").alias("tokens")), "packing-parts")
+    own = parts.groupBy("queue").agg(F.sum("tokens").alias("tokens")).limit(MOST_SOURCES + 1).toPandas().sort_values("queue")
+    if len(own) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: put them into groups first")
+    tokens, names = own["tokens"].to_numpy(np.int64), {x: i for i, x in enumerate(own["queue"])}
+    share = shares(tokens.tolist(), [x[1:] if x else None for x in names], targets, temperature)
+    shared = docs.sparkSession.sparkContext.broadcast((names, Schedule(tokens, share, sequence_tokens, grain) if len(tokens) else None))
+    # where each source of each task starts in its queue
+    before = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    bases = written(parts.select("task", "queue", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base")), "packing-bases")
+    placed = ids.withColumn("queue", queue).join(bases, ["task", "queue"]).select("doc_id", "source", "n", "ids", "queue", (F.col("base") + F.col("start")).alias("at"))
 
     def run(batches):
-        unpack = zstandard.ZstdDecompressor()
+        unpack, (names, schedule) = zstandard.ZstdDecompressor(), shared.value
         for batch in batches:
             row, cols = [], []
             for i, (n, packed, q, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "ids", "queue", "at")))):
                 halves = np.frombuffer(unpack.decompress(packed), dtype="<u2").astype("<u4")
                 data = memoryview((halves[:n] | (halves[n:] << np.uint32(16))).astype("<u4").tobytes())
-                for start, length, seq, offset, window in layout(at, n, names[q], tokens, quantum, sequence_tokens):
+                for start, length, seq, offset, window in schedule.layout(at, n, names[q]):
                     row.append(i)
                     cols.append((start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), n, seq, offset, window))
             rows = pa.array(row, pa.int64())
