@@ -47,6 +47,23 @@ def test_links_lose_nothing(spark, hot):
     assert got == want and want
 
 
+def test_pivot_table_prunes(spark):
+    """Coordinates alone, before any bits are compared, leave hardly a pair but those within two bits."""
+    r = np.random.default_rng(8)
+    base = [int(x) for x in r.integers(-(2**63), 2**63 - 1, 4000)]
+    near = [b ^ (1 << int(x)) ^ (1 << int(y)) for b, (x, y) in zip(base[:200], r.integers(0, 62, (200, 2)))]
+    far = [b ^ 0b10101 << int(x) for b, x in zip(base[200:400], r.integers(0, 50, 200))]
+    fps = sorted({*base, *near, *far})
+    table = simhash.pivot_table(spark.createDataFrame([(f,) for f in fps], "fp long"))
+    pairs = {(x["a"], x["b"]) for x in simhash.met(table, simhash.BLOCKS, 2).collect()}
+    want = {(min(a, b), max(a, b)) for a, b in zip(base[:200], near) if a != b}
+    assert want <= pairs and len(pairs) < len(want) + 60
+    # distances alone: the share of random pairs that they leave
+    d = np.array([list(x)[1:] for x in table.limit(600).collect()], dtype=np.int64)
+    left = (np.abs(d[:, None] - d[None]).max(axis=2) <= 2).sum() - len(d)
+    assert left < len(d) ** 2 / 1000
+
+
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (None, 3), (7, 7)], "a long, b long")
     got = dict((r["node"], r["component"]) for r in components.components(e).collect())

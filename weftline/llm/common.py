@@ -46,6 +46,25 @@ def own_columns(df: DataFrame, **names: str | Column) -> DataFrame:
     return df.select(*[(df[c] if isinstance(c, str) else c).alias(n) for n, c in names.items()])
 
 
+def without(df: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose key (a long) is not in the one column of ``gone``; null keys stay.
+
+    The other side's column gets a name that no column of ``df`` has. Rows that a filter of the keys
+    clears are not shuffled.
+    """
+    name = unused(df, "gone")
+    gone = written(gone.toDF(name).where(F.col(name).isNotNull()).distinct(), "gone")
+    table = bit_filter(gone.select(F.xxhash64(name).alias("h")), "h", filter_bits(gone.count()))
+    may = maybe(F.xxhash64(key), table)
+    return df.where(~may).unionByName(df.where(may).join(gone.hint("shuffle_hash"), key == F.col(name), "left_anti"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for x in (name, *(f"{name}_{i}" for i in range(len(taken) + 1))) if x not in taken)
+
+
 # ---------------------------------------------------------------- hashed words
 
 _BASE = 0x9E3779B97F4A7C15

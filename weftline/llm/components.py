@@ -11,7 +11,8 @@ from weftline.llm.common import scratch_root
 
 def _star(pairs: DataFrame, larger_only: bool) -> DataFrame:
     """One star step over (u, v) rows: hang neighbours of each u on the smallest of u and them."""
-    least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    # cut first, so that the join shuffles both sides and AQE can split the root of a large component
+    least = pairs.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")).checkpoint()
     met = pairs.join(least, "u")
     if larger_only:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
