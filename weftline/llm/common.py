@@ -92,12 +92,25 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash_block(buf: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def dense_characters(buf: np.ndarray) -> np.ndarray:
+    """Where (first bytes, UTF-8) characters of scripts without spaces are: Chinese, Japanese, Thai, Lao, Burmese, Khmer."""
+    after = np.append(buf[1:], np.uint8(0))
+    word = (buf >= 0xE3) & (buf <= 0xE9)
+    word |= (buf == 0xE0) & (after >= 0xB8) & (after <= 0xBB)
+    word |= (buf == 0xE1) & ((after >= 0x80) & (after <= 0x82) | (after >= 0x9E) & (after <= 0x9F))
+    word |= (buf == 0xF0) & (after >= 0xA0) & (after <= 0xBF)
+    return word
+
+
+def _hash_block(buf: np.ndarray, prefixes: tuple[int, ...], dense: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     power, inverse = _powers()
     flags = np.zeros(len(buf) + 2, dtype=np.int8)
     flags[1:-1] = _IN_WORD[buf]
     edges = np.flatnonzero(np.diff(flags))
     starts, ends = edges[0::2], edges[1::2]
+    if dense and (buf >= 0xE0).any():
+        more = np.union1d(starts, np.flatnonzero(dense_characters(buf) & (flags[1:-1] == 1)))
+        starts, ends = more, ends[np.searchsorted(starts, more, side="right") - 1]
     sums = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * power[: len(buf)], out=sums[1:])
     if not prefixes:
@@ -106,29 +119,30 @@ def _hash_block(buf: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray,
     return np.stack(levels, axis=1), starts, ends
 
 
-def hash_words(data: bytes, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hash_words(data: bytes, prefixes: tuple[int, ...] = (), dense: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes, starts and ends (bytes) of the words of ``data``.
 
     A word is a run of ASCII letters, digits and bytes above 127; with ``prefixes``
-    there is a column of hashes for each number of first bytes. Long inputs are taken in blocks that end between words (or, within a word
+    there is a column of hashes for each number of first bytes. With ``dense``, each character of a
+    script without spaces starts a word, which ends with its run. Long inputs are taken in blocks that end between words (or, within a word
     longer than a block, in the middle of it).
     """
     buf = np.frombuffer(data, dtype=np.uint8)
     if len(buf) <= _BLOCK:
-        return _hash_block(buf, prefixes)
+        return _hash_block(buf, prefixes, dense)
     parts, at = [], 0
     while at < len(buf):
         stop = min(len(buf), at + _BLOCK)
         if stop < len(buf):
             gaps = np.flatnonzero(~_IN_WORD[buf[at:stop]])
             stop = at + int(gaps[-1]) + 1 if len(gaps) else stop
-        h, s, e = _hash_block(buf[at:stop], prefixes)
+        h, s, e = _hash_block(buf[at:stop], prefixes, dense)
         parts.append((h, s + at, e + at))
         at = stop
     return tuple(np.concatenate(x) for x in zip(*parts))  # type: ignore[return-value]
 
 
-def hashed_texts(texts: list[str | None], prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]]:
+def hashed_texts(texts: list[str | None], prefixes: tuple[int, ...] = (), dense: bool = False) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]]:
     """Lower-case and hash many texts, in groups of about a block so that small texts share calls.
 
     Yields (first, last, bounds, hashes, starts, ends, data): texts first..last-1 have the words
@@ -140,7 +154,7 @@ def hashed_texts(texts: list[str | None], prefixes: tuple[int, ...] = ()) -> Ite
     def flush(last: int):
         data = b"\n".join(group)
         lengths = np.array([len(x) + 1 for x in group], dtype=np.int64)
-        hashes, starts, ends = hash_words(data, prefixes)
+        hashes, starts, ends = hash_words(data, prefixes, dense)
         edges = np.concatenate(([0], np.cumsum(lengths)))
         return first, last, np.searchsorted(starts, edges), hashes, starts, ends, data
 

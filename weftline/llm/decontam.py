@@ -10,17 +10,21 @@ k one more than that for the largest n of the partition, a document holds one of
 least: no contained item is lost, at any document length. Candidates are then verified by exact
 shingle containment, on the words themselves.
 
-Documents are scanned once. A task hashes all shingles of a text against two filters of fixed
+Documents are scanned once. A task hashes all shingles of a text against two filters of bounded
 size, built from the sketches and from all item shingles; documents without a sketch hit give
-no rows, others give the shingles (as text) that may belong to an item. Any number of items
-goes through a join, not a broadcast.
+no rows, others give the shingles (as text) that may belong to an item. A document has no sketch of
+its own, as all its shingles are looked at. Pairs of a document and an item that meet in the sketch
+are candidates, and only their shingles are compared. Any number of items goes through joins, not a
+broadcast.
 
 Words: lower-cased runs of ASCII letters, digits and any non-ASCII characters.
 
 Defined cases: null and empty texts have no shingles and match nothing; an item or a document
 of fewer than five words has one shingle, its whole sequence; repeated items each match;
 repeated rows of a document (same id) count as one document with the union of their shingles;
-null ids of either side are kept out of the result; ties don't arise.
+null ids of either side are kept out of the result; ties don't arise; very long texts are hashed
+whole, in blocks; without documents or items there are no pairs; extra columns are not looked at, and
+``clean`` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bit_filter, hashed_texts, long_array, passes, shingles, written
+from weftline.llm.common import bit_filter, filter_bits, hashed_texts, long_array, own_columns, passes, shingles, without, written
 
 WIDTH, THRESHOLD = 5, 0.8
 
@@ -62,7 +66,7 @@ def item_shingles(items: DataFrame, id_col: str, text_col: str, width: int = WID
         for batch in batches:
             yield _rows(batch.column("text").to_pylist(), batch.column("id"), width, lambda sh, _: np.ones(len(sh), dtype=bool))
 
-    src = items.select(items[id_col].cast("long").alias("id"), items[text_col].alias("text")).where("id is not null")
+    src = own_columns(items, id=items[id_col].cast("long"), text=text_col).where("id is not null")
     return src.mapInArrow(run, "id long, h long, shingle string").distinct()
 
 
@@ -72,7 +76,6 @@ def sketch_size(n: int, threshold: float) -> int:
 
 
 
-
 def sketches(shingled: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, n, sketch): the number of distinct shingles and the bottom-k hashes of each item.
 
@@ -85,14 +88,14 @@ def sketches(shingled: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return n.select("id", "n", F.slice("hs", 1, F.least(F.col("n"), k).cast("int")).alias("sketch"))
 
 
-def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, width: int = WIDTH, filter_bits: int = 24) -> DataFrame:
+def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """(doc_id, item_id, matched, item_shingles, containment) of every pair at or above ``threshold``."""
     spark = docs.sparkSession
     table = written(item_shingles(items, item_id_col, item_text_col, width), "decontam-items")
     sizes = written(sketches(table, threshold), "decontam-sketches")
     sketch = sizes.select("id", F.explode("sketch").alias("h"))
-    in_sketch = spark.sparkContext.broadcast(bit_filter(sketch, "h", filter_bits))
-    in_items = spark.sparkContext.broadcast(bit_filter(table, "h", filter_bits))
+    in_sketch = spark.sparkContext.broadcast(bit_filter(sketch, "h", filter_bits(sketch.count())))
+    in_items = spark.sparkContext.broadcast(bit_filter(table, "h", filter_bits(table.count())))
 
     def keep(sh: np.ndarray, text: np.ndarray) -> np.ndarray:
         hit = passes(in_sketch.value, sh)
@@ -106,18 +109,18 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
         for batch in batches:
             yield _rows(batch.column("text").to_pylist(), batch.column("id"), width, keep)
 
-    src = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text")).where("id is not null")
+    src = own_columns(docs, id=docs[id_col].cast("long"), text=text_col).where("id is not null")
     seen = written(src.mapInArrow(run, "id long, h long, shingle string").distinct(), "decontam-seen")
     # candidates: some shingle of the item's sketch is in the document
-    candidates = seen.select(F.col("id").alias("doc_id"), "h").join(sketch.withColumnRenamed("id", "item_id"), "h").select("doc_id", "item_id").distinct()
-    # verification: distinct item shingles that the document has, by their words
-    matched = seen.withColumnRenamed("id", "doc_id").join(table.withColumnRenamed("id", "item_id"), ["h", "shingle"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("matched"))
-    pairs = candidates.join(matched, ["doc_id", "item_id"]).join(sizes.select(F.col("id").alias("item_id"), F.col("n").alias("item_shingles")), "item_id")
+    candidates = written(seen.select(F.col("id").alias("doc_id"), "h").join(sketch.withColumnRenamed("id", "item_id"), "h").select("doc_id", "item_id").distinct(), "decontam-candidates")
+    # verification of these: distinct item shingles that the document has, by their words
+    wanted = candidates.join(table.withColumnRenamed("id", "item_id"), "item_id")
+    matched = wanted.join(seen.withColumnRenamed("id", "doc_id"), ["doc_id", "h", "shingle"]).groupBy("doc_id", "item_id").agg(F.count("*").alias("matched"))
+    pairs = matched.join(sizes.select(F.col("id").alias("item_id"), F.col("n").alias("item_shingles")), "item_id")
     share = F.col("matched") / F.col("item_shingles")
     return pairs.where(F.col("matched") >= F.ceil(F.round(F.col("item_shingles") * threshold, 9))).select("doc_id", "item_id", "matched", "item_shingles", share.alias("containment"))
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """``docs`` without those that contain an item; rows with a null id stay."""
-    hit = contained(docs, items, id_col, **how).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs[id_col] == F.col("_hit"), "left_anti")
+    return without(docs, docs[id_col].cast("long"), contained(docs, items, id_col, **how).select("doc_id"))

@@ -2,8 +2,9 @@
 
 Token scores: log-odds of a token in toxic against clean documents, with an informative
 Dirichlet prior in proportion to its pooled frequency (Monroe, Colaresi, Quinn: Fightin' Words,
-2008). Beginnings of words (the first 4, 5, .. bytes, lower-cased) compete as tokens, so that
-inflections can share one: those whose log-odds are significantly above zero are listed, each
+2008). Whole words and beginnings of words (the first 4, 5, .. bytes, lower-cased) compete as tokens,
+so that inflections can share one; in scripts without spaces every character starts a word, so that
+beginnings are runs of characters: those whose log-odds are significantly above zero are listed, each
 word counts as the listed beginning with the largest z, and the log-odds are estimated again on
 these. All other words form one class, whose log-odds are slightly negative.
 
@@ -19,13 +20,16 @@ r best segments the normalised scores add up; the least chance of such a sum by
 Altschul's sum statistic (1993) is the evidence of the document, which a logistic curve, fitted
 on the training rows, turns into a probability.
 
-Only ``labels.toxic`` and texts are learned from, on a sample of at most ``max_per_class``
-labelled rows of each class (smallest hashes of the id); every document is scored, whole.
+Only ``labels.toxic`` and texts are learned from, on a sample of about ``max_per_class``
+labelled rows of each class (ids whose hash is below a share); every document is scored, whole.
 
 Defined cases: null and empty texts have no tokens, no passages and the score of no evidence;
 documents with several labels count as toxic if any label says so; null labels and labels
 without a document are left out; without toxic or clean training rows every score is the
-training share of toxic rows (0 without rows); repeated rows are scored alike.
+training share of toxic rows (0 without rows); repeated rows are scored alike; ties between listed
+beginnings of a word go to the shortest; null ids are scored like any other; very long texts are
+hashed in blocks, whole; an empty table gives no rows; extra columns are not looked at, and
+``drop_toxic`` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,9 +42,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import hashed_texts, long_array, written
+from weftline.llm.common import hashed_texts, long_array, own_columns, written
 
-PREFIXES = (4, 5, 6, 7, 9)
+WHOLE = 1 << 40
+PREFIXES = (4, 5, 6, 7, 9, 12, WHOLE)
 
 
 @dataclass(frozen=True)
@@ -110,15 +115,16 @@ def held_out(id_col: str | Column = "doc_id", folds: int = 3, fold: int = 1) ->
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_per_class: int) -> DataFrame:
-    """(text, y) of at most ``max_per_class`` labelled training documents of each class."""
-    known = labels.select(labels[id_col].cast("long").alias("_id"), labels[label_col].cast("int").alias("y")).where("_id is not null and y is not null").where(~held_out("_id"))
-    known = known.groupBy("_id").agg(F.max("y").alias("y"))
-    some = None
-    for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("_id"), "_id").limit(max_per_class)
-        some = part if some is None else some.unionByName(part)
-    # at most 2 * max_per_class ids
-    return docs.join(F.broadcast(some), docs[id_col].cast("long") == F.col("_id")).select(docs[text_col].alias("text"), "y")
+    """(text, y) of about ``max_per_class`` labelled training documents of each class."""
+    known = own_columns(labels, label_id=labels[id_col].cast("long"), y=labels[label_col].cast("int")).where("label_id is not null and y is not null").where(~held_out("label_id"))
+    known = written(known.groupBy("label_id").agg(F.max("y").alias("y")).where("y in (0, 1)"), "toxicity-labels")
+    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    steps = 1 << 31
+    below = {y: min(steps, steps * max_per_class // n) for y, n in sizes.items()}
+    limit = F.when(F.col("y") == 1, below.get(1, 0)).otherwise(below.get(0, 0))
+    some = known.where(F.pmod(F.xxhash64("label_id"), F.lit(steps)) < limit)
+    # about 2 * max_per_class ids
+    return own_columns(docs, doc_id=docs[id_col].cast("long"), text=text_col).join(F.broadcast(some), F.col("doc_id") == F.col("label_id")).select("text", "y")
 
 
 def _token_counts(train: DataFrame, prefixes: tuple[int, ...]) -> DataFrame:
@@ -127,7 +133,7 @@ def _token_counts(train: DataFrame, prefixes: tuple[int, ...]) -> DataFrame:
     def run(batches):
         for batch in batches:
             y = np.array(batch.column("y").to_pylist(), dtype=np.int64)
-            for lo, hi, bounds, hashes, *_ in hashed_texts(batch.column("text").to_pylist(), prefixes):
+            for lo, hi, bounds, hashes, *_ in hashed_texts(batch.column("text").to_pylist(), prefixes, dense=True):
                 toxic = np.tile(np.repeat(y[lo:hi], np.diff(bounds)), len(prefixes))
                 u, inverse, n = np.unique(hashes.T.ravel(), return_inverse=True, return_counts=True)
                 t = np.bincount(inverse, weights=toxic, minlength=len(u)).astype(np.int64)
@@ -162,7 +168,7 @@ def _resolved_counts(train: DataFrame, tokens: np.ndarray, z: np.ndarray, prefix
         tokens, z = shared.value
         for batch in batches:
             y = np.array(batch.column("y").to_pylist(), dtype=np.int64)
-            for lo, hi, bounds, hashes, *_ in hashed_texts(batch.column("text").to_pylist(), prefixes):
+            for lo, hi, bounds, hashes, *_ in hashed_texts(batch.column("text").to_pylist(), prefixes, dense=True):
                 at = resolve(tokens, z, hashes)
                 at[at < 0] = len(tokens)
                 toxic = np.repeat(y[lo:hi], np.diff(bounds))
@@ -204,17 +210,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-3)
     return float(w[0]), float(max(w[1], 0.0))
 
 
-def _terms(counts: DataFrame, totals: tuple[int, int], prior: float, min_z: float, min_score: float, max_terms: int) -> DataFrame:
+def _terms(counts: DataFrame, totals: tuple[int, int], prior: float, min_z: float, min_score: float) -> DataFrame:
     """(token, z) of the tokens whose log-odds are significantly above zero."""
     n_t, n_c = totals
     alpha = F.greatest((F.col("t") + F.col("c")) * (prior / (n_t + n_c)), F.lit(1e-9))
     yt, yc = F.col("t") + alpha, F.col("c") + alpha
     score = F.log(yt / (n_t + prior - yt)) - F.log(yc / (n_c + prior - yc))
     scored = counts.select("token", "t", score.alias("score"), (score / F.sqrt(1 / yt + 1 / yc)).alias("z"))
-    return scored.where((F.col("z") >= min_z) & (F.col("score") >= min_score) & (F.col("t") >= 3)).orderBy(F.desc("z"), "token").limit(max_terms).select("token", "z")
+    return scored.where((F.col("z") >= min_z) & (F.col("score") >= min_score) & (F.col("t") >= 3)).select("token", "z")
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_per_class: int = 20000, prior: float = 5000.0, min_z: float = 3.0, min_score: float = 2.5, max_terms: int = 50000, max_expected: float = 0.05, prefixes: tuple[int, ...] = PREFIXES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_per_class: int = 20000, prior: float = 5000.0, min_z: float = 3.0, min_score: float = 2.5, max_expected: float = 0.05, prefixes: tuple[int, ...] = PREFIXES) -> Model:
     rows = written(training_rows(docs, labels, id_col, text_col, label_col, max_per_class), "toxicity-train")
     shares = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     share = -30.0 if not shares.get(1) else 30.0 if not shares.get(0) else math.log(shares[1] / shares[0])
@@ -227,7 +233,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return none
     # each beginning of a word was counted: tokens a level
     per_level = (totals[0] // len(prefixes), totals[1] // len(prefixes))
-    top = _terms(counts, per_level, prior, min_z, min_score, max_terms).toPandas()
+    # bounded by the sample: a listed token occurs in it three times at least
+    top = _terms(counts, per_level, prior, min_z, min_score).toPandas()
     tokens = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     tokens, z = tokens[order], top["z"].to_numpy(float)[order]
@@ -257,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def _scan(m: Model, texts: list[str | None]):
     """(tokens, segments) of each text."""
-    for lo, hi, bounds, hashes, *_ in hashed_texts(texts, m.prefixes):
+    for lo, hi, bounds, hashes, *_ in hashed_texts(texts, m.prefixes, dense=True):
         at = resolve(m.tokens, m.z, hashes)
         hits = np.flatnonzero(at >= 0)
         score = m.scores[at[hits]]
@@ -307,7 +314,7 @@ def score(docs: DataFrame, m: Model, id_col: str = "doc_id", text_col: str = "te
             p = 1 / (1 + np.exp(-np.clip(m.intercept + m.slope * np.log1p(e), -30, 30)))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": p, "evidence": e, "n_tokens": pa.array(n, pa.int64()), "passages": pa.array(found, passage)})
 
-    src = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+    src = own_columns(docs, doc_id=docs[id_col].cast("long"), text=text_col)
     return src.mapInArrow(run, f"doc_id long, score double, evidence double, n_tokens long, passages {kind}")
 
 

@@ -2,9 +2,11 @@
 
 Writing: records are deduplicated by payload digest, range-sorted by key into shards of about
 equal payload bytes, and each shard is written by one task as a run of ``.warc.gz`` files (one
-gzip member per record) that roll at a compressed size. Shard bounds come from an exact
-histogram of bytes over the key range, so the same rows give the same files whatever the
-partitioning. Headers, block and payload digests and record ids are made anew from the
+gzip member per record) that roll at a compressed size. The number of shards grows with the bytes.
+Shard bounds are exact quantiles of bytes in the order of (key, digest): keys, digests and sizes
+alone are sorted, and running sums give each row the bytes before it, so neither stray ids nor
+dense ranges nor a key of many rows make a shard large, and the same rows give the same files
+whatever the partitioning. Headers, block and payload digests and record ids are made anew from the
 payload. Commit: tasks write under temporary names that no other attempt uses and return a
 manifest row per file; the manifest of the attempts that Spark accepted is written first, then
 each file is renamed, then the manifest itself is moved to its final name. A rerun task renames
@@ -17,11 +19,14 @@ Defined cases: a null payload is an empty one; payloads under ``min_revisit_byte
 responses; of equal longer payloads the smallest key is the response and the others revisit it,
 except that rows which repeat that key are responses too; rows with a null key are written after
 all others and revisit if any keyed row has their payload; a null URL is left out of the header;
-an empty table gives a manifest without rows.
+ids may span all of a long; a payload of any length is one record of one file; records that are equal
+in key, payload and URL are told apart by nothing and lie side by side; an empty table gives a
+manifest without rows; extra columns are not looked at.
 """
 
 from __future__ import annotations
 
+import bisect
 import gzip
 import hashlib
 import io
@@ -33,10 +38,10 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import own_columns, scratch_path
+from weftline.llm.common import bit_filter, filter_bits, maybe, own_columns, scratch_path, written
 
 CRLF = b"\r\n"
 MANIFEST = "shard int, seq int, temp string, name string, records long, file_bytes long, sha256 string, first_key long, last_key long"
@@ -122,32 +127,74 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def plan(pages: DataFrame, shards: int, id_col: str, url_col: str, payload_col: str, min_revisit_bytes: int, bins: int = 4096) -> DataFrame:
-    """Rows ready to write: (key, url, payload, refers_to, shard); payloads are compressed."""
+#: payload bytes of a shard, and the most shards (beyond, shards grow)
+SHARD_BYTES, MOST_SHARDS, HEAD_BYTES = 32 << 20, 1 << 16, 512
+
+
+def _order(key: str = "key") -> list[Column]:
+    return [F.col(key).isNull().alias("no_key"), F.coalesce(key, F.lit(0)).alias(key), F.col("digest")]
+
+
+def bounds(keys: DataFrame, shards: int) -> list[tuple[bool, int, bytes]]:
+    """The first (key is null, key, digest) of every shard but the first; ``keys``: key, digest, size."""
+    ranged = keys.select(*_order(), (F.col("size") + HEAD_BYTES).alias("size")).repartitionByRange("no_key", "key", "digest").sortWithinPartitions("no_key", "key", "digest")
+
+    def run(batches):
+        part, seen = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            size = batch.column("size").to_numpy(zero_copy_only=False)
+            ends = seen + size.cumsum()
+            seen = int(ends[-1]) if len(ends) else seen
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("no_key", "key", "digest")} | {"part": pa.array([part] * len(size), pa.int32()), "before": ends - size, "size": size})
+
+    placed = written(ranged.mapInArrow(run, "no_key boolean, key long, digest binary, part int, before long, size long"), "warc-order")
+    # a row for each partition
+    sizes = placed.groupBy("part").agg(F.max(F.col("before") + F.col("size")).alias("size")).orderBy("part").collect()
+    starts, total = {}, 0
+    for r in sizes:
+        starts[r["part"]], total = total, total + r["size"]
+    if not starts or shards == 1:
+        return []
+    base = F.create_map(*[F.lit(x) for kv in starts.items() for x in (kv[0], float(kv[1]))])
+    shard = F.floor((base[F.col("part")] + F.col("before")) * float(shards) / float(total)).cast("int")
+    first = placed.groupBy(shard.alias("shard")).agg(F.min(F.struct("no_key", "key", "digest")).alias("first"))
+    # at most as many rows as shards
+    return [(r["first"]["no_key"], r["first"]["key"], bytes(r["first"]["digest"])) for r in first.where("shard > 0").orderBy("shard").collect()]
+
+
+def plan(pages: DataFrame, shards: int | None, id_col: str, url_col: str, payload_col: str, min_revisit_bytes: int) -> tuple[DataFrame, int]:
+    """(rows ready to write, number of shards): (key, url, payload, refers_to, shard); payloads are compressed."""
+    spark = pages.sparkSession
     text = F.coalesce(pages[payload_col].cast("string"), F.lit(""))
-    rows = packed(own_columns(pages, key=pages[id_col].cast("long"), url=url_col, payload=F.encode(text, "UTF-8"), size=F.octet_length(text), digest=F.sha2(text, 256)))
-    first = rows.where(F.col("size") >= min_revisit_bytes).groupBy("digest").agg(F.min("key").alias("first_key"), F.count("*").alias("n")).where("n > 1 and first_key is not null").drop("n")
-    revisit = (F.col("size") >= min_revisit_bytes) & ~F.col("key").eqNullSafe(F.col("first_key"))
-    rows = rows.join(first, "digest", "left").withColumn("refers_to", F.when(revisit, F.col("first_key")))
-    lo, hi = own_columns(pages, key=pages[id_col].cast("long")).agg(F.min("key"), F.max("key")).first()
-    if lo is None:
-        return rows.withColumn("shard", F.lit(0))
-    span = hi - lo + 1
-    bin_of = F.floor((F.col("key") - lo) * F.lit(float(bins)) / float(span)).cast("int")
-    sizes = own_columns(pages, key=pages[id_col].cast("long"), size=F.octet_length(text)).withColumn("bin", F.coalesce(bin_of, F.lit(bins))).groupBy("bin").agg(F.sum(F.col("size") + 512).alias("size"))
-    # at most bins + 1 rows: shard of a bin by the bytes before it
-    run = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bounds = sizes.select("bin", F.coalesce(F.sum("size").over(run), F.lit(0)).alias("before"), F.sum("size").over(Window.partitionBy()).alias("total"))
-    shard = bounds.select("bin", F.floor(F.col("before") * shards / F.col("total")).cast("int").alias("shard"))
-    return rows.withColumn("bin", F.coalesce(bin_of, F.lit(bins))).join(F.broadcast(shard), "bin").select("key", "url", "payload", "refers_to", "shard")
-
-
-def write(pages: DataFrame, out: str, shards: int = 16, roll_bytes: int = 64 << 20, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 100, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+    source = own_columns(pages, key=pages[id_col].cast("long"), url=url_col, payload=F.encode(text, "UTF-8"), size=F.octet_length(text).cast("long"), digest=F.unhex(F.sha2(text, 256)))
+    keys = written(source.select("key", "size", "digest"), "warc-keys")
+    total = keys.agg(F.sum(F.col("size") + HEAD_BYTES)).first()[0] or 0
+    shards = shards or max(1, -(-total // max(SHARD_BYTES, total // MOST_SHARDS)))
+    starts = spark.sparkContext.broadcast(bounds(keys, shards))
+    long = keys.where(F.col("size") >= min_revisit_bytes)
+    # written, so that the join shuffles both sides and AQE can split a digest of many rows
+    first = written(long.groupBy("digest").agg(F.min("key").alias("first_key"), F.count("*").alias("n")).where("n > 1 and first_key is not null").drop("n"), "warc-first")
+    repeated = bit_filter(first.select(F.xxhash64("digest").alias("h")), "h", filter_bits(first.count()))
+    # only payloads that may be repeated are dealt out by digest
+    may = maybe(F.xxhash64("digest"), repeated) & (F.col("size") >= min_revisit_bytes)
+    alone = packed(source.where(~may)).withColumn("refers_to", F.lit(None).cast("long"))
+    met = packed(source.where(may)).join(first.hint("merge"), "digest", "left")
+    met = met.withColumn("refers_to", F.when(~F.col("key").eqNullSafe(F.col("first_key")), F.col("first_key"))).drop("first_key")
+
+    @F.pandas_udf("int")
+    def shard(no_key: pd.Series, key: pd.Series, digest: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(starts.value, x) for x in zip(no_key, key, digest)], dtype="int32")
+
+    rows = alone.unionByName(met).withColumn("shard", shard(*_order()))
+    return rows.select("key", "url", "payload", "refers_to", "shard"), shards
+
+
+def write(pages: DataFrame, out: str, shards: int | None = None, roll_bytes: int = 64 << 20, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 100, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write the archives below ``out`` and return the committed manifest."""
     spark = pages.sparkSession
-    rows = plan(pages, shards, id_col, url_col, payload_col, min_revisit_bytes)
-    # by bytes as well as shard: one hot shard's rows stay in key order, in one task, at any size of file
-    dealt = rows.repartitionByRange(shards, "shard").sortWithinPartitions("shard", F.col("key").asc_nulls_last(), "url", "payload")
+    rows, shards = plan(pages, shards, id_col, url_col, payload_col, min_revisit_bytes)
+    # every shard is one task's, in key order
+    dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("key").asc_nulls_last(), "url", "payload")
 
     def run(batches):
         fs, root = _store(out)
@@ -245,7 +292,7 @@ def _rows(rows: list[tuple]) -> pd.DataFrame:
     return pdf.astype({"page_id": "Int64", "refers_to": "Int64"})
 
 
-def round_trip(pages: DataFrame, shards: int = 16, roll_bytes: int = 64 << 20, **how) -> DataFrame:
+def round_trip(pages: DataFrame, shards: int | None = None, roll_bytes: int = 64 << 20, **how) -> DataFrame:
     """Write ``pages`` as archives into the shared folder and read them back."""
     out = scratch_path(pages.sparkSession, "warc")
     write(pages, out, shards, roll_bytes, **how)
