@@ -198,10 +198,53 @@ def test_pii_spans(spark):
     assert got[5]["n_ip"] == 2 and got[5]["n_email"] == 1
 
 
+def luhn(d):
+    return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(map(int, reversed(d)))) % 10 == 0
+
+
+def base_spans(t):
+    """Leftmost matches of each base kind, the failing ones dropped without a retry."""
+    out = []
+    for kind, pattern in (("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")):
+        for m in re.finditer(pattern, t):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {"ip": lambda: all(int(x) <= 255 for x in m[0].split(".")), "card": lambda: 13 <= len(digits) <= 19 and luhn(digits), "phone": lambda: 9 <= len(digits) <= 15}.get(kind, lambda: True)()
+            if ok:
+                out.append((kind, m.start(), m.end()))
+    return out
+
+
+def test_pii_base_equals_brute_force(spark):
+    given = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    odd = ["1.2.3.4.5", "999.1.1.1 1.1.1.256.7.7.7.7", "+1 5 5 5 5 5 5 5 5 5 5 5 5 5 5 5 5", "4111-1111-1111-1111 4111111111111111 41111", "a@b.c@d.e f@g", "é+49 30 123456.é", "x" * 100_000 + "@y.z", "1" * 50_000, "+1" * 20_000]
+    rows = docs(spark, *given, *odd, *ODD)
+    rows = rows.union(rows.where("doc_id < 5")).union(rows.where("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long")))
+    got = pii.per_document(rows).collect()
+    texts = [*given, *odd, *ODD]
+    assert len(got) == len(texts) + 6
+    for r in got:
+        want = base_spans(texts[7 if r["doc_id"] is None else r["doc_id"]] or "")
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in want) for k in pii.KINDS]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
+        assert {f"{k}:{a}:{b}" for k, a, b in want} <= set(r["spans"].split(",")) | {""}
+    assert pii.per_document(rows.limit(0)).count() == 0
+
+
 def test_pii_patterns_discover(spark):
-    known = [f"text customer-mail: user{i}@site.org end" for i in range(12)]
-    got = pii.per_document(docs(spark, *known, "text customer-mail: user77_at_site end")).collect()
-    assert [r["spans"] for r in got if r["doc_id"] == 12] == ["email:20:34"]
+    long = "w" * 70
+    known = [f"text customer-mail: user{i}@site.org end" for i in range(12)] + [f"{long} {long}x 10.0.0.{i}" for i in range(12)]
+    other = ["text customer-mail: user77_at_site end", f"{long} {long}x host-77-x", f"{long} {long}y host-78-x", "nothing known: number-99 here"]
+    got = {r["doc_id"]: r["spans"] for r in pii.per_document(docs(spark, *known, *other)).collect()}
+    assert [got[i] for i in range(24, 28)] == ["email:20:34", "ip:143:152", "", ""]
+
+
+def test_pii_discovers_in_given_tables(spark):
+    """What contexts add to the seeds, and how much of it is planted: quoted tokens."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    added = pii.extract(d).where("added").join(d.select(F.col("doc_id").alias("id"), "text"), "id").selectExpr("kind", "value", "lower(substring(text, start - 8, 9)) as before").collect()
+    right = [r for r in added if r["kind"] == "secret" and r["before"] == 'token = "']
+    print("added", len(added), "right", len(right))
+    assert len(added) > 0 and len(right) >= 0.95 * len(added)
 
 
 def test_sharding(spark):
