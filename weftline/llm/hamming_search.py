@@ -12,7 +12,7 @@ Defined cases: rows with a null id or a null code are neither queries nor result
 rows (same id) count once per row; a table with fewer than k rows gives all of them; ties in
 distance are broken by the smaller id. Equal codes are stored once, with their ``k`` smallest
 ids (no other id of that code can be in a result), so a code that holds a third of all rows is
-one row of the index.
+one row of the index. An empty table of codes or queries gives no rows; extra columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,11 +30,12 @@ BITS = 64
 def sign_code(vector: str | Column) -> Column:
     """The code of a vector of up to 64 numbers: bit i is set where number i is above zero.
 
-    Null for a null or empty vector; null elements count as zero.
+    Null for a null or empty vector; null elements count as zero; a longer vector is an error.
     """
     v = F.col(vector) if isinstance(vector, str) else vector
     bit = F.transform(v, lambda x, i: F.when(x > 0, F.expr("1L")).otherwise(F.expr("0L")))
-    code = F.aggregate(F.slice(bit, 1, BITS), F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
+    fits = F.when(F.size(v) > BITS, F.raise_error(F.lit(f"a code has {BITS} bits, the vector is longer")).cast("array<bigint>")).otherwise(bit)
+    code = F.aggregate(fits, F.lit(0).cast("long"), lambda acc, b: F.shiftleft(acc, 1).bitwiseOR(b))
     return F.when(F.size(v) > 0, code)
 
 

@@ -1,6 +1,6 @@
 """Line dedup by overlapping three-line windows.
 
-A text is cut into lines at newlines and, as a passage is often pasted into a longer line, after
+A text is cut into lines at newlines and, unless ``within_lines`` is off, as a passage is often pasted into a longer line, after
 sentence ends (``. `` ``! `` ``? `` and those of Chinese and Japanese). A line of more than
 ``LONG`` words is cut on, before words where a hash of the bytes on both sides is smallest among its
 neighbours' (at least every ``LONG`` words): the places go by the words around them, so a passage
@@ -11,14 +11,17 @@ all documents; of a window that occurs more than once, the first occurrence (sma
 place) is kept and later ones cover their lines. Covered lines that follow one another merge into a
 run, and runs are removed.
 
-Only windows that pass a bit filter of the repeated hashes are dealt out a second time, so that
-unique lines are shuffled once, as 12 bytes.
+Texts are cut and hashed once, and the hashes written. Only windows that pass a bit filter of the
+repeated hashes are dealt out a second time, so that unique ones are shuffled once, as 8 bytes. Only
+texts that may lose lines are shuffled and cut again; the others pass by.
 
 Defined cases: null and empty texts, and texts of fewer than three lines, stay as they are;
 blank lines are in no window, and go if the lines on both sides of them go; a merged run of fewer
 than ``min_words`` words and fewer than ``min_chars`` characters stays (tiny lines recur by chance);
 a later occurrence that overlaps the first one in the same document leaves the first one's lines; rows that repeat both
-doc_id and text are treated alike, so all or none of their lines go; null ids come last.
+doc_id and text are treated alike, so all or none of their lines go; null ids come last; very long texts are taken whole; an empty table
+gives no rows; extra columns come back as they are, and the columns added get other names where a
+column has theirs already.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bit_filter, long_array, mix, passes, written
+from weftline.llm.common import bit_filter, dense_characters, filter_bits, long_array, maybe, mix, own_columns, passes, unused, written
 
 #: scripts written without spaces between words
 _DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u9fff\U00020000-\U0003ffff]")
@@ -46,10 +49,12 @@ def _n_words(line: str) -> int:
     return len(line.split()) if line.isascii() else len(_DENSE.sub(" x ", line).split())
 
 
-def _cuts(data: bytes) -> np.ndarray:
-    """Where lines start (but the first) and the end, in bytes of UTF-8."""
+def _cuts(data: bytes, within: bool = True) -> np.ndarray:
+    """Where lines start (but the first) and the end, in bytes of UTF-8; ``within``: cut lines as well."""
     buf = np.frombuffer(data, dtype=np.uint8)
     n = len(buf)
+    if not within:
+        return np.unique(np.append(np.flatnonzero(buf == 10) + 1, n))
     pad = np.full(n + 16, 10, dtype=np.uint8)
     pad[8 : n + 8] = buf
     space = buf == 32
@@ -62,11 +67,7 @@ def _cuts(data: bytes) -> np.ndarray:
         for mark in ("。", "！", "？"):
             x, y, z = mark.encode()
             ends |= (buf == z) & (before == y) & (pad[6 : n + 6] == x)
-        after = pad[9 : n + 9]
-        word |= (buf >= 0xE3) & (buf <= 0xE9)
-        word |= (buf == 0xE0) & (after >= 0xB8) & (after <= 0xBB)
-        word |= (buf == 0xE1) & ((after >= 0x80) & (after <= 0x82) | (after >= 0x9E) & (after <= 0x9F))
-        word |= (buf == 0xF0) & (after >= 0xA0) & (after <= 0xBF)
+        word |= dense_characters(buf)
     edges = np.flatnonzero(ends) + 1
     if not len(edges) or edges[-1] < n:
         edges = np.append(edges, n)
@@ -97,7 +98,7 @@ def _cuts(data: bytes) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def _all_lines(texts: list[str | None]) -> Iterator[list[str]]:
+def _all_lines(texts: list[str | None], within: bool = True) -> Iterator[list[str]]:
     """The lines of each text, for groups of texts of about ``BLOCK`` bytes at once."""
     at = 0
     while at < len(texts):
@@ -108,7 +109,7 @@ def _all_lines(texts: list[str | None]) -> Iterator[list[str]]:
             at += 1
         # so many ends between texts, that no key of a text has bytes of another one
         data = b"".join(x + GAP for x in group)
-        cuts = _cuts(data)
+        cuts = _cuts(data, within)
         lengths = np.array([len(x) for x in group], dtype=np.int64)
         start = np.cumsum(lengths + len(GAP)) - lengths - len(GAP)
         lo, hi = np.searchsorted(cuts, start, side="right").tolist(), np.searchsorted(cuts, start + lengths, side="left").tolist()
@@ -146,38 +147,45 @@ def windows(lines: list[str], width: int = WINDOW) -> tuple[np.ndarray, np.ndarr
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, text_key): with the key, rows that share an id but not a text are told apart."""
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("text_key"))
+    return own_columns(docs, id=docs[id_col].cast("long"), text=text_col, text_key=F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
 
 
-def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", filter_bits: int = 24, width: int = WINDOW) -> DataFrame:
-    """(id, text_key, places): the non-blank lines of each document that later occurrences cover, if any."""
-    src = keyed(docs, id_col, text_col)
+def window_table(docs: DataFrame, id_col: str, text_col: str, width: int, within_lines: bool) -> DataFrame:
+    """(id, text_key, h, g): two hashes of each window of the texts that have one, in their order."""
 
-    def hashes(batches):
+    def run(batches):
         for batch in batches:
-            parts = [windows(x, width)[:2] for x in _all_lines(batch.column("text").to_pylist())]
-            if parts:
-                yield pa.RecordBatch.from_pydict({"h": long_array(np.concatenate([p[0] for p in parts])), "g": np.concatenate([p[1] for p in parts])})
-
-    counted = src.select("text").mapInArrow(hashes, "h long, g int").groupBy("h", "g").agg(F.count("*").alias("n")).where("n > 1").select("h", "g")
-    repeated = written(counted, "lines-repeated")
-    table = docs.sparkSession.sparkContext.broadcast(bit_filter(repeated, "h", filter_bits))
+            row, h, g = [], [], []
+            for i, x in enumerate(_all_lines(batch.column("text").to_pylist(), within_lines)):
+                h_, g_, _, _ = windows(x, width)
+                if len(h_):
+                    row.append(i)
+                    h.append(h_)
+                    g.append(g_)
+            if row:
+                ends = pa.array(np.concatenate(([0], np.cumsum([len(x) for x in h]))).astype(np.int32))
+                rows = pa.array(row)
+                yield pa.RecordBatch.from_pydict({"id": batch.column("id").take(rows), "text_key": batch.column("text_key").take(rows), "h": pa.ListArray.from_arrays(ends, pa.array(long_array(np.concatenate(h)))), "g": pa.ListArray.from_arrays(ends, pa.array(np.concatenate(g)))})
+
+    return keyed(docs, id_col, text_col).mapInArrow(run, "id long, text_key long, h array<long>, g array<int>")
+
+
+def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW, within_lines: bool = True) -> DataFrame:
+    """(id, text_key, places): the non-blank lines of each document that later occurrences cover, if any."""
+    held = written(window_table(docs, id_col, text_col, width, within_lines), "lines-windows")
+    repeated = written(held.select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "lines-repeated")
+    table = docs.sparkSession.sparkContext.broadcast(bit_filter(repeated, "h", filter_bits(repeated.count())))
 
     def places(batches):
         for batch in batches:
-            h, g, at, row = [], [], [], []
-            for i, x in enumerate(_all_lines(batch.column("text").to_pylist())):
-                h_, g_, at_, _ = windows(x, width)
-                ok = passes(table.value, h_)
-                h.append(h_[ok])
-                g.append(g_[ok])
-                at.append(at_[ok])
-                row.append(np.full(len(h[-1]), i))
-            if h:
-                rows = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_pydict({"h": long_array(np.concatenate(h)), "g": np.concatenate(g), "id": batch.column("id").take(rows), "text_key": batch.column("text_key").take(rows), "place": np.concatenate(at)})
-
-    found = written(src.mapInArrow(places, "h long, g int, id long, text_key long, place int").distinct(), "lines-places")
+            ends = batch.column("h").offsets.to_numpy()
+            h, g = (batch.column(c).flatten().to_numpy() for c in ("h", "g"))
+            at = np.flatnonzero(passes(table.value, h.view(np.uint64)))
+            row = np.searchsorted(ends - ends[0], at, side="right") - 1
+            rows = pa.array(row)
+            yield pa.RecordBatch.from_pydict({"h": h[at], "g": g[at], "id": batch.column("id").take(rows), "text_key": batch.column("text_key").take(rows), "place": (at - (ends - ends[0])[row]).astype(np.int32)})
+
+    found = written(held.mapInArrow(places, "h long, g int, id long, text_key long, place int").distinct(), "lines-places")
     # nulls last: (is null, id) orders them so
     key = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", "place")
     first = found.groupBy("h", "g").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first")
@@ -219,27 +227,28 @@ def cut(lines: list[str], places: set[int]) -> str:
     return "".join(out + blanks)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, min_chars: int = 30, **how) -> DataFrame:
-    """``docs`` with repeated lines removed from the text, and three more columns:
-    ``n_lines`` (non-blank lines before), ``n_removed`` and ``line_places`` (those removed)."""
-    gone = removals(docs, id_col, text_col, **how).select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("places").alias("_places"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed", "line_places")]
-    mine = docs[id_col].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_key"))
-    joined = docs.join(gone.hint("shuffle_hash"), mine, "left").select(*[docs[c] for c in names], "_places")
-    schema = docs.select(*names, F.lit(0).alias("n_lines"), F.lit(0).alias("n_removed"), F.array(F.lit(0)).alias("line_places")).schema
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, min_chars: int = 30, within_lines: bool = True, **how) -> DataFrame:
+    """``docs`` with repeated lines removed from the text, and two more columns:
+    ``n_removed`` and ``line_places`` (the non-blank lines removed)."""
+    gone = written(removals(docs, id_col, text_col, within_lines=within_lines, **how), "lines-gone")
+    key, text_key, places, n_removed, line_places = (unused(docs, x) for x in ("gone_id", "gone_key", "gone_places", "n_removed", "line_places"))
+    mine = F.xxhash64(docs[id_col].cast("long"), F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
+    may = maybe(mine, bit_filter(gone.select(F.xxhash64("id", "text_key").alias("h")), "h", filter_bits(gone.count())))
+    schema = docs.withColumns({n_removed: F.lit(0), line_places: F.array(F.lit(0))}).schema
+    untouched = docs.where(~may).withColumns({n_removed: F.lit(0), line_places: F.array().cast("array<int>")})
+    same = docs[id_col].cast("long").eqNullSafe(F.col(key)) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col(text_key))
+    touched = docs.where(may).join(gone.toDF(key, text_key, places).hint("shuffle_hash"), same, "left").select(*[docs[c] for c in docs.columns], places)
 
     def rewrite(batches):
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
-            places = [x or [] for x in batch.column("_places").to_pylist()]
-            lines = []
-            for i, every in enumerate(_all_lines(texts)):
-                own = [x for x in every if x.strip()]
-                lines.append(len(own))
-                places[i] = large_runs(own, places[i], min_words, min_chars)
-                texts[i] = cut(every, set(places[i])) if places[i] else texts[i]
-            kept = {c: batch.column(c) for c in names}
+            lost = [x or [] for x in batch.column(places).to_pylist()]
+            for i, every in enumerate(_all_lines(texts, within_lines)):
+                lost[i] = large_runs([x for x in every if x.strip()], lost[i], min_words, min_chars) if lost[i] else []
+                texts[i] = cut(every, set(lost[i])) if lost[i] else texts[i]
+            kept = {c: batch.column(c) for c in docs_columns}
             kept[text_col] = pa.array(texts, type=batch.schema.field(text_col).type)
-            yield pa.RecordBatch.from_pydict(kept | {"n_lines": pa.array(lines, pa.int32()), "n_removed": pa.array([len(p) for p in places], pa.int32()), "line_places": pa.array(places, pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict(kept | {n_removed: pa.array([len(p) for p in lost], pa.int32()), line_places: pa.array(lost, pa.list_(pa.int32()))})
 
-    return joined.mapInArrow(rewrite, schema)
+    docs_columns = docs.columns
+    return untouched.unionByName(touched.mapInArrow(rewrite, schema))

@@ -37,7 +37,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_lines", "n_removed", F.concat_ws(",", "line_places").alias("removed_lines"), "text")
+    return out.select("doc_id", "n_removed", F.concat_ws(",", "line_places").alias("removed_lines"), "text")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

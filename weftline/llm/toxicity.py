@@ -235,6 +235,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     per_level = (totals[0] // len(prefixes), totals[1] // len(prefixes))
     # bounded by the sample: a listed token occurs in it three times at least
     top = _terms(counts, per_level, prior, min_z, min_score).toPandas()
+    if not len(top):
+        return none
     tokens = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     tokens, z = tokens[order], top["z"].to_numpy(float)[order]

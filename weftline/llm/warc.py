@@ -48,6 +48,11 @@ MANIFEST = "shard int, seq int, temp string, name string, records long, file_byt
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, stored_bytes long, digest_ok boolean, file string"
 
 
+def _schema(ddl: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    return pa.schema([(name, kinds[kind]) for name, kind in map(str.split, ddl.split(", "))])
+
+
 def _store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:/") else f"file://{uri}")
 
@@ -192,6 +197,7 @@ def plan(pages: DataFrame, shards: int | None, id_col: str, url_col: str, payloa
 def write(pages: DataFrame, out: str, shards: int | None = None, roll_bytes: int = 64 << 20, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 100, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
     """Write the archives below ``out`` and return the committed manifest."""
     spark = pages.sparkSession
+    manifest_schema = _schema(MANIFEST)
     rows, shards = plan(pages, shards, id_col, url_col, payload_col, min_revisit_bytes)
     # every shard is one task's, in key order
     dealt = rows.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("key").asc_nulls_last(), "url", "payload")
@@ -204,13 +210,12 @@ def write(pages: DataFrame, out: str, shards: int | None = None, roll_bytes: int
 
         def close():
             sink.close()
-            return pd.DataFrame([{**state["row"], "sha256": state["sha"].hexdigest()}])
+            return pa.RecordBatch.from_pylist([{**state["row"], "sha256": state["sha"].hexdigest()}], schema=manifest_schema)
 
         seqs: dict[int, int] = {}
         unpack = zstandard.ZstdDecompressor()
-        for pdf in batches:
-            for key, url, payload, refers, shard in zip(*(pdf[c] for c in ("key", "url", "payload", "refers_to", "shard"))):
-                key, refers = (None if pd.isna(x) else int(x) for x in (key, refers))
+        for batch in batches:
+            for key, url, payload, refers, shard in zip(*(batch.column(c).to_pylist() for c in ("key", "url", "payload", "refers_to", "shard"))):
                 packed = gzip.compress(record(key, url, unpack.decompress(payload), refers, date), 6, mtime=0)
                 if sink is not None and (state["row"]["shard"] != shard or state["row"]["file_bytes"] + len(packed) > roll_bytes):
                     yield close()
@@ -230,21 +235,20 @@ def write(pages: DataFrame, out: str, shards: int | None = None, roll_bytes: int
             yield close()
 
     temp = f"{out}/_manifest.{uuid.uuid4().hex}"
-    order = [c.split()[0] for c in MANIFEST.split(", ")]
-    dealt.mapInPandas(lambda it: (x[order] for x in run(it)), MANIFEST).write.parquet(temp)
+    dealt.mapInArrow(run, MANIFEST).write.parquet(temp)
     manifest = spark.read.schema(MANIFEST).parquet(temp)
 
     def rename(batches):
         fs, root = _store(out)
-        for pdf in batches:
-            for old, new in zip(pdf["temp"], pdf["name"]):
+        for batch in batches:
+            for old, new in zip(*(batch.column(c).to_pylist() for c in ("temp", "name"))):
                 if fs.get_file_info(f"{root}/{old}").type == pafs.FileType.File:
                     fs.move(f"{root}/{old}", f"{root}/{new}")
                 elif fs.get_file_info(f"{root}/{new}").type != pafs.FileType.File:
                     raise FileNotFoundError(f"{root}/{new}")
-            yield pdf[["name"]]
+            yield batch.select(["name"])
 
-    manifest.mapInPandas(rename, "name string").write.format("noop").mode("overwrite").save()
+    manifest.mapInArrow(rename, "name string").write.format("noop").mode("overwrite").save()
     fs, root = _store(out)
     fs.move(f"{root}/{temp.rsplit('/', 1)[1]}", f"{root}/_manifest")
     return read_manifest(spark, out)
@@ -265,10 +269,12 @@ def read(spark: SparkSession, out: str, parallel: int | None = None) -> DataFram
     """
     files = read_manifest(spark, out).select("name").repartition(parallel or spark.sparkContext.defaultParallelism * 2)
 
+    schema = _schema(RECORD)
+
     def run(batches):
         fs, root = _store(out)
-        for pdf in batches:
-            for name in pdf["name"]:
+        for batch in batches:
+            for name in batch.column("name").to_pylist():
                 rows = []
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as raw, gzip.open(io.BufferedReader(raw, 1 << 20)) as stream:
                     for head, block in records(stream):
@@ -278,18 +284,13 @@ def read(spark: SparkSession, out: str, parallel: int | None = None) -> DataFram
                         size = len(payload) if head["warc-type"] == "response" else int(head["x-payload-length"])
                         block_ok = head["warc-block-digest"] == f"sha256:{hashlib.sha256(block).hexdigest()}"
                         key, refers = (int(head[x]) if x in head else None for x in ("x-source-key", "x-refers-to-key"))
-                        rows.append((key, head.get("warc-target-uri"), size, digest, head["warc-type"], refers, head["warc-record-id"], len(payload), block_ok and digest == said, name))
+                        rows.append(dict(zip(schema.names, (key, head.get("warc-target-uri"), size, digest, head["warc-type"], refers, head["warc-record-id"], len(payload), block_ok and digest == said, name))))
                         if len(rows) == 5000:
-                            yield _rows(rows)
+                            yield pa.RecordBatch.from_pylist(rows, schema=schema)
                             rows = []
-                yield _rows(rows)
-
-    return files.mapInPandas(run, RECORD)
-
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-def _rows(rows: list[tuple]) -> pd.DataFrame:
-    pdf = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORD.split(", ")])
-    return pdf.astype({"page_id": "Int64", "refers_to": "Int64"})
+    return files.mapInArrow(run, RECORD)
 
 
 def round_trip(pages: DataFrame, shards: int | None = None, roll_bytes: int = 64 << 20, **how) -> DataFrame:
