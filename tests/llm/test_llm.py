@@ -303,7 +303,7 @@ def test_language_model(spark):
     assert lm.cross_entropy_difference(d.limit(0), d.select("doc_id")).count() == 0
 
 
-@pytest.mark.parametrize("sizes", [{}, {"HOT_BITS": 0, "LEAST_PARTS": 3, "PART_ROWS": 5}, {"HOT_BITS": 4}])
+@pytest.mark.parametrize("sizes", [{}, {"HOT_BITS": 0, "LEAST_PARTS": 4, "BLOCK_TOKENS": 500, "HELD": 3000}, {"HOT_BITS": 4, "PART_BYTES": 4096}])
 def test_language_model_equals_brute_force(spark, monkeypatch, sizes):
     """No word or bigram is left out, rare ones included; repeated and null ids are rows of their own."""
     for k, v in sizes.items():

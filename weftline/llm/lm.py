@@ -19,12 +19,14 @@ once in all documents needs no row: a document asks for it exactly once, and whe
 it follows from the document being one of the target. The rest is the model table; it grows with the
 input and is never sent whole to a task:
 
+- each task counts its grams and sends them by part, sorted, as packed differences; a part's counts
+  meet in one task, which keeps what occurs more than once. Parts grow with the bytes of text;
 - grams with a share of at least ``2**-HOT_BITS`` of all tokens, at most ``2**(HOT_BITS + 1)`` rows,
   go to all tasks, so that frequent grams are looked up where the text is read and none is hot;
-- the others are split by hash into parts, as many as counts demand. Each block of documents sends
-  what it asks (once a document, with how often) to the parts; the rows of a part go ahead in the
-  same sorted partition, and a task answers while questions stream by, holding one part's rows;
-- a bit filter of the table (of bounded size) lets what occurs once stay at home.
+- for the others each block of documents sends what it asks (once a document, with how often) to
+  their parts; the rows of a part go ahead in the same sorted partition, and a task answers while
+  questions stream by, holding one part's rows;
+- a bit filter of the table (of bounded size, a stretch for each part) lets what occurs once stay at home.
 
 Defined cases: null and empty texts have no tokens and score zero; repeated rows count as often as
 they come, and each is scored; an empty target gives losses of the uniform share; null ids are scored
@@ -39,21 +41,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bit_filter, filter_bits, hashed_texts, long_array, maybe, mix, own_columns, passes, written
+from weftline.llm.common import MOST_BITS, bit_filter, filter_bits, hashed_texts, maybe, mix, own_columns, written
 
 #: weight of order two, unseen mass of orders one and two
 WEIGHT, UNSEEN, MASS = 0.6, 0.5, 20.0
-#: share of a gram that is sent to all tasks; tokens of a block; rows and questions of a part
-HOT_BITS, BLOCK_TOKENS, PART_ROWS, PART_TOKENS, LEAST_PARTS = 18, 1 << 20, 1 << 19, 1 << 22, 256
+#: share of a gram that is sent to all tasks; tokens of a block of questions; grams that a task holds; bytes of text of a part
+HOT_BITS, BLOCK_TOKENS, HELD, PART_BYTES, LEAST_PARTS = 18, 1 << 20, 4_000_000, 1 << 24, 256
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 MESSAGE = "key int, kind int, a binary, b binary, c binary, d binary"
+MODEL = "key int, size long, words long, n long, t long, a binary, b binary, c binary"
 SUMS = "row long, doc_id long, n_tokens long, n_loss double, t_loss double, words long, pairs long"
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """64-bit values, equal places of their bytes side by side, compressed."""
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def _unpacked(data: bytes, kind=np.int64) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view(kind).ravel()
+
+
 def _grams(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first, last, words, bigrams, text of each) of groups of texts: a text of words has an end
     mark after them. The lowest bit tells bigrams (1) from words (0)."""
@@ -69,8 +83,26 @@ def _grams(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.n
         yield lo, hi, word & ~np.uint64(1), mix(before * _BASE + word) | np.uint64(1), np.repeat(np.arange(hi - lo), size)
 
 
-def _counts(texts: DataFrame, target: bool) -> DataFrame:
-    """(gram, n, t): how often each word and bigram occurs; summed in each task first."""
+def _part(gram: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(gram) & np.uint64(parts - 1)).astype(np.int64)
+
+
+def _by_part(gram: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, places) of the grams of each part, in their order."""
+    part = _part(gram, parts)
+    order = np.argsort(part, kind="stable")
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(part[order])) + 1, [len(part)])) if len(part) else np.zeros(1, np.int64)
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        yield int(part[order[lo]]), order[lo:hi]
+
+
+def _messages(rows: list[tuple]) -> pa.RecordBatch:
+    key, kind, *columns = zip(*rows)
+    return pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int32()), "kind": pa.array(kind, pa.int32())} | {k: pa.array(x, pa.binary()) for k, x in zip("abcd", columns)})
+
+
+def _counts(texts: DataFrame, kind: int, parts: int) -> DataFrame:
+    """How often each word and bigram occurs in each task, by part: sorted grams as packed differences, and counts."""
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -78,46 +110,96 @@ def _counts(texts: DataFrame, target: bool) -> DataFrame:
         def emit():
             gram, inverse = np.unique(np.concatenate([g for g, _ in held]), return_inverse=True)
             n = np.bincount(inverse, weights=np.concatenate([c for _, c in held])).astype(np.int64)
-            none = np.zeros(len(n), np.int64)
-            return pa.RecordBatch.from_pydict({"gram": long_array(gram), "n": none if target else n, "t": n if target else none})
+            rows = [(p, kind, _packed(np.diff(gram[at], prepend=np.uint64(0))), _packed(n[at]), None, None) for p, at in _by_part(gram, parts)]
+            for i in range(0, len(rows), 1024):
+                yield _messages(rows[i : i + 1024])
 
         for batch in batches:
             for _, _, words, pairs, _ in _grams(batch.column("text").to_pylist()):
-                held.append(np.unique(np.concatenate((words, pairs)), return_counts=True))
-                if sum(len(g) for g, _ in held) > 3_000_000:
-                    yield emit()
+                if len(words):
+                    held.append(np.unique(np.concatenate((words, pairs)), return_counts=True))
+                if sum(len(g) for g, _ in held) > HELD:
+                    yield from emit()
                     held.clear()
+        if held:
+            yield from emit()
+
+    return texts.select("text").mapInArrow(run, MESSAGE)
+
+
+def _model(counts: DataFrame, parts: int) -> DataFrame:
+    """A row for each part: its words, their sums of n and t, and, packed, the grams that occur more than once with n and t."""
+
+    def run(batches):
+        key, held = None, []
+
+        def emit():
+            kinds, grams, ns = zip(*held)
+            gram, inverse = np.unique(np.concatenate(grams), return_inverse=True)
+            of_target = np.repeat(np.array(kinds) == 1, [len(g) for g in grams])
+            often = np.concatenate(ns)
+            n, t = (np.bincount(inverse, weights=np.where(of_target == inside, often, 0)).astype(np.int64) for inside in (False, True))
+            word, many = (gram & np.uint64(1)) == 0, n > 1
+            values = [key, int(many.sum()), int(word.sum()), int(n[word].sum()), int(t[word].sum()), _packed(np.diff(gram[many], prepend=np.uint64(0))), _packed(n[many]), _packed(t[many])]
+            return pa.RecordBatch.from_pydict({k: pa.array([v], kind) for k, v, kind in zip(("key", "size", "words", "n", "t", "a", "b", "c"), values, [pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 3])})
+
+        for batch in batches:
+            for k, kind, a, b in zip(*(batch.column(x).to_pylist() for x in ("key", "kind", "a", "b"))):
+                if k != key and held:
+                    yield emit()
+                    held = []
+                key = k
+                held.append((kind, np.cumsum(_unpacked(a, np.uint64), dtype=np.uint64), _unpacked(b)))
         if held:
             yield emit()
 
-    return texts.select("text").mapInArrow(run, "gram long, n long, t long")
+    return counts.repartition(max(parts // 4, 1), "key").sortWithinPartitions("key").mapInArrow(run, MODEL)
 
 
-def _by_part(gram: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(part, places) of the grams of each part, in their order."""
-    part = (mix(gram) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(part[order])) + 1, [len(part)])) if len(part) else np.zeros(1, np.int64)
-    for lo, hi in zip(cuts[:-1], cuts[1:]):
-        yield int(part[order[lo]]), order[lo:hi]
+def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.cumsum(_unpacked(row["a"], np.uint64), dtype=np.uint64), _unpacked(row["b"]), _unpacked(row["c"])
 
 
-def _messages(rows: list[tuple]) -> pa.RecordBatch:
-    key, kind, *columns = zip(*rows)
-    return pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int32()), "kind": pa.array(kind, pa.int32())} | {k: pa.array(x, pa.binary()) for k, x in zip("abcd", columns)})
+def _hot(model: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Grams, n and t of the table's grams that occur at least so often; the caller bounds how many."""
+
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                gram, n, t = _opened(row)
+                at = n >= least
+                yield pa.RecordBatch.from_pydict({"gram": gram[at].view(np.int64), "n": n[at], "t": t[at]})
+
+    got = model.mapInArrow(run, "gram long, n long, t long").toArrow()
+    gram, n, t = (got.column(c).to_numpy() for c in ("gram", "n", "t"))
+    order = np.argsort(gram.view(np.uint64))
+    return gram.view(np.uint64)[order], n[order], t[order]
 
 
-def _model_rows(model: DataFrame, parts: int) -> DataFrame:
-    """The table as arrays by part: kind 0 with grams, n and t."""
+def _stretch(gram: np.ndarray, bits: int) -> np.ndarray:
+    return (gram >> np.uint64(1)) & np.uint64(bits - 1)
+
+
+def _filter(model: DataFrame, parts: int, bits: int) -> np.ndarray:
+    """(parts, bytes) bits: each part has a stretch of its own, so the driver only puts them side by side."""
 
     def run(batches):
         for batch in batches:
-            gram, n, t = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "n", "t"))
-            rows = [(p, 0, gram[at].tobytes(), n[at].tobytes(), t[at].tobytes(), None) for p, at in _by_part(gram.view(np.uint64), parts)]
-            if rows:
-                yield _messages(rows)
+            for row in batch.to_pylist():
+                flags = np.zeros(bits, dtype=bool)
+                flags[_stretch(_opened(row)[0], bits).astype(np.int64)] = True
+                yield pa.RecordBatch.from_pydict({"key": pa.array([row["key"]], pa.int32()), "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros((parts, bits // 8), dtype=np.uint8)
+    got = model.mapInArrow(run, "key int, bits binary").toArrow()
+    for k, b in zip(got.column("key").to_pylist(), got.column("bits")):
+        out[k] = np.frombuffer(b.as_buffer(), np.uint8)
+    return out
 
-    return model.select("gram", "n", "t").mapInArrow(run, MESSAGE)
+
+def _may_be_in(table: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    at = _stretch(gram, table.shape[1] * 8).astype(np.int64)
+    return (table[_part(gram, len(table)), at >> 3] >> (at & 7)) & 1 == 1
 
 
 class _Losses:
@@ -148,56 +230,64 @@ def _asked(rows: DataFrame, hot, table, parts: int) -> DataFrame:
     """The questions of each block of documents by part (kind 1: grams, how often, rows, grams of
     each row), and what needs no question (kind 2: rows, ids and tokens, sums, single words and bigrams)."""
 
+    def block(ids: np.ndarray, doc: pa.Array, held: list[tuple]) -> pa.RecordBatch:
+        """``held``: (first text, words, bigrams, text of each) of the groups of a block."""
+        first_text, count = held[0][0], held[-1][0] + held[-1][4] - held[0][0]
+        gram, text = (np.concatenate([x for f, w, p, of, _ in held for x in pair(w, p, of + (f - first_text))]) for pair in (lambda w, p, of: (w, p), lambda w, p, of: (of, of)))
+        size = np.bincount(text, minlength=count) // 2
+        order = np.lexsort((gram, text))
+        gram, text = gram[order], text[order]
+        first = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])))) if len(gram) else np.empty(0, np.int64)
+        often = np.diff(np.append(first, len(gram)))
+        gram, text = gram[first], text[first]
+        found, n_loss, t_loss = _looked_up(hot.value, gram)
+        ask = ~found & _may_be_in(table.value, gram)
+        single, bigram = ~found & ~ask, (gram & np.uint64(1)) == 1
+        sums = [np.bincount(text, weights=w, minlength=count) for w in (n_loss * often, t_loss * often, single & ~bigram, single & bigram)]
+        ids, doc = ids[first_text : first_text + count], doc.slice(first_text, count)
+        null = np.array([not x.is_valid for x in doc]) if doc.null_count else np.zeros(count, dtype=bool)
+        who = np.stack([doc.fill_null(0).to_numpy(zero_copy_only=False), null.astype(np.int64), size - (size > 0)]).astype(np.int64)
+        out = [(int(_part(ids[:1].view(np.uint64), parts)[0]), 2, ids.tobytes(), who.tobytes(), np.stack(sums[:2]).tobytes(), np.stack(sums[2:]).astype(np.int64).tobytes())]
+        gram, text, often = gram[ask], text[ask], often[ask].astype(np.uint32)
+        for p, at in _by_part(gram, parts):
+            of = text[at]
+            start = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+            out.append((p, 1, gram[at].tobytes(), often[at].tobytes(), ids[of[start]].tobytes(), np.diff(np.append(start, len(of))).astype(np.uint32).tobytes()))
+        return _messages(out)
+
     def run(batches):
         for batch in batches:
-            ids, doc = batch.column("row").to_numpy(zero_copy_only=False), batch.column("doc_id")
+            ids, doc, held = batch.column("row").to_numpy(zero_copy_only=False), batch.column("doc_id"), []
             for lo, hi, words, pairs, text in _grams(batch.column("text").to_pylist()):
-                size = np.bincount(text, minlength=hi - lo)
-                # blocks, as a group is of about a megabyte
-                gram, text = np.concatenate((words, pairs)), np.concatenate((text, text))
-                order = np.lexsort((gram, text))
-                gram, text = gram[order], text[order]
-                first = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])))) if len(gram) else np.empty(0, np.int64)
-                often = np.diff(np.append(first, len(gram)))
-                gram, text = gram[first], text[first]
-                found, n_loss, t_loss = _looked_up(hot.value, gram)
-                ask = ~found & passes(table.value, gram)
-                single, pair = ~found & ~ask, (gram & np.uint64(1)) == 1
-                sums = [np.bincount(text, weights=w, minlength=hi - lo) for w in (n_loss * often, t_loss * often, single & ~pair, single & pair)]
-                null = np.array([not x.is_valid for x in doc.slice(lo, hi - lo)]) if doc.null_count else np.zeros(hi - lo, dtype=bool)
-                who = np.stack([doc.slice(lo, hi - lo).fill_null(0).to_numpy(zero_copy_only=False), null.astype(np.int64), size - (size > 0)]).astype(np.int64)
-                out = [(int(mix(ids[lo : lo + 1].view(np.uint64))[0] % np.uint64(parts)), 2, ids[lo:hi].tobytes(), who.tobytes(), np.stack(sums[:2]).tobytes(), np.stack(sums[2:]).astype(np.int64).tobytes())]
-                gram, text, often = gram[ask], text[ask], often[ask].astype(np.uint32)
-                for p, at in _by_part(gram, parts):
-                    of = text[at]
-                    start = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-                    out.append((p, 1, gram[at].tobytes(), often[at].tobytes(), ids[lo:hi][of[start]].tobytes(), np.diff(np.append(start, len(of))).astype(np.uint32).tobytes()))
-                yield _messages(out)
+                held.append((lo, words, pairs, text, hi - lo))
+                if sum(len(x[1]) for x in held) >= BLOCK_TOKENS:
+                    yield block(ids, doc, held)
+                    held = []
+            if held:
+                yield block(ids, doc, held)
 
     return rows.mapInArrow(run, MESSAGE)
 
 
-def _answered(messages: DataFrame, losses: _Losses) -> DataFrame:
+def _answered(messages: DataFrame, losses: _Losses, parts: int) -> DataFrame:
     """Sums of each row over the questions of a part; what a part doesn't know occurs once."""
+    none_known = (np.empty(0, np.uint64), np.empty(0), np.empty(0))
 
     def run(batches):
-        key, counts, known = None, [], None
+        key, known = None, none_known
         for batch in batches:
             out: list[tuple] = []
             for k, kind, a, b, c, d in zip(*(batch.column(x).to_pylist() for x in ("key", "kind", "a", "b", "c", "d"))):
                 if k != key:
-                    key, counts, known = k, [], None
+                    key, known = k, none_known
                 if kind == 0:
-                    counts.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64), np.frombuffer(c, np.int64)))
+                    known = _opened({"a": a, "b": b, "c": c})
+                    known = (known[0], *losses(*known))
                     continue
                 if kind == 2:
                     rows, (doc, null, n), sums, single = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64).reshape(3, -1), np.frombuffer(c).reshape(2, -1), np.frombuffer(d, np.int64).reshape(2, -1)
                     out.append((rows, doc, null == 1, n, *sums, *single))
                     continue
-                if known is None:
-                    gram, n, t = (np.concatenate(x) for x in zip(*counts)) if counts else (np.empty(0, np.uint64), np.empty(0), np.empty(0))
-                    order = np.argsort(gram)
-                    known, counts = (gram[order], *losses(gram[order], n[order], t[order])), []
                 gram, often = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)
                 rows, length = np.frombuffer(c, np.int64), np.frombuffer(d, np.uint32).astype(np.int64)
                 found, n_loss, t_loss = _looked_up(known, gram)
@@ -209,7 +299,7 @@ def _answered(messages: DataFrame, losses: _Losses) -> DataFrame:
                 row, doc, null, n, *sums = (np.concatenate(x) for x in zip(*out))
                 yield pa.RecordBatch.from_pydict({"row": row, "doc_id": pa.array(doc, mask=null), "n_tokens": n} | dict(zip(("n_loss", "t_loss", "words", "pairs"), sums)))
 
-    return messages.repartition("key").sortWithinPartitions("key", "kind").mapInArrow(run, SUMS)
+    return messages.repartition(max(parts // 4, 1), "key").sortWithinPartitions("key", "kind").mapInArrow(run, SUMS)
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_id_col: str = "doc_id") -> DataFrame:
@@ -223,22 +313,20 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     # texts that can't be of the target are not shuffled
     of_target = bit_filter(ids.select(F.xxhash64("target_id").alias("h")), "h", filter_bits(ids.count()))
     chosen = src.where(maybe(F.xxhash64("doc_id"), of_target)).join(ids.hint("merge"), F.col("doc_id") == F.col("target_id"), "left_semi")
-    seen, word = Observation(), F.col("gram").bitwiseAND(1) == 0
-    every = _counts(src, False).unionByName(_counts(chosen, True)).groupBy("gram").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    every = every.observe(seen, F.count_if(word).alias("words"), F.sum(F.when(word, F.col("n"))).alias("n"), F.sum(F.when(word, F.col("t"))).alias("t"))
-    model = written(every.where("n > 1"), "lm-model")
-    n, t, vocabulary = (int(seen.get[k] or 0) for k in ("n", "t", "words"))
-
-    losses, size = _Losses(n, t, vocabulary), model.count()
+    size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 << max((LEAST_PARTS - 1).bit_length(), (size // PART_BYTES).bit_length())
+    model = written(_model(_counts(src, 0, parts).unionByName(_counts(chosen, 1, parts)), parts), "lm-model")
+    rows, vocabulary, n, t = (int(x or 0) for x in model.agg(*[F.sum(c) for c in ("size", "words", "n", "t")]).first())
+    losses = _Losses(n, t, vocabulary)
     # at most 2**HOT_BITS words and as many bigrams have such a share
-    top = model.where(F.col("n") * float(1 << HOT_BITS) >= float(max(n, 1))).toPandas().sort_values("gram", key=lambda x: x.to_numpy(np.int64).view(np.uint64))
-    gram = top["gram"].to_numpy(np.int64).view(np.uint64)
-    hot = spark.sparkContext.broadcast((gram, *losses(gram, top["n"].to_numpy(np.int64), top["t"].to_numpy(np.int64))))
-    table = spark.sparkContext.broadcast(bit_filter(model, "gram", filter_bits(size)))
-    parts = max(LEAST_PARTS, -(-size // PART_ROWS), -(-n // PART_TOKENS))
+    top = _hot(model, max(n, 1) / (1 << HOT_BITS))
+    hot = spark.sparkContext.broadcast((top[0], *losses(*top)))
+    bits = max(8, (1 << min(MOST_BITS, filter_bits(rows))) // parts)
+    table = spark.sparkContext.broadcast(_filter(model, parts, bits))
 
+    known = model.select("key", F.lit(0).alias("kind"), "a", "b", "c", F.lit(None).cast("binary").alias("d"))
     rows = src.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    sums = _answered(_model_rows(model, parts).unionByName(_asked(rows, hot, table, parts)), losses)
+    sums = _answered(known.unionByName(_asked(rows, hot, table, parts)), losses, parts)
     total = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_loss", "t_loss", "words", "pairs")])
     total = total.join(ids.hint("merge"), F.col("doc_id") == F.col("target_id"), "left")
     # terms of what occurs once: in the target if and only if the document is
