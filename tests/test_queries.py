@@ -7,7 +7,7 @@ from weftline.plans import catalog
 from weftline.plans.views import TABLES
 
 D = "/root/testdata/sf0.001"
-SOME = ["access_conflicts", "path_overlap", "levels", "ancestors", "run_savings", "weighted_share", "unit_diagnostics", "suite_summary", "carry_forward", "request_class"]
+SOME = sorted(catalog.oracle_sql())
 
 
 def plain(rows):

@@ -38,6 +38,22 @@ def access_conflicts(accesses: DataFrame) -> DataFrame:
     return met.select("x.plan_id", F.col("x.unit_id").alias("first"), F.col("y.unit_id").alias("second"), "x.resource", F.col("x.mode").alias("first_mode"), F.col("y.mode").alias("second_mode"))
 
 
+def nested_conflicts(accesses: DataFrame) -> DataFrame:
+    """(plan_id, first, second, first_resource, second_resource): accesses to files where one is the
+    other or lies below it.
+
+    Each path is exploded into itself and the directories above it; two paths overlap where one of
+    them is the shared key itself, so that nesting is an equality join and each pair meets once.
+    """
+    rows = accesses.select("plan_id", "unit_id", "resource", "mode", "commutative").distinct()
+    parts = F.split("resource", "/")
+    ups = F.transform(F.sequence(F.when(F.startswith("resource", F.lit("/")), 2).otherwise(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    deep = rows.withColumn("key", F.explode(ups))
+    whole = (F.col("x.key") == F.col("x.resource")) | (F.col("y.key") == F.col("y.resource"))
+    met = _pairs(deep, ["key"], _both("mode", SHARED_MODES) | _append_freely() | ~whole)
+    return met.select("x.plan_id", F.col("x.unit_id").alias("first"), F.col("y.unit_id").alias("second"), F.col("x.resource").alias("first_resource"), F.col("y.resource").alias("second_resource")).distinct()
+
+
 def effect_conflicts(effects: DataFrame) -> DataFrame:
     """(plan_id, first, second, domain, key): every mode of a key counts, not one per key."""
     rows = effects.select("plan_id", "unit_id", "domain", "key", "mode", "commutative").distinct()

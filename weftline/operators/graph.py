@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 10_000
@@ -25,6 +25,29 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _peel(own: DataFrame, links: DataFrame) -> DataFrame:
+    """(plan_id, unit_id, own, total, round): units settle once all they wait for have; total is the
+    own value plus the largest total of those. What never settles has a null round and total.
+
+    ``links``: distinct (plan_id, unit_id, pred_id) of known units. One write a round, which carries
+    how many a unit still waits for; only what settled last joins the links.
+    """
+    links = _cut(links)
+    key = ["plan_id", "unit_id"]
+    waits = links.groupBy(*key).agg(F.count("*").alias("waits"))
+    state = own.join(waits, key, "left").select(*key, "own", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(0.0).alias("best"))
+    state = _cut(state.withColumns({"round": F.when(F.col("waits") == 0, 0), "total": F.when(F.col("waits") == 0, F.col("own"))}))
+    for r in range(1, MAX_ROUNDS):
+        fresh = state.where(F.col("round") == r - 1).select("plan_id", F.col("unit_id").alias("pred_id"), "total")
+        got = links.join(fresh, ["plan_id", "pred_id"]).groupBy(*key).agg(F.count("*").alias("n"), F.max("total").alias("top"))
+        met = state.join(got, key, "left").withColumns({"waits": F.col("waits") - F.coalesce("n", F.lit(0)), "best": F.greatest("best", F.coalesce("top", F.lit(0.0)))})
+        now = F.col("n").isNotNull() & (F.col("waits") == 0)
+        state = _cut(met.select(*key, "own", "waits", "best", F.when(now, r).otherwise(F.col("round")).alias("round"), F.when(now, F.col("own") + F.col("best")).otherwise(F.col("total")).alias("total")))
+        if state.where(F.col("round") == r).isEmpty():
+            return state
+    raise RuntimeError("too many levels")
+
+
 def levels(units: DataFrame, edges: DataFrame) -> DataFrame:
     """(plan_id, unit_id, level): level 0 has no predecessor, others follow their last one.
 
@@ -32,52 +55,42 @@ def levels(units: DataFrame, edges: DataFrame) -> DataFrame:
     """
     nodes = units.select("plan_id", "unit_id").distinct()
     known = nodes.select("plan_id", F.col("unit_id").alias("pred_id"))
-    links = _cut(edges.select("plan_id", "unit_id", "pred_id").distinct().join(known, ["plan_id", "pred_id"], "left_semi"))
-    open_, done = _cut(nodes), None
-    for level in range(MAX_ROUNDS):
-        ready = open_.join(links.select("plan_id", "unit_id").distinct(), ["plan_id", "unit_id"], "left_anti")
-        ready = _cut(ready.withColumn("level", F.lit(level)))
-        if ready.isEmpty():
-            break
-        done = ready if done is None else done.unionByName(ready)
-        gone = ready.select("plan_id", F.col("unit_id").alias("pred_id"))
-        links = _cut(links.join(gone, ["plan_id", "pred_id"], "left_anti"))
-        open_ = _cut(open_.join(ready, ["plan_id", "unit_id"], "left_anti"))
-    else:
-        raise RuntimeError("too many levels")
-    left = open_.withColumn("level", F.lit(None).cast("int"))
-    return left if done is None else done.unionByName(left)
+    links = edges.select("plan_id", "unit_id", "pred_id").distinct().join(known, ["plan_id", "pred_id"], "left_semi")
+    return _peel(nodes.withColumn("own", F.lit(0.0)), links).select("plan_id", "unit_id", F.col("round").alias("level"))
+
+
+def ready_order(unit_levels: DataFrame, paths: DataFrame) -> DataFrame:
+    """(plan_id, unit_id, level, path_s, place): the units of a level by longest path, then id."""
+    met = unit_levels.where("level is not null").join(paths, ["plan_id", "unit_id"])
+    order = Window.partitionBy("plan_id", "level").orderBy(F.desc_nulls_first("path_s"), "unit_id")
+    return met.select("plan_id", "unit_id", "level", "path_s", F.row_number().over(order).alias("place"))
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
-    """(plan_id, unit_id, ancestor): all predecessors, by doubling; (u, u) where u is in a cycle."""
-    now = _cut(edges.select("plan_id", "unit_id", F.col("pred_id").alias("ancestor")).distinct())
-    n = now.count()
+    """(plan_id, unit_id, ancestor): all predecessors; (u, u) where u is in a cycle.
+
+    By doubling, and only pairs found last are carried on: a shortest way of l steps, with
+    L < l <= 2 L, starts with one of L steps, which was found last, and ends with a known one.
+    """
+    fresh = now = _cut(edges.select("plan_id", "unit_id", F.col("pred_id").alias("ancestor")).distinct())
     for _ in range(64):
-        x, y = now.alias("x"), now.alias("y")
-        far = x.join(y, (F.col("x.plan_id") == F.col("y.plan_id")) & (F.col("x.ancestor") == F.col("y.unit_id"))).select("x.plan_id", "x.unit_id", "y.ancestor")
-        now = _cut(now.unionByName(far).distinct())
-        m = now.count()
-        if m == n:
+        x = fresh.select("plan_id", F.col("unit_id").alias("low"), F.col("ancestor").alias("mid"))
+        far = x.join(now.select("plan_id", F.col("unit_id").alias("mid"), F.col("ancestor").alias("high")), ["plan_id", "mid"]).select("plan_id", "low", "high").distinct()
+        known = now.select("plan_id", F.col("unit_id").alias("low"), F.col("ancestor").alias("high"))
+        fresh = _cut(far.join(known, ["plan_id", "low", "high"], "left_anti").toDF("plan_id", "unit_id", "ancestor"))
+        if fresh.isEmpty():
             return now
-        n = m
+        now = now.unionByName(fresh)
     raise RuntimeError("closure did not settle")
 
 
 def longest_path(units: DataFrame, edges: DataFrame, duration: str = "duration_s") -> DataFrame:
     """(plan_id, unit_id, path_s): own duration plus the longest of its children's; failure edges
-    don't count. Cyclic plans never settle and are refused: give acyclic edges."""
-    own = _cut(units.select("plan_id", "unit_id", F.col(duration).alias("own")))
-    links = _cut(edges.where("kind <> 'failure'").select("plan_id", F.col("unit_id").alias("child"), F.col("pred_id").alias("unit_id")).distinct())
-    now = _cut(own.select("plan_id", "unit_id", F.col("own").alias("path_s")))
-    for _ in range(MAX_ROUNDS):
-        best = links.join(now.select("plan_id", F.col("unit_id").alias("child"), "path_s"), ["plan_id", "child"]).groupBy("plan_id", "unit_id").agg(F.max("path_s").alias("below"))
-        new = own.join(best, ["plan_id", "unit_id"], "left").select("plan_id", "unit_id", (F.col("own") + F.coalesce("below", F.lit(0.0))).alias("path_s"))
-        new = _cut(new)
-        if new.join(now.withColumnRenamed("path_s", "old"), ["plan_id", "unit_id"]).where("path_s <> old").isEmpty():
-            return new
-        now = new
-    raise RuntimeError("a cycle: the longest path is unbounded")
+    don't count. Null where a cycle lies below, as the path has no bound there."""
+    own = units.groupBy("plan_id", "unit_id").agg(F.max(duration).cast("double").alias("own"))
+    known = own.select("plan_id", F.col("unit_id").alias("pred_id"))
+    links = edges.where("kind <> 'failure'").select("plan_id", F.col("pred_id").alias("unit_id"), F.col("unit_id").alias("pred_id")).distinct()
+    return _peel(own, links.join(known, ["plan_id", "pred_id"], "left_semi")).select("plan_id", "unit_id", F.col("total").alias("path_s"))
 
 
 def with_descendants(seeds: DataFrame, closure: DataFrame) -> DataFrame:

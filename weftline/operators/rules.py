@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -141,14 +143,19 @@ TRAITS = [
 ]
 
 
-def command_traits(command: Column) -> dict[str, Column]:
-    """side_effect, resources and reasons of a command line."""
+#: resources that belong to one folder: of two folders they don't meet
+OF_FOLDER = ("git", "docker:compose", "dependencies")
+
+
+def command_traits(command: Column, cwd: Column | None = None) -> dict[str, Column]:
+    """side_effect, resources and reasons of a command line; with ``cwd``, resources of a folder name it."""
+    held = lambda r: F.concat_ws(":", F.lit(r), cwd) if cwd is not None and r in OF_FOLDER else F.lit(r)
     low = F.lower(command)
     hits = [(low.rlike(p), res, why) for p, res, why in TRAITS]
     any_hit = F.lit(False)
     for c, _, _ in hits:
         any_hit = any_hit | c
-    return {"side_effect": any_hit, "resources": F.array_compact(F.array(*[F.when(c, r) for c, r, _ in hits if r])), "reasons": F.array_compact(F.array(*[F.when(c, w) for c, _, w in hits]))}
+    return {"side_effect": any_hit, "resources": F.array_compact(F.array(*[F.when(c, held(r)) for c, r, _ in hits if r])), "reasons": F.array_compact(F.array(*[F.when(c, w) for c, _, w in hits]))}
 
 
 # fixed values: the option that bounds the inner workers of a tool
@@ -201,14 +208,23 @@ def glob_regex(glob: str) -> str:
     out, rest = "", glob
     if rest.startswith("**/"):
         out, rest = "(?:.*/)?", rest[3:]
-    out += "".join({"*": ".*", "?": "."}.get(c, c if c.isalnum() else "\\" + c) for c in rest.replace("**", "*"))
-    return f"(?i)^{out}$"
+    for part in re.findall(r"\*+|\?|\[!?\]?[^]]*\]|.", rest, re.DOTALL):
+        if part[0] in "*?":
+            out += ".*" if part[0] == "*" else "."
+        elif part[0] == "[" and len(part) > 2:
+            # a set of characters: only ! has a meaning of its own in a glob
+            inside = part[1:-1].replace("\\", "\\\\").replace("[", "\\[").replace("&", "\\&").replace("^", "\\^")
+            out += "[" + ("^" + inside[1:] if inside.startswith("!") else inside) + "]"
+        else:
+            out += part if part.isalnum() else "\\" + part
+    return f"(?is)^{out}$"
 
 
 def tool_names(kind: Column, name: Column, namespace: Column, text: Column) -> Column:
     """Tools of a call: a function's qualified name; of a custom call every ``tools.X(``, else its name."""
-    own = F.when(F.coalesce(namespace, F.lit("")) != "", F.concat_ws(".", namespace, name)).otherwise(name)
-    used = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"tools\.([A-Za-z_][A-Za-z0-9_]*)\s*\("), F.lit(1))
+    known = F.coalesce(name, F.lit("unknown"))
+    own = F.when(F.coalesce(namespace, F.lit("")) != "", F.concat_ws(".", namespace, known)).otherwise(known)
+    used = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\btools\.([A-Za-z0-9_]+)\s*\("), F.lit(1))
     return F.when((kind == "custom_tool_call") & (F.size(used) > 0), used).otherwise(F.array(own))
 
 

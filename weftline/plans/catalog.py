@@ -49,6 +49,16 @@ def access_conflicts(spark, d):
     return conflicts.access_conflicts(view(spark, d, "accesses"))
 
 
+@query("""
+    SELECT DISTINCT a.plan_id, a.unit_id AS first, b.unit_id AS second, a.resource AS first_resource, b.resource AS second_resource
+    FROM {file_accesses} a JOIN {file_accesses} b ON a.plan_id = b.plan_id AND a.unit_id < b.unit_id
+    WHERE (a.resource = b.resource OR starts_with(a.resource, concat(b.resource, '/')) OR starts_with(b.resource, concat(a.resource, '/')))
+      AND NOT (a.mode IN ('read', 'snapshot') AND b.mode IN ('read', 'snapshot'))
+      AND NOT (a.mode = 'append' AND b.mode = 'append' AND a.commutative AND b.commutative)""")
+def nested_conflicts(spark, d):
+    return conflicts.nested_conflicts(view(spark, d, "file_accesses"))
+
+
 @query("""
     SELECT DISTINCT a.plan_id, a.unit_id AS first, b.unit_id AS second, a.domain, a.key
     FROM {effects} a JOIN {effects} b ON a.plan_id = b.plan_id AND a.domain = b.domain AND a.key = b.key AND a.unit_id < b.unit_id
@@ -170,37 +180,40 @@ def _timed(spark, d):
 
 
 _PATHS = f"""
+    links AS (SELECT DISTINCT plan_id, pred_id AS u, unit_id AS v FROM {{edges}} WHERE kind <> 'failure'),
+    reach AS (SELECT plan_id, u, v FROM links UNION SELECT r.plan_id, r.u, l.v FROM reach r JOIN links l ON l.plan_id = r.plan_id AND l.u = r.v),
+    cyclic AS (SELECT DISTINCT plan_id, u FROM reach WHERE u = v),
+    unbounded AS (SELECT plan_id, u FROM cyclic UNION SELECT r.plan_id, r.u FROM reach r JOIN cyclic c ON c.plan_id = r.plan_id AND c.u = r.v),
     own AS (SELECT plan_id, unit_id, {_DURATION} AS s FROM {{units}}),
-    walk AS (SELECT plan_id, unit_id, unit_id AS at, s AS total FROM own
-        UNION ALL SELECT w.plan_id, w.unit_id, e.unit_id, w.total + o.s FROM walk w JOIN {{acyclic_edges}} e ON e.plan_id = w.plan_id AND e.pred_id = w.at AND e.kind <> 'failure' JOIN own o ON o.plan_id = e.plan_id AND o.unit_id = e.unit_id)"""
+    walk AS (SELECT o.plan_id, o.unit_id, o.unit_id AS at, o.s AS total FROM own o LEFT JOIN unbounded b ON b.plan_id = o.plan_id AND b.u = o.unit_id WHERE b.u IS NULL
+        UNION ALL SELECT w.plan_id, w.unit_id, l.v, w.total + o.s FROM walk w JOIN links l ON l.plan_id = w.plan_id AND l.u = w.at JOIN own o ON o.plan_id = l.plan_id AND o.unit_id = l.v),
+    paths AS (SELECT o.plan_id, o.unit_id, any_value(o.s) AS s, max(w.total) AS p FROM own o LEFT JOIN walk w ON w.plan_id = o.plan_id AND w.unit_id = o.unit_id GROUP BY 1, 2)"""
 
 
-@query(f"WITH RECURSIVE {_PATHS} SELECT plan_id, unit_id, round(max(total), 6) AS path_s FROM walk WHERE plan_id % 10 <> 3 GROUP BY 1, 2")
+@query(f"WITH RECURSIVE {_PATHS} SELECT plan_id, unit_id, round(p, 6) AS path_s FROM paths")
 def longest_path(spark, d):
-    u = _timed(spark, d).where("plan_id % 10 <> 3")
-    return _r(graph.longest_path(u, view(spark, d, "acyclic_edges"), "s"), "path_s")
+    return _r(graph.longest_path(_timed(spark, d), view(spark, d, "edges"), "s"), "path_s")
 
 
-@query(f"""
-    WITH RECURSIVE {_PATHS}, best AS (SELECT plan_id, unit_id, max(total) AS p FROM walk WHERE plan_id % 10 <> 3 GROUP BY 1, 2)
-    SELECT plan_id, round(sum(s), 6) AS serial_s, round(max(p), 6) AS longest_s FROM own JOIN best USING (plan_id, unit_id) GROUP BY 1""")
+@query(f"WITH RECURSIVE {_PATHS} SELECT plan_id, round(sum(s), 6) AS serial_s, round(CASE WHEN count(p) = count(*) THEN max(p) END, 6) AS longest_s FROM paths GROUP BY 1")
 def forecast_bounds(spark, d):
-    u = _timed(spark, d).where("plan_id % 10 <> 3")
-    p = graph.longest_path(u, view(spark, d, "acyclic_edges"), "s")
-    return _r(u.join(p, ["plan_id", "unit_id"]).groupBy("plan_id").agg(F.sum("s").alias("serial_s"), F.max("path_s").alias("longest_s")), "serial_s", "longest_s")
+    u = _timed(spark, d)
+    met = u.join(graph.longest_path(u, view(spark, d, "edges"), "s"), ["plan_id", "unit_id"])
+    longest = F.when(F.count("path_s") == F.count("*"), F.max("path_s"))
+    return _r(met.groupBy("plan_id").agg(F.sum("s").alias("serial_s"), longest.alias("longest_s")), "serial_s", "longest_s")
 
 
 @query(f"""
-    WITH RECURSIVE {_CLOSURE}, seed AS (SELECT DISTINCT c.plan_id, c.unit_id FROM {{claims}} c LEFT JOIN {{capacities}} k USING (plan_id, resource) WHERE c.units > coalesce(k.capacity, 1) AND c.resource <> 'license')
+    WITH RECURSIVE {_CLOSURE}, seed AS (SELECT DISTINCT c.plan_id, c.unit_id FROM {{claims}} c LEFT JOIN {{capacities}} k USING (plan_id, resource) WHERE c.units > coalesce(k.capacity, 1) )
     SELECT DISTINCT plan_id, unit_id FROM (SELECT * FROM seed UNION SELECT c.plan_id, c.unit_id FROM closure c JOIN seed s ON s.plan_id = c.plan_id AND s.unit_id = c.ancestor)""")
 def blocked_units(spark, d):
-    bad = hosts.unsatisfiable(view(spark, d, "claims").where("resource <> 'license'"), view(spark, d, "capacities")).select("plan_id", "unit_id").distinct()
+    bad = hosts.unsatisfiable(view(spark, d, "claims"), view(spark, d, "capacities")).select("plan_id", "unit_id").distinct()
     return graph.with_descendants(bad, graph.ancestors(view(spark, d, "edges")))
 
 
 @query("""
     WITH RECURSIVE st AS (SELECT plan_id, unit_id, rn, CASE WHEN rn = 1 THEN CASE WHEN status_code = 'O' THEN 'failed' ELSE 'succeeded' END WHEN rn = 2 THEN CASE WHEN status_code = 'F' THEN 'failed' ELSE 'succeeded' END ELSE 'pending' END AS status FROM {units}),
-    dep AS (SELECT e.plan_id, e.unit_id, e.pred_id, e.kind FROM {acyclic_edges} e),
+    dep AS (SELECT e.plan_id, e.unit_id, e.pred_id, e.kind FROM {edges} e),
     sk AS (
         SELECT s.plan_id, s.unit_id FROM st s JOIN dep e USING (plan_id, unit_id) JOIN st p ON p.plan_id = e.plan_id AND p.unit_id = e.pred_id
         WHERE s.status = 'pending' AND p.status <> 'pending' AND e.kind <> 'order' AND ((e.kind = 'failure' AND p.status = 'succeeded') OR (e.kind <> 'failure' AND p.status <> 'succeeded'))
@@ -209,7 +222,7 @@ def blocked_units(spark, d):
     SELECT st.plan_id, st.unit_id, CASE WHEN k.unit_id IS NOT NULL THEN 'skipped' ELSE st.status END AS status FROM st LEFT JOIN (SELECT DISTINCT * FROM sk) k USING (plan_id, unit_id)""")
 def skip_cascade(spark, d):
     s = F.expr("CASE WHEN rn = 1 THEN CASE WHEN status_code = 'O' THEN 'failed' ELSE 'succeeded' END WHEN rn = 2 THEN CASE WHEN status_code = 'F' THEN 'failed' ELSE 'succeeded' END ELSE 'pending' END")
-    return graph.skip_cascade(view(spark, d, "units").withColumn("status", s), view(spark, d, "acyclic_edges"))
+    return graph.skip_cascade(view(spark, d, "units").withColumn("status", s), view(spark, d, "edges"))
 
 
 @query(f"""
@@ -441,11 +454,16 @@ def carry_forward(spark, d):
 
 
 @query("""
-    WITH old AS (SELECT event_id, value FROM {events} WHERE event_id < 400), new AS (SELECT event_id, value + 1 AS value FROM {events} WHERE event_id BETWEEN 300 AND 450)
+    WITH m AS (SELECT max(CAST(ts AS DATE)) AS newest FROM {events}),
+    old AS (SELECT event_id, value FROM {events}, m WHERE CAST(ts AS DATE) < newest),
+    new AS (SELECT event_id, value + 1 AS value FROM {events}, m WHERE CAST(ts AS DATE) >= newest - INTERVAL 1 DAY)
     SELECT * FROM (SELECT * FROM old WHERE event_id NOT IN (SELECT event_id FROM new) UNION ALL SELECT * FROM new) ORDER BY event_id DESC LIMIT 180""")
 def keep_last_n(spark, d):
-    e = view(spark, d, "events").select("event_id", "value")
-    return history.append_keeping(e.where("event_id < 400"), e.where("event_id between 300 and 450").withColumn("value", F.col("value") + 1), "event_id", "event_id")
+    """The history ends a day before the newest; the batch brings the two newest days anew."""
+    e = view(spark, d, "events").select("event_id", "value", F.to_date("ts").alias("day"))
+    newest = F.lit(e.agg(F.max("day")).first()[0]).cast("date")
+    old, new = e.where(F.col("day") < newest), e.where(F.col("day") >= F.date_sub(newest, 1)).withColumn("value", F.col("value") + 1)
+    return history.append_keeping(old.drop("day"), new.drop("day"), "event_id", "event_id")
 
 
 @query("SELECT event_type AS counter, count(*)::DOUBLE AS value, 2000.0::DOUBLE AS target, round(count(*) / 2000.0::DOUBLE, 6) AS ratio FROM {events} WHERE event_type IN ('click', 'view') GROUP BY 1")

@@ -40,6 +40,13 @@ VIEWS = {
                CASE concat(l_returnflag, l_linestatus) WHEN 'RF' THEN 'read' WHEN 'RO' THEN 'snapshot' WHEN 'NF' THEN 'create' WHEN 'NO' THEN 'overwrite' ELSE 'append' END AS mode,
                o_orderpriority IN ('1-URGENT', '2-HIGH') AS commutative
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
+    "file_accesses": """
+        SELECT DISTINCT o_custkey AS plan_id, l_orderkey AS unit_id,
+               CASE l_linenumber % 3 WHEN 0 THEN concat('/d', CAST(l_suppkey % 9 AS VARCHAR(20))) WHEN 1 THEN concat('/d', CAST(l_suppkey % 9 AS VARCHAR(20)), '/s', CAST(l_partkey % 3 AS VARCHAR(20)))
+                    ELSE concat('/d', CAST(l_suppkey % 9 AS VARCHAR(20)), '/s', CAST(l_partkey % 3 AS VARCHAR(20)), '/f', CAST(l_partkey % 11 AS VARCHAR(20))) END AS resource,
+               CASE concat(l_returnflag, l_linestatus) WHEN 'RF' THEN 'read' WHEN 'RO' THEN 'snapshot' WHEN 'NF' THEN 'create' WHEN 'NO' THEN 'overwrite' ELSE 'append' END AS mode,
+               o_orderpriority IN ('1-URGENT', '2-HIGH') AS commutative
+        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
     "effects": """
         SELECT DISTINCT o_custkey AS plan_id, l_orderkey AS unit_id, l_returnflag AS domain, l_suppkey AS key,
                CASE l_linestatus WHEN 'F' THEN 'read' ELSE 'write' END AS mode, o_orderpriority IN ('1-URGENT', '2-HIGH') AS commutative

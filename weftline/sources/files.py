@@ -68,7 +68,7 @@ def newest_files(files: DataFrame, n: int) -> DataFrame:
 def tail_sample(spark: SparkSession, path: str, n_bytes: int = 256 * 1024) -> DataFrame:
     """(path, text): the last bytes of each file from the first whole line on; a sampling option."""
     f = spark.read.format("binaryFile").load(path)
-    tail = F.substring("content", F.greatest(F.lit(1), F.col("length").cast("int") - n_bytes + 1), F.lit(n_bytes)).cast("string")
+    tail = F.when(F.col("length") > n_bytes, F.substring("content", -n_bytes, n_bytes)).otherwise(F.col("content")).cast("string")
     return f.select("path", F.when(F.col("length") > n_bytes, F.regexp_replace(tail, r"^[^\n]*\n", "")).otherwise(tail).alias("text"))
 
 
