@@ -50,7 +50,7 @@ from weftline.llm.common import MOST_BITS, bit_filter, filter_bits, hashed_texts
 #: weight of order two, unseen mass of orders one and two
 WEIGHT, UNSEEN, MASS = 0.6, 0.5, 20.0
 #: share of a gram that is sent to all tasks; tokens of a block of questions; grams that a task holds; bytes of text of a part
-HOT_BITS, BLOCK_TOKENS, HELD, PART_BYTES, LEAST_PARTS = 18, 1 << 20, 4_000_000, 1 << 24, 256
+HOT_BITS, BLOCK_TOKENS, HELD, PART_BYTES, LEAST_PARTS = 18, 1 << 18, 1_500_000, 1 << 24, 256
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 MESSAGE = "key int, kind int, a binary, b binary, c binary, d binary"
