@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import bit_filter, filter_bits, hashed_texts, long_array, own_columns, passes, shingles, without, written
 
-WIDTH, THRESHOLD = 5, 0.8
+#: the sketch filter has so many bits at least, as one stranger among a long document's shingles lets it through
+WIDTH, THRESHOLD, DOC_BITS = 5, 0.8, 24
 
 
 def _shingle_text(data: bytes, starts: np.ndarray, ends: np.ndarray, first: int, last: int) -> str:
@@ -94,7 +95,7 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
     table = written(item_shingles(items, item_id_col, item_text_col, width), "decontam-items")
     sizes = written(sketches(table, threshold), "decontam-sketches")
     sketch = sizes.select("id", F.explode("sketch").alias("h"))
-    in_sketch = spark.sparkContext.broadcast(bit_filter(sketch, "h", filter_bits(sketch.count())))
+    in_sketch = spark.sparkContext.broadcast(bit_filter(sketch, "h", max(DOC_BITS, filter_bits(sketch.count()))))
     in_items = spark.sparkContext.broadcast(bit_filter(table, "h", filter_bits(table.count())))
 
     def keep(sh: np.ndarray, text: np.ndarray) -> np.ndarray:
