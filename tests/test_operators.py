@@ -127,3 +127,59 @@ def test_evidence_of_old_commits(spark):
     changes = spark.createDataFrame([("h", "docs/a"), ("m", "src/x")], "commit string, path string")
     r = spark.createDataFrame([(1, "h"), (2, "m"), (3, "b"), (4, "z")], "run_id int, commit string")
     assert rows(evidence.evidence_still_valid(r, closure, changes, "h"), "run_id", "valid") == [(1, True), (2, True), (3, False), (4, False)]
+
+
+def test_data_flow_of_nested_files(spark):
+    s = "plan_id string, unit_id long, resource string, mode string, commutative boolean"
+    a = [
+        ("edge", 1, "/o/a", "create"), ("edge", 2, "/o", "read"),
+        ("back", 1, "/o", "read"), ("back", 2, "/o/a", "create"),
+        ("both", 1, "/a", "create"), ("both", 2, "/a", "read"), ("both", 2, "/b", "create"), ("both", 1, "/b", "snapshot"),
+        ("many", 1, "/a", "create"), ("many", 2, "/a", "create"), ("many", 3, "/a", "read"),
+        ("name", 1, "/ab", "create"), ("name", 2, "/a", "read"),
+    ]
+    acc = spark.createDataFrame([(*x, False) for x in a], s)
+    closure = spark.createDataFrame([("back", 2, 1), ("many", 3, 1)], "plan_id string, unit_id long, ancestor long")
+    got = rows(conflicts.data_flow(acc, closure), "plan_id", "code", "first", "second")
+    assert got == [
+        ("back", "CONTRADICTORY_DATA_ORDER", 2, 1),
+        ("both", "BIDIRECTIONAL_DATA_FLOW", 1, 2),
+        ("edge", "DATA_EDGE", 1, 2),
+        ("many", "UNORDERED_ARTIFACT_CONFLICT", 1, 2),
+        ("many", "UNORDERED_ARTIFACT_CONFLICT", 2, 3),
+    ]
+
+
+def test_fingerprint_counts_repeats_but_not_order(spark):
+    r = [("p", "unit", i, "read") for i in range(500)]
+    df = spark.createDataFrame(r + [("q", *x[1:]) for x in r] + [("q", "unit", 7, "read")], "plan_id string, part string, a long, t string")
+    one, two = ({x["plan_id"]: x["fingerprint"] for x in evidence.fingerprint(d, "plan_id", ["part", "a", "t"]).collect()} for d in (df, df.orderBy(F.desc("a")).repartition(5)))
+    assert one == two and one["p"] != one["q"] and len(one["p"]) == 64
+
+
+def test_claims_from_costs(spark):
+    u = spark.createDataFrame([("p", 1, 2.0, None, "cpu", 8.0), ("p", 2, None, 64.0, "accelerator", None)], "plan_id string, unit_id int, cores double, memory_mb double, profile string, inner_tokens double")
+    c = spark.createDataFrame([("p", 1, "cpu_core", 3.0), ("p", 1, "cpu_core", 1.0), ("p", 2, "worker_slot", 2.0), ("p", 2, "disk", 1.0)], "plan_id string, unit_id int, resource string, units double")
+    assert rows(hosts.claims_with_costs(c, u), "unit_id", "resource", "units") == [(1, "cpu_core", 8.0), (1, "worker_slot", 1.0), (2, "accelerator_slot", 1.0), (2, "disk", 1.0), (2, "memory_mb", 64.0), (2, "worker_slot", 2.0)]
+
+
+def test_stale_needs_proof(spark):
+    s = spark.createDataFrame([("a", 1, "x", 0.0), ("b", 2, "x", 0.0), ("c", 3, "x", 0.0), ("d", 4, None, 0.0), ("e", 5, "x", 90.0)], "session_id string, pid int, identity string, heartbeat_at double")
+    p = spark.createDataFrame([(1, False, None), (2, True, "y"), (3, True, "x"), (4, True, "y"), (5, False, None)], "pid int, alive boolean, identity string")
+    assert rows(hosts.stale_sessions(s, p, F.lit(100.0)), "session_id") == [("a",), ("b",)]
+
+
+def test_requirements_may_be_absent_or_overridden(spark):
+    scored = spark.createDataFrame([("p", "none", 1, False, []), ("p", "few", 1, False, []), ("q", "few", 1, True, []), ("q", "strict", 1, True, []), ("r", "glob", 3, False, ["b"]), ("s", "glob", 3, False, [])], "project string, scenario string, sources int, hinted boolean, globs_hit array<string>")
+    need = spark.createDataFrame([("few", 2, None, None), ("strict", 2, None, False), ("glob", None, ["a", "b"], None)], "scenario string, min_sources int, any_globs array<string>, hint_overrides boolean")
+    assert rows(hosts.requirement_gate(scored, need), "project", "scenario") == [("p", "none"), ("q", "few"), ("r", "glob")]
+
+
+def test_evidence_with_nulls_does_not_pass(spark):
+    stored = spark.createDataFrame([(1, 2.0, 4.0, 2.0, 1.0, 2.0, 50.0, 1.0, 2), (2, 0.0, 4.0, 4.0, 1.0, None, 100.0, None, 2)], "run_id int, wall_s double, serial_s double, saved_s double, minimum_s double, speedup double, percent double, efficiency double, peak int")
+    tasks = spark.createDataFrame([(1, 1.0), (1, 3.0), (2, 1.0), (2, 3.0)], "run_id int, worker_s double")
+    assert rows(runs.evidence_errors(stored, tasks), "run_id", "wrong") == [(2, ["bounds", "speedup", "efficiency"])]
+    summary = spark.createDataFrame([(1, 1, 1, 1, True, True, 2, 2, 0, "h"), (2, 1, 1, 1, None, True, 2, 2, 0, "h"), (3, 1, 1, 1, True, True, 2, 2, 0, "h")], "run_id int, suite_id int, workers int, snapshots int, declared boolean, covered boolean, tests int, passed int, skipped int, case_set string")
+    results = spark.createDataFrame([(1, 1, "succeeded"), (2, 1, "succeeded"), (3, 1, "succeeded"), (3, 2, "succeeded")], "run_id int, suite_id int, status string")
+    r = spark.createDataFrame([(i, 0, 1) for i in (1, 2, 3, 4)], "run_id int, native_pools int, peak int")
+    assert rows(evidence.serial_baselines(r, summary, results), "run_id", "eligible") == [(1, True), (2, False), (3, False), (4, False)]

@@ -68,3 +68,55 @@ def test_credit_once_survives_replay(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(f"{tmp_path}/out").agg(F.sum("saved_s")).first()[0] == 6.0
+
+
+def test_lines_keep_their_numbers_over_blocks(spark, tmp_path):
+    lines = [json.dumps({"type": "event", "payload": {"call_id": str(i)}}) if i % 3 else "{broken" for i in range(400)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = [(r["line_no"], r["payload"]["call_id"]) for r in files.read_traces(spark, str(tmp_path)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted(got) == [(i, str(i)) for i in range(400) if i % 3]
+
+
+def test_histories_of_both_shapes(spark, tmp_path):
+    run = lambda i, **k: {"run_id": i, "status": "passed", "wall_time_seconds": 1.0, "serial_equivalent_seconds": 4.0, "saved_seconds": 3.0, "speedup_multiplier": 4.0, **k}
+    new = {"realms": {"Linux Box": {"latest": run("b"), "history": [run("a"), run("b@linux-box")]}, "mac": {"history": [run("c", execution_realm="macos_native")]}}, "history": [run("unread")]}
+    old = {"latest": run("z", execution_realm="windows_native"), "history": [run("y"), run("x", execution_realm="mac")]}
+    for n, d in (("new", new), ("old", old), ("none", {})):
+        (tmp_path / f"{n}.json").write_text(json.dumps(d, indent=1))
+    (tmp_path / "bad.json").write_text("{")
+    got = sorted((r["realm"], r["run_id"], r["saved_s"]) for r in files.read_bench_history(spark, str(tmp_path)).collect())
+    assert got == [("linux-box", "a@linux-box", 3.0), ("linux-box", "b@linux-box", 3.0), ("mac", "x@mac", 3.0), ("macos_native", "c@macos_native", 3.0), ("windows_native", "y@windows_native", 3.0)]
+
+
+def test_project_results(spark, tmp_path):
+    (tmp_path / "r.json").write_text(json.dumps({"schema_version": "1.2", "results": [{"id": "a", "repetitions": 3, "parallel": {"speedup": 2.0}}, {"id": "b", "environment": {"os": "x"}}]}, indent=1))
+    (tmp_path / "e.json").write_text(json.dumps({"schema_version": "1.2", "results": []}))
+    (tmp_path / "bad.json").write_text("[{")
+    got = sorted((r["schema_version"], r["id"], r["repetitions"], r["parallel"]["speedup"] if r["parallel"] else None) for r in files.read_project_results(spark, str(tmp_path)).collect())
+    assert got == [("1.2", "a", 3, 2.0), ("1.2", "b", None, None)]
+
+
+def test_task_events_feed_the_counters(spark, tmp_path):
+    e = [{"run_id": "r", "event": "start", "ts": "2024-01-01T00:00:00"}, {"run_id": "r", "event": "end", "status": "succeeded", "duration_s": 2.0, "ts": "2024-01-01T00:00:02"}, {"run_id": "r", "event": "other"}, {"event": "start"}]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join(map(json.dumps, e)) + "\n{broken\n")
+    got = run_stream(spark, live.run_counters(live.task_events(spark, str(tmp_path / "in"))), "fed", "complete")
+    assert [(r["run_id"], r["running"], r["completed"]) for r in got] == [("r", 0, 1)]
+
+
+def test_silence_alone_reclaims_nothing(spark, tmp_path):
+    t = lambda s: f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}"
+    # a: silent and gone; b: silent, no proof; c: proof while it still beats; d: proof without a heartbeat
+    beats = [("a", t(0)), ("a", t(5)), ("b", t(0)), ("c", t(0)), ("c", t(10)), ("c", t(20))]
+    proofs = [("a", t(30), True), ("b", t(40), False), ("c", t(12), True), ("d", t(900), True)]
+    h = spark.createDataFrame(beats, "session_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    p = spark.createDataFrame(proofs, "session_id string, ts string, gone boolean").withColumn("ts", F.col("ts").cast("timestamp"))
+    for n, df in (("h", h), ("p", p)):
+        df.coalesce(1).write.parquet(f"{tmp_path}/{n}")
+    sh, sp = (spark.readStream.schema(df.schema).parquet(f"{tmp_path}/{n}") for n, df in (("h", h), ("p", p)))
+    got = run_stream(spark, live.reclaimable(sh, sp), "gone", "append")
+    assert [r["session_id"] for r in got] == ["a"]

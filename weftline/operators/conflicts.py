@@ -38,6 +38,14 @@ def access_conflicts(accesses: DataFrame) -> DataFrame:
     return met.select("x.plan_id", F.col("x.unit_id").alias("first"), F.col("y.unit_id").alias("second"), "x.resource", F.col("x.mode").alias("first_mode"), F.col("y.mode").alias("second_mode"))
 
 
+def _nested_pairs(rows: DataFrame, harmless: Column) -> DataFrame:
+    """As ``_pairs``, for resources that are equal or nested."""
+    parts = F.split("resource", "/")
+    ups = F.transform(F.sequence(F.when(F.startswith("resource", F.lit("/")), 2).otherwise(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    whole = (F.col("x.key") == F.col("x.resource")) | (F.col("y.key") == F.col("y.resource"))
+    return _pairs(rows.withColumn("key", F.explode(ups)), ["key"], harmless | ~whole)
+
+
 def nested_conflicts(accesses: DataFrame) -> DataFrame:
     """(plan_id, first, second, first_resource, second_resource): accesses to files where one is the
     other or lies below it.
@@ -45,12 +53,7 @@ def nested_conflicts(accesses: DataFrame) -> DataFrame:
     Each path is exploded into itself and the directories above it; two paths overlap where one of
     them is the shared key itself, so that nesting is an equality join and each pair meets once.
     """
-    rows = accesses.select("plan_id", "unit_id", "resource", "mode", "commutative").distinct()
-    parts = F.split("resource", "/")
-    ups = F.transform(F.sequence(F.when(F.startswith("resource", F.lit("/")), 2).otherwise(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    deep = rows.withColumn("key", F.explode(ups))
-    whole = (F.col("x.key") == F.col("x.resource")) | (F.col("y.key") == F.col("y.resource"))
-    met = _pairs(deep, ["key"], _both("mode", SHARED_MODES) | _append_freely() | ~whole)
+    met = _nested_pairs(accesses.select("plan_id", "unit_id", "resource", "mode", "commutative").distinct(), _both("mode", SHARED_MODES) | _append_freely())
     return met.select("x.plan_id", F.col("x.unit_id").alias("first"), F.col("y.unit_id").alias("second"), F.col("x.resource").alias("first_resource"), F.col("y.resource").alias("second_resource")).distinct()
 
 
@@ -126,14 +129,52 @@ def contradictions(candidates: DataFrame, edges: DataFrame, closure: DataFrame)
     return out.select("plan_id", "producer", "consumer", *[F.coalesce(c, no).alias(c) for c in ("both_ways", "against_order", "already_ordered")])
 
 
-def unit_conflict_reasons(accesses: DataFrame, exclusive: DataFrame, serial: DataFrame) -> DataFrame:
+def data_flow(accesses: DataFrame, closure: DataFrame) -> DataFrame:
+    """(plan_id, code, first, second, detail): what accesses to equal or nested files say of the order of two units.
+
+    A create before a read or snapshot flows from its unit to the other, unless several units create
+    the resource. Flow in one direction alone is a ``DATA_EDGE`` from first to second, against the
+    dependencies a ``CONTRADICTORY_DATA_ORDER``, along them nothing new; in both directions a
+    ``BIDIRECTIONAL_DATA_FLOW``. Any other harmful overlap is ambiguous: it takes the edge away, and is an
+    ``UNORDERED_ARTIFACT_CONFLICT`` where dependencies do not order the units.
+    """
+    many = creators(accesses).where("creators > 1").select("plan_id", "resource", F.lit(True).alias("many"))
+    rows = accesses.select("plan_id", "unit_id", "resource", "mode", "commutative").distinct().join(many, ["plan_id", "resource"], "left").withColumn("sole", (F.col("mode") == "create") & F.col("many").isNull())
+    met = _nested_pairs(rows, _both("mode", SHARED_MODES) | _append_freely())
+    ahead = F.col("x.sole") & F.col("y.mode").isin(*SHARED_MODES)
+    behind = F.col("y.sole") & F.col("x.mode").isin(*SHARED_MODES)
+    clash = F.concat(F.col("x.mode"), F.lit("/"), F.col("y.mode"), F.lit(" on "), F.col("x.resource"), F.lit(" and "), F.col("y.resource"))
+    pair = met.groupBy("x.plan_id", F.col("x.unit_id").alias("first"), F.col("y.unit_id").alias("second")).agg(
+        F.array_sort(F.collect_set(F.when(ahead, F.col("x.resource")))).alias("ahead"), F.array_sort(F.collect_set(F.when(behind, F.col("y.resource")))).alias("behind"), F.array_sort(F.collect_set(F.when(~ahead & ~behind, clash))).alias("clash")
+    )
+    anc = closure.select("plan_id", "unit_id", "ancestor").distinct()
+    after = anc.select("plan_id", F.col("unit_id").alias("second"), F.col("ancestor").alias("first"), F.lit(True).alias("after"))
+    before = anc.select("plan_id", F.col("unit_id").alias("first"), F.col("ancestor").alias("second"), F.lit(True).alias("before"))
+    o = pair.join(after, ["plan_id", "first", "second"], "left").join(before, ["plan_id", "first", "second"], "left")
+    o = o.withColumns({"after": F.coalesce("after", F.lit(False)), "before": F.coalesce("before", F.lit(False))})
+    has = lambda c: F.size(c) > 0
+    row = lambda code, a, b, items, sep=",": F.struct(F.lit(code).alias("code"), F.col(a).alias("first"), F.col(b).alias("second"), F.array_join(items, sep).alias("detail"))
+    one = lambda a, b, items, against, along: F.when(F.col(against), row("CONTRADICTORY_DATA_ORDER", a, b, items)).when(~F.col(along), row("DATA_EDGE", a, b, items))
+    both = F.array_sort(F.array_union("ahead", "behind"))
+    flow = (
+        F.when(has("ahead") & has("behind"), row("BIDIRECTIONAL_DATA_FLOW", "first", "second", both))
+        .when(has("clash"), F.lit(None))
+        .when(has("ahead"), one("first", "second", F.col("ahead"), "before", "after"))
+        .when(has("behind"), one("second", "first", F.col("behind"), "after", "before"))
+    )
+    loose = F.when(has("clash") & ~F.col("after") & ~F.col("before"), row("UNORDERED_ARTIFACT_CONFLICT", "first", "second", F.col("clash"), "; "))
+    return o.select("plan_id", F.explode(F.array_compact(F.array(flow, loose))).alias("f")).select("plan_id", "f.*")
+
+
+def unit_conflict_reasons(accesses: DataFrame, exclusive: DataFrame, serial: DataFrame, nested: bool = False) -> DataFrame:
     """(plan_id, first, second, reasons): write-write, write-read, shared exclusive resource, forced serial.
 
-    ``exclusive``: (plan_id, unit_id, resource) held alone; ``serial``: (plan_id, unit_id) that run alone.
+    ``exclusive``: (plan_id, unit_id, resource) held alone; ``serial``: (plan_id, unit_id) that run alone;
+    ``nested``: resources are paths, and a folder overlaps what lies below it.
     """
     kind = F.when(F.col("mode").isin(*SHARED_MODES), "read").otherwise("write")
     rows = accesses.select("plan_id", "unit_id", "resource", kind.alias("mode"), F.lit(False).alias("commutative")).distinct()
-    met = _pairs(rows, ["resource"], _both("mode", ("read",)))
+    met = _nested_pairs(rows, _both("mode", ("read",))) if nested else _pairs(rows, ["resource"], _both("mode", ("read",)))
     reason = F.when((F.col("x.mode") == "write") & (F.col("y.mode") == "write"), "write-write").when(F.col("x.mode") == "write", "write-read").otherwise("read-write")
     cols = ["plan_id", "first", "second", "reason"]
     hit = met.select("x.plan_id", F.col("x.unit_id").alias("first"), F.col("y.unit_id").alias("second"), reason.alias("reason"))

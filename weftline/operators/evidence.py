@@ -19,10 +19,12 @@ def snapshot_drift(expected: DataFrame, current: DataFrame) -> DataFrame:
     return e.join(c, ["plan_id", "path"], "full_outer").select("plan_id", "path", state.alias("state"))
 
 
-def hotspot_spans(spans: DataFrame, hotspots: DataFrame) -> DataFrame:
+def hotspot_spans(spans: DataFrame, hotspots: DataFrame, block: int = 64) -> DataFrame:
     """(path, span_id, hotspot_id, wall_s): of the hotspots inside a span the one with the largest
-    wall time, then the lowest line."""
-    met = spans.join(hotspots, "path").where((F.col("first_line") <= F.col("line")) & (F.col("line") <= F.col("last_line")))
+    wall time, then the lowest line. They meet by path and block of lines, not by path alone."""
+    at = lambda c: F.floor(F.col(c) / block)
+    cut = spans.where("first_line <= last_line").withColumn("block", F.explode(F.sequence(at("first_line"), at("last_line"))))
+    met = cut.join(hotspots.withColumn("block", at("line")), ["path", "block"]).where((F.col("first_line") <= F.col("line")) & (F.col("line") <= F.col("last_line")))
     best = F.max_by(F.struct("hotspot_id", "wall_s"), F.struct("wall_s", -F.col("line"), -F.col("hotspot_id"))).alias("b")
     return met.groupBy("path", "span_id").agg(best).select("path", "span_id", "b.hotspot_id", "b.wall_s")
 
@@ -35,6 +37,26 @@ def baseline_match(cases: DataFrame) -> DataFrame:
     return out.select("suite_id", "serial_set", "parallel_set", (F.col("serial_set") == F.col("parallel_set")).alias("same"))
 
 
+def baseline_compatible(baselines: DataFrame, reports: DataFrame) -> DataFrame:
+    """(suite_id, compatible): a serial baseline fits a fresh parallel report of its suite: as many tests, as
+    many passed, none skipped on either side, the same case set, and the report counts as evidence.
+    Both: suite_id, tests, passed, skipped, case_set; reports also eligible. Null on either side: not compatible."""
+    b = baselines.select("suite_id", *[F.col(c).alias(f"b_{c}") for c in ("tests", "passed", "skipped", "case_set")])
+    fits = F.col("eligible") & (F.col("b_tests") == F.col("tests")) & (F.col("b_passed") == F.col("passed")) & (F.col("b_skipped") == 0) & (F.col("skipped") == 0) & (F.col("b_case_set") == F.col("case_set"))
+    return b.join(reports, "suite_id").select("suite_id", F.coalesce(fits, F.lit(False)).alias("compatible"))
+
+
+def fingerprint(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, fingerprint): SHA-256 over all rows of a key, whatever their order, repeats included.
+
+    Rows are hashed as JSON, digests of equal first three hex digits are hashed in sorted order, and
+    these again, so that no group holds more than a small part of a large key's digests.
+    """
+    digest = rows.select(key, F.sha2(F.to_json(F.struct(*fields)), 256).alias("d"))
+    joined = lambda: F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ","), 256).alias("d")
+    return digest.groupBy(key, F.substring("d", 1, 3).alias("part")).agg(joined()).groupBy(key).agg(joined()).withColumnRenamed("d", "fingerprint")
+
+
 def case_fingerprint(cases: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, fingerprint): SHA-256 of the sorted case identities, whatever the order of rows."""
     identity = F.struct("classname", "name", "file", "line")
@@ -73,6 +95,33 @@ def inconsistent_reports(stored: DataFrame, cases: DataFrame, key: list[str], to
     return stored.select(*key, F.col(total).alias("stored")).join(seen, key, "full_outer").where(~F.col("stored").eqNullSafe(F.col("observed")))
 
 
+def domain_errors(stored: DataFrame, cases: DataFrame) -> DataFrame:
+    """(module, wrong): stored counts (total, passed, failed, errors, skipped) that are not those of the cases
+    (module, status). ``missing``: cases without a stored module; ``unknown``: the other way round."""
+    names = {"passed": "passed", "failed": "failed", "errors": "error", "skipped": "skipped"}
+    seen = cases.groupBy("module").agg(F.count("*").alias("s_total"), *[_num(F.col("status") == v).alias(f"s_{k}") for k, v in names.items()])
+    met = stored.withColumn("s", F.lit(True)).join(seen, "module", "full_outer")
+    off = [F.when(~F.col(k).eqNullSafe(F.col(f"s_{k}")), k) for k in ("total", *names)]
+    wrong = F.when(F.col("s").isNull(), F.array(F.lit("missing"))).when(F.col("s_total").isNull(), F.array(F.lit("unknown"))).otherwise(F.array_compact(F.array(*off)))
+    return met.select("module", wrong.alias("wrong")).where(F.size("wrong") > 0)
+
+
+def serial_baselines(runs: DataFrame, suites: DataFrame, results: DataFrame) -> DataFrame:
+    """(run_id, eligible): whether a run may serve as a serial baseline: no native pool, one task at a time,
+    each suite with one worker, its sources declared and covered, passed wholly and nothing skipped, and a
+    succeeded result for exactly these suites. ``runs``: run_id, native_pools, peak; ``suites``: run_id,
+    suite_id, workers, snapshots, declared, covered, tests, passed, skipped, case_set; ``results``: run_id,
+    suite_id, status. Nulls speak against it, as does a run without suites."""
+    c = F.col
+    fit = (c("workers") == 1) & (c("snapshots") >= 1) & c("declared") & c("covered") & (c("skipped") == 0) & (c("passed") == c("tests")) & c("case_set").isNotNull()
+    s = suites.groupBy("run_id", "suite_id").agg(F.bool_and(F.coalesce(fit, F.lit(False))).alias("fit"), F.count("*").alias("ns"))
+    r = results.groupBy("run_id", "suite_id").agg(F.bool_and(F.coalesce(c("status") == "succeeded", F.lit(False))).alias("won"), F.count("*").alias("nr"))
+    each = F.coalesce(c("fit") & c("won") & (c("ns") == c("nr")), F.lit(False))
+    per = s.join(r, ["run_id", "suite_id"], "full_outer").groupBy("run_id").agg(F.bool_and(each).alias("each"))
+    good = (c("native_pools") == 0) & (c("peak") == 1) & c("each")
+    return runs.join(per, "run_id", "left").select("run_id", F.coalesce(good, F.lit(False)).alias("eligible"))
+
+
 def baseline_eligible(summary: DataFrame) -> DataFrame:
     """(run_id, eligible): all suites of a run passed wholly, nothing skipped, counts as declared."""
     return summary.groupBy("run_id").agg(F.bool_and((F.col("passed") == F.col("tests")) & (F.col("skipped") == 0) & F.col("consistent")).alias("eligible"))

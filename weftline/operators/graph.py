@@ -48,6 +48,16 @@ def _peel(own: DataFrame, links: DataFrame) -> DataFrame:
     raise RuntimeError("too many levels")
 
 
+def ready_order(units: DataFrame, edges: DataFrame, priority: str) -> DataFrame:
+    """(plan_id, unit_id, place): pending units that wait for no pending one, from the highest priority down,
+    then by id. ``units``: plan_id, unit_id, status and the priority."""
+    pending = units.where("status = 'pending'")
+    ahead = pending.select("plan_id", F.col("unit_id").alias("pred_id"))
+    waits = edges.select("plan_id", "unit_id", "pred_id").join(ahead, ["plan_id", "pred_id"], "left_semi").select("plan_id", "unit_id")
+    w = Window.partitionBy("plan_id").orderBy(F.desc_nulls_last(priority), "unit_id")
+    return pending.join(waits, ["plan_id", "unit_id"], "left_anti").select("plan_id", "unit_id", F.row_number().over(w).alias("place"))
+
+
 def levels(units: DataFrame, edges: DataFrame) -> DataFrame:
     """(plan_id, unit_id, level): level 0 has no predecessor, others follow their last one.
 
@@ -59,7 +69,7 @@ def levels(units: DataFrame, edges: DataFrame) -> DataFrame:
     return _peel(nodes.withColumn("own", F.lit(0.0)), links).select("plan_id", "unit_id", F.col("round").alias("level"))
 
 
-def ready_order(unit_levels: DataFrame, paths: DataFrame) -> DataFrame:
+def level_order(unit_levels: DataFrame, paths: DataFrame) -> DataFrame:
     """(plan_id, unit_id, level, path_s, place): the units of a level by longest path, then id."""
     met = unit_levels.where("level is not null").join(paths, ["plan_id", "unit_id"])
     order = Window.partitionBy("plan_id", "level").orderBy(F.desc_nulls_first("path_s"), "unit_id")

@@ -58,6 +58,28 @@ def consistency(runs: DataFrame) -> DataFrame:
     return runs.groupBy("realm").agg(F.count("*").alias("runs"), (F.count("*") == F.count_distinct("run_id")).alias("unique_ids"), F.bool_and(good).alias("arithmetic_ok"), F.max("generated_at").alias("newest"))
 
 
+def evidence(history: DataFrame, newest: DataFrame, totals: DataFrame) -> DataFrame:
+    """Per realm whether a published history holds: only passed runs, unique run ids, saved and speedup of
+    each row from its own seconds, the newest run in it once and equal, the totals its sums. Seconds within
+    .01, speedup within .0001. ``newest``: one row a realm; ``totals``: realm, run_count, wall_s, serial_s, saved_s."""
+    near = lambda a, b, by=0.01: F.coalesce(F.abs(a - b) <= by, F.lit(False))
+    c, sec = F.col, ("wall_s", "serial_s", "saved_s")
+    row = (c("wall_s") > 0) & (c("serial_s") > 0) & (c("saved_s") >= 0) & near(c("saved_s"), F.greatest(F.lit(0.0), c("serial_s") - c("wall_s"))) & near(c("speedup"), F.try_divide(c("serial_s"), c("wall_s")), 0.0001)
+    now = newest.select("realm", *[c(x).alias(f"now_{x}") for x in ("run_id", *sec, "speedup")])
+    is_now = c("run_id") == c("now_run_id")
+    equal = near(c("speedup"), c("now_speedup"), 0.0001)
+    for x in sec:
+        equal = equal & near(c(x), c(f"now_{x}"))
+    per = history.join(now, "realm", "left").groupBy("realm").agg(
+        F.bool_and(F.coalesce(c("status") == "passed", F.lit(False))).alias("all_passed"), (F.count("*") == F.count_distinct("run_id")).alias("unique_ids"), F.bool_and(F.coalesce(row, F.lit(False))).alias("arithmetic_ok"),
+        ((F.count(F.when(is_now, 1)) == 1) & (F.count(F.when(is_now & equal, 1)) == 1)).alias("current_ok"), F.count("*").alias("n"), *[F.sum(x).alias(f"sum_{x}") for x in sec],
+    )
+    good = F.coalesce(c("run_count") == c("n"), F.lit(False))
+    for x in sec:
+        good = good & near(c(x), c(f"sum_{x}"))
+    return per.join(totals, "realm", "left").select("realm", "all_passed", "unique_ids", "arithmetic_ok", "current_ok", good.alias("cumulative_ok"))
+
+
 def carry_forward(rows: DataFrame, key: str = "counter", at: str = "captured_on", value: str = "n") -> DataFrame:
     """Fills a null value from the last known one. ``stale_from_previous`` is the time of the row
     before a filled one, ``last_real_at`` that of the last real sample."""

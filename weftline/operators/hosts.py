@@ -14,6 +14,48 @@ def claim_totals(claims: DataFrame, units: DataFrame, defaults: dict[str, float]
     return summed.unionByName(base.join(summed, ["plan_id", "unit_id", "resource"], "left_anti"))
 
 
+def claims_with_costs(claims: DataFrame, units: DataFrame) -> DataFrame:
+    """(plan_id, unit_id, resource, units): summed claims; what a unit does not claim it takes from its costs:
+    one worker_slot, its cores as cpu_core, its memory_mb, an accelerator_slot of the profile accelerator.
+    ``inner_tokens`` (null unless the inner workers are known) are the least cpu_core claimed.
+    ``units``: plan_id, unit_id, cores, memory_mb, profile, inner_tokens."""
+    row = lambda resource, base, least: F.struct(F.lit(resource).alias("resource"), base.cast("double").alias("base"), least.cast("double").alias("least"))
+    no = F.lit(None)
+    given = F.array(row("worker_slot", F.lit(1.0), no), row("cpu_core", F.col("cores"), F.col("inner_tokens")), row("memory_mb", F.col("memory_mb"), no), row("accelerator_slot", F.when(F.col("profile") == "accelerator", 1.0), no))
+    ids = ["plan_id", "unit_id"]
+    base = units.select(*ids, F.explode(given).alias("g")).select(*ids, "g.*", F.lit(None).cast("double").alias("claimed"))
+    said = claims.select(*ids, "resource", F.lit(None).cast("double").alias("base"), F.lit(None).cast("double").alias("least"), F.col("units").cast("double").alias("claimed"))
+    out = base.unionByName(said).groupBy(*ids, "resource").agg(F.greatest(F.coalesce(F.sum("claimed"), F.max("base")), F.max("least")).alias("units"))
+    return out.where("units is not null")
+
+
+def resource_bounds(units: DataFrame, claims: DataFrame, capacities: DataFrame, seconds: str) -> DataFrame:
+    """(plan_id, resource, bound_s): no schedule is shorter than the unit-seconds claimed of a resource over its
+    capacity; an unknown capacity is 1."""
+    work = claims.join(units.select("plan_id", "unit_id", F.col(seconds).alias("s")), ["plan_id", "unit_id"]).groupBy("plan_id", "resource").agg(F.sum(F.col("units") * F.col("s")).alias("work"))
+    return work.join(capacities, ["plan_id", "resource"], "left").select("plan_id", "resource", F.try_divide(F.col("work"), F.coalesce("capacity", F.lit(1.0))).alias("bound_s"))
+
+
+def resource_capacity(sessions: DataFrame, capacities: DataFrame, claims: DataFrame) -> DataFrame:
+    """(resource, capacity, used): the least capacity of the sessions that have ready or running tasks, and what
+    all reservations claim. ``sessions``: session_id, ready, running; ``capacities``: session_id, resource,
+    capacity; ``claims``: resource, units. A resource that no active session has is left out."""
+    active = sessions.where((F.col("ready") > 0) | (F.col("running") > 0)).select("session_id")
+    least = capacities.join(active, "session_id", "left_semi").groupBy("resource").agg(F.min("capacity").alias("capacity"))
+    used = claims.groupBy("resource").agg(F.sum("units").alias("used"))
+    return least.join(used, "resource", "left").select("resource", "capacity", F.coalesce("used", F.lit(0.0)).alias("used"))
+
+
+def stale_sessions(sessions: DataFrame, processes: DataFrame, now: Column, after_s: float = 15.0) -> DataFrame:
+    """(session_id): sessions without a heartbeat for ``after_s`` whose process is proved gone: it is not
+    alive, or its id now names another process. ``sessions``: session_id, pid, identity, heartbeat_at;
+    ``processes``: pid, alive, identity, an observation. A process nobody observed keeps its session."""
+    p = processes.select("pid", "alive", F.col("identity").alias("seen"))
+    silent = (now.cast("double") - F.col("heartbeat_at").cast("double")) > after_s
+    gone = ~F.col("alive") | F.coalesce(F.col("identity") != F.col("seen"), F.lit(False))
+    return sessions.where(silent).join(p, "pid").where(gone).select("session_id").distinct()
+
+
 def unsatisfiable(claims: DataFrame, capacities: DataFrame) -> DataFrame:
     """Claims above their capacity; an unknown capacity is 1."""
     met = claims.join(capacities, ["plan_id", "resource"], "left").withColumn("capacity", F.coalesce("capacity", F.lit(1.0)))
@@ -103,10 +145,20 @@ def evidence_label(score: Column) -> Column:
 
 
 def requirement_gate(scored: DataFrame, requirements: DataFrame, key: str = "scenario") -> DataFrame:
-    """Rows that meet the minimum sources, file hits and content hits of their scenario, or are hinted."""
-    met = scored.join(requirements, key)
-    enough = (F.col("sources") >= F.coalesce("min_sources", F.lit(0))) & (F.col("file_hits") >= F.coalesce("min_file_hits", F.lit(0))) & (F.col("content_hits") >= F.coalesce("min_content_hits", F.lit(0)))
-    return met.where(enough | (F.coalesce("hint_overrides", F.lit(False)) & F.col("hinted"))).select(scored["*"])
+    """Rows that meet what their scenario requires, or are hinted where a hint may override it (unless said
+    otherwise it may). Requirements, null or absent: none: min_sources, min_file_hits, min_content_hits,
+    min_project_files (of project_files), any_globs, one of which must be among the row's globs_hit."""
+    need = ["min_sources", "min_file_hits", "min_content_hits", "min_project_files"]
+    rules = requirements.select(key, *[(F.col(c) if c in requirements.columns else F.lit(None).cast("long")).alias(f"_{c}") for c in need], (F.col("any_globs") if "any_globs" in requirements.columns else F.lit(None).cast("array<string>")).alias("_any"), (F.col("hint_overrides") if "hint_overrides" in requirements.columns else F.lit(True)).alias("_may"))
+    met = scored.join(rules, key, "left")
+    enough = F.lit(True)
+    for c in need:
+        have = c.removeprefix("min_")
+        if have in scored.columns:
+            enough = enough & (F.col(have) >= F.coalesce(f"_{c}", F.lit(0)))
+    if "globs_hit" in scored.columns:
+        enough = enough & ((F.coalesce(F.size("_any"), F.lit(0)) <= 0) | F.coalesce(F.arrays_overlap("globs_hit", "_any"), F.lit(False)))
+    return met.where(enough | (F.coalesce("_may", F.lit(True)) & F.col("hinted"))).select(*scored.columns)
 
 
 def detector_hits(evidence: DataFrame, rules: DataFrame, most: int = 5) -> DataFrame:
@@ -124,6 +176,13 @@ def ranked_scenarios(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def catalog_counts(scenarios: DataFrame) -> DataFrame:
+    """(dimension, name, scenarios, goals): scenarios and their goals per category, per layer and in all."""
+    by = F.array(*[F.struct(F.lit(d).alias("dimension"), (F.col(d).cast("string") if d != "all" else F.lit("all")).alias("name")) for d in ("category", "layer", "all")])
+    rows = scenarios.select(F.explode(by).alias("b"), F.coalesce(F.size("goals"), F.lit(0)).alias("g")).select("b.*", "g")
+    return rows.groupBy("dimension", "name").agg(F.count("*").alias("scenarios"), F.sum("g").alias("goals"))
+
+
 def targets(scenarios: DataFrame) -> DataFrame:
     """(project, scenario, goal): parallel or conditional goals with an executor, from score .45."""
     rows = scenarios.where("score >= 0.45").select("project", "scenario", F.explode("goals").alias("g"))

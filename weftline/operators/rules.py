@@ -57,10 +57,38 @@ def diagnostics(units: DataFrame, peaks: DataFrame) -> DataFrame:
     ]
     if "control_assurance" in units.columns:
         found.append((F.col("control_assurance") == "unknown", "UNKNOWN_CONTROL_FLOW", "error"))
+    if "internal_kind" in units.columns:
+        found.append(((F.col("internal_kind") == "unknown") & busy, "UNKNOWN_INTERNAL_PARALLELISM", "warning"))
     rows = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(code_).alias("code"), F.lit(sev).alias("severity"))) for c, code_, sev in found]))
     return u.select("plan_id", "unit_id", F.explode(rows).alias("d")).select("plan_id", "unit_id", "d.code", "d.severity")
 
 
+def plan_diagnostics(plans: DataFrame, units: DataFrame, pairs: DataFrame, blocked: DataFrame) -> DataFrame:
+    """(plan_id, unit_id, other_id, code, severity) of whole plans: no unit, units in conflict that no
+    dependency orders, claims that can't be met. ``pairs``: (plan_id, first, second, ordered, fenced) of
+    ``conflicts.reorder_fences``; ``blocked``: (plan_id, unit_id, ..) of ``hosts.unsatisfiable``."""
+    none = F.lit(None).cast(units.schema["unit_id"].dataType)
+    empty = plans.select("plan_id").distinct().join(units.select("plan_id"), "plan_id", "left_anti").select("plan_id", none.alias("unit_id"), none.alias("other_id"), F.lit("EMPTY_ATOM_PLAN").alias("code"), F.lit("error").alias("severity"))
+    loose = pairs.where(~F.col("ordered")).select("plan_id", F.col("first").alias("unit_id"), F.col("second").alias("other_id"), F.when(F.col("fenced"), "UNORDERED_SEMANTIC_CONFLICT").otherwise("SERIALIZED_REORDERABLE_CONFLICT").alias("code"), F.when(F.col("fenced"), "error").otherwise("warning").alias("severity"))
+    unmet = blocked.select("plan_id", "unit_id").distinct().select("plan_id", "unit_id", none.alias("other_id"), F.lit("UNSATISFIABLE_RESOURCE_CLAIM").alias("code"), F.lit("error").alias("severity"))
+    return empty.unionByName(loose).unionByName(unmet)
+
+
+def coarse_rows(units: DataFrame) -> dict[str, DataFrame]:
+    """Units that list what they read, write and share (arrays ``reads``, ``writes``, ``resources``; null: none)
+    as typed rows: accesses(unit_id, resource, mode), effects(unit_id, domain, key, mode) and
+    blockers(unit_id, blocker) for units, other than reads, that declare nothing."""
+    modes = F.array(F.struct(F.col("reads").alias("r"), F.lit("read").alias("mode")), F.struct(F.col("writes").alias("r"), F.lit("overwrite").alias("mode")))
+    accesses = units.select("unit_id", F.explode(modes).alias("m")).select("unit_id", F.explode("m.r").alias("resource"), "m.mode")
+    cut = F.split("resource", ":", 2)
+    effects = units.select("unit_id", F.explode("resources").alias("resource")).select("unit_id", F.when(F.size(cut) > 1, cut[0]).otherwise("logical-resource").alias("domain"), F.element_at(cut, -1).alias("key"), F.lit("write").alias("mode"))
+    declared = F.col("kind") == "read"
+    for c in ("reads", "writes", "resources"):
+        declared = declared | (F.coalesce(F.size(c), F.lit(0)) > 0)
+    blockers = units.where(~F.coalesce(declared, F.lit(False))).select("unit_id", F.lit("LEGACY_EFFECT_SET_INCOMPLETE").alias("blocker"))
+    return {"accesses": accesses, "effects": effects, "blockers": blockers}
+
+
 def routes(units: DataFrame, found: DataFrame) -> DataFrame:
     """(plan_id, route): direct without errors, else delegate if a native scheduler is asked for, else blocked."""
     per = found.groupBy("plan_id").agg(F.bool_or(F.col("severity") == "error").alias("bad"), F.bool_or(F.col("code") == "NATIVE_DELEGATE_REQUIRED").alias("native"))

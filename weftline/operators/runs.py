@@ -111,6 +111,27 @@ def arithmetic_errors(stored: DataFrame, tasks: DataFrame) -> DataFrame:
     return met.select("run_id", wrong.alias("wrong")).where(F.size("wrong") > 0)
 
 
+def evidence_errors(stored: DataFrame, tasks: DataFrame) -> DataFrame:
+    """(run_id, wrong): what of a stored summary does not follow from its tasks or from itself: seconds
+    within .01, ratios within .0001. ``stored``: wall_s, serial_s, saved_s, minimum_s, speedup, percent,
+    efficiency, peak. A null is wrong; a run without tasks has none to add up."""
+    made = tasks.groupBy("run_id").agg(F.sum("worker_s").alias("sum_s"), F.min("worker_s").alias("min_s"))
+    c = F.col
+    near = lambda a, b, by: F.coalesce(F.abs(a - b) <= by, F.lit(False))
+    ratio = F.try_divide(c("serial_s"), c("wall_s"))
+    checks = {
+        "bounds": F.coalesce((c("wall_s") > 0) & (c("peak") > 0) & (c("serial_s") > 0) & (c("saved_s") >= 0), F.lit(False)),
+        "serial": near(c("serial_s"), F.coalesce("sum_s", F.lit(0.0)), 0.01),
+        "saved": near(c("saved_s"), F.greatest(F.lit(0.0), c("serial_s") - c("wall_s")), 0.01),
+        "minimum": near(c("minimum_s"), F.coalesce("min_s", F.lit(0.0)), 0.01),
+        "speedup": near(c("speedup"), ratio, 0.0001),
+        "percent": near(c("percent"), F.try_divide(c("saved_s"), c("serial_s")) * 100, 0.0001),
+        "efficiency": near(c("efficiency"), F.try_divide(ratio, c("peak")), 0.0001),
+    }
+    wrong = F.array_compact(F.array(*[F.when(~ok, name) for name, ok in checks.items()]))
+    return stored.join(made, "run_id", "left").select("run_id", wrong.alias("wrong")).where(F.size("wrong") > 0)
+
+
 def live_sample_seen(samples: DataFrame, tasks: DataFrame) -> DataFrame:
     """(run_id, seen): some sample, before the run ended, had every task running."""
     ends = tasks.groupBy("run_id").agg(F.count("*").alias("n"), F.max(F.col("start_s") + F.col("duration_s")).alias("end_s"))
@@ -126,6 +147,12 @@ def unique_calls(calls: DataFrame) -> DataFrame:
     return calls.groupBy("tool").agg(F.count_distinct("call_id").alias("calls"), F.count("*").alias("lines"))
 
 
+def top_counts(calls: DataFrame, column: str, n: int, key: str = "call_id", order: str = "line_no") -> DataFrame:
+    """(column, n): the n most frequent values, of each call the first line alone; ties by value."""
+    first = calls.groupBy(key).agg(F.min_by(column, order).alias(column))
+    return first.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(n)
+
+
 def plan_profile(units: DataFrame) -> DataFrame:
     """(plan_id, profile, any_accelerator, memory_mb): the one profile or mixed; the largest positive estimate."""
     return units.groupBy("plan_id").agg(

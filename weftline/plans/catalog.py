@@ -152,9 +152,65 @@ def bad_references(spark, d):
     return conflicts.bad_references(u, e)
 
 
+_NESTED = "(x.resource = y.resource OR starts_with(x.resource, concat(y.resource, '/')) OR starts_with(y.resource, concat(x.resource, '/')))"
+
+
+@query(f"""
+    WITH RECURSIVE {_CLOSURE}, many AS (SELECT plan_id, resource FROM {{file_accesses}} WHERE mode = 'create' GROUP BY 1, 2 HAVING count(DISTINCT unit_id) > 1),
+    a AS (SELECT f.*, f.mode = 'create' AND m.resource IS NULL AS sole FROM {{file_accesses}} f LEFT JOIN many m ON m.plan_id = f.plan_id AND m.resource = f.resource),
+    met AS (SELECT x.plan_id, x.unit_id AS first, y.unit_id AS second, CASE WHEN x.sole AND y.mode IN ('read', 'snapshot') THEN x.resource END AS fw, CASE WHEN y.sole AND x.mode IN ('read', 'snapshot') THEN y.resource END AS bw,
+            x.mode || '/' || y.mode || ' on ' || x.resource || ' and ' || y.resource AS said
+        FROM a x JOIN a y ON x.plan_id = y.plan_id AND x.unit_id < y.unit_id
+        WHERE {_NESTED} AND NOT (x.mode IN ('read', 'snapshot') AND y.mode IN ('read', 'snapshot')) AND NOT (x.mode = 'append' AND y.mode = 'append' AND x.commutative AND y.commutative)),
+    m AS (SELECT plan_id, first, second, fw, bw, coalesce(fw, bw) AS fb, CASE WHEN fw IS NULL AND bw IS NULL THEN said END AS cl FROM met),
+    g AS (SELECT plan_id, first, second, string_agg(DISTINCT fw, ',' ORDER BY fw) AS ahead, string_agg(DISTINCT bw, ',' ORDER BY bw) AS behind, string_agg(DISTINCT fb, ',' ORDER BY fb) AS both_ways, string_agg(DISTINCT cl, '; ' ORDER BY cl) AS clash FROM m GROUP BY 1, 2, 3),
+    anc AS (SELECT DISTINCT * FROM closure),
+    o AS (SELECT g.*, b.unit_id IS NOT NULL AS along, c.unit_id IS NOT NULL AS against FROM g LEFT JOIN anc b ON b.plan_id = g.plan_id AND b.unit_id = g.second AND b.ancestor = g.first
+        LEFT JOIN anc c ON c.plan_id = g.plan_id AND c.unit_id = g.first AND c.ancestor = g.second)
+    SELECT plan_id, 'BIDIRECTIONAL_DATA_FLOW' AS code, first, second, both_ways AS detail FROM o WHERE ahead IS NOT NULL AND behind IS NOT NULL
+    UNION ALL SELECT plan_id, CASE WHEN against THEN 'CONTRADICTORY_DATA_ORDER' ELSE 'DATA_EDGE' END, first, second, ahead FROM o WHERE ahead IS NOT NULL AND behind IS NULL AND clash IS NULL AND (against OR NOT along)
+    UNION ALL SELECT plan_id, CASE WHEN along THEN 'CONTRADICTORY_DATA_ORDER' ELSE 'DATA_EDGE' END, second, first, behind FROM o WHERE behind IS NOT NULL AND ahead IS NULL AND clash IS NULL AND (along OR NOT against)
+    UNION ALL SELECT plan_id, 'UNORDERED_ARTIFACT_CONFLICT', first, second, clash FROM o WHERE clash IS NOT NULL AND NOT along AND NOT against""")
+def data_flow(spark, d):
+    return conflicts.data_flow(view(spark, d, "file_accesses"), graph.ancestors(view(spark, d, "edges")))
+
+
+@query(f"""
+    WITH a AS (SELECT DISTINCT plan_id, unit_id, resource, CASE WHEN mode IN ('read', 'snapshot') THEN 'read' ELSE 'write' END AS m FROM {{file_accesses}}),
+    hit AS (SELECT x.plan_id, x.unit_id AS first, y.unit_id AS second, CASE WHEN x.m = 'write' AND y.m = 'write' THEN 'write-write' WHEN x.m = 'write' THEN 'write-read' ELSE 'read-write' END AS reason
+            FROM a x JOIN a y ON x.plan_id = y.plan_id AND x.unit_id < y.unit_id WHERE {_NESTED} AND NOT (x.m = 'read' AND y.m = 'read')),
+    ex AS (SELECT DISTINCT plan_id, unit_id, resource FROM {{claims}} WHERE resource = 'license' AND units > 90),
+    held AS (SELECT x.plan_id, x.unit_id AS first, y.unit_id AS second, 'exclusive-resource' AS reason FROM ex x JOIN ex y ON x.plan_id = y.plan_id AND x.resource = y.resource AND x.unit_id < y.unit_id),
+    u AS (SELECT DISTINCT plan_id, unit_id FROM a),
+    alone AS (SELECT DISTINCT x.plan_id, least(x.unit_id, y.unit_id) AS first, greatest(x.unit_id, y.unit_id) AS second, 'forced-serial' AS reason FROM u x JOIN u y ON x.plan_id = y.plan_id AND x.unit_id <> y.unit_id WHERE x.unit_id % 50 = 0),
+    every AS (SELECT * FROM hit UNION SELECT * FROM held UNION SELECT * FROM alone)
+    SELECT plan_id, first, second, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM every GROUP BY 1, 2, 3""")
+def nested_conflict_reasons(spark, d):
+    ex = view(spark, d, "claims").where("resource = 'license' and units > 90").select("plan_id", "unit_id", "resource")
+    serial = view(spark, d, "units").where("unit_id % 50 = 0").select("plan_id", "unit_id")
+    return _text(conflicts.unit_conflict_reasons(view(spark, d, "file_accesses"), ex, serial, nested=True), "reasons")
+
+
+@query("""
+    WITH part AS (SELECT plan_id, substr(d, 1, 3) AS p, sha256(string_agg(d, ',' ORDER BY d)) AS d FROM (SELECT plan_id, sha256(CAST(json_object('part', part, 'a', a, 'b', b, 't', t) AS VARCHAR)) AS d FROM {plan_rows}) GROUP BY 1, 2)
+    SELECT plan_id, sha256(string_agg(d, ',' ORDER BY d)) AS fingerprint FROM part GROUP BY 1""")
+def plan_fingerprint(spark, d):
+    return evidence.fingerprint(view(spark, d, "plan_rows"), "plan_id", ["part", "a", "b", "t"])
+
+
 # ---------------------------------------------------------------- graphs
 
 
+@query("""
+    WITH st AS (SELECT plan_id, unit_id, duration_s, rn <= 2 AS done FROM {units}),
+    waits AS (SELECT DISTINCT e.plan_id, e.unit_id FROM {edges} e JOIN st p ON p.plan_id = e.plan_id AND p.unit_id = e.pred_id WHERE NOT p.done)
+    SELECT s.plan_id, s.unit_id, row_number() OVER (PARTITION BY s.plan_id ORDER BY duration_s DESC NULLS LAST, s.unit_id)::INTEGER AS place
+    FROM st s LEFT JOIN waits w ON w.plan_id = s.plan_id AND w.unit_id = s.unit_id WHERE NOT s.done AND w.unit_id IS NULL""")
+def ready_order(spark, d):
+    u = view(spark, d, "units").withColumn("status", F.expr("case when rn <= 2 then 'succeeded' else 'pending' end"))
+    return graph.ready_order(u, view(spark, d, "edges"), "duration_s")
+
+
 @query("""
     WITH RECURSIVE lv AS (
         SELECT plan_id, unit_id, 0 AS level FROM {units} u WHERE NOT EXISTS (SELECT 1 FROM {acyclic_edges} e WHERE e.plan_id = u.plan_id AND e.unit_id = u.unit_id)
@@ -314,6 +370,16 @@ def run_arithmetic(spark, d):
     return _text(runs.arithmetic_errors(view(spark, d, "bench_stored"), view(spark, d, "bench_tasks")), "wrong")
 
 
+@query("""
+    WITH m AS (SELECT run_id, min(worker_s) AS mi, sum(worker_s) AS s FROM {bench_tasks} GROUP BY 1),
+    x AS (SELECT run_id, concat_ws(',', CASE WHEN NOT (wall_s > 0 AND peak > 0 AND serial_s > 0 AND saved_s >= 0) THEN 'bounds' END, CASE WHEN abs(serial_s - s) > 0.01 THEN 'serial' END, CASE WHEN abs(saved_s - greatest(0, serial_s - wall_s)) > 0.01 THEN 'saved' END,
+          CASE WHEN abs(minimum_s - mi) > 0.01 THEN 'minimum' END, CASE WHEN NOT coalesce(abs(speedup - serial_s / nullif(wall_s, 0)) <= 0.0001, false) THEN 'speedup' END, CASE WHEN abs(percent - saved_s / serial_s * 100) > 0.0001 THEN 'percent' END,
+          CASE WHEN NOT coalesce(abs(efficiency - serial_s / nullif(wall_s, 0) / nullif(peak, 0)) <= 0.0001, false) THEN 'efficiency' END) AS wrong FROM {bench_claimed} JOIN m USING (run_id))
+    SELECT * FROM x WHERE wrong <> ''""")
+def run_evidence(spark, d):
+    return _text(runs.evidence_errors(view(spark, d, "bench_claimed"), view(spark, d, "bench_tasks")), "wrong")
+
+
 @query("""
     WITH s AS (SELECT run_id, start_s + 43200 AS at_s, task_id AS running FROM {task_results}), e AS (SELECT run_id, count(*) AS n, max(start_s + duration_s) AS end_s FROM {task_results} GROUP BY 1)
     SELECT run_id, bool_or(running = n AND at_s < end_s) AS seen FROM s JOIN e USING (run_id) GROUP BY 1""")
@@ -333,6 +399,19 @@ def unique_calls(spark, d):
     return runs.unique_calls(view(spark, d, "traces"))
 
 
+_FIRST_CALLS = "f AS (SELECT call_id, arg_min(tool, line_no) AS tool, arg_min(agent, line_no) AS agent FROM {call_lines} GROUP BY 1)"
+
+
+@query(f"WITH {_FIRST_CALLS} SELECT tool, count(*) AS n FROM f GROUP BY 1 ORDER BY n DESC, tool LIMIT 20")
+def top_tools(spark, d):
+    return runs.top_counts(view(spark, d, "call_lines"), "tool", 20)
+
+
+@query("WITH f AS (SELECT call_id, arg_min(agent, line_no) AS agent FROM {call_lines} WHERE agent IS NOT NULL GROUP BY 1) SELECT agent, count(*) AS n FROM f GROUP BY 1 ORDER BY n DESC, agent LIMIT 30")
+def top_agent_tasks(spark, d):
+    return runs.top_counts(view(spark, d, "call_lines").where("agent is not null"), "agent", 30)
+
+
 _PROFILE = "CASE batch_key WHEN '1-URGENT' THEN 'cpu' WHEN '2-HIGH' THEN 'io' WHEN '3-MEDIUM' THEN 'accelerator' ELSE 'mixed' END"
 
 
@@ -378,6 +457,31 @@ def baseline_match(spark, d):
     return evidence.baseline_match(view(spark, d, "case_sets"))
 
 
+@query("""
+    SELECT b.suite_id, coalesce(r.eligible AND b.tests = r.tests AND b.passed = r.passed AND b.skipped = 0 AND r.skipped = 0 AND b.case_set = r.case_set, false) AS compatible
+    FROM {case_counts} b JOIN {case_counts} r ON b.suite_id = r.suite_id AND b.side = 'serial' AND r.side = 'parallel'""")
+def baseline_gate(spark, d):
+    c = view(spark, d, "case_counts")
+    return evidence.baseline_compatible(c.where("side = 'serial'"), c.where("side = 'parallel'"))
+
+
+@query("""
+    WITH j AS (SELECT s.run_id, bool_and(workers = 1 AND snapshots >= 1 AND declared AND covered AND skipped = 0 AND passed = tests AND case_set IS NOT NULL AND coalesce(r.status, '') = 'succeeded') AS each
+               FROM {baseline_suites} s LEFT JOIN {baseline_results} r ON r.run_id = s.run_id AND r.suite_id = s.suite_id GROUP BY 1)
+    SELECT run_id, native_pools = 0 AND peak = 1 AND each AS eligible FROM {baseline_runs} JOIN j USING (run_id)""")
+def serial_baselines(spark, d):
+    return evidence.serial_baselines(view(spark, d, "baseline_runs"), view(spark, d, "baseline_suites"), view(spark, d, "baseline_results"))
+
+
+@query("""
+    WITH s AS (SELECT module, count(*) AS total, count(CASE WHEN status = 'passed' THEN 1 END) AS passed, count(CASE WHEN status = 'failed' THEN 1 END) AS failed, count(CASE WHEN status = 'error' THEN 1 END) AS errors, count(CASE WHEN status = 'skipped' THEN 1 END) AS skipped FROM {domain_cases} GROUP BY 1),
+    x AS (SELECT coalesce(d.module, s.module) AS module, CASE WHEN d.module IS NULL THEN 'missing' WHEN s.module IS NULL THEN 'unknown' ELSE concat_ws(',', CASE WHEN d.total <> s.total THEN 'total' END, CASE WHEN d.passed <> s.passed THEN 'passed' END, CASE WHEN d.failed <> s.failed THEN 'failed' END,
+          CASE WHEN d.errors <> s.errors THEN 'errors' END, CASE WHEN d.skipped <> s.skipped THEN 'skipped' END) END AS wrong FROM {domain_stored} d FULL JOIN s ON d.module = s.module)
+    SELECT * FROM x WHERE wrong <> ''""")
+def domain_consistency(spark, d):
+    return _text(evidence.domain_errors(view(spark, d, "domain_stored"), view(spark, d, "domain_cases")), "wrong")
+
+
 _SUITE = """
     seen AS (SELECT run_id, suite_id, count(*) AS tests, count(CASE WHEN outcome = 'passed' THEN 1 END) AS passed, count(CASE WHEN outcome = 'failed' THEN 1 END) AS failed, count(CASE WHEN outcome = 'skipped' THEN 1 END) AS skipped, sum(time_s) AS case_s FROM {suite_cases} GROUP BY 1, 2),
     summary AS (SELECT s.run_id, s.suite_id, tests, passed, failed, skipped, case_s, declared_tests = tests AS consistent, case_s <= wall_s * workers + greatest(0.05, wall_s * workers * 0.05) AS timing_plausible,
@@ -445,6 +549,23 @@ def history_consistency(spark, d):
     return history.consistency(_realms(spark, d)).withColumn("newest", F.col("newest").cast("date"))
 
 
+_HISTORY = """
+    newest AS (SELECT realm, run_id, wall_s + CASE WHEN realm LIKE '%-3' THEN 1 ELSE 0 END AS wall_s, serial_s, saved_s, speedup FROM (SELECT *, row_number() OVER (PARTITION BY realm ORDER BY generated_at DESC, run_id DESC) AS r FROM {bench_history}) WHERE r = 1),
+    totals AS (SELECT realm, count(*) + CASE WHEN realm LIKE '%-5' THEN 1 ELSE 0 END AS run_count, sum(wall_s) AS wall_s, sum(serial_s) AS serial_s, sum(saved_s) AS saved_s FROM {bench_history} GROUP BY 1)"""
+
+
+@query(f"""
+    WITH {_HISTORY}, h AS (SELECT h.realm, bool_and(status = 'passed') AS all_passed, count(*) = count(DISTINCT h.run_id) AS unique_ids, bool_and(h.wall_s > 0 AND h.serial_s > 0 AND h.saved_s >= 0 AND abs(h.saved_s - greatest(0, h.serial_s - h.wall_s)) <= 0.01 AND abs(h.speedup - h.serial_s / h.wall_s) <= 0.0001) AS arithmetic_ok,
+        count(CASE WHEN h.run_id = w.run_id THEN 1 END) = 1 AND count(CASE WHEN h.run_id = w.run_id AND abs(h.wall_s - w.wall_s) <= 0.01 AND abs(h.serial_s - w.serial_s) <= 0.01 AND abs(h.saved_s - w.saved_s) <= 0.01 AND abs(h.speedup - w.speedup) <= 0.0001 THEN 1 END) = 1 AS current_ok,
+        count(*) AS n, sum(h.wall_s) AS sw, sum(h.serial_s) AS ss, sum(h.saved_s) AS sv FROM {{bench_history}} h LEFT JOIN newest w ON w.realm = h.realm GROUP BY 1)
+    SELECT h.realm, all_passed, unique_ids, arithmetic_ok, current_ok, run_count = n AND abs(t.wall_s - sw) <= 0.01 AND abs(t.serial_s - ss) <= 0.01 AND abs(t.saved_s - sv) <= 0.01 AS cumulative_ok FROM h JOIN totals t ON t.realm = h.realm""")
+def history_evidence(spark, d):
+    h = view(spark, d, "bench_history")
+    newest = history.latest(h).withColumn("wall_s", F.col("wall_s") + F.col("realm").endswith("-3").cast("int"))
+    totals = h.groupBy("realm").agg((F.count("*") + F.col("realm").endswith("-5").cast("int")).alias("run_count"), *[F.sum(c).alias(c) for c in ("wall_s", "serial_s", "saved_s")])
+    return history.evidence(h, newest, totals)
+
+
 @query("""
     SELECT counter, captured_on, last_value(n IGNORE NULLS) OVER w AS filled, CASE WHEN n IS NULL AND last_value(n IGNORE NULLS) OVER w IS NOT NULL THEN lag(captured_on) OVER (PARTITION BY counter ORDER BY captured_on) END AS stale_from_previous,
            last_value(CASE WHEN n IS NOT NULL THEN captured_on END IGNORE NULLS) OVER w AS last_real_at
@@ -503,6 +624,40 @@ def unit_diagnostics(spark, d):
     return _diagnostics(spark, d)
 
 
+@query(f"""
+    WITH {_DIAG}, y AS (SELECT * FROM {{assured_units}} JOIN pk USING (plan_id))
+    SELECT * FROM diag UNION ALL SELECT plan_id, unit_id, 'UNKNOWN_CONTROL_FLOW', 'error' FROM y WHERE control_assurance = 'unknown'
+    UNION ALL SELECT plan_id, unit_id, 'UNKNOWN_INTERNAL_PARALLELISM', 'warning' FROM y WHERE internal_kind = 'unknown' AND peak > 1""")
+def assured_diagnostics(spark, d):
+    u = view(spark, d, "assured_units")
+    return rules.diagnostics(u, u.groupBy("plan_id").agg((F.count("*") % 3).alias("peak")))
+
+
+@query(f"""
+    WITH RECURSIVE {_CLOSURE}, pr AS (SELECT DISTINCT plan_id, first, second FROM ({_PAIR}) q),
+    ord AS (SELECT DISTINCT plan_id, least(unit_id, ancestor) AS first, greatest(unit_id, ancestor) AS second FROM closure)
+    SELECT DISTINCT plan_id, NULL::BIGINT AS unit_id, NULL::BIGINT AS other_id, 'EMPTY_ATOM_PLAN' AS code, 'error' AS severity FROM {{every_plan}} WHERE plan_id NOT IN (SELECT plan_id FROM {{units}})
+    UNION ALL SELECT p.plan_id, p.first, p.second, CASE WHEN a.commutative AND b.commutative THEN 'SERIALIZED_REORDERABLE_CONFLICT' ELSE 'UNORDERED_SEMANTIC_CONFLICT' END, CASE WHEN a.commutative AND b.commutative THEN 'warning' ELSE 'error' END
+        FROM pr p LEFT JOIN ord ON ord.plan_id = p.plan_id AND ord.first = p.first AND ord.second = p.second JOIN {{units}} a ON a.plan_id = p.plan_id AND a.unit_id = p.first JOIN {{units}} b ON b.plan_id = p.plan_id AND b.unit_id = p.second WHERE ord.first IS NULL
+    UNION ALL SELECT DISTINCT c.plan_id, c.unit_id, NULL, 'UNSATISFIABLE_RESOURCE_CLAIM', 'error' FROM {{claims}} c LEFT JOIN {{capacities}} k USING (plan_id, resource) WHERE c.units > coalesce(k.capacity, 1)""")
+def plan_diagnostics(spark, d):
+    u = view(spark, d, "units")
+    pairs = conflicts.access_conflicts(view(spark, d, "accesses")).select("plan_id", "first", "second").distinct()
+    pairs = conflicts.reorder_fences(conflicts.with_order(pairs, graph.ancestors(view(spark, d, "edges"))), u, F.col("commutative"))
+    return rules.plan_diagnostics(view(spark, d, "every_plan"), u, pairs, hosts.unsatisfiable(view(spark, d, "claims"), view(spark, d, "capacities")))
+
+
+@query("""
+    SELECT unit_id, 'access' AS part, unnest(reads) AS name, 'read' AS mode FROM {coarse_units} UNION ALL SELECT unit_id, 'access', unnest(writes), 'overwrite' FROM {coarse_units}
+    UNION ALL SELECT unit_id, 'effect', CASE WHEN contains(r, ':') THEN r ELSE 'logical-resource:' || r END, 'write' FROM (SELECT unit_id, unnest(resources) AS r FROM {coarse_units})
+    UNION ALL SELECT unit_id, 'blocker', 'LEGACY_EFFECT_SET_INCOMPLETE', NULL FROM {coarse_units} WHERE kind <> 'read' AND coalesce(len(reads), 0) + coalesce(len(writes), 0) + coalesce(len(resources), 0) = 0""")
+def coarse_rows(spark, d):
+    t = rules.coarse_rows(view(spark, d, "coarse_units"))
+    row = lambda df, part, name, mode: df.select("unit_id", F.lit(part).alias("part"), name.alias("name"), mode.alias("mode"))
+    out = row(t["accesses"], "access", F.col("resource"), F.col("mode")).unionByName(row(t["effects"], "effect", F.concat_ws(":", "domain", "key"), F.col("mode")))
+    return out.unionByName(row(t["blockers"], "blocker", F.col("blocker"), F.lit(None).cast("string")))
+
+
 @query(f"""
     WITH {_DIAG}, p AS (SELECT plan_id, bool_or(severity = 'error') AS bad, bool_or(code = 'NATIVE_DELEGATE_REQUIRED') AS nat FROM diag GROUP BY 1)
     SELECT u.plan_id, CASE WHEN NOT coalesce(bad, false) THEN 'direct' WHEN nat THEN 'delegate' ELSE 'blocked' END AS route FROM (SELECT DISTINCT plan_id FROM {{units}}) u LEFT JOIN p USING (plan_id)""")
@@ -657,6 +812,58 @@ def fusion_groups(spark, d):
     return _text(hosts.fusion_groups(view(spark, d, "units"), hosts.frontier(view(spark, d, "edges"))), "blockers")
 
 
+@query("""
+    WITH g AS (SELECT plan_id, unit_id, 'worker_slot' AS resource, 1.0::DOUBLE AS base, NULL::DOUBLE AS least_units FROM {cost_units} UNION ALL SELECT plan_id, unit_id, 'cpu_core', cores, inner_tokens FROM {cost_units}
+        UNION ALL SELECT plan_id, unit_id, 'memory_mb', memory_mb, NULL FROM {cost_units} UNION ALL SELECT plan_id, unit_id, 'accelerator_slot', CASE WHEN profile = 'accelerator' THEN 1.0 END, NULL FROM {cost_units}),
+    c AS (SELECT plan_id, unit_id, resource, sum(units) AS claimed FROM {cost_claims} GROUP BY 1, 2, 3),
+    x AS (SELECT coalesce(g.plan_id, c.plan_id) AS plan_id, coalesce(g.unit_id, c.unit_id) AS unit_id, coalesce(g.resource, c.resource) AS resource, greatest(coalesce(claimed, base), least_units) AS units
+          FROM g FULL JOIN c ON g.plan_id = c.plan_id AND g.unit_id = c.unit_id AND g.resource = c.resource)
+    SELECT plan_id, unit_id, resource, round(units, 6) AS units FROM x WHERE units IS NOT NULL""")
+def claim_defaults(spark, d):
+    return _r(hosts.claims_with_costs(view(spark, d, "cost_claims"), view(spark, d, "cost_units")), "units")
+
+
+@query(f"""
+    WITH u AS (SELECT plan_id, unit_id, {_DURATION} AS s FROM {{units}}), w AS (SELECT c.plan_id, c.resource, sum(c.units * u.s) AS work FROM {{claims}} c JOIN u ON u.plan_id = c.plan_id AND u.unit_id = c.unit_id GROUP BY 1, 2)
+    SELECT w.plan_id, w.resource, round(work / coalesce(k.capacity, 1), 8) AS bound_s FROM w LEFT JOIN {{capacities}} k ON k.plan_id = w.plan_id AND k.resource = w.resource""")
+def resource_bounds(spark, d):
+    return hosts.resource_bounds(_timed(spark, d), view(spark, d, "claims"), view(spark, d, "capacities"), "s").withColumn("bound_s", F.round("bound_s", 8))
+
+
+@query("""
+    WITH a AS (SELECT session_id FROM {sessions} WHERE ready > 0 OR running > 0), u AS (SELECT 'worker_slot' AS resource, sum(claim) AS used FROM {reservations})
+    SELECT c.resource, min(capacity) AS capacity, round(coalesce(max(used), 0), 6) AS used FROM {session_capacities} c JOIN a USING (session_id) LEFT JOIN u ON u.resource = c.resource GROUP BY 1""")
+def resource_capacity(spark, d):
+    claims = view(spark, d, "reservations").select(F.lit("worker_slot").alias("resource"), F.col("claim").alias("units"))
+    return _r(hosts.resource_capacity(view(spark, d, "sessions"), view(spark, d, "session_capacities"), claims), "used")
+
+
+@query("""
+    WITH n AS (SELECT max(ts) AS now_at FROM {events})
+    SELECT DISTINCT s.session_id FROM {live_sessions} s JOIN {processes} p ON p.pid = s.pid, n WHERE s.heartbeat_at < n.now_at - INTERVAL 6 HOUR AND (NOT p.alive OR coalesce(s.identity <> p.identity, false))""")
+def stale_sessions(spark, d):
+    """As of the newest event."""
+    now = view(spark, d, "events").agg(F.max("ts").cast("timestamp")).first()[0]
+    s = view(spark, d, "live_sessions").withColumn("heartbeat_at", F.col("heartbeat_at").cast("timestamp"))
+    return hosts.stale_sessions(s, view(spark, d, "processes"), F.lit(now).cast("timestamp"), 6 * 3600)
+
+
+@query("""
+    SELECT 'category' AS dimension, category AS name, count(*) AS scenarios, sum(len(goals))::BIGINT AS goals FROM {scenarios} GROUP BY 2
+    UNION ALL SELECT 'layer', CAST(layer AS VARCHAR), count(*), sum(len(goals))::BIGINT FROM {scenarios} GROUP BY 2
+    UNION ALL SELECT 'all', 'all', count(*), sum(len(goals))::BIGINT FROM {scenarios}""")
+def catalog_counts(spark, d):
+    return hosts.catalog_counts(view(spark, d, "scenarios"))
+
+
+@query("""
+    SELECT s.project, s.scenario FROM {gate_scored} s LEFT JOIN {gate_requirements} r ON r.scenario = s.scenario
+    WHERE (coalesce(hint_overrides, true) AND hinted) OR (sources >= coalesce(min_sources, 0) AND file_hits >= coalesce(min_file_hits, 0) AND content_hits >= coalesce(min_content_hits, 0)
+        AND project_files >= coalesce(min_project_files, 0) AND (coalesce(len(any_globs), 0) = 0 OR list_has_any(globs_hit, any_globs)))""")
+def requirement_gate(spark, d):
+    return hosts.requirement_gate(view(spark, d, "gate_scored"), view(spark, d, "gate_requirements")).select("project", "scenario")
+
+
 # the same water level by bisection-free SQL: the first member, by headroom per weight, that covers the rest
 @query("""
     WITH b AS (SELECT *, CASE WHEN weight > 0 THEN greatest(0, cap - floor_units) ELSE 0 END AS h FROM {shares}),

@@ -47,6 +47,18 @@ VIEWS = {
                CASE concat(l_returnflag, l_linestatus) WHEN 'RF' THEN 'read' WHEN 'RO' THEN 'snapshot' WHEN 'NF' THEN 'create' WHEN 'NO' THEN 'overwrite' ELSE 'append' END AS mode,
                o_orderpriority IN ('1-URGENT', '2-HIGH') AS commutative
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey""",
+    "assured_units": "SELECT *, CASE unit_id % 8 WHEN 0 THEN 'unknown' ELSE 'exact' END AS control_assurance, CASE unit_id % 10 WHEN 3 THEN 'unknown' ELSE 'bounded' END AS internal_kind FROM {units}",
+    "every_plan": "SELECT c_custkey AS plan_id FROM {customer} UNION ALL SELECT -s_suppkey FROM {supplier}",
+    "coarse_units": """
+        SELECT l_orderkey AS unit_id, CASE l_orderkey % 4 WHEN 0 THEN 'read' ELSE 'build' END AS kind,
+               array_agg(DISTINCT concat('/p', CAST(l_partkey AS VARCHAR(20)))) FILTER (WHERE l_returnflag = 'R' AND l_linestatus = 'F') AS reads,
+               array_agg(DISTINCT concat('/p', CAST(l_partkey AS VARCHAR(20)))) FILTER (WHERE l_returnflag = 'N' AND l_linestatus = 'F') AS writes,
+               array_agg(DISTINCT concat(CASE l_suppkey % 2 WHEN 0 THEN 'db:x:' ELSE 's' END, CAST(l_suppkey AS VARCHAR(20)))) FILTER (WHERE l_returnflag = 'A' AND l_linestatus = 'O') AS resources
+        FROM {lineitem} GROUP BY l_orderkey""",
+    "plan_rows": """
+        SELECT plan_id, 'unit' AS part, unit_id AS a, CAST(0 AS BIGINT) AS b, kind AS t FROM {units}
+        UNION ALL SELECT plan_id, 'edge', unit_id, pred_id, kind FROM {edges}
+        UNION ALL SELECT plan_id, 'capacity', CAST(capacity AS BIGINT), CAST(0 AS BIGINT), resource FROM {capacities}""",
     "effects": """
         SELECT DISTINCT o_custkey AS plan_id, l_orderkey AS unit_id, l_returnflag AS domain, l_suppkey AS key,
                CASE l_linestatus WHEN 'F' THEN 'read' ELSE 'write' END AS mode, o_orderpriority IN ('1-URGENT', '2-HIGH') AS commutative
@@ -61,6 +73,11 @@ VIEWS = {
         SELECT o_custkey AS plan_id, l_orderkey AS unit_id, CASE l_suppkey % 4 WHEN 0 THEN 'cores' WHEN 1 THEN 'memory' WHEN 2 THEN 'disk' ELSE 'license' END AS resource, sum(l_quantity) AS units
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY 1, 2, 3""",
     "capacities": "SELECT DISTINCT plan_id, resource, CAST(100 AS DOUBLE) AS capacity FROM {claims} WHERE resource <> 'license'",
+    "cost_claims": "SELECT plan_id, unit_id, CASE resource WHEN 'cores' THEN 'cpu_core' WHEN 'memory' THEN 'memory_mb' ELSE resource END AS resource, units FROM {claims}",
+    "cost_units": """
+        SELECT plan_id, unit_id, duration_s / 100 AS cores, CASE WHEN unit_id % 3 = 0 THEN duration_s * 10 END AS memory_mb,
+               CASE batch_key WHEN '3-MEDIUM' THEN 'accelerator' ELSE 'cpu' END AS profile, CASE WHEN unit_id % 4 = 0 THEN CAST(1 + unit_id % 40 AS DOUBLE) END AS inner_tokens
+        FROM {units}""",
     # runs: an order is a run, its lines are tasks that take days
     "task_results": """
         SELECT l_orderkey AS run_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice) AS task_id,
@@ -80,6 +97,19 @@ VIEWS = {
     "bench_stored": """
         SELECT run_id, max(worker_s) + CASE WHEN run_id % 13 = 0 THEN 1 ELSE 0 END AS wall_s, sum(worker_s) AS serial_s, sum(worker_s) - max(worker_s) AS saved_s
         FROM {bench_tasks} GROUP BY 1""",
+    "bench_base": """
+        SELECT run_id, CASE WHEN run_id % 13 = 0 THEN 0 ELSE max(worker_s) END AS wall_s, sum(worker_s) + CASE WHEN run_id % 17 = 0 THEN 1 ELSE 0 END AS serial_s,
+               min(worker_s) + CASE WHEN run_id % 7 = 0 THEN 1 ELSE 0 END AS minimum_s, CASE WHEN run_id % 29 = 0 THEN 0 ELSE 2 END AS peak
+        FROM {bench_tasks} GROUP BY run_id""",
+    "bench_claimed": """
+        SELECT *, serial_s - wall_s AS saved_s, serial_s / nullif(wall_s, 0) + CASE WHEN run_id % 19 = 0 THEN 0.5 ELSE 0 END AS speedup,
+               (serial_s - wall_s) / serial_s * 100 + CASE WHEN run_id % 23 = 0 THEN 0.5 ELSE 0 END AS percent, serial_s / nullif(wall_s, 0) / nullif(peak, 0) + CASE WHEN run_id % 31 = 0 THEN 0.5 ELSE 0 END AS efficiency
+        FROM {bench_base}""",
+    "bench_history": """
+        SELECT o_orderkey - CASE WHEN o_orderkey % 4999 = 5 THEN 1 ELSE 0 END AS run_id, concat(lower(c_mktsegment), '-', substr(o_orderpriority, 1, 1)) AS realm, o_orderdate AS generated_at,
+               CASE WHEN o_orderkey % 3001 = 4 THEN 'failed' ELSE 'passed' END AS status, o_totalprice / 100 AS wall_s, o_totalprice / 40 AS serial_s,
+               o_totalprice / 40 - o_totalprice / 100 + CASE WHEN o_orderkey % 2503 = 9 THEN 1 ELSE 0 END AS saved_s, (o_totalprice / 40) / (o_totalprice / 100) AS speedup
+        FROM {orders} JOIN {customer} ON o_custkey = c_custkey""",
     "growth": """
         SELECT CAST(ts AS DATE) AS captured_on, event_type AS counter, CASE WHEN event_type = 'signup' AND day(ts) % 3 <> 0 THEN NULL ELSE count(*) END AS n
         FROM {events} GROUP BY CAST(ts AS DATE), event_type, day(ts)""",
@@ -88,6 +118,16 @@ VIEWS = {
     "case_sets": """
         SELECT DISTINCT l_orderkey AS suite_id, CASE l_returnflag WHEN 'N' THEN 'serial' ELSE 'parallel' END AS side, l_partkey % 3 AS case_id
         FROM {lineitem} WHERE l_returnflag IN ('N', 'A')""",
+    "case_counts": """
+        SELECT suite_id, side, count(*) AS tests, count(*) - CASE WHEN side = 'serial' AND suite_id % 6 = 0 THEN 1 ELSE 0 END AS passed, CASE WHEN suite_id % 5 = 0 THEN 1 ELSE 0 END AS skipped,
+               CASE WHEN suite_id % 43 <> 0 THEN concat(CAST(min(case_id) AS VARCHAR(20)), '-', CAST(max(case_id) AS VARCHAR(20)), '-', CAST(count(*) AS VARCHAR(20))) END AS case_set, suite_id % 8 <> 0 AS eligible
+        FROM {case_sets} GROUP BY suite_id, side""",
+    "baseline_runs": "SELECT run_id, CASE WHEN run_id % 19 = 0 THEN 1 ELSE 0 END AS native_pools, CASE WHEN run_id % 3 = 0 THEN 2 ELSE 1 END AS peak FROM {task_results} GROUP BY run_id",
+    "baseline_suites": """
+        SELECT run_id, task_id AS suite_id, CASE WHEN run_id % 7 = 0 THEN 2 ELSE 1 END AS workers, CASE WHEN run_id % 11 = 0 THEN 0 ELSE 1 END AS snapshots, run_id % 5 <> 0 AS declared, run_id % 37 <> 0 AS covered,
+               3 AS tests, CASE WHEN run_id % 23 = 0 THEN 2 ELSE 3 END AS passed, CASE WHEN run_id % 29 = 0 THEN 1 ELSE 0 END AS skipped, CASE WHEN run_id % 31 <> 0 THEN 'x' END AS case_set
+        FROM {task_results}""",
+    "baseline_results": "SELECT run_id, task_id AS suite_id, status FROM {task_results} WHERE NOT (run_id % 17 = 0 AND task_id = 1)",
     "spans": "SELECT user_id AS path, event_id AS span_id, value AS first_line, value + 20 AS last_line FROM {events}",
     "hotspots": "SELECT user_id AS path, event_id AS hotspot_id, value AS line, value * (event_id % 17) AS wall_s FROM {events} WHERE event_id % 10 = 0",
     "suite_cases": """
@@ -96,11 +136,30 @@ VIEWS = {
     "suites": """
         SELECT run_id, suite_id, count(*) + CASE WHEN suite_id % 7 = 0 THEN 1 ELSE 0 END AS declared_tests, sum(time_s) / 2 AS wall_s, 2 AS workers, suite_id % 10 AS module
         FROM {suite_cases} GROUP BY 1, 2""",
+    "domain_cases": "SELECT suite_id % 100 AS module, CASE WHEN outcome = 'failed' AND time_s > 0.045 THEN 'error' ELSE outcome END AS status FROM {suite_cases}",
+    "domain_stored": """
+        SELECT module, count(*) + CASE WHEN module % 9 = 0 THEN 1 ELSE 0 END AS total, count(CASE WHEN status = 'passed' THEN 1 END) AS passed, count(CASE WHEN status IN ('failed', 'error') THEN 1 END) - count(CASE WHEN status = 'error' AND module % 5 <> 0 THEN 1 END) AS failed,
+               count(CASE WHEN status = 'error' THEN 1 END) AS errors, count(CASE WHEN status = 'skipped' THEN 1 END) AS skipped
+        FROM {domain_cases} WHERE module % 7 <> 0 GROUP BY module UNION ALL SELECT -1, 1, 1, 0, 0, 0""",
     "workflow_runs": """
         SELECT event_id AS id, event_type AS event, concat(md5(CAST(event_id AS VARCHAR(20))), substr(md5(event_type), 1, CASE WHEN event_id % 9 = 0 THEN 7 ELSE 8 END)) AS head_sha,
                CASE WHEN event_id % 4 = 0 THEN 'dev' ELSE 'main' END AS head_branch, CASE WHEN event_id % 5 = 0 THEN 'failure' ELSE 'success' END AS conclusion, user_id
         FROM {events}""",
     "hits": "SELECT o_custkey AS project, substr(o_orderpriority, 1, 1) AS source, count(*) AS hits FROM {orders} GROUP BY 1, 2",
+    "gate_scored": """
+        SELECT o_custkey AS project, substr(o_orderpriority, 1, 1) AS scenario, count(DISTINCT o_orderstatus) AS sources, count(*) AS file_hits, count(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS content_hits,
+               o_custkey % 50 AS project_files, array_agg(DISTINCT o_orderstatus) AS globs_hit, o_custkey % 9 = 0 AS hinted
+        FROM {orders} GROUP BY o_custkey, substr(o_orderpriority, 1, 1)""",
+    "gate_requirements": """
+        SELECT substr(o_orderpriority, 1, 1) AS scenario, CASE WHEN substr(o_orderpriority, 1, 1) = '1' THEN 2 END AS min_sources, CASE WHEN substr(o_orderpriority, 1, 1) = '2' THEN 3 END AS min_file_hits,
+               CASE WHEN substr(o_orderpriority, 1, 1) = '3' THEN 1 END AS min_content_hits, CASE WHEN substr(o_orderpriority, 1, 1) <> '3' THEN 10 END AS min_project_files,
+               array_agg(DISTINCT o_orderstatus) FILTER (WHERE o_orderstatus = 'P' AND substr(o_orderpriority, 1, 1) = '4') AS any_globs, CASE WHEN substr(o_orderpriority, 1, 1) = '2' THEN false END AS hint_overrides
+        FROM {orders} WHERE substr(o_orderpriority, 1, 1) <> '5' GROUP BY substr(o_orderpriority, 1, 1)""",
+    "scenarios": "SELECT c_custkey AS scenario, c_mktsegment AS category, c_nationkey AS layer, array_agg(DISTINCT substr(o_orderpriority, 1, 1)) AS goals FROM {customer} JOIN {orders} ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment, c_nationkey",
+    "session_capacities": "SELECT session_id, 'worker_slot' AS resource, CAST(slots AS DOUBLE) AS capacity FROM {sessions} UNION ALL SELECT session_id, 'cpu_core', CAST(slots * 2 AS DOUBLE) FROM {sessions} WHERE session_id % 2 = 0",
+    "live_sessions": "SELECT user_id AS session_id, user_id + 1000 AS pid, CASE WHEN user_id % 4 <> 0 THEN 'a' END AS identity, max(ts) AS heartbeat_at FROM {events} GROUP BY user_id",
+    "processes": "SELECT DISTINCT user_id + 1000 AS pid, user_id % 3 <> 0 AS alive, CASE WHEN user_id % 5 = 0 THEN 'b' ELSE 'a' END AS identity FROM {events} WHERE user_id % 7 <> 0",
+    "call_lines": "SELECT event_id % 5000 AS call_id, event_id AS line_no, concat(event_type, '.', CAST(user_id % 40 AS VARCHAR(20))) AS tool, CASE WHEN event_type = 'error' THEN concat('agent', CAST(user_id AS VARCHAR(20))) END AS agent FROM {events}",
     "shares": "SELECT c_nationkey AS grp, c_custkey AS member, CAST(1 + c_custkey % 5 AS DOUBLE) AS weight, CAST(1 AS DOUBLE) AS floor_units, 1 + abs(c_acctbal) / 1000 AS cap, CAST(count(*) OVER (PARTITION BY c_nationkey) * 3 AS DOUBLE) AS total FROM {customer}",
     "sessions": "SELECT user_id AS session_id, 4 + user_id % 5 AS slots, count(CASE WHEN event_type = 'click' THEN 1 END) AS ready, count(CASE WHEN event_type = 'view' THEN 1 END) AS running, max(value) / 50 AS observed_load FROM {events} GROUP BY user_id",
     "reservations": "SELECT CASE WHEN event_id % 50 = 0 THEN -user_id - 1 ELSE user_id END AS session_id, event_id AS unit_id, CASE WHEN value / 100 < 3 THEN value / 100 ELSE 3 END AS claim FROM {events} WHERE event_type = 'purchase'",

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.operators import rules
+from weftline.operators import history, rules
 
 PLAN = """plan_id string, capacities map<string,double>, atoms array<struct<id:string, operation:struct<kind:string, argv:array<string>, cwd:string>, profile:string, side_effect:boolean,
     depends_on:array<struct<atom:string, kind:string>>, accesses:array<struct<resource:string, mode:string>>, effects:array<struct<domain:string, key:string, mode:string>>, claims:array<struct<resource:string, units:double>>,
@@ -40,9 +40,18 @@ def last_worker_line(stdout: Column) -> Column:
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, type, payload) of the lines that parse; numbers follow the order in the file."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("line_no", "line"))
-    return lines.select("file", "line_no", F.from_json("line", TRACE).alias("t")).where("t.type is not null").select("file", "line_no", "t.type", "t.payload")
+    """(file, line_no, type, payload) of the lines that parse; numbers follow the order in the file.
+
+    Files are read line by line and may be split: a line's number is its place in its block and the lines
+    of the blocks before.
+    """
+    m = F.col("_metadata")
+    lines = spark.read.text(path).select(m["file_path"].alias("file"), m["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    blocks = lines.groupBy("file", "block").agg(F.min("at").alias("from_at"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "block", "from_at", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    parsed = lines.select("file", "block", "at", F.from_json("line", TRACE).alias("t")).where("t.type is not null")
+    return parsed.join(blocks, ["file", "block"]).select("file", (F.col("earlier") + F.col("at") - F.col("from_at")).alias("line_no"), "t.type", "t.payload")
 
 
 def calls(traces: DataFrame) -> DataFrame:
@@ -88,6 +97,39 @@ def read_growth(spark: SparkSession, path: str) -> DataFrame:
     return g.withColumn("downloads", F.aggregate(F.coalesce(counts, F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x, F.lit(0)))).drop("releases")
 
 
+_RUN = "run_id string, execution_realm string, generated_at timestamp, status string, commit string, wall_time_seconds double, serial_equivalent_seconds double, saved_seconds double, speedup_multiplier double"
+
+
+def read_bench_history(spark: SparkSession, path: str, realm: str = "unknown") -> DataFrame:
+    """(realm, run_id, generated_at, status, commit, wall_s, serial_s, saved_s, speedup) of history documents.
+
+    The newer shape keeps a history per realm, the older one a single list; a document that has realms is
+    read by them alone. A row's own realm counts before that of its list, of the older shape before the
+    newest run's and then ``realm``. Run ids name their realm. A broken document, and items that are no
+    objects, are dropped.
+    """
+    schema = f"realms map<string, struct<history: array<struct<{_RUN}>>>>, latest struct<{_RUN}>, history array<struct<{_RUN}>>"
+    docs = spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    many = F.coalesce(F.size("realms"), F.lit(0)) > 0
+    new = docs.where(many).select(F.explode("realms").alias("listed", "state")).select("listed", F.explode("state.history").alias("h"))
+    old = docs.where(~many).select(F.coalesce("latest.execution_realm", F.lit(realm)).alias("listed"), F.explode("history").alias("h"))
+    rows = new.unionByName(old).where("h is not null")
+    named = history.clean_realm(F.coalesce("h.execution_realm", "listed"))
+    out = rows.select(named.alias("realm"), "h.*")
+    return out.select("realm", history.qualified(F.col("run_id"), F.col("realm")).alias("run_id"), "generated_at", "status", "commit", F.col("wall_time_seconds").alias("wall_s"), F.col("serial_equivalent_seconds").alias("serial_s"), F.col("saved_seconds").alias("saved_s"), F.col("speedup_multiplier").alias("speedup"))
+
+
+PROJECT_RESULT = """id string, commit string, category string, repetitions int, environment map<string, string>, comparison struct<baseline: string, candidate: string>,
+    parallel struct<wall_seconds: double, serial_seconds: double, speedup: double>, correctness struct<passed: boolean, method: string>"""
+
+
+def read_project_results(spark: SparkSession, path: str, schema: str = PROJECT_RESULT) -> DataFrame:
+    """One row per result of the wrapper documents (``results``, an array), with the document's
+    schema_version; a document without results has no rows, a broken one is dropped."""
+    docs = spark.read.schema(f"schema_version string, results array<struct<{schema}>>").option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    return docs.select("schema_version", F.explode("results").alias("r")).where("r is not null").select("schema_version", "r.*")
+
+
 def bench_history(old: DataFrame, new: DataFrame) -> DataFrame:
     """One row shape for the single-realm and the per-realm history; an old row's realm is null."""
     return old.unionByName(new, allowMissingColumns=True)

@@ -2,12 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FINISHED = ("succeeded", "failed", "skipped")
 
 
+TASK_EVENT = "run_id string, task_id string, event string, status string, duration_s double, ready long, ts timestamp"
+
+
+def task_events(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+    """A stream of task events from JSON lines below a folder: ready, start, end. Broken lines, and events of
+    other kinds, are dropped."""
+    rows = spark.readStream.schema(TASK_EVENT).option("maxFilesPerTrigger", max_files).option("mode", "DROPMALFORMED").json(path)
+    return rows.where(F.col("event").isin("ready", "start", "end") & F.col("run_id").isNotNull())
+
+
+def reclaimable(heartbeats: DataFrame, proofs: DataFrame, gap_s: float = 15.0) -> DataFrame:
+    """(session_id, last_at, gone_at): sessions whose process was proved gone ``gap_s`` or more after their
+    last heartbeat. ``proofs``: session_id, ts, gone. Silence alone reclaims nothing, nor does a proof of a
+    session that still beats. For streams; a session's state is the time of its last heartbeat."""
+    beats = event_time(heartbeats).select("session_id", "ts", F.lit(False).alias("gone"))
+    every = beats.unionByName(event_time(proofs).where("gone").select("session_id", "ts", "gone"))
+
+    def step(key, batches, state):
+        import pandas as pd
+
+        last = state.get[0] if state.exists else None
+        out = []
+        rows = pd.concat(list(batches)).sort_values(["ts", "gone"])
+        for ts, gone in zip(rows["ts"], rows["gone"]):
+            at = ts.timestamp()
+            if not gone:
+                last = at if last is None else max(last, at)
+            elif last is not None and at - last >= gap_s:
+                out.append((key[0], pd.Timestamp(last, unit="s"), ts))
+                last = None
+        if last is not None:
+            state.update((last,))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["session_id", "last_at", "gone_at"])
+
+    return every.groupBy("session_id").applyInPandasWithState(step, "session_id string, last_at timestamp, gone_at timestamp", "last_at double", "append", "NoTimeout")
+
+
 def event_time(rows: DataFrame, column: str = "ts") -> DataFrame:
     """Watermarks need a timestamp with a time zone: session time, set to UTC."""
     return rows.withColumn(column, F.col(column).cast("timestamp"))
