@@ -818,9 +818,9 @@ def fusion_groups(spark, d):
     c AS (SELECT plan_id, unit_id, resource, sum(units) AS claimed FROM {cost_claims} GROUP BY 1, 2, 3),
     x AS (SELECT coalesce(g.plan_id, c.plan_id) AS plan_id, coalesce(g.unit_id, c.unit_id) AS unit_id, coalesce(g.resource, c.resource) AS resource, greatest(coalesce(claimed, base), least_units) AS units
           FROM g FULL JOIN c ON g.plan_id = c.plan_id AND g.unit_id = c.unit_id AND g.resource = c.resource)
-    SELECT plan_id, unit_id, resource, round(units, 6) AS units FROM x WHERE units IS NOT NULL""")
+    SELECT plan_id, unit_id, resource, round(units, 8) AS units FROM x WHERE units IS NOT NULL""")
 def claim_defaults(spark, d):
-    return _r(hosts.claims_with_costs(view(spark, d, "cost_claims"), view(spark, d, "cost_units")), "units")
+    return hosts.claims_with_costs(view(spark, d, "cost_claims"), view(spark, d, "cost_units")).withColumn("units", F.round("units", 8))
 
 
 @query(f"""
