@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,10 +66,18 @@ def unused(df: DataFrame, name: str) -> str:
     return next(x for x in (name, *(f"{name}_{i}" for i in range(len(taken) + 1))) if x not in taken)
 
 
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches of a task in pieces of at most so many rows: copies, hashes and results are those
+    of a piece, whatever number of rows Spark sends at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 # ---------------------------------------------------------------- hashed words
 
 _BASE = 0x9E3779B97F4A7C15
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 _IN_WORD = np.zeros(256, dtype=bool)
 for _c in b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ":
     _IN_WORD[_c] = True

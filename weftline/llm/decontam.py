@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bit_filter, filter_bits, hashed_texts, long_array, own_columns, passes, shingles, without, written
+from weftline.llm.common import bit_filter, filter_bits, hashed_texts, long_array, own_columns, passes, pieces, shingles, without, written
 
 #: the sketch filter has so many bits at least, as one stranger among a long document's shingles lets it through
 WIDTH, THRESHOLD, DOC_BITS = 5, 0.8, 24
@@ -64,7 +64,7 @@ def item_shingles(items: DataFrame, id_col: str, text_col: str, width: int = WID
     """(id, h, shingle): the distinct shingles of each item."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             yield _rows(batch.column("text").to_pylist(), batch.column("id"), width, lambda sh, _: np.ones(len(sh), dtype=bool))
 
     src = own_columns(items, id=items[id_col].cast("long"), text=text_col).where("id is not null")
@@ -107,7 +107,7 @@ def contained(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_co
         return some[text] & passes(in_items.value, sh)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             yield _rows(batch.column("text").to_pylist(), batch.column("id"), width, keep)
 
     src = own_columns(docs, id=docs[id_col].cast("long"), text=text_col).where("id is not null")

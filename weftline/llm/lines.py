@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import bit_filter, dense_characters, filter_bits, long_array, maybe, mix, own_columns, passes, unused, written
+from weftline.llm.common import bit_filter, dense_characters, filter_bits, long_array, maybe, mix, own_columns, passes, pieces, unused, written
 
 #: scripts written without spaces between words
 _DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u9fff\U00020000-\U0003ffff]")
@@ -154,7 +154,7 @@ def window_table(docs: DataFrame, id_col: str, text_col: str, width: int, within
     """(id, text_key, h, g): two hashes of each window of the texts that have one, in their order."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             row, h, g = [], [], []
             for i, x in enumerate(_all_lines(batch.column("text").to_pylist(), within_lines)):
                 h_, g_, _, _ = windows(x, width)
@@ -177,7 +177,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     table = docs.sparkSession.sparkContext.broadcast(bit_filter(repeated, "h", filter_bits(repeated.count())))
 
     def places(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             ends = batch.column("h").offsets.to_numpy()
             h, g = (batch.column(c).flatten().to_numpy() for c in ("h", "g"))
             at = np.flatnonzero(passes(table.value, h.view(np.uint64)))
@@ -240,7 +240,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_w
     touched = docs.where(may).join(gone.toDF(key, text_key, places).hint("shuffle_hash"), same, "left").select(*[docs[c] for c in docs.columns], places)
 
     def rewrite(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch.column(text_col).to_pylist()
             lost = [x or [] for x in batch.column(places).to_pylist()]
             for i, every in enumerate(_all_lines(texts, within_lines)):

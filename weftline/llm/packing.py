@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weftline.llm.common import written
+from weftline.llm.common import pieces, written
 
 END_ID = 1
 #: characters up to which the faster library is used; its pattern fails on runs of near a million spaces
@@ -80,7 +80,7 @@ def tokenised(docs: DataFrame, encode_args: tuple, id_col: str = "doc_id", text_
     def run(batches):
         encode, pack = encoder(*encode_args), zstandard.ZstdCompressor(level=1)
         task, seen, row = TaskContext.get().partitionId(), {}, 0
-        for batch in batches:
+        for batch in pieces(batches):
             sources = batch.column("source").to_pylist()
             n, ids, starts = [], [], []
             for text, source in zip(batch.column("text").to_pylist(), sources):
@@ -189,7 +189,7 @@ def pack(docs: DataFrame, encode_args: tuple, id_col: str = "doc_id", text_col:
 
     def run(batches):
         unpack, (names, schedule) = zstandard.ZstdDecompressor(), shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             row, cols = [], []
             for i, (n, packed, q, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "ids", "queue", "at")))):
                 halves = np.frombuffer(unpack.decompress(packed), dtype="<u2").astype("<u4")

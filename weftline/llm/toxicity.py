@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import hashed_texts, long_array, own_columns, written
+from weftline.llm.common import hashed_texts, long_array, own_columns, pieces, written
 
 WHOLE = 1 << 40
 PREFIXES = (4, 5, 6, 7, 9, 12, WHOLE)
@@ -131,7 +131,7 @@ def _token_counts(train: DataFrame, prefixes: tuple[int, ...]) -> DataFrame:
     """(token, t, c): occurrences of each beginning in toxic and clean rows."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             y = np.array(batch.column("y").to_pylist(), dtype=np.int64)
             for lo, hi, bounds, hashes, *_ in hashed_texts(batch.column("text").to_pylist(), prefixes, dense=True):
                 toxic = np.tile(np.repeat(y[lo:hi], np.diff(bounds)), len(prefixes))
@@ -166,7 +166,7 @@ def _resolved_counts(train: DataFrame, tokens: np.ndarray, z: np.ndarray, prefix
 
     def run(batches):
         tokens, z = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             y = np.array(batch.column("y").to_pylist(), dtype=np.int64)
             for lo, hi, bounds, hashes, *_ in hashed_texts(batch.column("text").to_pylist(), prefixes, dense=True):
                 at = resolve(tokens, z, hashes)
@@ -282,7 +282,7 @@ def _segment_stats(rows: DataFrame, m: Model, floor: float) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             n, above, ev = [], [], []
             for tokens, segments in _scan(m, batch.column("text").to_pylist()):
                 n.append(tokens)
@@ -305,7 +305,7 @@ def score(docs: DataFrame, m: Model, id_col: str = "doc_id", text_col: str = "te
     def run(batches):
         m = shared.value
         passage = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64())]))
-        for batch in batches:
+        for batch in pieces(batches):
             n, ev, found = [], [], []
             for tokens, segments in _scan(m, batch.column("text").to_pylist()):
                 e, good = evidence(tokens, segments, m.scale, m.k, m.max_expected)
@@ -332,7 +332,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_co
 
     def run(batches):
         m = shared.value
-        for batch in batches:
+        for batch in pieces(batches):
             ev = np.array([evidence(n, s, m.scale, m.k, m.max_expected)[0] for n, s in _scan(m, batch.column(text_col).to_pylist())], dtype=float)
             p = 1 / (1 + np.exp(-np.clip(m.intercept + m.slope * np.log1p(ev), -30, 30)))
             yield batch.filter(pa.array(p < threshold))
