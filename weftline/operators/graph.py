@@ -5,26 +5,16 @@ Loops run on the driver and stop when nothing changes; each round is cut with ch
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.store import cut
+
 MAX_ROUNDS = 10_000
 # fixed values: kinds of edge that ask for a predecessor that succeeded
 ON_SUCCESS = ("hard", "success", "data", "stream", "after_ready", "after_healthy", "after_completion")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
-
-
 def _peel(own: DataFrame, links: DataFrame) -> DataFrame:
     """(plan_id, unit_id, own, total, round): units settle once all they wait for have; total is the
     own value plus the largest total of those. What never settles has a null round and total.
@@ -32,17 +22,17 @@ def _peel(own: DataFrame, links: DataFrame) -> DataFrame:
     ``links``: distinct (plan_id, unit_id, pred_id) of known units. One write a round, which carries
     how many a unit still waits for; only what settled last joins the links.
     """
-    links = _cut(links)
+    links = cut(links)
     key = ["plan_id", "unit_id"]
     waits = links.groupBy(*key).agg(F.count("*").alias("waits"))
     state = own.join(waits, key, "left").select(*key, "own", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(0.0).alias("best"))
-    state = _cut(state.withColumns({"round": F.when(F.col("waits") == 0, 0), "total": F.when(F.col("waits") == 0, F.col("own"))}))
+    state = cut(state.withColumns({"round": F.when(F.col("waits") == 0, 0), "total": F.when(F.col("waits") == 0, F.col("own"))}))
     for r in range(1, MAX_ROUNDS):
         fresh = state.where(F.col("round") == r - 1).select("plan_id", F.col("unit_id").alias("pred_id"), "total")
         got = links.join(fresh, ["plan_id", "pred_id"]).groupBy(*key).agg(F.count("*").alias("n"), F.max("total").alias("top"))
         met = state.join(got, key, "left").withColumns({"waits": F.col("waits") - F.coalesce("n", F.lit(0)), "best": F.greatest("best", F.coalesce("top", F.lit(0.0)))})
         now = F.col("n").isNotNull() & (F.col("waits") == 0)
-        state = _cut(met.select(*key, "own", "waits", "best", F.when(now, r).otherwise(F.col("round")).alias("round"), F.when(now, F.col("own") + F.col("best")).otherwise(F.col("total")).alias("total")))
+        state = cut(met.select(*key, "own", "waits", "best", F.when(now, r).otherwise(F.col("round")).alias("round"), F.when(now, F.col("own") + F.col("best")).otherwise(F.col("total")).alias("total")))
         if state.where(F.col("round") == r).isEmpty():
             return state
     raise RuntimeError("too many levels")
@@ -82,12 +72,12 @@ def ancestors(edges: DataFrame) -> DataFrame:
     By doubling, and only pairs found last are carried on: a shortest way of l steps, with
     L < l <= 2 L, starts with one of L steps, which was found last, and ends with a known one.
     """
-    fresh = now = _cut(edges.select("plan_id", "unit_id", F.col("pred_id").alias("ancestor")).distinct())
+    fresh = now = cut(edges.select("plan_id", "unit_id", F.col("pred_id").alias("ancestor")).distinct())
     for _ in range(64):
         x = fresh.select("plan_id", F.col("unit_id").alias("low"), F.col("ancestor").alias("mid"))
         far = x.join(now.select("plan_id", F.col("unit_id").alias("mid"), F.col("ancestor").alias("high")), ["plan_id", "mid"]).select("plan_id", "low", "high").distinct()
         known = now.select("plan_id", F.col("unit_id").alias("low"), F.col("ancestor").alias("high"))
-        fresh = _cut(far.join(known, ["plan_id", "low", "high"], "left_anti").toDF("plan_id", "unit_id", "ancestor"))
+        fresh = cut(far.join(known, ["plan_id", "low", "high"], "left_anti").toDF("plan_id", "unit_id", "ancestor"))
         if fresh.isEmpty():
             return now
         now = now.unionByName(fresh)
@@ -121,16 +111,16 @@ def edge_satisfied(kind: str = "kind", pred_status: str = "pred_status"):
 def skip_cascade(units: DataFrame, edges: DataFrame, status: str = "status") -> DataFrame:
     """(plan_id, unit_id, status) after pending units with an unsatisfied edge to a finished
     predecessor are skipped, until nothing changes."""
-    now = _cut(units.select("plan_id", "unit_id", F.col(status).alias("status")))
-    links = _cut(edges.select("plan_id", "unit_id", "pred_id", "kind").distinct())
+    now = cut(units.select("plan_id", "unit_id", F.col(status).alias("status")))
+    links = cut(edges.select("plan_id", "unit_id", "pred_id", "kind").distinct())
     for _ in range(MAX_ROUNDS):
         ended = now.where("status <> 'pending'").select("plan_id", F.col("unit_id").alias("pred_id"), F.col("status").alias("pred_status"))
         pending = now.where("status = 'pending'").select("plan_id", "unit_id")
         hit = links.join(ended, ["plan_id", "pred_id"]).where(~edge_satisfied()).select("plan_id", "unit_id").distinct().join(pending, ["plan_id", "unit_id"], "left_semi")
-        hit = _cut(hit.withColumn("skip", F.lit(True)))
+        hit = cut(hit.withColumn("skip", F.lit(True)))
         if hit.isEmpty():
             return now
-        now = _cut(now.join(hit, ["plan_id", "unit_id"], "left").select("plan_id", "unit_id", F.when(F.col("skip"), "skipped").otherwise(F.col("status")).alias("status")))
+        now = cut(now.join(hit, ["plan_id", "unit_id"], "left").select("plan_id", "unit_id", F.when(F.col("skip"), "skipped").otherwise(F.col("status")).alias("status")))
     raise RuntimeError("the cascade did not settle")
 
 
