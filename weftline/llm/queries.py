@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontam, hamming_search, lines, lm, packing, pii, sharding, simhash, toxicity, warc
+from weftline.llm import decontam, dialogue, hamming_search, hyperdim, lines, lm, packing, periodic, pii, sharding, simhash, toxicity, warc
 
 SHARDS = 40
 #: tokenizer, its vocabulary as ranks, and the pattern that goes with it
@@ -68,8 +68,32 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), ENCODER)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    planted = docs.select("doc_id", periodic.repeat_words(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic.with_runs(planted).withColumn("best", periodic.strongest(F.col("runs")))
+    best = F.col("best")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(best["length"] * 1000 / best["period"]).cast("long").alias("exponent_milli"), F.sha2(periodic.listed(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperdim.identify(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    original = table(spark, sf_dir, "conversations")
+    fixed = dialogue.repair(dialogue.damaged(original))
+    every = dialogue.met(dialogue.met(original.select("conv_id").distinct(), fixed.conversations, ["conv_id"]), dialogue.digests(fixed.turns), ["conv_id"])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    counts = [zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_hamming_topk, op2_warc, op3_decontaminate, op4_line_dedup, op5_simhash, op6_pii, op7_rendezvous, op8_toxic_segments, op9_cross_entropy, op10_packing]
+    made = [op1_hamming_topk, op2_warc, op3_decontaminate, op4_line_dedup, op5_simhash, op6_pii, op7_rendezvous, op8_toxic_segments, op9_cross_entropy, op10_packing, op11_periodic_runs, op12_language_id, op13_conversation_repair]
     return {f.__name__: f for f in made}
 
 
