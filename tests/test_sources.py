@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.sources import files, sinks
@@ -67,7 +68,7 @@ def test_credit_once_survives_replay(spark, tmp_path):
     q = sinks.credit_once(s, f"{tmp_path}/out", f"{tmp_path}/cp")
     q.processAllAvailable()
     q.stop()
-    assert spark.read.parquet(f"{tmp_path}/out").agg(F.sum("saved_s")).first()[0] == 6.0
+    assert sinks.credits(spark, f"{tmp_path}/out").agg(F.sum("saved_s")).first()[0] == 6.0
 
 
 def test_lines_keep_their_numbers_over_blocks(spark, tmp_path):
@@ -108,15 +109,74 @@ def test_task_events_feed_the_counters(spark, tmp_path):
     assert [(r["run_id"], r["running"], r["completed"]) for r in got] == [("r", 0, 1)]
 
 
-def test_silence_alone_reclaims_nothing(spark, tmp_path):
-    t = lambda s: f"2024-01-01 00:{s // 60:02d}:{s % 60:02d}"
-    # a: silent and gone; b: silent, no proof; c: proof while it still beats; d: proof without a heartbeat
-    beats = [("a", t(0)), ("a", t(5)), ("b", t(0)), ("c", t(0)), ("c", t(10)), ("c", t(20))]
-    proofs = [("a", t(30), True), ("b", t(40), False), ("c", t(12), True), ("d", t(900), True)]
-    h = spark.createDataFrame(beats, "session_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
-    p = spark.createDataFrame(proofs, "session_id string, ts string, gone boolean").withColumn("ts", F.col("ts").cast("timestamp"))
-    for n, df in (("h", h), ("p", p)):
-        df.coalesce(1).write.parquet(f"{tmp_path}/{n}")
-    sh, sp = (spark.readStream.schema(df.schema).parquet(f"{tmp_path}/{n}") for n, df in (("h", h), ("p", p)))
-    got = run_stream(spark, live.reclaimable(sh, sp), "gone", "append")
-    assert [r["session_id"] for r in got] == ["a"]
+CREDIT = "run_id long, provenance string, saved_s double, at string"
+
+
+def credits_of(spark, path):
+    return sorted((r["run_id"], r["saved_s"]) for r in sinks.credits(spark, path).collect())
+
+
+def test_credits_survive_a_new_checkpoint(spark, tmp_path):
+    for part, runs in (("a", [1, 2]), ("b", [3]), ("c", [2, 4])):
+        spark.createDataFrame([(r, "measured", float(r), part) for r in runs], CREDIT).coalesce(1).write.parquet(f"{tmp_path}/{part}")
+        s = spark.readStream.schema(CREDIT).parquet(f"{tmp_path}/{part}")
+        q = sinks.credit_once(s, f"{tmp_path}/out", f"{tmp_path}/checkpoint-{part}", buckets=4)
+        q.processAllAvailable()
+        q.stop()
+    assert credits_of(spark, f"{tmp_path}/out") == [(1, 1.0), (2, 2.0), (3, 3.0), (4, 4.0)]
+
+
+def test_a_batch_lost_before_its_manifest_leaves_nothing(spark, tmp_path, monkeypatch):
+    batch = lambda *runs, s=1.0: spark.createDataFrame([(r, "measured", s, "t") for r in runs], CREDIT)
+    ledger = sinks.Ledger(spark, f"{tmp_path}/out", 4)
+    assert sinks.credits(spark, f"{tmp_path}/out") is None
+    ledger.add(batch(1, 2))
+
+    def lost(self, state):
+        raise OSError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(sinks.Ledger, "_commit", lost)
+        with pytest.raises(OSError):
+            ledger.add(batch(3, s=9.0))
+    assert credits_of(spark, f"{tmp_path}/out") == [(1, 1.0), (2, 1.0)]
+    ledger.add(batch(3, 1))
+    assert credits_of(spark, f"{tmp_path}/out") == [(1, 1.0), (2, 1.0), (3, 1.0)]
+    assert ledger.sweep() == 1 and credits_of(spark, f"{tmp_path}/out") == [(1, 1.0), (2, 1.0), (3, 1.0)]
+
+
+def test_two_writers_of_credits_both_count(spark, tmp_path, monkeypatch):
+    batch = lambda *runs, s=1.0: spark.createDataFrame([(r, "measured", s, "t") for r in runs], CREDIT)
+    ledger, other = (sinks.Ledger(spark, f"{tmp_path}/out", 2) for _ in range(2))
+    commit, seen = sinks.Ledger._commit, []
+
+    def overtaken(self, state):
+        if self is ledger and not seen:
+            seen.append(other.add(batch(1, 5, s=7.0)))
+        return commit(self, state)
+
+    monkeypatch.setattr(sinks.Ledger, "_commit", overtaken)
+    ledger.add(batch(1, 2))
+    assert seen == [1] and credits_of(spark, f"{tmp_path}/out") == [(1, 7.0), (2, 1.0), (5, 7.0)]
+
+
+def test_buckets_are_read_and_put_together(spark, tmp_path, monkeypatch):
+    batch = lambda *runs: spark.createDataFrame([(r, "measured", 1.0, "t") for r in runs], CREDIT)
+    monkeypatch.setattr(sinks, "MOST_PIECES", 2)
+    ledger = sinks.Ledger(spark, f"{tmp_path}/out", 3)
+    for i in range(6):
+        ledger.add(batch(*range(i, i + 4)))
+    assert [r for r, _ in credits_of(spark, f"{tmp_path}/out")] == list(range(9))
+    assert all(len(p) <= 3 for p in ledger.state()["pieces"].values())
+    read, rows = [], sinks.Ledger._rows
+    monkeypatch.setattr(sinks.Ledger, "_rows", lambda self, state, buckets=None: read.append(buckets) or rows(self, state, buckets))
+    version = ledger.state()["version"]
+    assert ledger.add(batch(4)) == version and len(read[0]) == 1
+    ledger.add(spark.createDataFrame([(None, "measured", 1.0, "t"), (77, "x", 1.0, None), (77, "y", 2.0, "t")], CREDIT))
+    assert credits_of(spark, f"{tmp_path}/out")[-1] == (77, 2.0)
+
+
+def test_reports_are_one_sorted_file(spark, tmp_path):
+    sinks.write_report(spark.createDataFrame([(2, "b"), (1, "a")], "n int, a string").repartition(2), f"{tmp_path}/r", "n")
+    files_ = list((tmp_path / "r").glob("part-*"))
+    assert [json.loads(x) for x in files_[0].read_text().splitlines()] == [{"a": "a", "n": 1}, {"a": "b", "n": 2}] and len(files_) == 1

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators import chains
+from weftline.operators.store import cut
+
 SHARED_MODES = ("read", "snapshot")
 
 
@@ -38,6 +41,51 @@ def access_conflicts(accesses: DataFrame) -> DataFrame:
     return met.select("x.plan_id", F.col("x.unit_id").alias("first"), F.col("y.unit_id").alias("second"), "x.resource", F.col("x.mode").alias("first_mode"), F.col("y.mode").alias("second_mode"))
 
 
+def _class_rows(accesses: DataFrame) -> DataFrame:
+    return accesses.select("plan_id", "resource", "unit_id", "mode", F.coalesce("commutative", F.lit(False)).alias("free")).distinct()
+
+
+def conflict_classes(accesses: DataFrame) -> DataFrame:
+    """(plan_id, resource, first_mode, first_free, second_mode, second_free, first_units, second_units, pairs): how many pairs of accesses
+    of different units clash, by their modes and whether they commute (free). A resource has as few rows as
+    it has pairs of classes, however many units touch it; ``class_pairs`` gives the pairs of some of them.
+
+    Units are counted by the set of classes they have, so no two units are ever joined.
+    """
+    rows = _class_rows(accesses)
+    sets = rows.groupBy("plan_id", "resource", "unit_id").agg(F.array_sort(F.collect_set(F.struct("mode", "free"))).alias("classes"))
+    counts = sets.groupBy("plan_id", "resource", "classes").agg(F.count("*").alias("n"))
+    size = counts.select("plan_id", "resource", F.explode("classes").alias("c"), "n").groupBy("plan_id", "resource", "c").agg(F.sum("n").alias("units"))
+    # units that have both classes of a pair clash with themselves only
+    pair = F.explode(F.flatten(F.transform("classes", lambda a: F.transform(F.filter("classes", lambda b: a < b), lambda b: F.struct(a.alias("a"), b.alias("b"))))))
+    both = counts.select("plan_id", "resource", "n", pair.alias("p")).groupBy("plan_id", "resource", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.sum("n").alias("own"))
+    one, two = (size.select("plan_id", "resource", F.col("c").alias(x), F.col("units").alias(f"units_{x}")) for x in ("a", "b"))
+    met = one.join(two, ["plan_id", "resource"]).where(F.col("a") <= F.col("b")).join(both, ["plan_id", "resource", "a", "b"], "left")
+    calm = (F.col("a.mode").isin(*SHARED_MODES) & F.col("b.mode").isin(*SHARED_MODES)) | ((F.col("a.mode") == "append") & (F.col("b.mode") == "append") & F.col("a.free") & F.col("b.free"))
+    n, m = F.col("units_a"), F.col("units_b")
+    pairs = F.when(F.col("a") == F.col("b"), F.floor(n * (n - 1) / 2)).otherwise(n * m - F.coalesce("own", F.lit(0))).cast("long")
+    out = met.where(~calm).select("plan_id", "resource", F.col("a.mode").alias("first_mode"), F.col("a.free").alias("first_free"), F.col("b.mode").alias("second_mode"), F.col("b.free").alias("second_free"), n.alias("first_units"), m.alias("second_units"), pairs.alias("pairs"))
+    return out.where("pairs > 0")
+
+
+def class_pairs(classes: DataFrame, accesses: DataFrame) -> DataFrame:
+    """(plan_id, first, second, resource, first_mode, second_mode): the pairs of units behind rows of ``conflict_classes``."""
+    rows = _class_rows(accesses)
+    x = rows.toDF("plan_id", "resource", "x", "first_mode", "first_free")
+    y = rows.toDF("plan_id", "resource", "y", "second_mode", "second_free")
+    alike = (F.col("first_mode") == F.col("second_mode")) & (F.col("first_free") == F.col("second_free"))
+    met = classes.join(x, ["plan_id", "resource", "first_mode", "first_free"]).join(y, ["plan_id", "resource", "second_mode", "second_free"]).where((F.col("x") != F.col("y")) & (~alike | (F.col("x") < F.col("y"))))
+    ahead = F.col("x") < F.col("y")
+    pick = lambda a, b: F.when(ahead, F.col(a)).otherwise(F.col(b))
+    return met.select("plan_id", pick("x", "y").alias("first"), pick("y", "x").alias("second"), "resource", pick("first_mode", "second_mode").alias("first_mode"), pick("second_mode", "first_mode").alias("second_mode"))
+
+
+def resource_units(accesses: DataFrame) -> DataFrame:
+    """(plan_id, resource, units, writers): how many units touch each resource, and how many change it: where pairs would be many."""
+    per = accesses.groupBy("plan_id", "resource", "unit_id").agg(F.bool_or(~F.col("mode").isin(*SHARED_MODES)).alias("writes"))
+    return per.groupBy("plan_id", "resource").agg(F.count("*").alias("units"), F.count(F.when(F.col("writes"), 1)).alias("writers"))
+
+
 def _nested_pairs(rows: DataFrame, harmless: Column) -> DataFrame:
     """As ``_pairs``, for resources that are equal or nested."""
     parts = F.split("resource", "/")
@@ -86,10 +134,10 @@ def exclusive_conflicts(units: DataFrame, exclusive: Column) -> DataFrame:
     return met.select("x.plan_id", F.least(a, b).alias("first"), F.greatest(a, b).alias("second")).distinct()
 
 
-def with_order(pairs: DataFrame, closure: DataFrame) -> DataFrame:
-    """Adds ``ordered``: one of the pair is an ancestor of the other."""
-    c = closure.select("plan_id", F.least("unit_id", "ancestor").alias("first"), F.greatest("unit_id", "ancestor").alias("second")).distinct().withColumn("ordered", F.lit(True))
-    return pairs.join(c, ["plan_id", "first", "second"], "left").withColumn("ordered", F.coalesce("ordered", F.lit(False)))
+def with_order(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """Adds ``ordered``: one of the pair follows the other. Only these pairs are looked up; no closure is made."""
+    o = chains.order_of(pairs, chains.links_of(edges)).withColumn("ordered", F.col("forward") | F.col("backward")).drop("forward", "backward")
+    return pairs.join(o, ["plan_id", "first", "second"])
 
 
 def reorder_fences(pairs: DataFrame, units: DataFrame, reorderable: Column) -> DataFrame:
@@ -115,21 +163,16 @@ def data_edges(accesses: DataFrame) -> DataFrame:
     return met.groupBy("plan_id", "producer", "consumer").agg(F.sort_array(F.collect_set("resource")).alias("resources"))
 
 
-def contradictions(candidates: DataFrame, edges: DataFrame, closure: DataFrame) -> DataFrame:
+def contradictions(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     """(plan_id, producer, consumer, both_ways, against_order, already_ordered) of data edges."""
     pair = candidates.select("plan_id", "producer", "consumer")
     back = pair.select("plan_id", F.col("producer").alias("consumer"), F.col("consumer").alias("producer"), F.lit(True).alias("both_ways"))
-    anc = closure.select("plan_id", F.col("unit_id"), F.col("ancestor")).distinct()
-    against = anc.select("plan_id", F.col("unit_id").alias("producer"), F.col("ancestor").alias("consumer"), F.lit(True).alias("against_order"))
-    along = anc.select("plan_id", F.col("unit_id").alias("consumer"), F.col("ancestor").alias("producer"), F.lit(True).alias("already_ordered"))
-    out = pair
-    for t in (back, against, along):
-        out = out.join(t, ["plan_id", "producer", "consumer"], "left")
-    no = F.lit(False)
-    return out.select("plan_id", "producer", "consumer", *[F.coalesce(c, no).alias(c) for c in ("both_ways", "against_order", "already_ordered")])
+    order = chains.order_of(pair.toDF("plan_id", "first", "second"), chains.links_of(edges)).toDF("plan_id", "producer", "consumer", "already_ordered", "against_order")
+    out = pair.join(back, ["plan_id", "producer", "consumer"], "left").join(order, ["plan_id", "producer", "consumer"])
+    return out.select("plan_id", "producer", "consumer", F.coalesce("both_ways", F.lit(False)).alias("both_ways"), "against_order", "already_ordered")
 
 
-def data_flow(accesses: DataFrame, closure: DataFrame) -> DataFrame:
+def data_flow(accesses: DataFrame, edges: DataFrame) -> DataFrame:
     """(plan_id, code, first, second, detail): what accesses to equal or nested files say of the order of two units.
 
     A create before a read or snapshot flows from its unit to the other, unless several units create
@@ -147,11 +190,9 @@ def data_flow(accesses: DataFrame, closure: DataFrame) -> DataFrame:
     pair = met.groupBy("x.plan_id", F.col("x.unit_id").alias("first"), F.col("y.unit_id").alias("second")).agg(
         F.array_sort(F.collect_set(F.when(ahead, F.col("x.resource")))).alias("ahead"), F.array_sort(F.collect_set(F.when(behind, F.col("y.resource")))).alias("behind"), F.array_sort(F.collect_set(F.when(~ahead & ~behind, clash))).alias("clash")
     )
-    anc = closure.select("plan_id", "unit_id", "ancestor").distinct()
-    after = anc.select("plan_id", F.col("unit_id").alias("second"), F.col("ancestor").alias("first"), F.lit(True).alias("after"))
-    before = anc.select("plan_id", F.col("unit_id").alias("first"), F.col("ancestor").alias("second"), F.lit(True).alias("before"))
-    o = pair.join(after, ["plan_id", "first", "second"], "left").join(before, ["plan_id", "first", "second"], "left")
-    o = o.withColumns({"after": F.coalesce("after", F.lit(False)), "before": F.coalesce("before", F.lit(False))})
+    pair = cut(pair)
+    order = chains.order_of(pair, chains.links_of(edges)).toDF("plan_id", "first", "second", "after", "before")
+    o = pair.join(order, ["plan_id", "first", "second"])
     has = lambda c: F.size(c) > 0
     row = lambda code, a, b, items, sep=",": F.struct(F.lit(code).alias("code"), F.col(a).alias("first"), F.col(b).alias("second"), F.array_join(items, sep).alias("detail"))
     one = lambda a, b, items, against, along: F.when(F.col(against), row("CONTRADICTORY_DATA_ORDER", a, b, items)).when(~F.col(along), row("DATA_EDGE", a, b, items))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators import chains
+from weftline.operators.store import cut
+
 
 def _num(c: Column) -> Column:
     return F.sum(F.when(c, 1).otherwise(0))
@@ -19,12 +22,33 @@ def snapshot_drift(expected: DataFrame, current: DataFrame) -> DataFrame:
     return e.join(c, ["plan_id", "path"], "full_outer").select("plan_id", "path", state.alias("state"))
 
 
-def hotspot_spans(spans: DataFrame, hotspots: DataFrame, block: int = 64) -> DataFrame:
+def dyadic(first: Column, last: Column) -> Column:
+    """The whole numbers from first to last as the fewest blocks (level, at): those that shifted right by level
+    give at. At most two a level; empty where first is null or above last."""
+    at = lambda c, k: F.call_function("shiftright", c, k)
+
+    def blocks(k: Column) -> Column:
+        lo, hi = at(first + F.call_function("shiftleft", F.lit(1).cast("long"), k) - 1, k), at(last + 1, k)
+        piece = lambda odd, x: F.when((lo < hi) & (odd % 2 != 0), F.struct(k.alias("level"), x.alias("at")))
+        return F.array_compact(F.array(piece(lo, lo), piece(hi, hi - 1)))
+
+    top = F.length(F.bin(last - first + 1))
+    return F.when(first <= last, F.flatten(F.transform(F.sequence(F.lit(0), top), blocks))).otherwise(F.array().cast("array<struct<level:int,at:bigint>>"))
+
+
+def hotspot_spans(spans: DataFrame, hotspots: DataFrame) -> DataFrame:
     """(path, span_id, hotspot_id, wall_s): of the hotspots inside a span the one with the largest
-    wall time, then the lowest line. They meet by path and block of lines, not by path alone."""
-    at = lambda c: F.floor(F.col(c) / block)
-    cut = spans.where("first_line <= last_line").withColumn("block", F.explode(F.sequence(at("first_line"), at("last_line"))))
-    met = cut.join(hotspots.withColumn("block", at("line")), ["path", "block"]).where((F.col("first_line") <= F.col("line")) & (F.col("line") <= F.col("last_line")))
+    wall time, then the lowest line.
+
+    A span is cut into the fewest blocks of lines whose sizes are powers of two, a hotspot lies in one block of each size; they
+    meet by path and block. So a span of n lines is some 2 log n rows, a hotspot a row for each size that spans have.
+    """
+    line = lambda c: F.floor(F.col(c)).cast("long")
+    longest = spans.agg(F.max(line("last_line") - line("first_line"))).first()[0] or 0
+    cuts = spans.where("first_line <= last_line").withColumn("block", F.explode(dyadic(line("first_line"), line("last_line"))))
+    sizes = F.sequence(F.lit(0), F.lit(max(1, int(longest) + 1).bit_length()))
+    spots = hotspots.withColumn("block", F.explode(F.transform(sizes, lambda k: F.struct(k.alias("level"), F.call_function("shiftright", line("line"), k).alias("at")))))
+    met = cuts.join(spots, ["path", "block"]).where((F.col("first_line") <= F.col("line")) & (F.col("line") <= F.col("last_line")))
     best = F.max_by(F.struct("hotspot_id", "wall_s"), F.struct("wall_s", -F.col("line"), -F.col("hotspot_id"))).alias("b")
     return met.groupBy("path", "span_id").agg(best).select("path", "span_id", "b.hotspot_id", "b.wall_s")
 
@@ -127,18 +151,23 @@ def baseline_eligible(summary: DataFrame) -> DataFrame:
     return summary.groupBy("run_id").agg(F.bool_and((F.col("passed") == F.col("tests")) & (F.col("skipped") == 0) & F.col("consistent")).alias("eligible"))
 
 
-def evidence_still_valid(run_commits: DataFrame, closure: DataFrame, changes: DataFrame, head: str, allowed_prefix: str = "docs/") -> DataFrame:
-    """(run_id, valid): the run's commit is the head, or an ancestor of it since which only paths
-    under ``allowed_prefix`` have changed. ``closure``: (commit, ancestor); ``changes``: (commit, path)."""
-    above = closure.where(F.col("commit") == head).select("ancestor")
-    # commits between: ancestors of head (and head) that are not the run's commit or below it
-    line = above.withColumnRenamed("ancestor", "between").union(above.sparkSession.createDataFrame([(head,)], "between string"))
-    pairs = run_commits.join(above, run_commits["commit"] == above["ancestor"], "left_semi").select("run_id", F.col("commit").alias("base"))
-    touched = changes.where(~F.col("path").startswith(allowed_prefix)).select(F.col("commit").alias("between")).distinct().join(line, "between", "left_semi")
-    since = closure.select(F.col("commit").alias("between"), F.col("ancestor").alias("base")).distinct()
-    bad = pairs.join(since.join(touched, "between"), "base").select("run_id").distinct().withColumn("bad", F.lit(True))
-    out = run_commits.join(pairs.select("run_id", F.lit(True).alias("older")), "run_id", "left").join(bad, "run_id", "left")
-    return out.select("run_id", ((F.col("commit") == head) | (F.coalesce("older", F.lit(False)) & ~F.coalesce("bad", F.lit(False)))).alias("valid"))
+def evidence_still_valid(run_commits: DataFrame, parents: DataFrame, changes: DataFrame, head: str, allowed_prefix: str = "docs/") -> DataFrame:
+    """(run_id, valid): the run's commit is the head, or an ancestor of it since which something was
+    changed, and only paths under ``allowed_prefix``. ``parents``: (commit, parent), or (commit, ancestor) of all; ``changes``: (commit, path).
+
+    Two sweeps from the head: what can be reached from it, and on the ways there the most commits that
+    changed something, and something else than allowed, above each.
+    """
+    up = parents.select(F.lit(0).alias("plan_id"), F.col("parent" if "parent" in parents.columns else "ancestor").alias("unit_id"), F.col("commit").alias("pred_id")).where("unit_id is not null and pred_id is not null").distinct()
+    start = parents.sparkSession.createDataFrame([(0, head)], "plan_id int, unit_id string")
+    older = cut(chains.reachable(start, up))
+    ways = up.join(older.select("plan_id", F.col("unit_id").alias("pred_id")), ["plan_id", "pred_id"], "left_semi").select("plan_id", "unit_id", "pred_id")
+    marks = changes.groupBy(F.col("commit").alias("unit_id")).agg(F.lit(1).alias("some"), F.max(F.when(F.col("path").startswith(allowed_prefix), 0).otherwise(1)).alias("other"))
+    none = F.lit(0)
+    own = older.join(marks, "unit_id", "left").select("plan_id", "unit_id", F.coalesce("some", none).alias("some"), F.coalesce("other", none).alias("other"))
+    most = chains.longest(own, ways, ("some", "other")).toDF("plan_id", "unit_id", "most_some", "most_other")
+    fine = own.join(most, ["plan_id", "unit_id"]).where("most_some > some and most_other = other").select(F.col("unit_id").alias("commit"), F.lit(True).alias("fine"))
+    return run_commits.join(fine, "commit", "left").select("run_id", F.coalesce((F.col("commit") == head) | F.coalesce("fine", F.lit(False)), F.lit(False)).alias("valid"))
 
 
 def keep_last(rows: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:

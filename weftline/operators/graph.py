@@ -1,51 +1,28 @@
-"""Iterative graph operators over many plans at once: keys are (plan_id, unit_id).
+"""Graph operators over many plans at once: keys are (plan_id, unit_id).
 
-Loops run on the driver and stop when nothing changes; each round is cut with checkpoint().
+Chains of units are contracted first (``chains``); loops run on the driver, carry what changed last and stop when nothing does.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators import chains, scan
 from weftline.operators.store import cut
 
-MAX_ROUNDS = 10_000
 # fixed values: kinds of edge that ask for a predecessor that succeeded
 ON_SUCCESS = ("hard", "success", "data", "stream", "after_ready", "after_healthy", "after_completion")
 
 
-def _peel(own: DataFrame, links: DataFrame) -> DataFrame:
-    """(plan_id, unit_id, own, total, round): units settle once all they wait for have; total is the
-    own value plus the largest total of those. What never settles has a null round and total.
-
-    ``links``: distinct (plan_id, unit_id, pred_id) of known units. One write a round, which carries
-    how many a unit still waits for; only what settled last joins the links.
-    """
-    links = cut(links)
-    key = ["plan_id", "unit_id"]
-    waits = links.groupBy(*key).agg(F.count("*").alias("waits"))
-    state = own.join(waits, key, "left").select(*key, "own", F.coalesce("waits", F.lit(0)).alias("waits"), F.lit(0.0).alias("best"))
-    state = cut(state.withColumns({"round": F.when(F.col("waits") == 0, 0), "total": F.when(F.col("waits") == 0, F.col("own"))}))
-    for r in range(1, MAX_ROUNDS):
-        fresh = state.where(F.col("round") == r - 1).select("plan_id", F.col("unit_id").alias("pred_id"), "total")
-        got = links.join(fresh, ["plan_id", "pred_id"]).groupBy(*key).agg(F.count("*").alias("n"), F.max("total").alias("top"))
-        met = state.join(got, key, "left").withColumns({"waits": F.col("waits") - F.coalesce("n", F.lit(0)), "best": F.greatest("best", F.coalesce("top", F.lit(0.0)))})
-        now = F.col("n").isNotNull() & (F.col("waits") == 0)
-        state = cut(met.select(*key, "own", "waits", "best", F.when(now, r).otherwise(F.col("round")).alias("round"), F.when(now, F.col("own") + F.col("best")).otherwise(F.col("total")).alias("total")))
-        if state.where(F.col("round") == r).isEmpty():
-            return state
-    raise RuntimeError("too many levels")
-
-
-def ready_order(units: DataFrame, edges: DataFrame, priority: str) -> DataFrame:
+def ready_order(units: DataFrame, edges: DataFrame, priority: str, parts: int | None = None) -> DataFrame:
     """(plan_id, unit_id, place): pending units that wait for no pending one, from the highest priority down,
     then by id. ``units``: plan_id, unit_id, status and the priority."""
     pending = units.where("status = 'pending'")
     ahead = pending.select("plan_id", F.col("unit_id").alias("pred_id"))
     waits = edges.select("plan_id", "unit_id", "pred_id").join(ahead, ["plan_id", "pred_id"], "left_semi").select("plan_id", "unit_id")
-    w = Window.partitionBy("plan_id").orderBy(F.desc_nulls_last(priority), "unit_id")
-    return pending.join(waits, ["plan_id", "unit_id"], "left_anti").select("plan_id", "unit_id", F.row_number().over(w).alias("place"))
+    ready = pending.join(waits, ["plan_id", "unit_id"], "left_anti").select("plan_id", "unit_id", priority)
+    return scan.running(ready, ["plan_id"], [F.desc_nulls_last(priority), F.col("unit_id")], [scan.place("place")], parts).select("plan_id", "unit_id", "place")
 
 
 def levels(units: DataFrame, edges: DataFrame) -> DataFrame:
@@ -54,16 +31,20 @@ def levels(units: DataFrame, edges: DataFrame) -> DataFrame:
     Units in a cycle, or below one, have a null level. Edges to unknown units are ignored.
     """
     nodes = units.select("plan_id", "unit_id").distinct()
-    known = nodes.select("plan_id", F.col("unit_id").alias("pred_id"))
-    links = edges.select("plan_id", "unit_id", "pred_id").distinct().join(known, ["plan_id", "pred_id"], "left_semi")
-    return _peel(nodes.withColumn("own", F.lit(0.0)), links).select("plan_id", "unit_id", F.col("round").alias("level"))
+    links = _known(chains.links_of(edges), nodes)
+    return nodes.join(chains.longest(nodes.withColumn("n", F.lit(1)), links, ("n",)), ["plan_id", "unit_id"], "left").select("plan_id", "unit_id", (F.col("n") - 1).cast("int").alias("level"))
+
+
+def _known(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between known units."""
+    return links.join(nodes, ["plan_id", "unit_id"], "left_semi").join(nodes.select("plan_id", F.col("unit_id").alias("pred_id")), ["plan_id", "pred_id"], "left_semi").select("plan_id", "unit_id", "pred_id")
 
 
 def level_order(unit_levels: DataFrame, paths: DataFrame) -> DataFrame:
     """(plan_id, unit_id, level, path_s, place): the units of a level by longest path, then id."""
     met = unit_levels.where("level is not null").join(paths, ["plan_id", "unit_id"])
-    order = Window.partitionBy("plan_id", "level").orderBy(F.desc_nulls_first("path_s"), "unit_id")
-    return met.select("plan_id", "unit_id", "level", "path_s", F.row_number().over(order).alias("place"))
+    rows = met.select("plan_id", "unit_id", "level", "path_s")
+    return scan.running(rows, ["plan_id", "level"], [F.desc_nulls_first("path_s"), F.col("unit_id")], [scan.place("place")])
 
 
 def ancestors(edges: DataFrame) -> DataFrame:
@@ -86,17 +67,16 @@ def ancestors(edges: DataFrame) -> DataFrame:
 
 def longest_path(units: DataFrame, edges: DataFrame, duration: str = "duration_s") -> DataFrame:
     """(plan_id, unit_id, path_s): own duration plus the longest of its children's; failure edges
-    don't count. Null where a cycle lies below, as the path has no bound there."""
-    own = units.groupBy("plan_id", "unit_id").agg(F.max(duration).cast("double").alias("own"))
-    known = own.select("plan_id", F.col("unit_id").alias("pred_id"))
-    links = edges.where("kind <> 'failure'").select("plan_id", F.col("pred_id").alias("unit_id"), F.col("unit_id").alias("pred_id")).distinct()
-    return _peel(own, links.join(known, ["plan_id", "pred_id"], "left_semi")).select("plan_id", "unit_id", F.col("total").alias("path_s"))
+    don't count, nor do edges to unknown units. Null where a cycle lies below, as the path has no bound there. A null
+    or negative duration is 0."""
+    own = units.groupBy("plan_id", "unit_id").agg(F.greatest(F.coalesce(F.max(duration).cast("double"), F.lit(0.0)), F.lit(0.0)).alias("path_s"))
+    links = _known(chains.turned(chains.links_of(edges.where("kind <> 'failure'"))), own.select("plan_id", "unit_id"))
+    return chains.longest(own, links, ("path_s",))
 
 
-def with_descendants(seeds: DataFrame, closure: DataFrame) -> DataFrame:
+def with_descendants(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(plan_id, unit_id) of the seeds and all below them."""
-    below = closure.join(seeds.select("plan_id", F.col("unit_id").alias("ancestor")), ["plan_id", "ancestor"]).select("plan_id", "unit_id")
-    return seeds.select("plan_id", "unit_id").unionByName(below).distinct()
+    return chains.reachable(seeds, chains.links_of(edges))
 
 
 def edge_satisfied(kind: str = "kind", pred_status: str = "pred_status"):
@@ -110,18 +90,16 @@ def edge_satisfied(kind: str = "kind", pred_status: str = "pred_status"):
 
 def skip_cascade(units: DataFrame, edges: DataFrame, status: str = "status") -> DataFrame:
     """(plan_id, unit_id, status) after pending units with an unsatisfied edge to a finished
-    predecessor are skipped, until nothing changes."""
+    predecessor are skipped, until nothing changes: those at once, and what follows them over edges between pending units
+    that a skipped predecessor does not satisfy."""
     now = cut(units.select("plan_id", "unit_id", F.col(status).alias("status")))
     links = cut(edges.select("plan_id", "unit_id", "pred_id", "kind").distinct())
-    for _ in range(MAX_ROUNDS):
-        ended = now.where("status <> 'pending'").select("plan_id", F.col("unit_id").alias("pred_id"), F.col("status").alias("pred_status"))
-        pending = now.where("status = 'pending'").select("plan_id", "unit_id")
-        hit = links.join(ended, ["plan_id", "pred_id"]).where(~edge_satisfied()).select("plan_id", "unit_id").distinct().join(pending, ["plan_id", "unit_id"], "left_semi")
-        hit = cut(hit.withColumn("skip", F.lit(True)))
-        if hit.isEmpty():
-            return now
-        now = cut(now.join(hit, ["plan_id", "unit_id"], "left").select("plan_id", "unit_id", F.when(F.col("skip"), "skipped").otherwise(F.col("status")).alias("status")))
-    raise RuntimeError("the cascade did not settle")
+    ended = now.where("status <> 'pending'").select("plan_id", F.col("unit_id").alias("pred_id"), F.col("status").alias("pred_status"))
+    pending = now.where("status = 'pending'").select("plan_id", "unit_id").distinct()
+    seeds = links.join(ended, ["plan_id", "pred_id"]).where(~edge_satisfied()).select("plan_id", "unit_id").distinct().join(pending, ["plan_id", "unit_id"], "left_semi")
+    passing = _known(links.withColumn("pred_status", F.lit("skipped")).where(~edge_satisfied()).select("plan_id", "unit_id", "pred_id").distinct(), pending)
+    hit = chains.reachable(seeds, passing).withColumn("skip", F.lit(True))
+    return now.join(hit, ["plan_id", "unit_id"], "left").select("plan_id", "unit_id", F.when(F.col("skip") & (F.col("status") == "pending"), "skipped").otherwise(F.col("status")).alias("status"))
 
 
 def effect_reach(closure: DataFrame, effects: DataFrame, functions: DataFrame) -> DataFrame:
@@ -138,11 +116,14 @@ def effect_reach(closure: DataFrame, effects: DataFrame, functions: DataFrame) -
     return out.select("module", "fn", F.coalesce("effects", F.array().cast("array<string>")).alias("effects"), F.coalesce("cyc", F.lit(False)).alias("in_cycle"))
 
 
-def cyclic_edges(closure: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidate edges (plan_id, unit_id, pred_id) that lie inside a strongly connected part of the
-    closure of old and new edges: all of them, whatever order they would be added in."""
-    back = closure.select("plan_id", F.col("unit_id").alias("pred_id"), F.col("ancestor").alias("unit_id")).distinct()
-    return candidates.join(back, ["plan_id", "unit_id", "pred_id"], "left_semi")
+def cyclic_edges(edges: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidate edges (plan_id, unit_id, pred_id) that lie inside a strongly connected part of
+    ``edges`` and the candidates: all of them, whatever order they would be added in."""
+    new = chains.links_of(candidates)
+    parts = cut(chains.components(chains.links_of(edges).unionByName(new).distinct()))
+    ends = parts.select("plan_id", F.col("unit_id").alias("pred_id"), F.col("component").alias("other"))
+    inside = new.join(parts, ["plan_id", "unit_id"]).join(ends, ["plan_id", "pred_id"]).where("component = other").select("plan_id", "unit_id", "pred_id")
+    return candidates.join(inside, ["plan_id", "unit_id", "pred_id"], "left_semi")
 
 
 def serialisation_edges(pairs: DataFrame, unit_levels: DataFrame) -> DataFrame:

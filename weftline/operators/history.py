@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators import scan
+
 
 def clean_realm(text: Column, fallback: str = "unknown") -> Column:
     """Lower case; runs of other characters than letters, digits, ``_ . -`` become one dash."""
@@ -42,14 +44,18 @@ def cumulative(runs: DataFrame) -> DataFrame:
 
 def latest(runs: DataFrame, key: str = "realm") -> DataFrame:
     """The newest run of each realm, failed ones included; ties go to the larger run id."""
-    w = Window.partitionBy(key).orderBy(F.desc("generated_at"), F.desc("run_id"))
-    return runs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return _last(runs, [key], ["generated_at", "run_id"])
 
 
 def last_per_key(rows: DataFrame, key: str, position: str) -> DataFrame:
     """Of rows with the same key the last by position."""
-    w = Window.partitionBy(key).orderBy(F.desc(position))
-    return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return _last(rows, [key], [position])
+
+
+def _last(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The last row of each key, nulls first, ties by all columns: an aggregate, which needs no sort of a key's rows."""
+    last = F.max(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*rows.columns).alias("row")))
+    return rows.groupBy(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]).agg(last.alias("last")).select("last.row.*")
 
 
 def consistency(runs: DataFrame) -> DataFrame:
@@ -80,15 +86,15 @@ def evidence(history: DataFrame, newest: DataFrame, totals: DataFrame) -> DataFr
     return per.join(totals, "realm", "left").select("realm", "all_passed", "unique_ids", "arithmetic_ok", "current_ok", good.alias("cumulative_ok"))
 
 
-def carry_forward(rows: DataFrame, key: str = "counter", at: str = "captured_on", value: str = "n") -> DataFrame:
+def carry_forward(rows: DataFrame, key: str = "counter", at: str = "captured_on", value: str = "n", parts: int | None = None) -> DataFrame:
     """Fills a null value from the last known one. ``stale_from_previous`` is the time of the row
-    before a filled one, ``last_real_at`` that of the last real sample."""
-    before = Window.partitionBy(key).orderBy(at)
-    upto = before.rowsBetween(Window.unboundedPreceding, 0)
-    known = F.last(F.when(F.col(value).isNotNull(), F.col(at)), ignorenulls=True).over(upto)
-    filled = F.last(value, ignorenulls=True).over(upto)
-    stale = F.when(F.col(value).isNull() & filled.isNotNull(), F.lag(at).over(before))
-    return rows.select(key, at, filled.alias("filled"), stale.alias("stale_from_previous"), known.alias("last_real_at"))
+    before a filled one, ``last_real_at`` that of the last real sample. Counters are few and long: the values
+    known last are carried from part to part."""
+    real = F.when(F.col(value).isNotNull(), F.col(at))
+    folds = [scan.last_known("filled", F.col(value)), scan.last_known("last_real_at", real), scan.row_before("previous", F.col(at))]
+    seen = scan.running(rows.select(key, at, value), [key], [F.col(at)], folds, parts)
+    stale = F.when(F.col(value).isNull() & F.col("filled").isNotNull(), F.col("previous"))
+    return seen.select(key, at, "filled", stale.alias("stale_from_previous"), "last_real_at")
 
 
 def append_keeping(old: DataFrame, new: DataFrame, key: str, order: str, keep: int = 180) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators import scan
+
 
 def claim_totals(claims: DataFrame, units: DataFrame, defaults: dict[str, float]) -> DataFrame:
     """(plan_id, unit_id, resource, units): sums, with defaults for resources a unit doesn't claim."""
@@ -106,22 +108,22 @@ def same_shape(argvs: DataFrame, keys: list[str]) -> DataFrame:
     return per.groupBy(*keys).agg(((F.min("lo") == F.max("hi")) & (F.sum(F.when(F.col("values") > 1, 1).otherwise(0)) == 1)).alias("same_shape"))
 
 
-def weighted_share(rows: DataFrame, group: str = "grp", member: str = "member") -> DataFrame:
+def weighted_share(rows: DataFrame, group: str = "grp", member: str = "member", parts: int | None = None) -> DataFrame:
     """(group, member, share): each member gets its floor, and the rest by weight up to its cap;
     what capped members can't take goes to the others. If floors exceed the total they are scaled.
 
     Closed form: members fill up in order of headroom / weight, so the water level is where the
-    running sums first cover the rest. A member of weight 0 gets its floor.
+    running sums first cover the rest. A member of weight 0 gets its floor. Running sums are taken in two passes, and
+    a group's sums are aggregates, so a group's members may lie in many tasks.
     """
     h = F.greatest(F.lit(0.0), F.col("cap") - F.col("floor_units"))
     base = rows.withColumn("h", F.when(F.col("weight") > 0, h).otherwise(0.0)).withColumn("key", F.when(F.col("weight") > 0, F.col("h") / F.col("weight")))
-    g = Window.partitionBy(group)
-    upto = g.orderBy(F.col("key").asc_nulls_last(), member).rowsBetween(Window.unboundedPreceding, 0)
-    r = base.withColumn("floors", F.sum("floor_units").over(g)).withColumn("rest", F.greatest(F.lit(0.0), F.col("total") - F.col("floors")))
-    r = r.withColumn("hs", F.sum("h").over(upto)).withColumn("ws", F.sum("weight").over(upto)).withColumn("w_all", F.sum("weight").over(g))
+    folds = [scan.total("hs", F.col("h")), scan.total("ws", F.col("weight"))]
+    whole = scan.group_totals(base, [group], floors=F.sum("floor_units"), w_all=F.sum("weight")).withColumn("rest", F.greatest(F.lit(0.0), F.col("total") - F.col("floors")))
+    r = scan.running(whole, [group], [F.col("key").asc_nulls_last(), F.col(member)], folds, parts)
     filled = F.col("hs") + F.col("key") * (F.col("w_all") - F.col("ws"))
     level = (F.col("rest") - (F.col("hs") - F.col("h"))) / (F.col("w_all") - (F.col("ws") - F.col("weight")))
-    r = r.withColumn("level", F.min(F.when(filled >= F.col("rest"), F.struct("key", member, level.alias("l")))).over(g)["l"])
+    r = scan.group_totals(r, [group], level=F.min(F.when(filled >= F.col("rest"), F.struct("key", member, level.alias("l"))))["l"])
     free = F.col("floor_units") + F.when(F.col("level").isNull(), F.col("h")).otherwise(F.least(F.col("h"), F.col("level") * F.col("weight")))
     return r.select(group, member, F.when(F.col("floors") > F.col("total"), F.col("floor_units") * F.col("total") / F.col("floors")).otherwise(free).alias("share"))
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -224,9 +226,20 @@ def trusted_run(id_: Column, event: Column, sha: Column, branch: Column, conclus
     return F.when(~F.coalesce(workflow.isin(*(workflows or [])), F.lit(False)), "workflow").otherwise(reason)
 
 
+def _composed(path: Column) -> Column:
+    """Paths in one spelling: composed (NFC), then case-folded. Only those with other characters than ASCII are handed over."""
+
+    @F.arrow_udf("string")
+    def run(paths: pa.Array) -> pa.Array:
+        # null where the path is plain
+        return pa.array([p and unicodedata.normalize("NFC", p).casefold() for p in paths.to_pylist()], pa.string())
+
+    return F.coalesce(run(F.when(path.rlike("[^\\x00-\\x7F]"), path)), F.lower(path))
+
+
 def normal_path(path: Column) -> Column:
-    """Lower-cased, with ``.`` and ``..`` folded and slashes single."""
-    parts = F.filter(F.split(F.lower(path), "/"), lambda p: (p != "") & (p != "."))
+    """Composed and case-folded, with ``.`` and ``..`` folded and slashes single."""
+    parts = F.filter(F.split(_composed(path), "/"), lambda p: (p != "") & (p != "."))
     fold = lambda acc, p: F.when(p == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(p)))
     return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), fold), "/"))
 

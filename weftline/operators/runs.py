@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators import scan
+
 
 def _num(c: Column) -> Column:
     return F.sum(F.when(c, 1).otherwise(0))
@@ -16,15 +18,15 @@ def run_status(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("run_id").agg(*[_num(F.col("status") == s).alias(s) for s in ("succeeded", "failed", "skipped")], ids("failed").alias("failed_ids"), ids("skipped").alias("skipped_ids"))
 
 
-def peak_overlap(rows: DataFrame, keys: list[str], start: str, duration: str, units: Column | None = None) -> DataFrame:
+def peak_overlap(rows: DataFrame, keys: list[str], start: str, duration: str, units: Column | None = None, parts: int | None = None) -> DataFrame:
     """(keys, peak): the largest sum of units that overlap; an end frees its units before a start
-    at the same time. Edges of intervals are summed per moment before the running sum."""
+    at the same time. Edges of intervals are summed per moment before the running sum, which is taken in
+    two passes, so that the moments of one key may lie in many tasks."""
     u = units if units is not None else F.lit(1)
     up = rows.select(*keys, F.col(start).alias("t"), F.lit(1).alias("o"), u.alias("d"))
     down = rows.select(*keys, (F.col(start) + F.col(duration)).alias("t"), F.lit(0).alias("o"), (-u).alias("d"))
     moments = up.unionByName(down).groupBy(*keys, "t", "o").agg(F.sum("d").alias("d"))
-    run = Window.partitionBy(*keys).orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
-    return moments.withColumn("now", F.sum("d").over(run)).groupBy(*keys).agg(F.max("now").alias("peak"))
+    return scan.running(moments, keys, [F.col("t"), F.col("o")], [scan.total("now", F.col("d"))], parts).groupBy(*keys).agg(F.max("now").alias("peak"))
 
 
 def run_savings(tasks: DataFrame, baselines: DataFrame | None = None) -> DataFrame:
@@ -76,10 +78,9 @@ def from_old_ledger(rows: DataFrame, version: str = "version") -> DataFrame:
     return rows.withColumn("provenance", F.when(F.col(version) == 1, F.lit("legacy")).otherwise(F.col("provenance"))).drop(version)
 
 
-def ledger_running(events: DataFrame) -> DataFrame:
+def ledger_running(events: DataFrame, parts: int | None = None) -> DataFrame:
     """Credited seconds of a host so far, by provenance, in order of time and run."""
-    run = Window.partitionBy("host", "provenance").orderBy("at", "run_id").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("running_s", F.sum("saved_s").over(run))
+    return scan.running(events, ["host", "provenance"], [F.col("at"), F.col("run_id")], [scan.total("running_s", F.col("saved_s"))], parts)
 
 
 def bench_summary(tasks: DataFrame, required: list[str], target_s: float, minimum_s: float) -> DataFrame:
@@ -138,9 +139,19 @@ def live_sample_seen(samples: DataFrame, tasks: DataFrame) -> DataFrame:
     return samples.join(ends, "run_id").groupBy("run_id").agg(F.bool_or((F.col("running") == F.col("n")) & (F.col("at_s") < F.col("end_s"))).alias("seen"))
 
 
-def repeat_percentiles(rows: DataFrame, keys: list[str], value: str, least: int = 3) -> DataFrame:
-    """Exact p50 and p90 of groups with at least ``least`` repetitions."""
-    return rows.groupBy(*keys).agg(F.percentile(value, 0.5).alias("p50"), F.percentile(value, 0.9).alias("p90"), F.count("*").alias("repetitions")).where(F.col("repetitions") >= least)
+def repeat_percentiles(rows: DataFrame, keys: list[str], value: str, least: int = 3, parts: int | None = None) -> DataFrame:
+    """(keys, p50, p90, repetitions): exact percentiles, between two values in proportion, of groups with at least
+    ``least`` rows. Values are counted first and ranked in two passes: no task holds a group's values."""
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("repetitions"), F.count(value).alias("known")).where(F.col("repetitions") >= least)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    ranked = scan.met(scan.running(counts, keys, [F.col("v")], [scan.total("upto", F.col("n"))], parts), sizes, keys, "inner")
+    at = lambda p: p * (F.col("known") - 1)
+    first = lambda place: F.min(F.when(F.col("upto") > place, F.col("v")))
+    ends = [first(end(at(p))).alias(f"{n}_{which}") for n, p in (("p50", 0.5), ("p90", 0.9)) for which, end in (("lo", F.floor), ("hi", F.ceil))]
+    found = scan.met(sizes, ranked.groupBy(*keys).agg(*ends), keys)
+    share = lambda p: at(p) - F.floor(at(p))
+    between = lambda n, p: (F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * share(p)).alias(n)
+    return found.select(*keys, between("p50", 0.5), between("p90", 0.9), "repetitions")
 
 
 def unique_calls(calls: DataFrame) -> DataFrame:

@@ -69,18 +69,20 @@ def laid_out(rows: DataFrame, keys: list[str], order: list[Column], parts: int |
     return cut(ranged.sortWithinPartitions(*by).withColumn(ROW, F.monotonically_increasing_id()).withColumn(PART, F.shiftright(ROW, 33)).drop(TIE))
 
 
-def _same(a: DataFrame, b: DataFrame, names: list[str]) -> Column:
-    out = F.lit(True)
+def met(left: DataFrame, right: DataFrame, names: list[str], how: str = "left") -> DataFrame:
+    """Joined on ``names``, null being equal to null; of the right side the other columns are added."""
+    other = right.withColumnsRenamed({n: f"__right_{n}" for n in names})
+    same = F.lit(True)
     for n in names:
-        out = out & a[n].eqNullSafe(b[n])
-    return out
+        same = same & F.col(n).eqNullSafe(F.col(f"__right_{n}"))
+    return left.join(other, same, how).drop(*[f"__right_{n}" for n in names])
 
 
 def _crossing(laid: DataFrame, keys: list[str]) -> DataFrame:
     """The keys that lie in several parts: at most one for each part's end."""
     edges = laid.groupBy(PART).agg(F.min_by(F.struct(*keys), ROW).alias("first"), F.max_by(F.struct(*keys), ROW).alias("last"))
     ends, starts = edges.select("last.*", F.col(PART).alias("__a")), edges.select("first.*", F.col(PART).alias("__b"))
-    return ends.join(F.broadcast(starts), _same(ends, starts, keys) & (F.col("__a") < F.col("__b"))).select(*[ends[k] for k in keys]).distinct()
+    return met(ends, F.broadcast(starts), keys, "inner").where(F.col("__a") < F.col("__b")).select(*keys).distinct()
 
 
 def running(rows: DataFrame, keys: list[str], order: list[Column], folds: list[Fold], parts: int | None = None, tie: Column | None = None) -> DataFrame:
@@ -96,20 +98,19 @@ def over(laid: DataFrame, keys: list[str], folds: list[Fold]) -> DataFrame:
     """``laid``, or some columns of what ``laid_out`` gave, with a column for each fold."""
     inside = Window.partitionBy(*keys, PART).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
     own = laid.withColumns({f.name: f.inside(inside) for f in folds})
-    if laid.rdd.getNumPartitions() < 2:
+    if not laid.agg(F.max(PART)).first()[0]:
         nothing = F.lit(None)
         return own.select(*laid.columns, *[f.join(nothing, F.col(f.name)).alias(f.name) for f in folds])
     crossing = _crossing(laid, keys)
     # at most two rows a part from here on
-    wholes = laid.join(F.broadcast(crossing), _same(laid, crossing, keys), "left_semi").groupBy(*keys, PART).agg(*[f.whole.alias(f.name) for f in folds])
+    wholes = met(laid, F.broadcast(crossing), keys, "left_semi").groupBy(*keys, PART).agg(*[f.whole.alias(f.name) for f in folds])
     before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     carried = wholes.select(*keys, PART, *[f.before(F.col(f.name), before).alias(f"__{f.name}") for f in folds])
-    met = own.join(F.broadcast(carried), _same(own, carried, [*keys, PART]), "left")
-    return met.select(*[own[c] for c in laid.columns], *[f.join(carried[f"__{f.name}"], own[f.name]).alias(f.name) for f in folds])
+    both = met(own, F.broadcast(carried), [*keys, PART])
+    return both.select(*laid.columns, *[f.join(F.col(f"__{f.name}"), F.col(f.name)).alias(f.name) for f in folds])
 
 
 def group_totals(rows: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
     """``rows`` with aggregates of their key's group, which is summed in parts first and then joined: a
     key's rows stay where they are."""
-    whole = rows.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()])
-    return rows.join(whole, _same(rows, whole, keys), "left").select(*[rows[c] for c in rows.columns], *[whole[n] for n in aggregates])
+    return met(rows, rows.groupBy(*keys).agg(*[c.alias(n) for n, c in aggregates.items()]), keys)

@@ -3,19 +3,40 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_made: dict[str, list[str]] = {}
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` kept in the shared folder, without its lineage: lost executors don't take it along.
 
-    The folder is ``spark.checkpoint.dir``; only under a local master a temporary one takes its place.
-    """
-    spark = df.sparkSession
+def root(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; only under a local master, where it is unset, a temporary folder takes its place."""
     sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if known:
+        return known.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again: without lineage or what the planner inferred from it, which
+    in loops grows faster than the data; lost executors don't take it along. Small tables are known to be small."""
+    spark = df.sparkSession
+    path = f"{root(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Removes the intermediate tables of this application, once the results that read them are written; gives their number."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)

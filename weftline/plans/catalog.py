@@ -59,6 +59,23 @@ def nested_conflicts(spark, d):
     return conflicts.nested_conflicts(view(spark, d, "file_accesses"))
 
 
+_CLASSES = """
+    x AS (SELECT DISTINCT plan_id, resource, unit_id, mode, coalesce(commutative, false) AS free FROM {accesses}),
+    p AS (SELECT a.plan_id, a.resource, a.mode AS first_mode, a.free AS first_free, b.mode AS second_mode, b.free AS second_free, a.unit_id AS u, b.unit_id AS v FROM x a JOIN x b ON a.plan_id = b.plan_id AND a.resource = b.resource AND a.unit_id <> b.unit_id
+        WHERE (a.mode < b.mode OR (a.mode = b.mode AND (a.free < b.free OR (a.free = b.free AND a.unit_id < b.unit_id)))) AND NOT (a.mode IN ('read', 'snapshot') AND b.mode IN ('read', 'snapshot')) AND NOT (a.mode = 'append' AND b.mode = 'append' AND a.free AND b.free))"""
+
+
+@query(f"WITH {_CLASSES} SELECT plan_id, resource, first_mode, first_free, second_mode, second_free, count(*) AS pairs FROM p GROUP BY ALL")
+def conflict_classes(spark, d):
+    return conflicts.conflict_classes(view(spark, d, "accesses")).select("plan_id", "resource", "first_mode", "first_free", "second_mode", "second_free", "pairs")
+
+
+@query("""
+    SELECT plan_id, resource, count(DISTINCT unit_id) AS units, count(DISTINCT CASE WHEN mode NOT IN ('read', 'snapshot') THEN unit_id END) AS writers FROM {accesses} GROUP BY 1, 2""")
+def resource_units(spark, d):
+    return conflicts.resource_units(view(spark, d, "accesses"))
+
+
 @query("""
     SELECT DISTINCT a.plan_id, a.unit_id AS first, b.unit_id AS second, a.domain, a.key
     FROM {effects} a JOIN {effects} b ON a.plan_id = b.plan_id AND a.domain = b.domain AND a.key = b.key AND a.unit_id < b.unit_id
@@ -91,7 +108,7 @@ def exclusive_units(spark, d):
     JOIN {{units}} a ON a.plan_id = p.plan_id AND a.unit_id = p.first JOIN {{units}} b ON b.plan_id = p.plan_id AND b.unit_id = p.second""".replace("{{", "{").replace("}}", "}"))
 def unordered_conflicts(spark, d):
     pairs = conflicts.access_conflicts(view(spark, d, "accesses")).select("plan_id", "first", "second").distinct()
-    ordered = conflicts.with_order(pairs, graph.ancestors(view(spark, d, "edges")))
+    ordered = conflicts.with_order(pairs, view(spark, d, "edges"))
     return conflicts.reorder_fences(ordered, view(spark, d, "units"), F.col("commutative")).select("plan_id", "first", "second", "ordered", "fenced")
 
 
@@ -119,8 +136,7 @@ def ambiguous_producers(spark, d):
     LEFT JOIN anc x ON x.plan_id = e.plan_id AND x.unit_id = e.producer AND x.ancestor = e.consumer
     LEFT JOIN anc y ON y.plan_id = e.plan_id AND y.unit_id = e.consumer AND y.ancestor = e.producer""")
 def edge_contradictions(spark, d):
-    edges = view(spark, d, "edges")
-    return conflicts.contradictions(conflicts.data_edges(view(spark, d, "accesses")), edges, graph.ancestors(edges))
+    return conflicts.contradictions(conflicts.data_edges(view(spark, d, "accesses")), view(spark, d, "edges"))
 
 
 @query("""
@@ -172,7 +188,7 @@ _NESTED = "(x.resource = y.resource OR starts_with(x.resource, concat(y.resource
     UNION ALL SELECT plan_id, CASE WHEN along THEN 'CONTRADICTORY_DATA_ORDER' ELSE 'DATA_EDGE' END, second, first, behind FROM o WHERE behind IS NOT NULL AND ahead IS NULL AND clash IS NULL AND (along OR NOT against)
     UNION ALL SELECT plan_id, 'UNORDERED_ARTIFACT_CONFLICT', first, second, clash FROM o WHERE clash IS NOT NULL AND NOT along AND NOT against""")
 def data_flow(spark, d):
-    return conflicts.data_flow(view(spark, d, "file_accesses"), graph.ancestors(view(spark, d, "edges")))
+    return conflicts.data_flow(view(spark, d, "file_accesses"), view(spark, d, "edges"))
 
 
 @query(f"""
@@ -264,7 +280,7 @@ def forecast_bounds(spark, d):
     SELECT DISTINCT plan_id, unit_id FROM (SELECT * FROM seed UNION SELECT c.plan_id, c.unit_id FROM closure c JOIN seed s ON s.plan_id = c.plan_id AND s.unit_id = c.ancestor)""")
 def blocked_units(spark, d):
     bad = hosts.unsatisfiable(view(spark, d, "claims"), view(spark, d, "capacities")).select("plan_id", "unit_id").distinct()
-    return graph.with_descendants(bad, graph.ancestors(view(spark, d, "edges")))
+    return graph.with_descendants(bad, view(spark, d, "edges"))
 
 
 @query("""
@@ -643,7 +659,7 @@ def assured_diagnostics(spark, d):
 def plan_diagnostics(spark, d):
     u = view(spark, d, "units")
     pairs = conflicts.access_conflicts(view(spark, d, "accesses")).select("plan_id", "first", "second").distinct()
-    pairs = conflicts.reorder_fences(conflicts.with_order(pairs, graph.ancestors(view(spark, d, "edges"))), u, F.col("commutative"))
+    pairs = conflicts.reorder_fences(conflicts.with_order(pairs, view(spark, d, "edges")), u, F.col("commutative"))
     return rules.plan_diagnostics(view(spark, d, "every_plan"), u, pairs, hosts.unsatisfiable(view(spark, d, "claims"), view(spark, d, "capacities")))
 
 

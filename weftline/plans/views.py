@@ -116,8 +116,8 @@ VIEWS = {
     "snapshots_expected": "SELECT source AS plan_id, doc_id AS path, md5(text) AS digest FROM {documents} WHERE doc_id % 7 <> 0",
     "snapshots_current": "SELECT source AS plan_id, doc_id AS path, CASE WHEN doc_id % 11 = 0 THEN 'changed' ELSE md5(text) END AS digest FROM {documents} WHERE doc_id % 5 <> 0",
     "case_sets": """
-        SELECT DISTINCT l_orderkey AS suite_id, CASE l_returnflag WHEN 'N' THEN 'serial' ELSE 'parallel' END AS side, l_partkey % 3 AS case_id
-        FROM {lineitem} WHERE l_returnflag IN ('N', 'A')""",
+        SELECT DISTINCT l_orderkey AS suite_id, CASE WHEN l_returnflag = 'N' OR (l_returnflag = 'R' AND l_linestatus = 'F') THEN 'serial' ELSE 'parallel' END AS side, l_partkey % 3 AS case_id
+        FROM {lineitem}""",
     "case_counts": """
         SELECT suite_id, side, count(*) AS tests, count(*) - CASE WHEN side = 'serial' AND suite_id % 6 = 0 THEN 1 ELSE 0 END AS passed, CASE WHEN suite_id % 5 = 0 THEN 1 ELSE 0 END AS skipped,
                CASE WHEN suite_id % 43 <> 0 THEN concat(CAST(min(case_id) AS VARCHAR(20)), '-', CAST(max(case_id) AS VARCHAR(20)), '-', CAST(count(*) AS VARCHAR(20))) END AS case_set, suite_id % 8 <> 0 AS eligible
@@ -129,7 +129,7 @@ VIEWS = {
         FROM {task_results}""",
     "baseline_results": "SELECT run_id, task_id AS suite_id, status FROM {task_results} WHERE NOT (run_id % 17 = 0 AND task_id = 1)",
     "spans": "SELECT user_id AS path, event_id AS span_id, value AS first_line, value + 20 AS last_line FROM {events}",
-    "hotspots": "SELECT user_id AS path, event_id AS hotspot_id, value AS line, value * (event_id % 17) AS wall_s FROM {events} WHERE event_id % 10 = 0",
+    "hotspots": "SELECT user_id AS path, event_id AS hotspot_id, value AS line, value * (event_id % 17) AS wall_s FROM {events}",
     "suite_cases": """
         SELECT l_orderkey % 100 AS run_id, l_suppkey AS suite_id, CASE l_returnflag WHEN 'R' THEN 'failed' WHEN 'A' THEN 'skipped' ELSE 'passed' END AS outcome, l_tax AS time_s
         FROM {lineitem}""",
@@ -164,7 +164,7 @@ VIEWS = {
     "sessions": "SELECT user_id AS session_id, 4 + user_id % 5 AS slots, count(CASE WHEN event_type = 'click' THEN 1 END) AS ready, count(CASE WHEN event_type = 'view' THEN 1 END) AS running, max(value) / 50 AS observed_load FROM {events} GROUP BY user_id",
     "reservations": "SELECT CASE WHEN event_id % 50 = 0 THEN -user_id - 1 ELSE user_id END AS session_id, event_id AS unit_id, CASE WHEN value / 100 < 3 THEN value / 100 ELSE 3 END AS claim FROM {events} WHERE event_type = 'purchase'",
     "fn_effects": "SELECT DISTINCT o_custkey AS module, l_orderkey AS fn, l_returnflag AS effect FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey",
-    "prompts": "SELECT 'd' AS origin, doc_id AS id, text AS prompt FROM {documents} UNION ALL SELECT 'c', conv_id * 1000 + turn, text FROM {conversations} WHERE role = 'user'",
+    "prompts": "SELECT 'd' AS origin, doc_id AS id, text AS prompt FROM {documents} UNION ALL SELECT 'c', conv_id * 1000 + turn, text FROM {conversations}",
     "raw_numbers": "SELECT 'tax' AS field, CAST(l_orderkey AS VARCHAR(20)) AS id, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR(20)) AS raw FROM {lineitem} UNION ALL SELECT 'name', CAST(p_partkey AS VARCHAR(20)), p_name FROM {part} UNION ALL SELECT 'bool', CAST(event_id AS VARCHAR(20)), CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'NaN' END FROM {events}",
     "traces": "SELECT event_id % 5000 AS call_id, event_type AS tool, concat('rg ', event_type, CASE WHEN event_id % 3 = 0 THEN ' | pytest -q' WHEN event_id % 3 = 1 THEN ' && git status' ELSE ' docker build' END) AS input, user_id FROM {events}",
 }

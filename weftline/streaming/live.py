@@ -1,13 +1,13 @@
-"""Live views of running work, as Structured Streaming. Events later than the watermark are dropped."""
+"""Live views of running work, as Structured Streaming. Events later than the watermark are dropped.
+
+What needs a timer, or state that ends, is in ``timed``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FINISHED = ("succeeded", "failed", "skipped")
-
-
 TASK_EVENT = "run_id string, task_id string, event string, status string, duration_s double, ready long, ts timestamp"
 
 
@@ -18,35 +18,6 @@ def task_events(spark: SparkSession, path: str, max_files: int = 1000) -> DataFr
     return rows.where(F.col("event").isin("ready", "start", "end") & F.col("run_id").isNotNull())
 
 
-def reclaimable(heartbeats: DataFrame, proofs: DataFrame, gap_s: float = 15.0) -> DataFrame:
-    """(session_id, last_at, gone_at): sessions whose process was proved gone ``gap_s`` or more after their
-    last heartbeat. ``proofs``: session_id, ts, gone. Silence alone reclaims nothing, nor does a proof of a
-    session that still beats. For streams; a session's state is the time of its last heartbeat."""
-    beats = event_time(heartbeats).select("session_id", "ts", F.lit(False).alias("gone"))
-    every = beats.unionByName(event_time(proofs).where("gone").select("session_id", "ts", "gone"))
-
-    def step(key, batches, state):
-        import pandas as pd
-
-        last = state.get[0] if state.exists else None
-        out = []
-        rows = pd.concat(list(batches)).sort_values(["ts", "gone"])
-        for ts, gone in zip(rows["ts"], rows["gone"]):
-            at = ts.timestamp()
-            if not gone:
-                last = at if last is None else max(last, at)
-            elif last is not None and at - last >= gap_s:
-                out.append((key[0], pd.Timestamp(last, unit="s"), ts))
-                last = None
-        if last is not None:
-            state.update((last,))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["session_id", "last_at", "gone_at"])
-
-    return every.groupBy("session_id").applyInPandasWithState(step, "session_id string, last_at timestamp, gone_at timestamp", "last_at double", "append", "NoTimeout")
-
-
 def event_time(rows: DataFrame, column: str = "ts") -> DataFrame:
     """Watermarks need a timestamp with a time zone: session time, set to UTC."""
     return rows.withColumn(column, F.col(column).cast("timestamp"))
@@ -58,14 +29,14 @@ def run_counters(events: DataFrame) -> DataFrame:
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
     start, end = F.col("event") == "start", F.col("event") == "end"
     return events.groupBy("run_id").agg(
-        (n(F.col("event") == "ready") - n(start)).alias("ready"), (n(start) - n(end)).alias("running"), n(end & (F.col("status") == "succeeded")).alias("completed"), n(end & (F.col("status") == "failed")).alias("failed"),
+        (n(F.col("event") == "ready") - n(start)).alias("ready"), (n(start) - n(end)).alias("running"), n(end & (F.col("status") == "succeeded")).alias("completed"), n(end & F.col("status").isin("failed", "timed_out")).alias("failed"),
         F.coalesce(F.sum(F.when(end & (F.col("status") != "skipped"), F.col("duration_s"))), F.lit(0.0)).alias("done_s"), F.min(F.when(start, F.col("ts"))).alias("began"),
         F.sum(F.when(start, F.unix_micros("ts")).when(end, -(F.unix_micros("ts") - F.col("duration_s") * 1e6)).otherwise(0)).alias("open_start_us"),
     )
 
 
 def saved_so_far(counters: DataFrame, now) -> DataFrame:
-    """Completed and active runtime less the time elapsed, at least 0; 0 after any failure."""
+    """Completed and active runtime less the time elapsed, at least 0; 0 after any failure. ``now``: a time, or a column of them."""
     us = F.unix_micros(F.lit(now).cast("timestamp"))
     active = (F.col("running") * us - F.col("open_start_us")) / 1e6
     gone = (us - F.unix_micros("began")) / 1e6
@@ -86,27 +57,3 @@ def first_seen(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
 def capacity_signal(rows: DataFrame, late: str = "30 seconds", width: str = "5 seconds") -> DataFrame:
     """Least capacity and highest load per refresh window."""
     return event_time(rows).withWatermark("ts", late).groupBy(F.window("ts", width)).agg(F.min("capacity").alias("capacity"), F.max("load").alias("load")).select(F.col("window.start").alias("window_start"), "capacity", "load")
-
-
-def changed_samples(samples: DataFrame, every_s: float = 0.9) -> DataFrame:
-    """Samples (run_id, ts, running, ready, completed, failed) whose counters differ from the last
-    kept one's, or that come ``every_s`` after it. One run's samples are one state."""
-    fields = ["running", "ready", "completed", "failed"]
-    schema = "run_id string, ts timestamp, running long, ready long, completed long, failed long"
-
-    def step(key, batches, state):
-        import pandas as pd
-
-        last = state.get if state.exists else None
-        kept = []
-        for pdf in batches:
-            for row in pdf.sort_values("ts").itertuples(index=False):
-                now = (row.ts.timestamp(), *(int(getattr(row, f)) for f in fields))
-                if last is None or tuple(last[1:]) != now[1:] or now[0] - last[0] >= every_s:
-                    kept.append((key[0], row.ts, *now[1:]))
-                    last = now
-        if last is not None:
-            state.update(tuple(last))
-        yield pd.DataFrame(kept, columns=["run_id", "ts", *fields])
-
-    return samples.groupBy("run_id").applyInPandasWithState(step, schema, "at double, running long, ready long, completed long, failed long", "append", "NoTimeout")
