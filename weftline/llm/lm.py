@@ -14,13 +14,17 @@ term needs a single count. The score is the mean over the tokens, the end mark i
 loss minus background loss; lower means more like the target. Matched: the target's counts are
 scaled to the background's token total, so that smoothing weighs alike in both.
 
+A document's own words are no evidence of what it is like: each is scored by the counts of all other documents, its own
+occurrences taken off both models. So a document of the target and a like one that is not score alike. (Totals
+and vocabulary, in which a document is next to nothing, stay those of all.)
+
 All counts are over all documents and whole texts. Words and bigrams are 64-bit hashes. What occurs
-once in all documents needs no row: a document asks for it exactly once, and whether the target has
-it follows from the document being one of the target. The rest is the model table; it grows with the
+once in all documents needs no row: without the document that has it, its count is zero. The rest is the model table; it grows with the
 input and is never sent whole to a task:
 
 - each task counts its grams and sends them by part, sorted, as packed differences; a part's counts
-  meet in one task, which keeps what occurs more than once. Parts grow with the bytes of text;
+  meet in one task, which keeps what occurs more than once. Parts grow with the bytes of text, tasks that take
+  one part after the other up to ``MOST_TASKS``;
 - grams with a share of at least ``2**-HOT_BITS`` of all tokens, at most ``2**(HOT_BITS + 1)`` rows,
   go to all tasks, so that frequent grams are looked up where the text is read and none is hot;
 - for the others each block of documents sends what it asks (once a document, with how often) to
@@ -51,6 +55,10 @@ from weftline.llm.common import MOST_BITS, bit_filter, filter_bits, hashed_texts
 WEIGHT, UNSEEN, MASS = 0.6, 0.5, 20.0
 #: share of a gram that is sent to all tasks; tokens of a block of questions; grams that a task holds; bytes of text of a part
 HOT_BITS, BLOCK_TOKENS, HELD, PART_BYTES, LEAST_PARTS = 18, 1 << 18, 1_500_000, 1 << 24, 256
+#: reduce tasks, at any size
+MOST_TASKS = 4096
+#: in the number of a row's grams, the bit that says that the row is of the target
+OF_TARGET = np.uint32(1 << 31)
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 MESSAGE = "key int, kind int, a binary, b binary, c binary, d binary"
@@ -153,7 +161,7 @@ def _model(counts: DataFrame, parts: int) -> DataFrame:
         if held:
             yield emit()
 
-    return counts.repartition(max(parts // 4, 1), "key").sortWithinPartitions("key").mapInArrow(run, MODEL)
+    return counts.repartition(min(max(parts // 4, 1), MOST_TASKS), "key").sortWithinPartitions("key").mapInArrow(run, MODEL)
 
 
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,20 +225,24 @@ class _Losses:
         return tuple(out)
 
 
-def _looked_up(known: tuple[np.ndarray, ...], gram: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(found, n_loss, t_loss): zero where the gram is not known."""
-    if not len(known[0]):
-        return np.zeros(len(gram), dtype=bool), np.zeros(len(gram)), np.zeros(len(gram))
+def _looked_up(known: tuple[np.ndarray, ...], losses: _Losses, gram: np.ndarray, often: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(found, n_loss, t_loss) of grams that a document has so often, by the counts of the others: zero where the gram is not
+    known. ``inside``: whether the document is of the target."""
+    found, n_loss, t_loss = np.zeros(len(gram), dtype=bool), np.zeros(len(gram)), np.zeros(len(gram))
+    if not len(known[0]) or not len(gram):
+        return found, n_loss, t_loss
     at = np.minimum(np.searchsorted(known[0], gram), len(known[0]) - 1)
     found = known[0][at] == gram
-    return found, np.where(found, known[1][at], 0.0), np.where(found, known[2][at], 0.0)
+    at, own = at[found], often[found].astype(np.int64)
+    n_loss[found], t_loss[found] = losses(gram[found], known[1][at] - own, known[2][at] - own * inside[found])
+    return found, n_loss, t_loss
 
 
-def _asked(rows: DataFrame, hot, table, parts: int) -> DataFrame:
+def _asked(rows: DataFrame, hot, table, losses: _Losses, parts: int) -> DataFrame:
     """The questions of each block of documents by part (kind 1: grams, how often, rows, grams of
-    each row), and what needs no question (kind 2: rows, ids and tokens, sums, single words and bigrams)."""
+    each row and whether it is of the target), and what needs no question (kind 2: rows, ids and tokens, sums, single words and bigrams)."""
 
-    def block(ids: np.ndarray, doc: pa.Array, held: list[tuple]) -> pa.RecordBatch:
+    def block(ids: np.ndarray, doc: pa.Array, target: np.ndarray, held: list[tuple]) -> pa.RecordBatch:
         """``held``: (first text, words, bigrams, text of each) of the groups of a block."""
         first_text, count = held[0][0], held[-1][0] + held[-1][4] - held[0][0]
         gram, text = (np.concatenate([x for f, w, p, of, _ in held for x in pair(w, p, of + (f - first_text))]) for pair in (lambda w, p, of: (w, p), lambda w, p, of: (of, of)))
@@ -240,7 +252,8 @@ def _asked(rows: DataFrame, hot, table, parts: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (text[1:] != text[:-1])))) if len(gram) else np.empty(0, np.int64)
         often = np.diff(np.append(first, len(gram)))
         gram, text = gram[first], text[first]
-        found, n_loss, t_loss = _looked_up(hot.value, gram)
+        target = target[first_text : first_text + count]
+        found, n_loss, t_loss = _looked_up(hot.value, losses, gram, often, target[text])
         ask = ~found & _may_be_in(table.value, gram)
         single, bigram = ~found & ~ask, (gram & np.uint64(1)) == 1
         sums = [np.bincount(text, weights=w, minlength=count) for w in (n_loss * often, t_loss * often, single & ~bigram, single & bigram)]
@@ -252,26 +265,27 @@ def _asked(rows: DataFrame, hot, table, parts: int) -> DataFrame:
         for p, at in _by_part(gram, parts):
             of = text[at]
             start = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-            out.append((p, 1, gram[at].tobytes(), often[at].tobytes(), ids[of[start]].tobytes(), np.diff(np.append(start, len(of))).astype(np.uint32).tobytes()))
+            out.append((p, 1, gram[at].tobytes(), often[at].tobytes(), ids[of[start]].tobytes(), (np.diff(np.append(start, len(of))).astype(np.uint32) | np.where(target[of[start]], OF_TARGET, np.uint32(0))).tobytes()))
         return _messages(out)
 
     def run(batches):
         for batch in batches:
             ids, doc, held = batch.column("row").to_numpy(zero_copy_only=False), batch.column("doc_id"), []
+            target = batch.column("of_target").to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi, words, pairs, text in _grams(batch.column("text").to_pylist()):
                 held.append((lo, words, pairs, text, hi - lo))
                 if sum(len(x[1]) for x in held) >= BLOCK_TOKENS:
-                    yield block(ids, doc, held)
+                    yield block(ids, doc, target, held)
                     held = []
             if held:
-                yield block(ids, doc, held)
+                yield block(ids, doc, target, held)
 
     return rows.mapInArrow(run, MESSAGE)
 
 
 def _answered(messages: DataFrame, losses: _Losses, parts: int) -> DataFrame:
     """Sums of each row over the questions of a part; what a part doesn't know occurs once."""
-    none_known = (np.empty(0, np.uint64), np.empty(0), np.empty(0))
+    none_known = (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
 
     def run(batches):
         key, known = None, none_known
@@ -282,15 +296,15 @@ def _answered(messages: DataFrame, losses: _Losses, parts: int) -> DataFrame:
                     key, known = k, none_known
                 if kind == 0:
                     known = _opened({"a": a, "b": b, "c": c})
-                    known = (known[0], *losses(*known))
                     continue
                 if kind == 2:
                     rows, (doc, null, n), sums, single = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64).reshape(3, -1), np.frombuffer(c).reshape(2, -1), np.frombuffer(d, np.int64).reshape(2, -1)
                     out.append((rows, doc, null == 1, n, *sums, *single))
                     continue
                 gram, often = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)
-                rows, length = np.frombuffer(c, np.int64), np.frombuffer(d, np.uint32).astype(np.int64)
-                found, n_loss, t_loss = _looked_up(known, gram)
+                rows, length = np.frombuffer(c, np.int64), np.frombuffer(d, np.uint32)
+                inside, length = (length & OF_TARGET) != 0, (length & ~OF_TARGET).astype(np.int64)
+                found, n_loss, t_loss = _looked_up(known, losses, gram, often, np.repeat(inside, length))
                 pair, cuts = (gram & np.uint64(1)) == 1, np.cumsum(length) - length
                 sums = [np.add.reduceat(x, cuts) for x in (n_loss * often, t_loss * often, (~found & ~pair).astype(np.int64), (~found & pair).astype(np.int64))]
                 none = np.zeros(len(rows), np.int64)
@@ -299,7 +313,7 @@ def _answered(messages: DataFrame, losses: _Losses, parts: int) -> DataFrame:
                 row, doc, null, n, *sums = (np.concatenate(x) for x in zip(*out))
                 yield pa.RecordBatch.from_pydict({"row": row, "doc_id": pa.array(doc, mask=null), "n_tokens": n} | dict(zip(("n_loss", "t_loss", "words", "pairs"), sums)))
 
-    return messages.repartition(max(parts // 4, 1), "key").sortWithinPartitions("key", "kind").mapInArrow(run, SUMS)
+    return messages.repartition(min(max(parts // 4, 1), MOST_TASKS), "key").sortWithinPartitions("key", "kind").mapInArrow(run, SUMS)
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_id_col: str = "doc_id") -> DataFrame:
@@ -312,7 +326,9 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     ids = written(own_columns(target, target_id=target[target_id_col].cast("long")).where("target_id is not null").distinct(), "lm-target")
     # texts that can't be of the target are not shuffled
     of_target = bit_filter(ids.select(F.xxhash64("target_id").alias("h")), "h", filter_bits(ids.count()))
-    chosen = src.where(maybe(F.xxhash64("doc_id"), of_target)).join(ids.hint("merge"), F.col("doc_id") == F.col("target_id"), "left_semi")
+    may = maybe(F.xxhash64("doc_id"), of_target)
+    inside = F.col("doc_id") == F.col("target_id")
+    chosen = src.where(may).join(ids.hint("merge"), inside, "left_semi")
     size = src.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = 1 << max((LEAST_PARTS - 1).bit_length(), (size // PART_BYTES).bit_length())
     model = written(_model(_counts(src, 0, parts).unionByName(_counts(chosen, 1, parts)), parts), "lm-model")
@@ -320,21 +336,19 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame, id_col: str = "
     losses = _Losses(n, t, vocabulary)
     # at most 2**HOT_BITS words and as many bigrams have such a share
     top = _hot(model, max(n, 1) / (1 << HOT_BITS))
-    hot = spark.sparkContext.broadcast((top[0], *losses(*top)))
+    hot = spark.sparkContext.broadcast(top)
     bits = max(8, (1 << min(MOST_BITS, filter_bits(rows))) // parts)
     table = spark.sparkContext.broadcast(_filter(model, parts, bits))
 
     known = model.select("key", F.lit(0).alias("kind"), "a", "b", "c", F.lit(None).cast("binary").alias("d"))
-    rows = src.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    sums = _answered(known.unionByName(_asked(rows, hot, table, parts)), losses, parts)
+    marked = src.where(~F.coalesce(may, F.lit(False))).withColumn("of_target", F.lit(False)).unionByName(src.where(may).join(ids.hint("merge"), inside, "left").select("doc_id", "text", F.col("target_id").isNotNull().alias("of_target")))
+    rows = marked.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "of_target")
+    sums = _answered(known.unionByName(_asked(rows, hot, table, losses, parts)), losses, parts)
     total = sums.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("n_tokens", "n_loss", "t_loss", "words", "pairs")])
-    total = total.join(ids.hint("merge"), F.col("doc_id") == F.col("target_id"), "left")
-    # terms of what occurs once: in the target if and only if the document is
-    one = np.array([1])
-    single = {(g, inside): [float(x[0]) for x in losses(np.array([g], np.uint64), one, one * inside)] for g in (0, 1) for inside in (0, 1)}
-    in_target = F.col("target_id").isNotNull()
-    n_loss = F.col("n_loss") + F.col("words") * single[0, 0][0] + F.col("pairs") * single[1, 0][0]
-    t_loss = F.col("t_loss") + F.when(in_target, F.col("words") * single[0, 1][1] + F.col("pairs") * single[1, 1][1]).otherwise(F.col("words") * single[0, 0][1] + F.col("pairs") * single[1, 0][1])
+    # what occurs once does not occur in the other documents
+    none = np.array([0])
+    word, pair = ([float(x[0]) for x in losses(np.array([g], np.uint64), none, none)] for g in (0, 1))
+    n_loss, t_loss = (F.col(f"{x}_loss") + F.col("words") * word[i] + F.col("pairs") * pair[i] for i, x in enumerate("nt"))
     each = F.when(F.col("n_tokens") > 0, F.col("n_tokens") + 1).otherwise(1)
     return total.select(
         "doc_id", "n_tokens",
