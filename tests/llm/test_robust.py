@@ -100,12 +100,13 @@ def test_top_k_ignores_extra_columns(spark):
         spark.createDataFrame([([1.0] * 65,)], "v array<double>").select(hamming_search.sign_code("v")).collect()
 
 
-def test_line_dedup_equals_brute_force(spark):
+@pytest.mark.parametrize("least", [(0, 0), (10, 30)])
+def test_line_dedup_equals_brute_force(spark, least):
     r = np.random.default_rng(11)
     pool = [f"line {i} with some words of its own" for i in range(12)] + ["x", "y z"]
     texts = ["\n".join(pool[int(j)] if r.random() < 0.9 else "" for j in r.integers(0, len(pool), r.integers(0, 25))) for _ in range(60)]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[3]), (None, texts[4] + "\n" + texts[3]), (5, texts[5]), (6, texts[7])]
-    got = sorted((repr(x["doc_id"]), x["text"]) for x in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), within_lines=False).collect())
+    got = sorted((repr(x["doc_id"]), x["text"]) for x in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string"), within_lines=False, min_words=least[0], min_chars=least[1]).collect())
     key = {t: i["k"] for t, i in ((x["text"], x) for x in spark.createDataFrame(rows, "doc_id long, text string").select("text", F.xxhash64("text").alias("k")).collect())}
     own = {row: [s.strip() for s in row[1].split("\n") if s.strip()] for row in set(rows)}
     seen = {}
@@ -123,7 +124,7 @@ def test_line_dedup_equals_brute_force(spark):
         for p in [*sorted(lost[row]), None]:
             if run and p != run[-1] + 1 if p is not None else run:
                 words = [own[row][q] for q in run]
-                if sum(map(len, words)) >= 30 or sum(len(w.split()) for w in words) >= 10:
+                if sum(map(len, words)) >= least[1] or sum(len(w.split()) for w in words) >= least[0]:
                     gone |= set(run)
                 run = []
             run.append(p)

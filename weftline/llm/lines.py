@@ -16,8 +16,8 @@ repeated hashes are dealt out a second time, so that unique ones are shuffled on
 texts that may lose lines are shuffled and cut again; the others pass by.
 
 Defined cases: null and empty texts, and texts of fewer than three lines, stay as they are;
-blank lines are in no window, and go if the lines on both sides of them go; a merged run of fewer
-than ``min_words`` words and fewer than ``min_chars`` characters stays (tiny lines recur by chance);
+blank lines are in no window, and go if the lines on both sides of them go; every later occurrence goes, however small
+(with ``min_words`` and ``min_chars``, merged runs below both stay);
 a later occurrence that overlaps the first one in the same document leaves the first one's lines; rows that repeat both
 doc_id and text are treated alike, so all or none of their lines go; null ids come last; very long texts are taken whole; an empty table
 gives no rows; extra columns come back as they are, and the columns added get other names where a
@@ -227,7 +227,7 @@ def cut(lines: list[str], places: set[int]) -> str:
     return "".join(out + blanks)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 10, min_chars: int = 30, within_lines: bool = True, **how) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 0, min_chars: int = 0, within_lines: bool = True, **how) -> DataFrame:
     """``docs`` with repeated lines removed from the text, and two more columns:
     ``n_removed`` and ``line_places`` (the non-blank lines removed)."""
     gone = written(removals(docs, id_col, text_col, within_lines=within_lines, **how), "lines-gone")
