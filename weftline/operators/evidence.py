@@ -99,17 +99,32 @@ def suite_summary(cases: DataFrame, suites: DataFrame) -> DataFrame:
 
 
 def run_report(summary: DataFrame) -> DataFrame:
-    """Totals over the suites of a run, and whether all of them are eligible."""
-    return summary.groupBy("run_id").agg(F.count("*").alias("suites"), *[F.sum(c).alias(c) for c in ("tests", "passed", "failed", "skipped")], F.bool_and("eligible").alias("all_eligible"))
+    """Totals over the suites of a run, and what they are evidence of.
+
+    ``summary``: as ``suite_summary`` gives it, with fresh (the report is of this run; null: no) and exclusive (the run does
+    nothing but tests; of one run alike). fresh: all reports are. timing_complete: every case has a plausible time. evidence: an exclusive
+    run whose reports are all fresh and consistent, with passed cases and no failed one. comparison_kind: with complete
+    times of more than 0 s, ``fresh_junit_testcase_durations``, else null.
+    """
+    c = F.col
+    yes = lambda x: F.coalesce(x, F.lit(False))
+    out = summary.groupBy("run_id").agg(
+        F.count("*").alias("suites"), *[F.sum(x).alias(x) for x in ("tests", "passed", "failed", "skipped")], F.bool_and("eligible").alias("all_eligible"), _num(yes(c("fresh"))).alias("fresh_suites"), F.bool_and(yes(c("fresh"))).alias("fresh"),
+        F.bool_and(yes(c("consistent"))).alias("consistent"), F.bool_and(yes(c("timing_complete") & c("timing_plausible"))).alias("timing_complete"), F.sum("case_s").alias("case_s"), F.bool_and(yes(c("exclusive"))).alias("exclusive"),
+    )
+    out = out.withColumn("timing_complete", c("timing_complete") & (c("tests") > 0)).withColumn("attribution", F.when(c("exclusive"), "exclusive_test_plan").otherwise("unavailable_mixed_workload"))
+    out = out.withColumn("evidence", c("exclusive") & c("fresh") & c("consistent") & (c("tests") > 0) & (c("passed") > 0) & (c("failed") == 0))
+    kind = F.when(c("evidence") & c("timing_complete") & (c("case_s") > 0), "fresh_junit_testcase_durations")
+    return out.withColumn("comparison_kind", kind).drop("consistent", "exclusive", "case_s")
 
 
 def domain_rollup(cases: DataFrame, modules: DataFrame, module_of: Column) -> DataFrame:
     """Per module, with modules that have no case: total, outcomes, seconds and pass rate
-    (passed of those not skipped, 0 where there are none)."""
-    seen = cases.withColumn("module", module_of).groupBy("module").agg(F.count("*").alias("total"), *[_num(F.col("outcome") == o).alias(o) for o in ("passed", "failed", "skipped")], F.sum("time_s").alias("case_s"))
-    zero = ["total", "passed", "failed", "skipped"]
+    (passed of those neither skipped nor expected to fail, 0 where there are none)."""
+    seen = cases.withColumn("module", module_of).groupBy("module").agg(F.count("*").alias("total"), *[_num(F.col("outcome") == o).alias(o) for o in ("passed", "failed", "skipped", "expected_failure")], F.sum("time_s").alias("case_s"))
+    zero = ["total", "passed", "failed", "skipped", "expected_failure"]
     out = modules.join(seen, "module", "left").select("module", *[F.coalesce(c, F.lit(0)).alias(c) for c in zero], F.coalesce("case_s", F.lit(0.0)).alias("case_s"))
-    return out.withColumn("pass_rate", F.coalesce(F.col("passed") / F.nullif(F.col("total") - F.col("skipped"), F.lit(0)), F.lit(0.0)))
+    return out.withColumn("pass_rate", F.coalesce(F.col("passed") / F.nullif(F.col("total") - F.col("skipped") - F.col("expected_failure"), F.lit(0)), F.lit(0.0)))
 
 
 def inconsistent_reports(stored: DataFrame, cases: DataFrame, key: list[str], total: str) -> DataFrame:

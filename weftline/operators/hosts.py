@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators import scan
+from weftline.operators import patterns, scan
 
 
 def claim_totals(claims: DataFrame, units: DataFrame, defaults: dict[str, float]) -> DataFrame:
@@ -79,15 +79,21 @@ def orphans(reservations: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def external_load(sessions: DataFrame, reservations: DataFrame) -> DataFrame:
-    """(session_id, external_load): the observed load less the session's own claims, at least 0."""
+    """(session_id, external_load): the observed load less the session's own claims, at least 0. ``sessions``: session_id,
+    observed_load (of the last minute) and, where they are known, busy_percent and logical_cpus, whose product is the load
+    of the moment and counts first unless it is null or not finite."""
     own = reservations.groupBy("session_id").agg(F.sum("claim").alias("own"))
-    return sessions.join(own, "session_id", "left").select("session_id", F.greatest(F.lit(0.0), F.col("observed_load") - F.coalesce("own", F.lit(0.0))).alias("external_load"))
+    load = F.col("observed_load")
+    if {"busy_percent", "logical_cpus"} <= set(sessions.columns):
+        live = F.col("busy_percent") / 100 * F.col("logical_cpus")
+        load = F.coalesce(F.when(~F.isnan(live) & (F.abs(live) != float("inf")), live), load)
+    return sessions.join(own, "session_id", "left").select("session_id", F.greatest(F.lit(0.0), load - F.coalesce("own", F.lit(0.0))).alias("external_load"))
 
 
 def fusion_groups(units: DataFrame, frontiers: DataFrame) -> DataFrame:
     """Per plan and batch key with two or more units: members and what keeps them from one batch.
-    ``frontiers``: (plan_id, unit_id, frontier), the sorted predecessors as text."""
-    u = units.join(frontiers, ["plan_id", "unit_id"], "left").withColumn("frontier", F.coalesce("frontier", F.lit("")))
+    ``frontiers``: (plan_id, unit_id, frontier), the sorted predecessors as text. Units without a batch key are in no group."""
+    u = units.where("batch_key is not null").join(frontiers, ["plan_id", "unit_id"], "left").withColumn("frontier", F.coalesce("frontier", F.lit("")))
     g = u.groupBy("plan_id", "batch_key").agg(
         F.count("*").alias("members"), F.count_distinct("cwd").alias("cwds"), F.count_distinct("frontier").alias("frontiers"),
         F.bool_or("side_effect").alias("effects"), F.bool_or(F.col("codegen_assurance") != "exact_argv").alias("inexact"), F.count_distinct("retryable").alias("retries"),
@@ -165,11 +171,11 @@ def requirement_gate(scored: DataFrame, requirements: DataFrame, key: str = "sce
 
 def detector_hits(evidence: DataFrame, rules: DataFrame, most: int = 5) -> DataFrame:
     """(project, scenario, source, value): evidence that matches a scenario's pattern, at most
-    ``most`` a source. Rules are a catalogue of patterns of fixed size; evidence is not multiplied
-    beyond its matches."""
-    met = evidence.join(rules, "source").where(F.expr("value rlike pattern"))
-    w = Window.partitionBy("project", "scenario", "source").orderBy("value")
-    return met.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).select("project", "scenario", "source", "value")
+    ``most`` a source, the first by value. Rules (scenario, source, pattern) are a catalogue of bounded size; all their
+    patterns are tried in one pass over the evidence."""
+    met = patterns.value_hits(evidence, rules.select(F.col("scenario").alias("rule"), "source", "pattern")).withColumnRenamed("rule", "scenario")
+    few = met.groupBy("project", "scenario", "source").agg(F.slice(F.array_sort(F.collect_set("value")), 1, most).alias("values"))
+    return few.select("project", "scenario", "source", F.explode("values").alias("value"))
 
 
 def ranked_scenarios(scored: DataFrame, k: int) -> DataFrame:

@@ -112,10 +112,10 @@ def gain(serial: Column, items: Column, workers: Column) -> Column:
 
 
 # fixed values: words that ask for execution, for parallel work, for many things, for long work
-EXECUTION = "(?i)(\\b(run|execute|test|lint|build|compile|benchmark|generate|render|scan|validate|verify|package|deploy|convert|process|refactor|optimi[sz]e)\\b|运行|执行|测试|检查|构建|编译|基准|生成|渲染|扫描|校验|验证|打包|部署|转换|处理|改造|优化|跑一下|跑一遍)"
-PARALLEL = "(?i)(\\b(parallel|concurrent|concurrency|fan[- ]?out|shard(ed|ing)?|job matrix)\\b|并行|并发|多路|分片|任务矩阵)"
-MULTIPLE = "(?i)(\\b(multiple|several|batch|each|every|all|matrix|across|independent|many)\\b|多个|多项|多组|批量|每个|全部|分别|独立|一批|多平台|多容器)"
-LONG = "(?i)(\\b(long[- ]?running|slow|minutes?|hours?|five[- ]minute|time[- ]?consuming)\\b|长时间|耗时|分钟|小时|五分钟|5\\s*分钟)"
+EXECUTION = "(?i)(?:\\b(?:run|execute|test|lint|build|compile|benchmark|generate|render|scan|validate|verify|package|deploy|convert|process|refactor|optimi[sz]e)\\b|运行|执行|测试|检查|构建|编译|基准|生成|渲染|扫描|校验|验证|打包|部署|转换|处理|改造|优化|跑一下|跑一遍)"
+PARALLEL = "(?i)(?:\\b(?:parallel|concurrent|concurrency|fan[- ]?out|shard(?:ed|ing)?|job matrix)\\b|并行|并发|多路|分片|任务矩阵)"
+MULTIPLE = "(?i)(?:\\b(?:multiple|several|batch|each|every|all|matrix|across|independent|many)\\b|多个|多项|多组|批量|每个|全部|分别|独立|一批|多平台|多容器)"
+LONG = "(?i)(?:\\b(?:long[- ]?running|slow|minutes?|hours?|five[- ]minute|time[- ]?consuming)\\b|长时间|耗时|分钟|小时|五分钟|5\\s*分钟)"
 
 
 def request_class(text: Column) -> Column:
@@ -124,34 +124,34 @@ def request_class(text: Column) -> Column:
 
 # fixed values: tags of a lower-cased call input
 SIGNATURES = {
-    "search": r"\b(rg|sed|find|fd|jq)\b",
-    "tests": r"\b(pytest|unittest|ctest|vitest|jest|playwright|cypress|swift\s+test|go\s+test|cargo\s+test|npm\s+(run\s+)?test|pnpm\s+(run\s+)?test)\b",
-    "experiment_python": r"(python\S*)[^\n]*(experiments/|-m\s+experiments\.)",
-    "numerical_python": r"\b(numpy|scipy|cvxpy|blas|lapack|svd|eigen)\b",
-    "latex": r"\b(latexmk|pdflatex|xelatex|bibtex|biber)\b",
-    "pdf": r"\b(pdftoppm|pdfinfo|pdftotext|pdfseparate)\b",
-    "image": r"\b(png|jpe?g|tiff?|heic|imagemagick|sips|vimage)\b",
-    "video": r"\b(ffmpeg|videotoolbox|mp4|mov|mkv)\b",
-    "audio": r"\b(wav|flac|mp3|audio|vdsp|speech)\b",
-    "ml": r"\b(coreml|mlx|pytorch|torch|tensorflow|onnx|safetensors|inference)\b",
-    "data": r"\b(parquet|csv|jsonl|etl|schema|dataset)\b",
-    "database": r"\b(prisma|postgres(ql)?|migrat(e|ion)|seed(ing)?)\b",
-    "runtime_parallelism": r"\b(processpoolexecutor|threadpoolexecutor|multiprocessing|worker_threads?|dispatchqueue|xargs\s+-p|gnu\s+parallel)\b",
-    "vector_kernel": r"\b(simd|vdsp|vimage|bnns|accelerate\.framework|numpy|scipy|blas|lapack)\b",
-    "serialization": r"\b(json\.parse|json\.stringify|orjson|simdjson|serde_json|csv|xml|yaml)\b",
-    "streaming_io": r"\b(mmap|createreadstream|createwritestream|readstream|writestream|chunksize|chunk_size)\b",
-    "cache": r"\b(ccache|sccache|incremental|content-addressed|\.next/cache|turbo\s+run)\b",
-    "docker": r"\b(docker|podman|buildx)\b",
-    "native_build": r"\b(cmake|ninja|cargo|go\s+build|clang|gcc|g\+\+)\b",
-    "network": r"\b(curl|wget|rsync|scp|docker\s+pull)\b",
-    "archive": r"\b(zip|tar|gzip|shasum|sha256sum)\b",
-    "git": r"\bgit\s+(status|diff|show|log|add|commit|tag|push)\b",
-    "audit": r"\b(audit|verify|verification|claims?|readiness|preflight)\b",
+    "search": r"\b(?:rg|sed|find|fd|jq)\b",
+    "tests": r"\b(?:pytest|unittest|ctest|vitest|jest|playwright|cypress|swift\s+test|go\s+test|cargo\s+test|npm\s+(?:run\s+)?test|pnpm\s+(?:run\s+)?test)\b",
+    "experiment_python": r"(?:python\S*)[^\n]*(?:experiments/|-m\s+experiments\.)",
+    "numerical_python": r"\b(?:numpy|scipy|cvxpy|blas|lapack|svd|eigen)\b",
+    "latex": r"\b(?:latexmk|pdflatex|xelatex|bibtex|biber)\b",
+    "pdf": r"\b(?:pdftoppm|pdfinfo|pdftotext|pdfseparate)\b",
+    "image": r"\b(?:png|jpe?g|tiff?|heic|imagemagick|sips|vimage)\b",
+    "video": r"\b(?:ffmpeg|videotoolbox|mp4|mov|mkv)\b",
+    "audio": r"\b(?:wav|flac|mp3|audio|vdsp|speech)\b",
+    "ml": r"\b(?:coreml|mlx|pytorch|torch|tensorflow|onnx|safetensors|inference)\b",
+    "data": r"\b(?:parquet|csv|jsonl|etl|schema|dataset)\b",
+    "database": r"\b(?:prisma|postgres(?:ql)?|migrat(?:e|ion)|seed(?:ing)?)\b",
+    "runtime_parallelism": r"\b(?:processpoolexecutor|threadpoolexecutor|multiprocessing|worker_threads?|dispatchqueue|xargs\s+-p|gnu\s+parallel)\b",
+    "vector_kernel": r"\b(?:simd|vdsp|vimage|bnns|accelerate\.framework|numpy|scipy|blas|lapack)\b",
+    "serialization": r"\b(?:json\.parse|json\.stringify|orjson|simdjson|serde_json|csv|xml|yaml)\b",
+    "streaming_io": r"\b(?:mmap|createreadstream|createwritestream|readstream|writestream|chunksize|chunk_size)\b",
+    "cache": r"\b(?:ccache|sccache|incremental|content-addressed|\.next/cache|turbo\s+run)\b",
+    "docker": r"\b(?:docker|podman|buildx)\b",
+    "native_build": r"\b(?:cmake|ninja|cargo|go\s+build|clang|gcc|g\+\+)\b",
+    "network": r"\b(?:curl|wget|rsync|scp|docker\s+pull)\b",
+    "archive": r"\b(?:zip|tar|gzip|shasum|sha256sum)\b",
+    "git": r"\bgit\s+(?:status|diff|show|log|add|commit|tag|push)\b",
+    "audit": r"\b(?:audit|verify|verification|claims?|readiness|preflight)\b",
     "mutation": r"apply_patch",
     "remote": r"connector",
 }
 # fixed values: tags of the lower-cased tool names of a call
-NAME_SIGNATURES = {"pdf": "view_image", "image": "view_image", "mutation": "apply_patch", "remote": "web__run|mcp__", "agent_orchestration": r"\b(collaboration\.|spawn_agent|send_message|wait_agent|list_agents)\b"}
+NAME_SIGNATURES = {"pdf": "view_image", "image": "view_image", "mutation": "apply_patch", "remote": "web__run|mcp__", "agent_orchestration": r"\b(?:collaboration\.|spawn_agent|send_message|wait_agent|list_agents)\b"}
 
 
 def signatures(text: Column, names: Column | None = None) -> Column:
@@ -162,30 +162,32 @@ def signatures(text: Column, names: Column | None = None) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*tags))))
 
 
-# fixed values: commands that change something, with the resource they hold
+# fixed values: commands that change something, with the resources they hold and the reason
 TRAITS = [
-    (r"(^|\s)git\s+(add|commit|merge|rebase|reset|checkout|switch|tag|stash|cherry-pick)(\s|$)", "git", "repository index or refs"),
-    (r"(migrate|migration|prisma\s+db\s+(push|seed)|alembic\s+upgrade|rails\s+db:|manage\.py\s+migrate)", "database:default", "database schema or fixtures"),
-    (r"(docker\s+compose|docker-compose)\s+(up|down|create|start|stop|restart|rm)", "docker:compose", "compose project"),
-    (r"(^|\s)(npm|pnpm|yarn|bun|pip|uv|poetry)\s+(install|add|remove|update|sync)(\s|$)", "dependencies", "dependency environment"),
-    (r"(^|\s)(rm|mv|cp|touch|mkdir|install|tee)(\s|$)|(^|\s)sed\s+-i(\s|$)", None, "file system"),
-    (r"(kubectl\s+(apply|delete|patch|scale)|terraform\s+(apply|destroy)|aws\s+.*(put|delete|update))", "external-account:default", "external infrastructure"),
+    (r"(?:^|\s)git\s+(?:add|commit|merge|rebase|reset|checkout|switch|tag|stash|cherry-pick)(?:\s|$)", ("git:index", "git:refs"), "mutates the repository index or refs"),
+    (r"(?:migrate|migration|prisma\s+db\s+(?:push|seed)|alembic\s+upgrade|rails\s+db:|manage\.py\s+migrate)", ("database:default",), "appears to mutate a database schema or fixtures"),
+    (r"(?:docker\s+compose|docker-compose)\s+(?:up|down|create|start|stop|restart|rm)", ("docker:compose",), "mutates one Docker Compose project"),
+    (r"(?:^|\s)(?:npm|pnpm|yarn|bun|pip|uv|poetry)\s+(?:install|add|remove|update|sync)(?:\s|$)", ("dependencies",), "mutates a dependency environment or lockfile"),
+    (r"(?:^|\s)(?:rm|mv|cp|touch|mkdir|install|tee)(?:\s|$)|(?:^|\s)sed\s+-i(?:\s|$)", (), "contains a filesystem-mutating command"),
+    (r"(?:kubectl\s+(?:apply|delete|patch|scale)|terraform\s+(?:apply|destroy)|aws\s+.*(?:put|delete|update))", ("external-account:default",), "appears to mutate external infrastructure or an account"),
 ]
 
 
 #: resources that belong to one folder: of two folders they don't meet
-OF_FOLDER = ("git", "docker:compose", "dependencies")
+OF_FOLDER = ("git:index", "git:refs", "docker:compose", "dependencies")
 
 
-def command_traits(command: Column, cwd: Column | None = None) -> dict[str, Column]:
-    """side_effect, resources and reasons of a command line; with ``cwd``, resources of a folder name it."""
+def command_traits(command: Column, cwd: Column | None = None, kind: Column | None = None) -> dict[str, Column]:
+    """side_effect, resources and reasons of a command line; with ``cwd``, resources of a folder name it (git's name the
+    repository, so give its folder). A unit of the kind ``mutation`` changes something whatever its command."""
     held = lambda r: F.concat_ws(":", F.lit(r), cwd) if cwd is not None and r in OF_FOLDER else F.lit(r)
     low = F.lower(command)
-    hits = [(low.rlike(p), res, why) for p, res, why in TRAITS]
-    any_hit = F.lit(False)
+    hits = [(F.coalesce(low.rlike(p), F.lit(False)), res, why) for p, res, why in TRAITS]
+    any_hit = F.lit(False) if kind is None else F.coalesce(kind == "mutation", F.lit(False))
     for c, _, _ in hits:
         any_hit = any_hit | c
-    return {"side_effect": any_hit, "resources": F.array_compact(F.array(*[F.when(c, held(r)) for c, r, _ in hits if r])), "reasons": F.array_compact(F.array(*[F.when(c, w) for c, _, w in hits]))}
+    resources = F.array_compact(F.array(*[F.when(c, held(r)) for c, rs, _ in hits for r in rs]))
+    return {"side_effect": any_hit, "resources": resources, "reasons": F.array_compact(F.array(*[F.when(c, F.lit(w)) for c, _, w in hits]))}
 
 
 # fixed values: the option that bounds the inner workers of a tool
@@ -269,6 +271,13 @@ def tool_names(kind: Column, name: Column, namespace: Column, text: Column) -> C
     return F.when((kind == "custom_tool_call") & (F.size(used) > 0), used).otherwise(F.array(own))
 
 
+def hint_candidates(rows: DataFrame, label: str, hint: Column, most: int, key: str = "id") -> DataFrame:
+    """(key, label, hinted): of rows with the same key the first by label, those that share a token with the hint first, then by
+    key, at most ``most``."""
+    one = rows.where(F.col(label).isNotNull()).groupBy(key).agg(F.min(label).alias("label"))
+    return one.withColumn("hinted", F.coalesce(hinted(F.col("label"), hint), F.lit(False))).orderBy(F.desc("hinted"), key).limit(most)
+
+
 def hinted(label: Column, hint: Column) -> Column:
     """Whether label and hint share a token of three or more characters."""
     tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9_-]{3,})"), F.lit(1))

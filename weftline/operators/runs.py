@@ -13,9 +13,16 @@ def _num(c: Column) -> Column:
 
 
 def run_status(tasks: DataFrame) -> DataFrame:
-    """Counts per status, and the ids of tasks that failed or were skipped."""
+    """Counts per status, and the ids of tasks that failed, timed out or were skipped. For runs whose ids are too many
+    for one row, ``unfinished`` has a row for each."""
     ids = lambda s: F.array_sort(F.collect_list(F.when(F.col("status") == s, F.col("task_id"))))
-    return tasks.groupBy("run_id").agg(*[_num(F.col("status") == s).alias(s) for s in ("succeeded", "failed", "skipped")], ids("failed").alias("failed_ids"), ids("skipped").alias("skipped_ids"))
+    statuses = ("succeeded", "failed", "timed_out", "skipped")
+    return tasks.groupBy("run_id").agg(*[_num(F.col("status") == s).alias(s) for s in statuses], *[ids(s).alias(f"{s}_ids") for s in statuses[1:]])
+
+
+def unfinished(tasks: DataFrame) -> DataFrame:
+    """(run_id, status, task_id) of tasks that failed, timed out or were skipped."""
+    return tasks.where(F.col("status").isin("failed", "timed_out", "skipped")).select("run_id", "status", "task_id")
 
 
 def peak_overlap(rows: DataFrame, keys: list[str], start: str, duration: str, units: Column | None = None, parts: int | None = None) -> DataFrame:
@@ -134,9 +141,12 @@ def evidence_errors(stored: DataFrame, tasks: DataFrame) -> DataFrame:
 
 
 def live_sample_seen(samples: DataFrame, tasks: DataFrame) -> DataFrame:
-    """(run_id, seen): some sample, before the run ended, had every task running."""
-    ends = tasks.groupBy("run_id").agg(F.count("*").alias("n"), F.max(F.col("start_s") + F.col("duration_s")).alias("end_s"))
-    return samples.join(ends, "run_id").groupBy("run_id").agg(F.bool_or((F.col("running") == F.col("n")) & (F.col("at_s") < F.col("end_s"))).alias("seen"))
+    """(run_id, seen): some sample, from the start of the run until before its end, had every task running, fewer than all
+    completed, and savings still eligible. ``samples``: run_id, at_s, running, completed, eligible; null does not count."""
+    c = F.col
+    ends = tasks.groupBy("run_id").agg(F.count("*").alias("n"), F.min("start_s").alias("began_s"), F.max(c("start_s") + c("duration_s")).alias("end_s"))
+    good = (c("running") == c("n")) & (c("completed") >= 0) & (c("completed") < c("n")) & (c("at_s") >= c("began_s")) & (c("at_s") < c("end_s")) & c("eligible")
+    return samples.join(ends, "run_id").groupBy("run_id").agg(F.bool_or(F.coalesce(good, F.lit(False))).alias("seen"))
 
 
 def repeat_percentiles(rows: DataFrame, keys: list[str], value: str, least: int = 3, parts: int | None = None) -> DataFrame:

@@ -313,12 +313,23 @@ def effect_reach(spark, d):
 # ---------------------------------------------------------------- runs
 
 
-@query("""
-    SELECT run_id, count(CASE WHEN status = 'succeeded' THEN 1 END) AS succeeded, count(CASE WHEN status = 'failed' THEN 1 END) AS failed, count(CASE WHEN status = 'skipped' THEN 1 END) AS skipped,
-           coalesce(string_agg(CASE WHEN status = 'failed' THEN task_id END, ',' ORDER BY task_id), '') AS failed_ids, coalesce(string_agg(CASE WHEN status = 'skipped' THEN task_id END, ',' ORDER BY task_id), '') AS skipped_ids
-    FROM {task_results} GROUP BY 1""")
+_TIMED_OUT = "CASE WHEN status = 'failed' AND duration_s > 3456000 THEN 'timed_out' ELSE status END"
+
+
+@query(f"""
+    WITH t AS (SELECT run_id, task_id, {_TIMED_OUT} AS status FROM {{task_results}})
+    SELECT run_id, count(CASE WHEN status = 'succeeded' THEN 1 END) AS succeeded, count(CASE WHEN status = 'failed' THEN 1 END) AS failed, count(CASE WHEN status = 'timed_out' THEN 1 END) AS timed_out, count(CASE WHEN status = 'skipped' THEN 1 END) AS skipped,
+           coalesce(string_agg(CASE WHEN status = 'failed' THEN task_id END, ',' ORDER BY task_id), '') AS failed_ids, coalesce(string_agg(CASE WHEN status = 'timed_out' THEN task_id END, ',' ORDER BY task_id), '') AS timed_out_ids,
+           coalesce(string_agg(CASE WHEN status = 'skipped' THEN task_id END, ',' ORDER BY task_id), '') AS skipped_ids
+    FROM t GROUP BY 1""")
 def run_status(spark, d):
-    return _text(runs.run_status(view(spark, d, "task_results")), "failed_ids", "skipped_ids")
+    t = view(spark, d, "task_results").withColumn("status", F.expr(_TIMED_OUT))
+    return _text(runs.run_status(t), "failed_ids", "timed_out_ids", "skipped_ids")
+
+
+@query(f"SELECT run_id, status, task_id FROM (SELECT run_id, task_id, {_TIMED_OUT} AS status FROM {{task_results}}) t WHERE status <> 'succeeded'")
+def unfinished_tasks(spark, d):
+    return runs.unfinished(view(spark, d, "task_results").withColumn("status", F.expr(_TIMED_OUT)))
 
 
 def _peak(keys: str, table: str, units: str) -> str:
@@ -397,11 +408,13 @@ def run_evidence(spark, d):
 
 
 @query("""
-    WITH s AS (SELECT run_id, start_s + 43200 AS at_s, task_id AS running FROM {task_results}), e AS (SELECT run_id, count(*) AS n, max(start_s + duration_s) AS end_s FROM {task_results} GROUP BY 1)
-    SELECT run_id, bool_or(running = n AND at_s < end_s) AS seen FROM s JOIN e USING (run_id) GROUP BY 1""")
+    WITH s AS (SELECT run_id, start_s + 43200 AS at_s, task_id AS running, CASE WHEN run_id % 5 <> 0 THEN task_id - 1 ELSE task_id END AS completed, CASE WHEN run_id % 11 <> 0 THEN run_id % 7 <> 0 END AS eligible FROM {task_results}),
+    e AS (SELECT run_id, count(*) AS n, min(start_s) AS began_s, max(start_s + duration_s) AS end_s FROM {task_results} GROUP BY 1)
+    SELECT run_id, bool_or(coalesce(running = n AND completed >= 0 AND completed < n AND at_s >= began_s AND at_s < end_s AND eligible, false)) AS seen FROM s JOIN e USING (run_id) GROUP BY 1""")
 def live_sample(spark, d):
     t = view(spark, d, "task_results")
-    return runs.live_sample_seen(t.select("run_id", (F.col("start_s") + 43200).alias("at_s"), F.col("task_id").alias("running")), t)
+    s = t.selectExpr("run_id", "start_s + 43200 AS at_s", "task_id AS running", "CASE WHEN run_id % 5 <> 0 THEN task_id - 1 ELSE task_id END AS completed", "CASE WHEN run_id % 11 <> 0 THEN run_id % 7 <> 0 END AS eligible")
+    return runs.live_sample_seen(s, t)
 
 
 @query("SELECT realm, host_class, round(quantile_cont(wall_s, 0.5), 6) AS p50, round(quantile_cont(wall_s, 0.9), 6) AS p90, count(*) AS repetitions FROM (SELECT trim(realm) AS realm, run_id % 700 AS host_class, wall_s FROM {bench_runs}) GROUP BY 1, 2 HAVING count(*) >= 3")
@@ -513,9 +526,26 @@ def suite_summary(spark, d):
     return _r(_suites(spark, d), "case_s").select("run_id", "suite_id", "tests", "passed", "failed", "skipped", "case_s", "consistent", "timing_plausible", "eligible")
 
 
-@query(f"WITH {_SUITE} SELECT run_id, count(*) AS suites, sum(tests)::BIGINT AS tests, sum(passed)::BIGINT AS passed, sum(failed)::BIGINT AS failed, sum(skipped)::BIGINT AS skipped, bool_and(eligible) AS all_eligible FROM summary GROUP BY 1")
+def _report_sql(table: str) -> str:
+    return f"""
+    r AS (SELECT run_id, count(*) AS suites, sum(tests)::BIGINT AS tests, sum(passed)::BIGINT AS passed, sum(failed)::BIGINT AS failed, sum(skipped)::BIGINT AS skipped, bool_and(eligible) AS all_eligible,
+        count(CASE WHEN fresh THEN 1 END) AS fresh_suites, bool_and(coalesce(fresh, false)) AS fresh, bool_and(consistent) AS consistent, bool_and(coalesce(timing_plausible, false)) AND sum(tests) > 0 AS timing_complete, sum(case_s) AS case_s, bool_and(exclusive) AS exclusive FROM {table} GROUP BY 1),
+    x AS (SELECT *, exclusive AND fresh AND consistent AND tests > 0 AND passed > 0 AND failed = 0 AS evidence FROM r)
+    SELECT run_id, suites, tests, passed, failed, skipped, all_eligible, fresh_suites, fresh, timing_complete, CASE WHEN exclusive THEN 'exclusive_test_plan' ELSE 'unavailable_mixed_workload' END AS attribution, evidence,
+        CASE WHEN evidence AND timing_complete AND case_s > 0 THEN 'fresh_junit_testcase_durations' END AS comparison_kind FROM x"""
+
+
+_FRESH = "CASE WHEN suite_id % 13 = 5 THEN NULL ELSE suite_id % 11 <> 0 END AS fresh, run_id % 5 <> 0 AS exclusive"
+
+
+@query(f"WITH {_SUITE}, s AS (SELECT *, {_FRESH} FROM summary), {_report_sql('s')}")
 def run_report(spark, d):
-    return evidence.run_report(_suites(spark, d))
+    return evidence.run_report(_suites(spark, d).selectExpr("*", *_FRESH.split(", ")))
+
+
+@query(f"WITH {_report_sql('{attributed_suites}')}")
+def report_evidence(spark, d):
+    return evidence.run_report(view(spark, d, "attributed_suites"))
 
 
 @query(f"WITH {_SUITE} SELECT run_id, bool_and(passed = tests AND skipped = 0 AND consistent) AS eligible FROM summary GROUP BY 1")
@@ -525,11 +555,14 @@ def baseline_eligible(spark, d):
 
 @query("""
     WITH m AS (SELECT DISTINCT module FROM (SELECT suite_id % 10 AS module FROM {suites} UNION ALL SELECT n_nationkey + 8 FROM {nation}) x),
-    s AS (SELECT suite_id % 10 AS module, count(*) AS total, count(CASE WHEN outcome = 'passed' THEN 1 END) AS passed, count(CASE WHEN outcome = 'failed' THEN 1 END) AS failed, count(CASE WHEN outcome = 'skipped' THEN 1 END) AS skipped, sum(time_s) AS case_s FROM {suite_cases} GROUP BY 1)
-    SELECT m.module, coalesce(total, 0) AS total, coalesce(passed, 0) AS passed, coalesce(failed, 0) AS failed, coalesce(skipped, 0) AS skipped, round(coalesce(case_s, 0), 6) AS case_s, round(coalesce(passed / nullif(total - skipped, 0), 0), 6) AS pass_rate FROM m LEFT JOIN s ON m.module = s.module""")
+    c AS (SELECT suite_id % 10 AS module, time_s, CASE WHEN outcome = 'failed' AND time_s > 0.06 THEN 'expected_failure' ELSE outcome END AS outcome FROM {suite_cases}),
+    s AS (SELECT module, count(*) AS total, count(CASE WHEN outcome = 'passed' THEN 1 END) AS passed, count(CASE WHEN outcome = 'failed' THEN 1 END) AS failed, count(CASE WHEN outcome = 'skipped' THEN 1 END) AS skipped, count(CASE WHEN outcome = 'expected_failure' THEN 1 END) AS expected_failure, sum(time_s) AS case_s FROM c GROUP BY 1)
+    SELECT m.module, coalesce(total, 0) AS total, coalesce(passed, 0) AS passed, coalesce(failed, 0) AS failed, coalesce(skipped, 0) AS skipped, coalesce(expected_failure, 0) AS expected_failure, round(coalesce(case_s, 0), 6) AS case_s,
+        round(coalesce(passed / nullif(total - skipped - expected_failure, 0), 0), 6) AS pass_rate FROM m LEFT JOIN s ON m.module = s.module""")
 def domain_rollup(spark, d):
     m = view(spark, d, "suites").select(F.col("module").cast("long")).union(view(spark, d, "nation").select((F.col("n_nationkey") + 8).cast("long"))).distinct().toDF("module")
-    return _r(evidence.domain_rollup(view(spark, d, "suite_cases"), m, F.col("suite_id") % 10), "case_s", "pass_rate")
+    c = view(spark, d, "suite_cases").withColumn("outcome", F.expr("CASE WHEN outcome = 'failed' AND time_s > 0.06 THEN 'expected_failure' ELSE outcome END"))
+    return _r(evidence.domain_rollup(c, m, F.col("suite_id") % 10), "case_s", "pass_rate")
 
 
 @query("""
@@ -609,6 +642,17 @@ def target_progress(spark, d):
     return _r(history.target_progress(c, {"click": 2000, "view": 2000}), "ratio")
 
 
+_CLEAN = "coalesce(nullif(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9_.-]+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g'), ''), 'unknown')"
+
+
+@query(f"""
+    SELECT id, CASE WHEN coalesce(explicit, '') <> '' THEN {_CLEAN.format('explicit')} WHEN lower(system) = 'windows' THEN 'windows_native' WHEN lower(system) IN ('darwin', 'macos') THEN 'macos_native' WHEN lower(system) = 'linux' THEN 'linux_native'
+        WHEN coalesce(direct, '') <> '' THEN {_CLEAN.format('direct')} WHEN contains(lower(machine), 'apple') OR contains(lower(machine), 'mac') THEN 'macos_native' WHEN contains(lower(machine), 'windows') THEN 'windows_native' ELSE 'unknown' END AS realm FROM {{machines}}""")
+def realm_sources(spark, d):
+    m = view(spark, d, "machines")
+    return m.select("id", history.realm_of(F.col("explicit"), F.col("system"), F.col("direct"), F.col("machine")).alias("realm"))
+
+
 @query("SELECT DISTINCT lower(trim(realm)) AS realm FROM {bench_runs}")
 def realm_names(spark, d):
     return _realms(spark, d).select("realm").distinct()
@@ -716,7 +760,7 @@ def class_counts(spark, d):
     return every.join(k.groupBy("class").agg(F.count("*").alias("units")), "class", "left").select("class", F.coalesce("units", F.lit(0)).alias("units"))
 
 
-_PROMPT_SQL = "CASE WHEN NOT regexp_matches(prompt, '{0}') THEN 'direct' WHEN regexp_matches(prompt, '{1}') OR (regexp_matches(prompt, '{2}') AND regexp_matches(prompt, '{3}')) THEN 'candidate' ELSE 'inspect' END".format(*[p.replace("\\b(", "(^|[^\\pL\\pN_])(").replace(")\\b", ")([^\\pL\\pN_]|$)") for p in (rules.EXECUTION, rules.PARALLEL, rules.MULTIPLE, rules.LONG)])
+_PROMPT_SQL = "CASE WHEN NOT regexp_matches(prompt, '{0}') THEN 'direct' WHEN regexp_matches(prompt, '{1}') OR (regexp_matches(prompt, '{2}') AND regexp_matches(prompt, '{3}')) THEN 'candidate' ELSE 'inspect' END".format(*[p.replace("\\b(?:", "(^|[^\\pL\\pN_])(?:").replace(")\\b", ")([^\\pL\\pN_]|$)") for p in (rules.EXECUTION, rules.PARALLEL, rules.MULTIPLE, rules.LONG)])
 SQL["request_class"] = with_views("SELECT origin, id, @@ AS class FROM {prompts}").replace("@@", _PROMPT_SQL)
 
 
@@ -774,11 +818,12 @@ def ext_counts(spark, d):
 
 
 @query("""
-    WITH t AS (SELECT p_partkey AS id, p_name AS label, list_has_any(regexp_extract_all(lower(p_name), '[a-z0-9_-]{3,}'), ['cold', 'steel', 'widget']) AS hinted FROM {part})
+    WITH p AS (SELECT p_partkey - p_partkey % 2 AS id, min(p_name) AS label FROM {part} GROUP BY 1),
+    t AS (SELECT id, label, list_has_any(regexp_extract_all(lower(label), '[a-z0-9_-]{3,}'), ['cold', 'steel', 'widget']) AS hinted FROM p)
     SELECT * FROM t ORDER BY hinted DESC, id LIMIT 96""".replace("{3,}", "@3@"))
 def hint_candidates(spark, d):
-    p = view(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), rules.hinted(F.col("p_name"), F.lit("cold steel widget")).alias("hinted"))
-    return p.orderBy(F.desc("hinted"), "id").limit(96)
+    p = view(spark, d, "part").selectExpr("p_partkey - p_partkey % 2 AS id", "p_name")
+    return rules.hint_candidates(p, "p_name", F.lit("cold steel widget"), 96)
 
 
 SQL["hint_candidates"] = SQL["hint_candidates"].replace("@3@", "{3,}")
@@ -813,10 +858,11 @@ def orphan_reservations(spark, d):
     return _r(hosts.orphans(view(spark, d, "reservations"), view(spark, d, "sessions")), "claim")
 
 
-@query("SELECT s.session_id, round(greatest(0, observed_load - coalesce(own, 0)), 6) AS external_load FROM {sessions} s LEFT JOIN (SELECT session_id, sum(claim) / 10 AS own FROM {reservations} GROUP BY 1) r USING (session_id)")
+@query("SELECT s.session_id, round(greatest(0, coalesce(CASE WHEN s.session_id % 3 = 0 THEN (s.ready % 100)::DOUBLE / 100 * s.slots END, observed_load) - coalesce(own, 0)), 6) AS external_load FROM {sessions} s LEFT JOIN (SELECT session_id, sum(claim) / 10 AS own FROM {reservations} GROUP BY 1) r USING (session_id)")
 def external_load(spark, d):
     r = view(spark, d, "reservations").withColumn("claim", F.col("claim") / 10)
-    return _r(hosts.external_load(view(spark, d, "sessions"), r), "external_load")
+    s = view(spark, d, "sessions").selectExpr("*", "CASE WHEN session_id % 3 = 0 THEN CAST(ready % 100 AS DOUBLE) WHEN session_id % 3 = 1 THEN CAST('NaN' AS DOUBLE) END AS busy_percent", "slots AS logical_cpus")
+    return _r(hosts.external_load(s, r), "external_load")
 
 
 @query("""

@@ -136,6 +136,14 @@ VIEWS = {
     "suites": """
         SELECT run_id, suite_id, count(*) + CASE WHEN suite_id % 7 = 0 THEN 1 ELSE 0 END AS declared_tests, sum(time_s) / 2 AS wall_s, 2 AS workers, suite_id % 10 AS module
         FROM {suite_cases} GROUP BY 1, 2""",
+    "attributed_suites": """
+        SELECT run_id, suite_id, count(*) AS tests, count(*) - CASE WHEN run_id % 4 = 0 THEN 0 ELSE count(CASE WHEN outcome = 'failed' THEN 1 END) END AS passed, CASE WHEN run_id % 4 = 0 THEN 0 ELSE count(CASE WHEN outcome = 'failed' THEN 1 END) END AS failed, 0 AS skipped,
+               sum(time_s) AS case_s, true AS timing_complete, NOT (run_id % 12 = 8 AND suite_id % 10 = 3) AS timing_plausible, NOT (run_id % 16 = 4 AND suite_id % 10 = 1) AS consistent, run_id % 4 = 0 AS eligible, NOT (run_id % 20 = 12 AND suite_id % 10 = 7) AS fresh, run_id % 24 <> 0 AS exclusive
+        FROM {suite_cases} GROUP BY run_id, suite_id""",
+    "machines": """
+        SELECT p_partkey AS id, CASE WHEN p_partkey % 7 = 0 THEN concat(' ', p_name, '!') WHEN p_partkey % 7 = 1 THEN '' END AS explicit, CASE p_partkey % 5 WHEN 0 THEN 'Windows' WHEN 1 THEN 'Darwin' WHEN 2 THEN 'linux' WHEN 3 THEN 'plan9' END AS system,
+               CASE WHEN p_partkey % 3 = 0 THEN concat(p_name, ' / box') WHEN p_partkey % 33 = 1 THEN '..' END AS direct, CASE p_partkey % 4 WHEN 0 THEN 'Apple M1' WHEN 1 THEN 'a Windows box' ELSE p_name END AS machine
+        FROM {part}""",
     "domain_cases": "SELECT suite_id % 100 AS module, CASE WHEN outcome = 'failed' AND time_s > 0.045 THEN 'error' ELSE outcome END AS status FROM {suite_cases}",
     "domain_stored": """
         SELECT module, count(*) + CASE WHEN module % 9 = 0 THEN 1 ELSE 0 END AS total, count(CASE WHEN status = 'passed' THEN 1 END) AS passed, count(CASE WHEN status IN ('failed', 'error') THEN 1 END) - count(CASE WHEN status = 'error' AND module % 5 <> 0 THEN 1 END) AS failed,

@@ -6,31 +6,52 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import history, rules
+from weftline.sources.ranges import tail_sample  # noqa: F401  beside the other sources
 
 PLAN = """plan_id string, capacities map<string,double>, atoms array<struct<id:string, operation:struct<kind:string, argv:array<string>, cwd:string>, profile:string, side_effect:boolean,
     depends_on:array<struct<atom:string, kind:string>>, accesses:array<struct<resource:string, mode:string>>, effects:array<struct<domain:string, key:string, mode:string>>, claims:array<struct<resource:string, units:double>>,
-    cost:struct<duration_seconds:double, startup_seconds:double, memory_mb:double>>>"""
+    cost:struct<duration_seconds:double, startup_seconds:double, memory_mb:double>,
+    semantics:struct<idempotent:boolean, retryable:boolean, deterministic:boolean, cacheable:boolean, commutative:boolean, cancel_safe:boolean, splittable:boolean, reorderable:string>,
+    assurance:struct<parse:string, control:string, effects:string, codegen:string, rank:double, blockers:array<string>>, batch:struct<key:string, strategy:string>>>, snapshots array<struct<path:string, sha256:string, size_bytes:bigint>>, _corrupt_record string"""
 WORKER = "event string, scenario string, elapsed_seconds double, iterations long, work_units long"
 TRACE = "type string, payload struct<type:string, call_id:string, name:string, namespace:string, input:string, arguments:string, cwd:string>"
 
 
 def read_plans(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Plan documents as tables: units, edges, accesses, effects, claims, capacities. A broken
-    document is dropped; a dependency without a kind is one on success; claims of a resource add up."""
-    docs = spark.read.schema(PLAN).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
+    """Plan documents as tables: units, edges, accesses, effects, claims, capacities, snapshots, broken.
+
+    Units have the flags of their semantics, with the defaults of ``rules.default_semantics`` where the document
+    says nothing (cacheable then is false, commutative false, reorderable unknown), the four assurances (unknown where nothing is said), their
+    blockers, and batch_key and batch_strategy. A dependency without a kind is one on success; claims of a resource add
+    up. ``broken``: file, count and, where it could be read, plan of the broken documents, which are in no other table.
+    """
+    read = spark.read.schema(PLAN).option("multiLine", True).option("mode", "PERMISSIVE").json(path).withColumn("file", F.col("_metadata.file_path"))
+    docs = read.where("_corrupt_record is null")
     atoms = docs.select("plan_id", F.explode("atoms").alias("a"))
 
     def part(field: str, *cols: Column) -> DataFrame:
         return atoms.select("plan_id", F.col("a.id").alias("unit_id"), F.explode(f"a.{field}").alias("x")).select("plan_id", "unit_id", *cols)
 
+    kind = F.col("a.operation.kind")
+    # what only reads, and changes nothing
+    plain = F.when(F.coalesce("a.side_effect", F.lit(False)), F.lit(None).cast("string")).otherwise(kind)
+    said = lambda c: F.col(f"a.semantics.{c}")
+    flags = [rules.default_semantics(said(c), plain).alias(c) for c in ("idempotent", "retryable", "deterministic")]
+    flags += [F.coalesce(rules.default_semantics(said("cacheable"), plain), F.lit(False)).alias("cacheable"), F.coalesce(said("commutative"), F.lit(False)).alias("commutative"), said("cancel_safe"), said("splittable"), F.coalesce(said("reorderable"), F.lit("unknown")).alias("reorderable")]
+    sure = [F.coalesce(f"a.assurance.{c}", F.lit("unknown")).alias(f"{c}_assurance") for c in ("parse", "control", "effects", "codegen")]
     return {
-        "units": atoms.select("plan_id", F.col("a.id").alias("unit_id"), F.col("a.operation.kind").alias("kind"), F.col("a.operation.argv").alias("argv"), "a.profile", "a.side_effect", "a.cost"),
+        "units": atoms.select(
+            "plan_id", F.col("a.id").alias("unit_id"), kind.alias("kind"), F.col("a.operation.argv").alias("argv"), F.col("a.operation.cwd").alias("cwd"), "a.profile", "a.side_effect", "a.cost", F.col("a.cost.duration_seconds").alias("duration_s"), *flags, *sure,
+            F.col("a.assurance.rank").alias("rank"), F.coalesce("a.assurance.blockers", F.array().cast("array<string>")).alias("blockers"), F.col("a.batch.key").alias("batch_key"), F.col("a.batch.strategy").alias("batch_strategy"),
+        ),
         "edges": part("depends_on", F.col("x.atom").alias("pred_id"), F.coalesce("x.kind", F.lit("success")).alias("kind")),
         "accesses": part("accesses", F.col("x.resource").alias("resource"), F.col("x.mode").alias("mode")),
         "effects": part("effects", F.col("x.domain").alias("domain"), F.col("x.key").alias("key"), F.col("x.mode").alias("mode")),
         "claims": part("claims", F.col("x.resource").alias("resource"), F.col("x.units").alias("units")).groupBy("plan_id", "unit_id", "resource").agg(F.sum("units").alias("units")),
         "capacities": docs.select("plan_id", F.explode("capacities").alias("resource", "capacity")),
-    }
+        "snapshots": docs.select("plan_id", F.explode("snapshots").alias("x")).select("plan_id", "x.path", F.col("x.sha256").alias("digest"), "x.size_bytes"),
+        "broken": read.where("_corrupt_record is not null").groupBy("file").agg(F.count("*").alias("documents"), F.max("plan_id").alias("plan_id")),
+    }
 
 
 def last_worker_line(stdout: Column) -> Column:
@@ -74,13 +95,6 @@ def newest_files(files: DataFrame, n: int) -> DataFrame:
     return files.orderBy(F.desc("modificationTime"), "path").limit(n)
 
 
-def tail_sample(spark: SparkSession, path: str, n_bytes: int = 256 * 1024) -> DataFrame:
-    """(path, text): the last bytes of each file from the first whole line on; a sampling option."""
-    f = spark.read.format("binaryFile").load(path)
-    tail = F.when(F.col("length") > n_bytes, F.substring("content", -n_bytes, n_bytes)).otherwise(F.col("content")).cast("string")
-    return f.select("path", F.when(F.col("length") > n_bytes, F.regexp_replace(tail, r"^[^\n]*\n", "")).otherwise(tail).alias("text"))
-
-
 def read_test_cases(spark: SparkSession, path: str) -> DataFrame:
     """Cases of test reports; error counts before failure before skipped, else passed."""
     schema = "_classname string, _name string, _file string, _line int, _time double, error string, failure string, skipped string"
