@@ -106,8 +106,9 @@ def test_levels_and_paths(tables, plans):
 
 
 def rounds(monkeypatch):
-    seen, cut = [], chains.cut
+    seen, cut, counting = [], chains.cut, chains.cut_counting
     monkeypatch.setattr(chains, "cut", lambda df: seen.append(1) or cut(df))
+    monkeypatch.setattr(chains, "cut_counting", lambda *x: seen.append(1) or counting(*x))
     return seen
 
 

@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.store import cut
+from weftline.operators.store import cut, cut_counting
 
 KEY = ["plan_id", "unit_id"]
 MOST_ROUNDS = 10_000
@@ -73,15 +73,15 @@ def contract(nodes: DataFrame, links: DataFrame, sums: tuple[str, ...] = ()) ->
     inner = cut(lone.join(only, ["plan_id", "pred_id"], "left_semi").select(*KEY, "pred_id"))
     beyond = inner.select("plan_id", F.col("unit_id").alias("at"), F.lit(False).alias("here"))
     chain = inner.join(nodes, KEY).withColumnRenamed("pred_id", "at").join(beyond, ["plan_id", "at"], "left")
-    chain = cut(chain.select(*KEY, "at", F.lit(1).cast("long").alias("hops"), *sums, F.col("unit_id").alias("ring"), F.coalesce("here", F.lit(True)).alias("done")))
+    begun = chain.select(*KEY, "at", F.lit(1).cast("long").alias("hops"), *sums, F.col("unit_id").alias("ring"), F.coalesce("here", F.lit(True)).alias("done"))
+    chain, left = cut_counting(begun, ~F.col("done"))
     done, active = [chain.where("done")], chain.where("not done")
-    rounds = active.count().bit_length() + 1
-    for _ in range(rounds):
-        if active.isEmpty():
+    for _ in range(left.bit_length() + 1):
+        if not left:
             break
         ahead = _union([*done, active]).select("plan_id", F.col("unit_id").alias("at"), F.col("at").alias("at_2"), *[F.col(c).alias(f"{c}_2") for c in ("hops", *sums, "ring", "done")])
         plus = [(F.col(c) + F.col(f"{c}_2")).alias(c) for c in ("hops", *sums)]
-        active = cut(active.join(ahead, ["plan_id", "at"]).select(*KEY, F.col("at_2").alias("at"), *plus, F.least("ring", "ring_2").alias("ring"), F.col("done_2").alias("done")))
+        active, left = cut_counting(active.join(ahead, ["plan_id", "at"]).select(*KEY, F.col("at_2").alias("at"), *plus, F.least("ring", "ring_2").alias("ring"), F.col("done_2").alias("done")), ~F.col("done"))
         done.append(active.where("done"))
         active = active.where("not done")
     cols = ["hops", *sums]
@@ -114,10 +114,10 @@ def settle(nodes: DataFrame, links: DataFrame, sums: tuple[str, ...] = (), maxim
         passed = reached.select(*KEY, F.lit(1).cast("long").alias("__n"), *[(F.col(f"{c}_in") + F.col(c)).alias(f"{c}_in") for c in sums], *[f"{c}_in" for c in maxima])
         every = passed if partial is None else passed.unionByName(partial)
         met = every.groupBy(*KEY).agg(F.sum("__n").alias("__n"), *[F.max(f"{c}_in").alias(f"{c}_in") for c in names]).join(info, KEY)
-        met = cut(met)
+        met, settled = cut_counting(met, F.col("__n") == F.col("__waits"))
         ready = met.where("__n = __waits")
         fresh = ready.select(*KEY, *[(F.col(c) + F.greatest(F.col(f"{c}_in"), F.lit(0))).alias(c) for c in sums], *[F.greatest(c, f"{c}_in").alias(c) for c in maxima])
-        if ready.isEmpty():
+        if not settled:
             return found.all()
         partial = met.where("__n < __waits").select(*KEY, "__n", *[f"{c}_in" for c in names])
         found.add(fresh)
@@ -146,8 +146,8 @@ def reachable(seeds: DataFrame, links: DataFrame) -> DataFrame:
     for _ in range(MOST_ROUNDS):
         step = chains.links.join(fresh.select("plan_id", F.col("unit_id").alias("pred_id")), ["plan_id", "pred_id"], "left_semi").select(*KEY).distinct()
         # heads met by a link are reached from their first unit on, whether or not a seed lies further down
-        top = cut(step if from_top is None else step.join(from_top.all(), KEY, "left_anti"))
-        if top.isEmpty():
+        top, new = cut_counting(step if from_top is None else step.join(from_top.all(), KEY, "left_anti"))
+        if not new:
             break
         fresh = cut(top.join(seen.all(), KEY, "left_anti"))
         seen.add(fresh)
@@ -180,11 +180,11 @@ def components(links: DataFrame) -> DataFrame:
     found = None
     for _ in range(MOST_ROUNDS):
         for way in (left, turned(left)):
-            nodes = cut(nodes.join(settle(nodes, way.select(*KEY, "pred_id")), KEY, "left_anti"))
-            if nodes.isEmpty():
+            nodes, open_ = cut_counting(nodes.join(settle(nodes, way.select(*KEY, "pred_id")), KEY, "left_anti"))
+            if not open_:
                 break
             left = cut(_among(left, nodes))
-        if nodes.isEmpty():
+        if not open_:
             break
         colour = _coloured(nodes, left)
         part = _of_colour(colour, left)
@@ -209,8 +209,8 @@ def _coloured(nodes: DataFrame, links: DataFrame) -> DataFrame:
     fresh = colour
     for _ in range(MOST_ROUNDS):
         given = links.join(fresh.select("plan_id", F.col("unit_id").alias("pred_id"), F.col("colour").alias("new")), ["plan_id", "pred_id"]).groupBy(*KEY).agg(F.max("new").alias("new"))
-        better = cut(given.join(colour, KEY).where("new > colour").select(*KEY, F.col("new").alias("colour")))
-        if better.isEmpty():
+        better, changed = cut_counting(given.join(colour, KEY).where("new > colour").select(*KEY, F.col("new").alias("colour")))
+        if not changed:
             return colour
         colour = cut(colour.unionByName(better).groupBy(*KEY).agg(F.max("colour").alias("colour")))
         fresh = better
@@ -225,8 +225,8 @@ def _of_colour(colour: DataFrame, links: DataFrame) -> DataFrame:
     seen = _Found(fresh)
     for _ in range(MOST_ROUNDS):
         back = same.join(fresh, ["plan_id", "unit_id", "colour"], "left_semi").select("plan_id", F.col("pred_id").alias("unit_id"), "colour").distinct()
-        fresh = cut(back.join(seen.all(), ["plan_id", "unit_id", "colour"], "left_anti").select(*KEY, "colour"))
-        if fresh.isEmpty():
+        fresh, new = cut_counting(back.join(seen.all(), ["plan_id", "unit_id", "colour"], "left_anti").select(*KEY, "colour"))
+        if not new:
             return cut(seen.all().select(*KEY, F.col("colour").alias("component")))
         seen.add(fresh)
     raise RuntimeError("too many rounds")
@@ -301,8 +301,8 @@ def _searched(asked: DataFrame, links: DataFrame, known: DataFrame, names: tuple
     for _ in range(MOST_ROUNDS):
         step = fresh.join(links.select("plan_id", F.col("unit_id").alias("at"), "pred_id"), ["plan_id", "at"]).select("plan_id", "src", "dst", F.col("pred_id").alias("at")).distinct()
         found = left_open(step).join(seen.all(), ["plan_id", "src", "dst", "at"], "left_anti")
-        fresh = cut(found.select("plan_id", "src", "dst", "at"))
-        if fresh.isEmpty():
+        fresh, new = cut_counting(found.select("plan_id", "src", "dst", "at"))
+        if not new:
             return cut(hits.all().select("plan_id", "src", "dst").distinct())
         hit = fresh.where("src = at")
         hits.add(hit)

@@ -87,11 +87,17 @@ def resource_units(accesses: DataFrame) -> DataFrame:
 
 
 def _nested_pairs(rows: DataFrame, harmless: Column) -> DataFrame:
-    """As ``_pairs``, for resources that are equal or nested."""
+    """As ``_pairs``, for resources that are equal or nested: (x, y). Each row looks up itself and the folders above it, so
+    rows that only share a folder don't meet."""
     parts = F.split("resource", "/")
     ups = F.transform(F.sequence(F.when(F.startswith("resource", F.lit("/")), 2).otherwise(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    whole = (F.col("x.key") == F.col("x.resource")) | (F.col("y.key") == F.col("y.resource"))
-    return _pairs(rows.withColumn("key", F.explode(ups)), ["key"], harmless | ~whole)
+    deep = rows.select("plan_id", F.struct(*rows.columns).alias("a"), F.explode(ups).alias("key"))
+    whole = rows.select("plan_id", F.struct(*rows.columns).alias("b"), F.col("resource").alias("key"))
+    a, b = F.col("a"), F.col("b")
+    below = a["unit_id"] < b["unit_id"]
+    # of two rows of one resource each finds the other
+    met = deep.join(whole, ["plan_id", "key"]).where(below | ((a["unit_id"] > b["unit_id"]) & (a["resource"] != b["resource"])))
+    return met.select(F.when(below, a).otherwise(b).alias("x"), F.when(below, b).otherwise(a).alias("y")).where(~harmless)
 
 
 def nested_conflicts(accesses: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _made: dict[str, list[str]] = {}
 
@@ -33,6 +34,13 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counting(df: DataFrame, which: Column | None = None) -> tuple[DataFrame, int]:
+    """``cut``, and how many rows there are (for which ``which`` holds), counted while they are written."""
+    seen = Observation()
+    rows = cut(df.observe(seen, (F.count(F.lit(1)) if which is None else F.count_if(which)).alias("n")))
+    return rows, seen.get["n"]
+
+
 def clear(spark: SparkSession) -> int:
     """Removes the intermediate tables of this application, once the results that read them are written; gives their number."""
     paths = _made.pop(spark.sparkContext.applicationId, [])
