@@ -8,6 +8,7 @@ import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -322,3 +323,16 @@ def test_damage_reads_nulls_as_spaces(spark):
         if way:
             want[c, n, "user" if way == 4 else " ", "" if way == 1 else " "] += 2 if way == 3 else 1
     assert Counter(tuple(r) for r in got) == want
+
+
+@pytest.mark.parametrize("name", ["op11_periodic_runs", "op13_conversation_repair"])
+def test_queries_are_their_sql(spark, name):
+    d = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{d}/{t}.parquet'")
+    r = con.execute(queries.oracle_sql()[name])
+    cols = [x[0] for x in r.description]
+    df = queries.queries()[name](spark, d)
+    assert sorted(df.columns) == sorted(cols)
+    assert sorted(tuple(x[c] for c in cols) for x in df.collect()) == sorted(r.fetchall())
