@@ -244,6 +244,12 @@ def ancestors(spark, d):
     return graph.ancestors(view(spark, d, "edges"))
 
 
+@query(f"WITH RECURSIVE {_CLOSURE} SELECT DISTINCT e.plan_id, e.unit_id, e.pred_id FROM {{edges}} e JOIN closure c ON c.plan_id = e.plan_id AND c.unit_id = e.pred_id AND c.ancestor = e.unit_id")
+def cyclic_edges(spark, d):
+    e = view(spark, d, "edges").select("plan_id", "unit_id", "pred_id")
+    return graph.cyclic_edges(e.where("unit_id % 2 = 0"), e).distinct()
+
+
 _DURATION = "CASE WHEN duration_s IS NOT NULL THEN greatest(0.001, duration_s + 0.5) ELSE CASE kind WHEN 'read' THEN 0.25 WHEN 'test' THEN 2.0 WHEN 'build' THEN 3.0 WHEN 'network' THEN 1.0 WHEN 'opaque' THEN 1.5 ELSE 1.0 END + 0.5 END"
 
 
@@ -471,6 +477,19 @@ def snapshot_drift(spark, d):
     return evidence.snapshot_drift(view(spark, d, "snapshots_expected"), view(spark, d, "snapshots_current"))
 
 
+@query("""
+    WITH h AS (SELECT max(event_id) AS head FROM {events}),
+    x AS (SELECT event_id, head, max(CASE WHEN event_type IN ('click', 'error') THEN event_id END) OVER later AS touched, max(CASE WHEN event_type = 'error' AND event_id % 97 = 3 THEN event_id END) OVER later AS other
+        FROM {events}, h WINDOW later AS (ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+    SELECT event_id AS run_id, event_id = head OR (touched IS NOT NULL AND other IS NULL) AS valid FROM x""")
+def evidence_validity(spark, d):
+    """Events as a straight history of commits, of which clicks change the docs and errors now and then something else."""
+    e = view(spark, d, "events").selectExpr("cast(event_id as string) as commit", "cast(event_id - 1 as string) as parent", "event_id", "event_type")
+    head = str(e.agg(F.max("event_id")).first()[0])
+    changes = e.where("event_type in ('click', 'error')").selectExpr("commit", "case when event_type = 'error' and event_id % 97 = 3 then 'src/x' else 'docs/y' end as path")
+    return evidence.evidence_still_valid(e.select(F.col("event_id").alias("run_id"), "commit"), e.where("event_id > 0").select("commit", "parent"), changes, head)
+
+
 @query("""
     SELECT path, span_id, hotspot_id, round(wall_s, 6) AS wall_s FROM (
         SELECT s.path, s.span_id, h.hotspot_id, h.wall_s, row_number() OVER (PARTITION BY s.path, s.span_id ORDER BY h.wall_s DESC, h.line, h.hotspot_id) AS r
@@ -936,6 +955,18 @@ def weighted_share(spark, d):
     return hosts.weighted_share(view(spark, d, "shares")).withColumn("share", F.round("share", 5))
 
 
+_DETECTORS = [("rings", "ECONOMY", "ring$"), ("rings", "STANDARD", "rings?"), ("reds", "ECONOMY", "^red "), ("reds", "PROMO", "RED"), ("any", "PROMO", ".*"), ("steel", "STANDARD", "steel|cold"), ("steel", "ECONOMY", "(blue|small) w.dget"), ("none", "SMALL", "zzz")]
+
+
+@query(f"""
+    WITH d(scenario, source, pattern) AS (VALUES {", ".join(map(repr, _DETECTORS))}),
+    x AS (SELECT DISTINCT p_brand AS project, scenario, source, p_name AS value FROM {{part}} JOIN d ON source = p_type AND regexp_matches(p_name, pattern, 'i'))
+    SELECT project, scenario, source, value FROM (SELECT *, row_number() OVER (PARTITION BY project, scenario, source ORDER BY value) AS r FROM x) y WHERE r <= 5""")
+def detector_hits(spark, d):
+    e = view(spark, d, "part").selectExpr("p_brand AS project", "p_type AS source", "p_name AS value")
+    return hosts.detector_hits(e, spark.createDataFrame(_DETECTORS, "scenario string, source string, pattern string"))
+
+
 _WEIGHTS = {"1": 0.16, "2": 0.18, "3": 0.20, "4": 0.20, "5": 0.22}
 
 
