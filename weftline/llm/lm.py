@@ -49,12 +49,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import MOST_BITS, bit_filter, filter_bits, hashed_texts, maybe, mix, own_columns, written
+from weftline.llm.common import MOST_BITS, bit_filter, filter_bits, hashed_texts, maybe, mix, own_columns, pieces, written
 
 #: weight of order two, unseen mass of orders one and two
 WEIGHT, UNSEEN, MASS = 0.6, 0.5, 20.0
 #: share of a gram that is sent to all tasks; tokens of a block of questions; grams that a task holds; bytes of text of a part
-HOT_BITS, BLOCK_TOKENS, HELD, PART_BYTES, LEAST_PARTS = 18, 1 << 18, 1_500_000, 1 << 24, 256
+HOT_BITS, BLOCK_TOKENS, HELD, PART_BYTES, LEAST_PARTS = 18, 1 << 18, 1_000_000, 1 << 24, 256
 #: reduce tasks, at any size
 MOST_TASKS = 4096
 #: in the number of a row's grams, the bit that says that the row is of the target
@@ -122,7 +122,7 @@ def _counts(texts: DataFrame, kind: int, parts: int) -> DataFrame:
             for i in range(0, len(rows), 1024):
                 yield _messages(rows[i : i + 1024])
 
-        for batch in batches:
+        for batch in pieces(batches):
             for _, _, words, pairs, _ in _grams(batch.column("text").to_pylist()):
                 if len(words):
                     held.append(np.unique(np.concatenate((words, pairs)), return_counts=True))
@@ -151,7 +151,7 @@ def _model(counts: DataFrame, parts: int) -> DataFrame:
             values = [key, int(many.sum()), int(word.sum()), int(n[word].sum()), int(t[word].sum()), _packed(np.diff(gram[many], prepend=np.uint64(0))), _packed(n[many]), _packed(t[many])]
             return pa.RecordBatch.from_pydict({k: pa.array([v], kind) for k, v, kind in zip(("key", "size", "words", "n", "t", "a", "b", "c"), values, [pa.int32(), *[pa.int64()] * 4, *[pa.binary()] * 3])})
 
-        for batch in batches:
+        for batch in pieces(batches):
             for k, kind, a, b in zip(*(batch.column(x).to_pylist() for x in ("key", "kind", "a", "b"))):
                 if k != key and held:
                     yield emit()
@@ -269,7 +269,7 @@ def _asked(rows: DataFrame, hot, table, losses: _Losses, parts: int) -> DataFram
         return _messages(out)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             ids, doc, held = batch.column("row").to_numpy(zero_copy_only=False), batch.column("doc_id"), []
             target = batch.column("of_target").to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi, words, pairs, text in _grams(batch.column("text").to_pylist()):
@@ -289,7 +289,7 @@ def _answered(messages: DataFrame, losses: _Losses, parts: int) -> DataFrame:
 
     def run(batches):
         key, known = None, none_known
-        for batch in batches:
+        for batch in pieces(batches):
             out: list[tuple] = []
             for k, kind, a, b, c, d in zip(*(batch.column(x).to_pylist() for x in ("key", "kind", "a", "b", "c", "d"))):
                 if k != key:
