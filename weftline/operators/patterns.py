@@ -13,7 +13,6 @@ import re._parser as parser
 from collections import defaultdict
 from collections.abc import Iterable
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,6 +69,8 @@ class Patterns:
     """Numbered regular expressions, those that match a text found in one pass."""
 
     def __init__(self, patterns: dict[int, str]):
+        import ahocorasick  # on executors; the library loads without it
+
         self.compiled, self.always = {}, []
         words = defaultdict(list)
         for i, p in patterns.items():
