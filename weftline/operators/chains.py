@@ -67,7 +67,7 @@ class _Found:
 
 def contract(nodes: DataFrame, links: DataFrame, sums: tuple[str, ...] = ()) -> Chains:
     """``nodes``: plan_id, unit_id (distinct) and a number for each of ``sums``; ``links``: distinct, between nodes."""
-    links = cut(links.select(*KEY, "pred_id"))
+    nodes, links = cut(nodes.select(*KEY, *sums)), cut(links.select(*KEY, "pred_id"))
     lone = links.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("pred_id").alias("pred_id")).where("n = 1").drop("n")
     only = links.groupBy("plan_id", "pred_id").agg(F.count("*").alias("n")).where("n = 1").drop("n")
     inner = cut(lone.join(only, ["plan_id", "pred_id"], "left_semi").select(*KEY, "pred_id"))
@@ -76,14 +76,18 @@ def contract(nodes: DataFrame, links: DataFrame, sums: tuple[str, ...] = ()) ->
     begun = chain.select(*KEY, "at", F.lit(1).cast("long").alias("hops"), *sums, F.col("unit_id").alias("ring"), F.coalesce("here", F.lit(True)).alias("done"))
     chain, left = cut_counting(begun, ~F.col("done"))
     done, active = [chain.where("done")], chain.where("not done")
-    for _ in range(left.bit_length() + 1):
-        if not left:
-            break
+    jumps = 0
+    while left:
+        before, jumps = left, jumps + 1
         ahead = _union([*done, active]).select("plan_id", F.col("unit_id").alias("at"), F.col("at").alias("at_2"), *[F.col(c).alias(f"{c}_2") for c in ("hops", *sums, "ring", "done")])
         plus = [(F.col(c) + F.col(f"{c}_2")).alias(c) for c in ("hops", *sums)]
         active, left = cut_counting(active.join(ahead, ["plan_id", "at"]).select(*KEY, F.col("at_2").alias("at"), *plus, F.least("ring", "ring_2").alias("ring"), F.col("done_2").alias("done")), ~F.col("done"))
         done.append(active.where("done"))
         active = active.where("not done")
+        # as long as a chain is not ranked some of its units come to its head each round; the rest is rings, looked over once
+        # the jumps are as long as all of them
+        if left == before and 1 << jumps >= left:
+            break
     cols = ["hops", *sums]
     none = F.lit(None)
     kind = nodes.schema["unit_id"].dataType
@@ -136,7 +140,7 @@ def longest(nodes: DataFrame, links: DataFrame, sums: tuple[str, ...]) -> DataFr
 
 def reachable(seeds: DataFrame, links: DataFrame) -> DataFrame:
     """(plan_id, unit_id) of the seeds and of all that follow them."""
-    seeds = cut(seeds.select(*KEY).distinct())
+    seeds, links = cut(seeds.select(*KEY).distinct()), cut(links)
     chains = contract(ends_of(links), links)
     placed = chains.placed
     at = seeds.join(placed, KEY)
@@ -172,6 +176,7 @@ def components(links: DataFrame) -> DataFrame:
     cycle; the rest is coloured by the largest unit that leads to each, and of each colour what leads back to that
     unit is a part, until nothing is left.
     """
+    links = cut(links)
     chains = contract(ends_of(links), links)
     placed = chains.placed
     rings = placed.where("ring is not null").select(*KEY, F.col("ring").alias("component"))
@@ -241,7 +246,7 @@ def order_of(pairs: DataFrame, links: DataFrame, labels: int = 3) -> DataFrame:
     interval is not inside its own. Only pairs that levels and intervals leave open are searched, back from
     the second, and only through nodes that they leave open as well.
     """
-    pairs = cut(pairs.select("plan_id", "first", "second").distinct())
+    pairs, links = cut(pairs.select("plan_id", "first", "second").distinct()), cut(links)
     cycles = cut(components(links).select(*KEY, "component"))
 
     def as_one(rows: DataFrame, column: str, name: str, ring: str | None = None) -> DataFrame:
