@@ -74,7 +74,7 @@ def test_paths_and_globs(spark):
 def test_traits_and_tools(spark):
     t = rules.command_traits(F.col("c"))
     got = spark.createDataFrame([("git commit -m x",), ("ls",), ("npm install",)], "c string").select(t["side_effect"].alias("s"), t["resources"].alias("r")).collect()
-    assert [(r["s"], r["r"]) for r in got] == [(True, ["git"]), (False, []), (True, ["dependencies"])]
+    assert [(r["s"], r["r"]) for r in got] == [(True, ["git:index", "git:refs"]), (False, []), (True, ["dependencies"])]
     names = rules.tool_names(F.lit("custom_tool_call"), F.lit("exec"), F.lit(None).cast("string"), F.lit("tools.read(1); tools.write (2)"))
     assert spark.range(1).select(names.alias("n")).first()["n"] == ["read", "write"]
 
