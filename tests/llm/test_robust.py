@@ -328,3 +328,12 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert plain(out, ["doc_id", "start", "length", "ids_crc32"]) == plain(docs, ["doc_id", "start", "length", "ids_crc32"])
     assert os.path.isdir(f"{tmp_path}/packing")
+
+
+def test_pipeline_drops_what_simhash_links(spark):
+    """Two texts that repeat one phrase differ in no bit to speak of, though most of their distinct shingles do."""
+    phrase = " ".join(f"w{i}" for i in range(21))
+    texts = [(i, " ".join([phrase] * 60 + [f"{tag}{j}" for j in range(60)])) for i, tag in ((1, "x"), (2, "y"))] + [(3, " ".join(f"z{j}" for j in range(300)))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, docs, "").collect()) == [1, 3]
+    assert simhash_jaccard.keep_one(docs).count() == 3

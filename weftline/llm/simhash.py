@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import mix, own_columns, without, written
+from weftline.llm.common import mix, own_columns, pieces, without, written
 from weftline.llm.components import components
 
 SEED, WIDTH = 42, 3
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, fp): fp is the fingerprint as a signed long."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches):
             fp = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
             yield pa.RecordBatch.from_pydict({"id": batch.column("id"), "fp": fp.view(np.int64)})
 
