@@ -203,3 +203,38 @@ def test_spellings_of_a_path_meet(spark):
     a = spark.createDataFrame([(*r, False) for r in rows], "plan_id string, unit_id int, resource string, mode string, commutative boolean")
     met = conflicts.nested_conflicts(a.withColumn("resource", rules.normal_path(F.col("resource"))))
     assert sorted((r["first"], r["second"]) for r in met.collect()) == [(1, 2), (4, 5)]
+
+
+def test_small_plans_are_closed_whole(spark, monkeypatch):
+    """Plans of few links take no rounds: a handful of intermediate tables, however many plans there are."""
+    edges = spark.createDataFrame([(p, u, u // 2) for p in range(40) for u in range(2, 9)] + [(p, 1, 4) for p in range(0, 40, 10)], "plan_id int, unit_id int, pred_id int")
+    pairs = spark.createDataFrame([(p, a, b) for p in range(40) for a, b in ((1, 8), (3, 8), (6, 3))], "plan_id int, first int, second int")
+    made = []
+    monkeypatch.setattr(chains, "cut", lambda df, real=chains.cut: made.append(1) or real(df))
+    monkeypatch.setattr(chains, "cut_counting", lambda df, which=None, real=chains.cut_counting: made.append(1) or real(df, which))
+    got = {(r["plan_id"], r["first"], r["second"]): (r["forward"], r["backward"]) for r in chains.order_of(pairs, edges).collect()}
+    assert len(made) <= 3
+    for p in range(40):
+        assert got[p, 1, 8] == (True, p % 10 == 0) and got[p, 3, 8] == (False, False) or p % 10 == 0
+        assert got[p, 6, 3] == (False, True)
+
+
+def test_ranges_of_a_chain_are_ranked_alone(spark, monkeypatch):
+    """Where ids follow the links, what looks further are the entries of ranges: no round carries all units."""
+    links = spark.createDataFrame([(0, i + 1, i) for i in range(300)] + [(1, i, (i + 7) % 50) for i in range(50)], "plan_id int, unit_id int, pred_id int")
+    carried, real = [], chains._further
+    monkeypatch.setattr(chains, "_further", lambda rows, ahead, sums: carried.append(rows.count()) or real(rows, ahead, sums))
+    nodes = chains.ends_of(links).withColumn("n", F.lit(1))
+    placed = {(r["plan_id"], r["unit_id"]): r for r in chains.contract(nodes, links, ("n",), parts=4).placed.collect()}
+    assert all((placed[0, i]["head"], placed[0, i]["hops"], placed[0, i]["n"]) == (0, i, i) for i in range(301))
+    assert all((placed[1, i]["head"], placed[1, i]["ring"]) == (None, 0) for i in range(50))
+    assert max(c for c in carried[:-1]) <= 60
+
+
+def test_large_plans_by_chains(spark, tables, plans, monkeypatch):
+    monkeypatch.setattr(chains, "SMALL", 8)
+    monkeypatch.setattr(chains, "RANGE", 40)
+    pairs = [(p, a, b) for p, (units, _) in list(plans.items())[:12] for a in units for b in units]
+    got = {(r["plan_id"], r["first"], r["second"]): (r["forward"], r["backward"]) for r in chains.order_of(spark.createDataFrame(pairs, "plan_id int, first int, second int"), chains.links_of(tables[1])).collect()}
+    far = {p: closure(links) for p, (_, links) in plans.items()}
+    assert got == {(p, a, b): ((b, a) in far[p], (a, b) in far[p]) for p, a, b in pairs}

@@ -1,5 +1,8 @@
 """Graphs without their closure: chains are contracted, what is left is walked by its frontier.
 
+Only plans of up to ``SMALL`` links are closed, each in one row. Chains are first ranked inside ranges of their units, so that
+where ids follow the links as few units as ranges have entries look further.
+
 A link (plan_id, unit_id, pred_id) says that the unit follows its predecessor. Links from the only predecessor of
 a unit that is this one's only successor form chains. Chains are ranked by pointer jumping: every unit looks ahead
 twice as far each round, so a chain of n units takes log n rounds; what never comes to an end is a ring. The graph
@@ -13,6 +16,9 @@ from collections.abc import Iterable
 from functools import reduce
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +28,8 @@ KEY = ["plan_id", "unit_id"]
 MOST_ROUNDS = 10_000
 #: rounds after which what was found is written together
 TOGETHER = 24
+#: links of a plan that is closed whole, in one row; units of a range of a chain that are ranked in one task
+SMALL, RANGE = 64, 500_000
 
 
 class Chains(NamedTuple):
@@ -50,6 +58,49 @@ def _union(parts: Iterable[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def by_size(links: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``links`` (written, distinct) of plans of at most ``SMALL`` links, and of larger plans where there are any."""
+    large, n = cut_counting(links.groupBy("plan_id").agg(F.count("*").alias("n")).where(F.col("n") > SMALL).select("plan_id"))
+    return (links.join(large, "plan_id", "left_anti"), links.join(large, "plan_id", "left_semi")) if n else (links, None)
+
+
+def _closed(units: list, preds: list) -> dict:
+    """All that each unit of a small plan follows; itself too in a cycle."""
+    above: dict = {}
+    for u, p in zip(units, preds):
+        above.setdefault(u, set()).add(p)
+    more = True
+    while more:
+        more = False
+        for u, s in above.items():
+            far = s.union(*(above[p] for p in s if p in above))
+            if len(far) > len(s):
+                above[u], more = far, True
+    return above
+
+
+def _closure_rows(units: list, preds: list) -> list[tuple]:
+    return [(u, a) for u, s in _closed(units, preds).items() for a in s]
+
+
+def _component_rows(units: list, preds: list) -> list[tuple]:
+    above = _closed(units, preds)
+    return [(u, min(a for a in s if a in above and u in above[a])) for u, s in above.items() if u in s]
+
+
+def _whole(small: DataFrame, rows, name: str) -> DataFrame:
+    """(plan_id, unit_id, ``name``): what ``rows`` gives for all links of each small plan."""
+    kind = small.schema["unit_id"].dataType.simpleString()
+    found = F.udf(rows, f"array<struct<unit_id:{kind},{name}:{kind}>>")
+    plans = small.groupBy("plan_id").agg(F.collect_list(F.struct("unit_id", "pred_id")).alias("l"))
+    return plans.select("plan_id", F.explode(found("l.unit_id", "l.pred_id")).alias("r")).select("plan_id", "r.*")
+
+
+def small_closure(small: DataFrame) -> DataFrame:
+    """(plan_id, unit_id, ancestor) of small plans; (u, u) where u is in a cycle."""
+    return _whole(small, _closure_rows, "ancestor")
+
+
 class _Found:
     """Rows found round by round, written together now and then."""
 
@@ -65,8 +116,45 @@ class _Found:
         return _union(self.parts)
 
 
-def contract(nodes: DataFrame, links: DataFrame, sums: tuple[str, ...] = ()) -> Chains:
-    """``nodes``: plan_id, unit_id (distinct) and a number for each of ``sums``; ``links``: distinct, between nodes."""
+def _further(rows: DataFrame, ahead: DataFrame, sums: tuple[str, ...]) -> DataFrame:
+    """``rows`` that look on to where the unit they look at looks."""
+    ahead = ahead.select("plan_id", F.col("unit_id").alias("at"), F.col("at").alias("at_2"), *[F.col(c).alias(f"{c}_2") for c in ("hops", *sums, "ring", "done")])
+    plus = [(F.col(c) + F.col(f"{c}_2")).alias(c) for c in ("hops", *sums)]
+    return rows.join(ahead, ["plan_id", "at"]).select(*KEY, F.col("at_2").alias("at"), *plus, F.least("ring", "ring_2").alias("ring"), F.col("done_2").alias("done"))
+
+
+def _in_ranges(begun: DataFrame, sums: tuple[str, ...], parts: int) -> DataFrame:
+    """``begun``, every unit looking as far ahead as the units of its range of (plan_id, unit_id) lead; pointers are
+    jumped inside each range. A ring inside one looks at itself."""
+    names = begun.columns
+
+    def run(batches):
+        t = pa.Table.from_batches(list(batches))
+        if not t.num_rows:
+            return
+        n, d = t.num_rows, {c: t.column(c).to_pandas().to_numpy() for c in names}
+        plan, unit = pd.factorize(d["plan_id"])[0].astype(np.int64), pd.factorize(np.concatenate([d["unit_id"], d["at"]]))[0].astype(np.int64)
+        key, wide = plan * (2 * n) + unit[:n], plan * (2 * n) + unit[n:]
+        ahead = np.where(d["done"], -1, pd.Index(key).get_indexer(wide))
+        for _ in range(n.bit_length() + 1):
+            i = np.flatnonzero(ahead >= 0)
+            if not len(i):
+                break
+            j = ahead[i]
+            new = {c: d[c][i] + d[c][j] for c in ("hops", *sums)} | {c: d[c][j] for c in ("at", "done")} | {"ring": np.where(d["ring"][j] < d["ring"][i], d["ring"][j], d["ring"][i])}
+            for c, v in new.items():
+                d[c] = d[c].copy() if not d[c].flags.writeable else d[c]
+                d[c][i] = v
+            ahead[i] = ahead[j]
+        yield from pa.Table.from_pydict({c: pa.array(d[c], t.schema.field(c).type) for c in names}).to_batches(65_536)
+
+    ranged = begun.coalesce(1) if parts == 1 else begun.repartitionByRange(parts, *KEY)
+    return ranged.mapInArrow(run, begun.schema)
+
+
+def contract(nodes: DataFrame, links: DataFrame, sums: tuple[str, ...] = (), parts: int | None = None) -> Chains:
+    """``nodes``: plan_id, unit_id (distinct) and a number for each of ``sums``; ``links``: distinct, between nodes.
+    ``parts``: ranges whose chains are ranked in a task each before ranges are; by default of ``RANGE`` links."""
     nodes, links = cut(nodes.select(*KEY, *sums)), cut(links.select(*KEY, "pred_id"))
     lone = links.groupBy(*KEY).agg(F.count("*").alias("n"), F.min("pred_id").alias("pred_id")).where("n = 1").drop("n")
     only = links.groupBy("plan_id", "pred_id").agg(F.count("*").alias("n")).where("n = 1").drop("n")
@@ -74,20 +162,28 @@ def contract(nodes: DataFrame, links: DataFrame, sums: tuple[str, ...] = ()) ->
     beyond = inner.select("plan_id", F.col("unit_id").alias("at"), F.lit(False).alias("here"))
     chain = inner.join(nodes, KEY).withColumnRenamed("pred_id", "at").join(beyond, ["plan_id", "at"], "left")
     begun = chain.select(*KEY, "at", F.lit(1).cast("long").alias("hops"), *sums, F.col("unit_id").alias("ring"), F.coalesce("here", F.lit(True)).alias("done"))
-    chain, left = cut_counting(begun, ~F.col("done"))
+    begun, n = cut_counting(begun)
+    near, left = cut_counting(_in_ranges(begun, sums, n // RANGE + 1 if parts is None else parts), ~F.col("done"))
+    # what leads out of its range leads to an entry of another one: only entries look further ahead, the rest looks at them
+    entries = cut(near.where("not done").select("plan_id", F.col("at").alias("unit_id")).distinct()) if left else None
+    chain, left = cut_counting(near.join(entries, KEY, "left_semi"), ~F.col("done")) if left else (near.where("false"), 0)
     done, active = [chain.where("done")], chain.where("not done")
     jumps = 0
     while left:
         before, jumps = left, jumps + 1
-        ahead = _union([*done, active]).select("plan_id", F.col("unit_id").alias("at"), F.col("at").alias("at_2"), *[F.col(c).alias(f"{c}_2") for c in ("hops", *sums, "ring", "done")])
-        plus = [(F.col(c) + F.col(f"{c}_2")).alias(c) for c in ("hops", *sums)]
-        active, left = cut_counting(active.join(ahead, ["plan_id", "at"]).select(*KEY, F.col("at_2").alias("at"), *plus, F.least("ring", "ring_2").alias("ring"), F.col("done_2").alias("done")), ~F.col("done"))
+        active, left = cut_counting(_further(active, _union([*done, active]), sums), ~F.col("done"))
         done.append(active.where("done"))
         active = active.where("not done")
         # as long as a chain is not ranked some of its units come to its head each round; the rest is rings, looked over once
         # the jumps are as long as all of them
         if left == before and 1 << jumps >= left:
             break
+    if entries is None:
+        done = [near]
+    else:
+        others = near.join(entries, KEY, "left_anti")
+        far = cut(_further(others.where("not done"), _union([*done, active]), sums))
+        done, active = [*done, others.where("done"), far.where("done")], active.unionByName(far.where("not done"))
     cols = ["hops", *sums]
     none = F.lit(None)
     kind = nodes.schema["unit_id"].dataType
@@ -176,6 +272,12 @@ def components(links: DataFrame) -> DataFrame:
     cycle; the rest is coloured by the largest unit that leads to each, and of each colour what leads back to that
     unit is a part, until nothing is left.
     """
+    small, links = by_size(cut(links))
+    near = _whole(small, _component_rows, "component")
+    return near if links is None else near.unionByName(_large_components(links))
+
+
+def _large_components(links: DataFrame) -> DataFrame:
     links = cut(links)
     chains = contract(ends_of(links), links)
     placed = chains.placed
@@ -246,7 +348,29 @@ def order_of(pairs: DataFrame, links: DataFrame, labels: int = 3) -> DataFrame:
     interval is not inside its own. Only pairs that levels and intervals leave open are searched, back from
     the second, and only through nodes that they leave open as well.
     """
-    pairs, links = cut(pairs.select("plan_id", "first", "second").distinct()), cut(links)
+    pairs = cut(pairs.select("plan_id", "first", "second").distinct())
+    links = cut(links.join(pairs.select("plan_id").distinct(), "plan_id", "left_semi"))
+    small, large = by_size(links)
+    if large is None:
+        return _order_in_small(pairs, small)
+    plans = cut(large.select("plan_id").distinct())
+    near = _order_in_small(pairs.join(plans, "plan_id", "left_anti"), small)
+    return near.unionByName(_order_in_large(pairs.join(plans, "plan_id", "left_semi"), large, labels))
+
+
+def _order_in_small(pairs: DataFrame, small: DataFrame) -> DataFrame:
+    """``order_of`` pairs by the closure of their plans."""
+    ends = lambda a, b: [F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")]
+    c = small_closure(small).select("plan_id", *ends("unit_id", "ancestor"), (F.col("unit_id") >= F.col("ancestor")).alias("up"), (F.col("unit_id") <= F.col("ancestor")).alias("down"))
+    known = c.groupBy("plan_id", "lo", "hi").agg(F.max("up").alias("up"), F.max("down").alias("down"))
+    met = pairs.select("*", *ends("first", "second")).join(known, ["plan_id", "lo", "hi"], "left")
+    ahead = F.col("first") <= F.col("second")
+    pick = lambda a, b: F.coalesce(F.when(ahead, F.col(a)).otherwise(F.col(b)), F.lit(False))
+    return met.select("plan_id", "first", "second", pick("up", "down").alias("forward"), pick("down", "up").alias("backward"))
+
+
+def _order_in_large(pairs: DataFrame, links: DataFrame, labels: int) -> DataFrame:
+    pairs, links = cut(pairs), cut(links)
     cycles = cut(components(links).select(*KEY, "component"))
 
     def as_one(rows: DataFrame, column: str, name: str, ring: str | None = None) -> DataFrame:

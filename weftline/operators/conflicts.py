@@ -142,6 +142,7 @@ def exclusive_conflicts(units: DataFrame, exclusive: Column) -> DataFrame:
 
 def with_order(pairs: DataFrame, edges: DataFrame) -> DataFrame:
     """Adds ``ordered``: one of the pair follows the other. Only these pairs are looked up; no closure is made."""
+    pairs = cut(pairs)
     o = chains.order_of(pairs, chains.links_of(edges)).withColumn("ordered", F.col("forward") | F.col("backward")).drop("forward", "backward")
     return pairs.join(o, ["plan_id", "first", "second"])
 
@@ -171,7 +172,7 @@ def data_edges(accesses: DataFrame) -> DataFrame:
 
 def contradictions(candidates: DataFrame, edges: DataFrame) -> DataFrame:
     """(plan_id, producer, consumer, both_ways, against_order, already_ordered) of data edges."""
-    pair = candidates.select("plan_id", "producer", "consumer")
+    pair = cut(candidates.select("plan_id", "producer", "consumer"))
     back = pair.select("plan_id", F.col("producer").alias("consumer"), F.col("consumer").alias("producer"), F.lit(True).alias("both_ways"))
     order = chains.order_of(pair.toDF("plan_id", "first", "second"), chains.links_of(edges)).toDF("plan_id", "producer", "consumer", "already_ordered", "against_order")
     out = pair.join(back, ["plan_id", "producer", "consumer"], "left").join(order, ["plan_id", "producer", "consumer"])

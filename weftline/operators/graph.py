@@ -50,10 +50,18 @@ def level_order(unit_levels: DataFrame, paths: DataFrame) -> DataFrame:
 def ancestors(edges: DataFrame) -> DataFrame:
     """(plan_id, unit_id, ancestor): all predecessors; (u, u) where u is in a cycle.
 
-    By doubling, and only pairs found last are carried on: a shortest way of l steps, with
+    Small plans are closed whole. Others by doubling, and only pairs found last are carried on: a shortest way of l steps, with
     L < l <= 2 L, starts with one of L steps, which was found last, and ends with a known one.
     """
-    fresh = now = cut(edges.select("plan_id", "unit_id", F.col("pred_id").alias("ancestor")).distinct())
+    every = cut(edges.select("plan_id", "unit_id", F.col("pred_id").alias("ancestor")).distinct())
+    known = F.col("plan_id").isNotNull() & F.col("unit_id").isNotNull() & F.col("ancestor").isNotNull()
+    small, large = chains.by_size(every.where(known).withColumnRenamed("ancestor", "pred_id"))
+    near = chains.small_closure(small).unionByName(every.where(~known))
+    return near if large is None else near.unionByName(_doubled(large))
+
+
+def _doubled(links: DataFrame) -> DataFrame:
+    fresh = now = cut(links.select("plan_id", "unit_id", F.col("pred_id").alias("ancestor")))
     for _ in range(64):
         x = fresh.select("plan_id", F.col("unit_id").alias("low"), F.col("ancestor").alias("mid"))
         far = x.join(now.select("plan_id", F.col("unit_id").alias("mid"), F.col("ancestor").alias("high")), ["plan_id", "mid"]).select("plan_id", "low", "high").distinct()
