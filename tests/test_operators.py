@@ -183,3 +183,11 @@ def test_evidence_with_nulls_does_not_pass(spark):
     results = spark.createDataFrame([(1, 1, "succeeded"), (2, 1, "succeeded"), (3, 1, "succeeded"), (3, 2, "succeeded")], "run_id int, suite_id int, status string")
     r = spark.createDataFrame([(i, 0, 1) for i in (1, 2, 3, 4)], "run_id int, native_pools int, peak int")
     assert rows(evidence.serial_baselines(r, summary, results), "run_id", "eligible") == [(1, True), (2, False), (3, False), (4, False)]
+
+
+def test_views_are_dealt_by_the_size_of_files(spark, monkeypatch):
+    from weftline.plans import views
+
+    monkeypatch.setattr(views, "PART_BYTES", 8_000)
+    for name in ("accesses", "claims"):
+        assert views.view(spark, "/root/testdata/sf0.001", name).select(F.spark_partition_id()).distinct().count() > 8

@@ -185,10 +185,26 @@ def _needs(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", sql)))
 
 
+#: bytes of the files of lineitem and orders that a task joins, and the key they are dealt by
+PART_BYTES, BY_ORDER = 4 << 20, {"lineitem": "l_orderkey", "orders": "o_orderkey"}
+
+
+def _size(df: DataFrame) -> int:
+    spark = df.sparkSession
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in df.inputFiles()]
+    return sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in paths)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table or a view of them. Where lines meet their orders, both are dealt by order into as many parts as their
+    files ask for, so that a task holds as much of a large table as of a small one; what is grouped by unit stays there."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(VIEWS[name], **{n: view(spark, sf_dir, n) for n in _needs(VIEWS[name])})
+    needs = {n: view(spark, sf_dir, n) for n in _needs(VIEWS[name])}
+    if set(BY_ORDER) <= set(needs):
+        parts = sum(_size(needs[n]) for n in BY_ORDER) // PART_BYTES + 1
+        needs |= {n: needs[n].repartition(parts, key) for n, key in BY_ORDER.items()}
+    return spark.sql(VIEWS[name], **needs)
 
 
 def with_views(sql: str, recursive: bool = False) -> str:
