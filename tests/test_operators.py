@@ -189,5 +189,5 @@ def test_views_are_dealt_by_the_size_of_files(spark, monkeypatch):
     from weftline.plans import views
 
     monkeypatch.setattr(views, "PART_BYTES", 8_000)
-    for name in ("accesses", "claims"):
+    for name in ("accesses", "claims", "task_results"):
         assert views.view(spark, "/root/testdata/sf0.001", name).select(F.spark_partition_id()).distinct().count() > 8

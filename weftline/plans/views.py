@@ -196,14 +196,15 @@ def _size(df: DataFrame) -> int:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table or a view of them. Where lines meet their orders, both are dealt by order into as many parts as their
-    files ask for, so that a task holds as much of a large table as of a small one; what is grouped by unit stays there."""
+    """A given table or a view of them. Where lines meet their orders or are numbered in them, they are dealt by order into as many parts
+    as their files ask for, so that a task holds as much of a large table as of a small one; what is grouped by unit stays there."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     needs = {n: view(spark, sf_dir, n) for n in _needs(VIEWS[name])}
-    if set(BY_ORDER) <= set(needs):
-        parts = sum(_size(needs[n]) for n in BY_ORDER) // PART_BYTES + 1
-        needs |= {n: needs[n].repartition(parts, key) for n, key in BY_ORDER.items()}
+    dealt = BY_ORDER.keys() & needs.keys()
+    if len(dealt) == 2 or name == "task_results":
+        parts = sum(_size(needs[n]) for n in dealt) // PART_BYTES + 1
+        needs |= {n: needs[n].repartition(parts, BY_ORDER[n]) for n in dealt}
     return spark.sql(VIEWS[name], **needs)
 
 
