@@ -337,3 +337,24 @@ def test_pipeline_drops_what_simhash_links(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, docs, "").collect()) == [1, 3]
     assert simhash_jaccard.keep_one(docs).count() == 3
+
+
+def _plans(module, monkeypatch):
+    """The plans of the intermediate tables that a module writes, by label."""
+    plans, write = {}, module.written
+
+    def spy(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return write(df, label)
+
+    monkeypatch.setattr(module, "written", spy)
+    return plans
+
+
+def test_line_places_are_not_shuffled_to_be_distinct(spark, monkeypatch):
+    text = "One here.\nTwo here.\nThree here.\nFour here.\n"
+    rows = [(1, text), (1, text), (None, text), (2, text + text), (2, text + text), (None, text), (3, "Five.\nSix.\nSeven.\n"), (3, "Five.\nSix.\nSeven.\n")]
+    plans = _plans(lines, monkeypatch)
+    got = sorted((str(r["doc_id"]), r["text"]) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([("1", text)] * 2 + [("2", "")] * 2 + [("None", "")] * 2 + [("3", "Five.\nSix.\nSeven.\n")] * 2)
+    assert "Exchange" not in plans["lines-places"]

@@ -185,7 +185,8 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
             rows = pa.array(row)
             yield pa.RecordBatch.from_pydict({"h": h[at], "g": g[at], "id": batch.column("id").take(rows), "text_key": batch.column("text_key").take(rows), "place": (at - (ends - ends[0])[row]).astype(np.int32)})
 
-    found = written(held.mapInArrow(places, "h long, g int, id long, text_key long, place int").distinct(), "lines-places")
+    # rows of documents that repeat id and text stay in: they cover what the first of them covers, and making them distinct would shuffle all
+    found = written(held.mapInArrow(places, "h long, g int, id long, text_key long, place int"), "lines-places")
     # nulls last: (is null, id) orders them so
     key = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_key", "place")
     first = found.groupBy("h", "g").agg(F.min(key).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "g", "first")
