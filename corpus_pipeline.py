@@ -24,7 +24,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Copies that SimHash links are taken out first; of what is left those of an exact Jaccard similarity of 0.8, which may differ in more bits."""
-    return simhash_jaccard.keep_one(simhash.keep_one(docs))
+    copies = common.written(simhash.copies(docs), "pipeline-copies")
+    return simhash_jaccard.keep_one(docs, gone=copies)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

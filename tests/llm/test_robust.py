@@ -358,3 +358,17 @@ def test_line_places_are_not_shuffled_to_be_distinct(spark, monkeypatch):
     got = sorted((str(r["doc_id"]), r["text"]) for r in lines.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == sorted([("1", text)] * 2 + [("2", "")] * 2 + [("None", "")] * 2 + [("3", "Five.\nSix.\nSeven.\n")] * 2)
     assert "Exchange" not in plans["lines-places"]
+
+
+def test_document_dedup_filters_ids_not_texts(spark, odd, monkeypatch):
+    """The same documents as one dedup after the other; tasks that sketch texts run no second Python worker for a filter."""
+    base = [f"w{i}" for i in range(300)]
+    near = [" ".join(base[:k] + ["x"] * n + base[k:]) for k, n in ((0, 0), (150, 1), (299, 1), (20, 9), (0, 0))]
+    more = spark.createDataFrame([(100 + i, t) for i, t in enumerate(near)], "doc_id long, text string")
+    plans = _plans(simhash_jaccard, monkeypatch)
+    for docs in (odd.select("doc_id", "text"), more):
+        want = simhash_jaccard.keep_one(simhash.keep_one(docs)).collect()
+        plans.clear()
+        got = corpus_pipeline.dedup_documents(spark, docs, "").collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+        assert "ArrowEvalPython" not in plans["near-equal"] + plans["near-sketches"]

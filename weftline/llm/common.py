@@ -7,7 +7,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -239,9 +238,10 @@ def maybe(key: Column, table: np.ndarray) -> Column:
     """Whether a row may have one of the keys of a filter. Only the key goes through Python."""
     shared = SparkSession.getActiveSession().sparkContext.broadcast(table)
 
-    @F.pandas_udf("boolean")
-    def run(keys: pd.Series) -> pd.Series:
-        return pd.Series(passes(shared.value, keys.to_numpy(np.int64).view(np.uint64)))
+    # Arrow, not pandas, which each Python worker would load and keep
+    @F.arrow_udf("boolean")
+    def run(keys: pa.Array) -> pa.Array:
+        return pa.array(passes(shared.value, keys.to_numpy().view(np.uint64)))
 
     return run(key)
 

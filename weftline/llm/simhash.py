@@ -165,10 +165,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(written(per_fp, "simhash-per-fp"), "fp").select(F.col("id").alias("doc_id"), "fp", "component_id", "links")
 
 
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """(doc_id): the ids of ``docs`` that are not the smallest of their component."""
+    return near_duplicates(docs, id_col, text_col, **how).where("doc_id <> component_id").select("doc_id")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without the near copies: of each component the row with the smallest id stays.
 
     Rows with a null id stay; of rows that repeat the kept id, all with that id stay.
     """
-    drop = near_duplicates(docs, id_col, text_col, **how).where("doc_id <> component_id").select("doc_id")
-    return without(docs, docs[id_col].cast("long"), drop)
+    return without(docs, docs[id_col].cast("long"), copies(docs, id_col, text_col, **how))

@@ -148,21 +148,25 @@ def links(texts: DataFrame, skip: DataFrame | None = None, threshold: float = TH
     return found
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(id, group): every id of ``docs`` that is not the smallest of its group of equal or similar texts."""
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gone: DataFrame | None = None, **how) -> DataFrame:
+    """(id, group): every id of ``docs`` that is not the smallest of its group of equal or similar texts. Ids in the one column of ``gone``
+    are in no group, as if ``docs`` were without them; they are told apart by id, so that no text is copied, shuffled or filtered again and again."""
     src = own_columns(docs, id=docs[id_col].cast("long"), text=F.coalesce(docs[text_col], F.lit(""))).where("id is not null")
     key = [F.xxhash64("text").alias("k1"), F.xxhash64(F.lit(1), "text").alias("k2")]
-    equal = written(src.select("id", *key), "near-equal")
+    equal = src.select("id", *key)
+    equal = written(equal if gone is None else equal.join(gone.toDF("id"), "id", "left_anti"), "near-equal")
     # written, so that the join shuffles both sides and AQE can split a large group of copies
     first = written(equal.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1"), "near-first")
     copies = equal.join(first, ["k1", "k2"]).where("id <> first").select("id", "first").distinct()
     copies = written(copies, "near-copies")
-    comps = components(links(src, skip=copies.select("id"), **how))
+    skip = copies.select("id")
+    comps = components(links(src, skip=skip if gone is None else skip.union(gone), **how))
     moved = comps.where("node <> component")
     via = copies.join(comps.select(F.col("node").alias("first"), "component"), "first", "left").select("id", F.coalesce("component", "first").alias("group"))
     return moved.select(F.col("node").alias("id"), F.col("component").alias("group")).unionByName(via)
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one document (the smallest id) of each group."""
-    return without(docs, docs[id_col].cast("long"), groups(docs, id_col, text_col, **how).select("id"))
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gone: DataFrame | None = None, **how) -> DataFrame:
+    """``docs`` with one document (the smallest id) of each group, and without the ids in ``gone``, which are in no group."""
+    drop = groups(docs, id_col, text_col, gone, **how).select("id")
+    return without(docs, docs[id_col].cast("long"), drop if gone is None else drop.union(gone))
