@@ -191,3 +191,13 @@ def test_views_are_dealt_by_the_size_of_files(spark, monkeypatch):
     monkeypatch.setattr(views, "PART_BYTES", 8_000)
     for name in ("accesses", "claims", "task_results"):
         assert views.view(spark, "/root/testdata/sf0.001", name).select(F.spark_partition_id()).distinct().count() > 8
+
+
+def test_pairs_are_joined_in_parts_that_grow_with_the_files(spark, monkeypatch):
+    from weftline.operators import store
+    from weftline.plans import catalog
+
+    monkeypatch.setattr(store, "PART_BYTES", 1 << 15)
+    for name in ("access_conflicts", "effect_conflicts", "conflict_classes", "unit_conflict_reasons", "nested_conflicts"):
+        # the session has four shuffle partitions
+        assert catalog.queries()[name](spark, "/root/testdata/sf0.01").rdd.getNumPartitions() > 20, name
