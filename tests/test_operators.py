@@ -201,3 +201,14 @@ def test_pairs_are_joined_in_parts_that_grow_with_the_files(spark, monkeypatch):
     for name in ("access_conflicts", "effect_conflicts", "conflict_classes", "unit_conflict_reasons", "nested_conflicts"):
         # the session has four shuffle partitions
         assert catalog.queries()[name](spark, "/root/testdata/sf0.01").rdd.getNumPartitions() > 20, name
+
+
+def test_pairs_of_one_path_lie_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(conflicts, "PIECE", 10, raising=False)
+    data = [(f"s{i}", 1, "/a/b") for i in range(40)] + [(f"c{i}", 1, f"/a/b/m/{i}") for i in range(100)] + [("lone", 2, "x"), (None, None, None)]
+    paths = spark.createDataFrame(data, "owner string, plan_id long, path string")
+    got = conflicts.path_overlaps(paths).withColumn("part", F.spark_partition_id()).collect()
+    under = [(p, o, q) for o, p, x in data[:-1] for q, r, y in data[:-1] if p == r and o != q and ((x == y and o < q) or y.startswith(x + "/"))]
+    assert sorted((r["plan_id"], r["ancestor"], r["descendant"]) for r in got) == sorted(under) and len(got) == 4780
+    most = max(sum(r["part"] == p for r in got) for p in {r["part"] for r in got})
+    assert most < len(got) / 4
