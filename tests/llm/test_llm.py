@@ -428,6 +428,41 @@ def test_packing_schedule_equals_simulation(tokens, share, grain):
     assert len(got) == len(want)
 
 
+def like_sized(queues, tokens=4000):
+    """A schedule of like-sized sources, and its documents as arrays (first token, tokens, queue)."""
+    plan, r = packing.Schedule(np.full(queues, tokens), np.full(queues, 1 / queues), 2048, 32), np.random.default_rng(3)
+    cuts = [np.sort(r.choice(np.arange(1, tokens), 15, replace=False)) for _ in range(queues)]
+    return plan, np.concatenate([[0, *c] for c in cuts]), np.concatenate([np.diff([0, *c, tokens]) for c in cuts]), np.repeat(np.arange(queues), 16)
+
+
+@pytest.mark.parametrize("queues, documents", [(20, 1), (20, 320), (200, 1), (200, 512)])
+def test_packing_looks_only_at_windows_that_serve_documents(monkeypatch, queues, documents):
+    """All queues are looked at for at most two windows a piece, however long a rare source waits for its next grain."""
+    plan, a, n, q = like_sized(queues)
+    some, looked, served = np.random.default_rng(4).permutation(len(n))[:documents], [], packing.Schedule.served
+    monkeypatch.setattr(packing.Schedule, "served", lambda self, windows: looked.append(len(windows)) or served(self, windows))
+    made = len(plan.layout(int(a[some[0]]), int(n[some[0]]), int(q[some[0]]))) if documents == 1 else len(plan.layouts(a[some], n[some], q[some])[0])
+    assert sum(looked) <= 2 * made and (documents == 1 or len(looked) == 1)
+
+
+@pytest.mark.parametrize("queues, cells", [(3, 1 << 21), (70, 1 << 21), (70, 1000)])
+def test_packing_of_many_documents_equals_simulation(monkeypatch, queues, cells):
+    monkeypatch.setattr(packing, "BLOCK_CELLS", cells)
+    plan, a, n, q = like_sized(queues)
+    order = np.random.default_rng(5).permutation(len(n))
+    a, n, q = a[order], n[order], q[order]
+    doc, start, length, seq, offset, _ = plan.layouts(a, n, q)
+    assert (np.diff(doc) >= 0).all() and (np.bincount(doc, length, len(n)) == n).all() and (offset + length <= 2048).all()
+    got = np.full((queues * 4000, 2), -1)
+    for d, s, m, at in zip(doc, start, length, seq * 2048 + offset):
+        got[at : at + m] = np.stack([np.full(m, q[d]), np.arange(a[d] + s, a[d] + s + m)], axis=1)
+    seen, want = [0] * queues, []
+    for _, x in simulated([4000] * queues, [1 / queues] * queues, 2048, 32):
+        want.append((x, seen[x]))
+        seen[x] += 1
+    assert np.array_equal(got, want)
+
+
 def test_packing_windows_hold_the_mixture(spark):
     rows = spark.createDataFrame([(i, f"number {i} of a source with words " * 20, f"s{min(i % 10, 3)}") for i in range(1500)], "doc_id long, text string, source string").repartition(7)
     targets = {"s0": 0.4, "s1": 0.3, "s2": 0.2, "s3": 0.1}

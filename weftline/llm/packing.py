@@ -22,7 +22,7 @@ shuffled. What goes to all tasks are three numbers a source; more than ``MOST_SO
 
 Defined cases: a null or empty text has the end id alone; a null source is a queue of its own;
 repeated rows are packed as often as they come, null ids like others; very long texts are encoded
-whole, and their windows taken in bounded blocks; an empty table gives no rows; ties between
+whole; windows are looked at in bounded blocks; an empty table gives no rows; ties between
 queues go by source name; targets for sources that don't occur are ignored, and a target of zero or
 less is a very small one; extra columns are not looked at.
 """
@@ -130,41 +130,75 @@ class Schedule:
         whole = np.floor(np.where(np.isinf(credit), 0.0, credit) * self.share / self.grain + 1e-6) * self.grain
         return np.where(credit >= self.dry, self.tokens, np.minimum(whole.astype(np.int64), self.tokens))
 
-    def window_of(self, q: int, token: int) -> int:
-        """The window in which a queue's token is served."""
-        due = min(np.ceil((token + 1) / self.grain[q]) * self.grain[q] / self.share[q], self.dry[q])
-        k = max(0, int(np.interp(due, self.credits, self.passed) // self.size) - 2)
-        while self.served(np.array([k + 1]))[0, q] <= token:
-            k += 1
-        while k and self.served(np.array([k]))[0, q] > token:
-            k -= 1
+    def served_of(self, windows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The same of one queue for each of the windows."""
+        at = windows * self.size
+        credit = np.where(at >= self.total, np.inf, np.interp(at, self.passed, self.credits))
+        whole = np.floor(np.where(np.isinf(credit), 0.0, credit) * self.share[q] / self.grain[q] + 1e-6) * self.grain[q]
+        return np.where(credit >= self.dry[q], self.tokens[q], np.minimum(whole.astype(np.int64), self.tokens[q]))
+
+    def window_of(self, q: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The windows in which tokens of queues are served."""
+        due = np.minimum(np.ceil((token + 1) / self.grain[q]) * self.grain[q] / self.share[q], self.dry[q])
+        k = np.maximum(0, np.interp(due, self.credits, self.passed) // self.size - 2).astype(np.int64)
+        late = np.arange(len(k))
+        while len(late := late[self.served_of(k[late] + 1, q[late]) <= token[late]]):
+            k[late] += 1
+        early = np.flatnonzero(k)
+        while len(early := early[(k[early] > 0) & (self.served_of(k[early], q[early]) > token[early])]):
+            k[early] -= 1
         return k
 
+    def visits(self, a: np.ndarray, n: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(document, window) for the windows that serve tokens of each document: those from its first
+        to its last, or those of its grains where these are fewer, as a rare source skips windows."""
+        first, last, grain = self.window_of(q, a), self.window_of(q, a + n - 1), self.grain[q].astype(np.int64)
+        span, grains = last - first + 1, (a + n - 1) // grain - a // grain + 1
+        count = np.minimum(span, grains)
+        doc = np.repeat(np.arange(len(n)), count)
+        j = np.arange(len(doc)) - (np.cumsum(count) - count)[doc]
+        k, skips = first[doc] + j, (grains < span)[doc]
+        d = doc[skips]
+        k[skips] = self.window_of(q[d], np.maximum(a[d], (a[d] // grain[d] + j[skips]) * grain[d]))
+        new = np.append(True, (doc[1:] != doc[:-1]) | (k[1:] != k[:-1]))[: len(doc)]
+        return doc[new], k[new]
+
+    def layouts(self, a: np.ndarray, n: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces (document, start, length, sequence, offset, window) of documents, the i-th at tokens
+        a[i]..a[i]+n[i]-1 of queue q[i]; those of a document follow one another in order. Each window
+        is looked at once for all of them."""
+        doc, k = self.visits(a, n, q)
+        start, end, where = (np.empty(len(doc), np.int64) for _ in range(3))
+        order, step = np.argsort(k, kind="stable"), max(1, BLOCK_CELLS // (2 * len(self.tokens)))
+        windows, begins = np.unique(k[order], return_index=True)
+        begins = np.append(begins, len(doc))
+        for lo in range(0, len(windows), step):
+            some = windows[lo : lo + step]
+            at = np.union1d(some, some + 1)
+            done = self.served(at)
+            upto = np.cumsum(done, axis=1)
+            i = order[begins[lo] : begins[lo + len(some)]]
+            x, qs = np.searchsorted(at, k[i]), q[doc[i]]
+            start[i], end[i] = np.maximum(done[x, qs], a[doc[i]]), np.minimum(done[x + 1, qs], (a + n)[doc[i]])
+            # all before the window, and what the queues before this one are served in it
+            where[i] = upto[x, -1] + (upto[x + 1, qs] - done[x + 1, qs]) - upto[x, qs] + start[i]
+        kept = end > start
+        doc, k, start, where, length = doc[kept], k[kept], start[kept], where[kept], (end - start)[kept]
+        # neighbours joined, then cut at the ends of sequences
+        head = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (where[1:] != (where + length)[:-1]))[: len(doc)])
+        length = np.add.reduceat(length, head) if len(head) else length
+        doc, k, start, where = doc[head], k[head], start[head], where[head]
+        seq = where // self.size
+        count = (where + length - 1) // self.size - seq + 1
+        run = np.repeat(np.arange(len(doc)), count)
+        seq = seq[run] + np.arange(len(run)) - (np.cumsum(count) - count)[run]
+        begin = np.maximum(where[run], seq * self.size)
+        size = np.minimum((where + length)[run], (seq + 1) * self.size) - begin
+        return doc[run], start[run] - a[doc[run]] + begin - where[run], size, seq, begin - seq * self.size, k[run]
+
     def layout(self, a: int, n: int, q: int) -> list[tuple[int, int, int, int, int]]:
-        """Pieces (start, length, sequence, offset, window) of the document at tokens a..a+n-1 of queue q."""
-        runs: list[list[int]] = []  # start, length, position, window: neighbours joined
-        first, last = self.window_of(q, a), self.window_of(q, a + n - 1)
-        step = max(1, BLOCK_CELLS // len(self.tokens))
-        for lo in range(first, last + 1, step):
-            k = np.arange(lo, min(lo + step, last + 1) + 1)
-            done = self.served(k)
-            gain = done[1:, :q].sum(axis=1) - done[:-1, :q].sum(axis=1)
-            start, end = np.maximum(done[:-1, q], a), np.minimum(done[1:, q], a + n)
-            where = done[:-1].sum(axis=1) + gain + start - done[:-1, q]
-            for s, e, w, window in zip(start.tolist(), end.tolist(), where.tolist(), k.tolist()):
-                if e <= s:
-                    continue
-                if runs and runs[-1][2] + runs[-1][1] == w:
-                    runs[-1][1] += e - s
-                else:
-                    runs.append([s, e - s, w, window])
-        out = []
-        for s, length, w, window in runs:
-            while length:
-                take = min(length, self.size - w % self.size)
-                out.append((s - a, take, w // self.size, w % self.size, window))
-                s, w, length = s + take, w + take, length - take
-        return out
+        """Pieces (start, length, sequence, offset, window) of one document."""
+        return list(zip(*(x.tolist() for x in self.layouts(np.array([a]), np.array([n]), np.array([q]))[1:])))
 
 
 def pack(docs: DataFrame, encode_args: tuple, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", sequence_tokens: int = 2048, targets: dict[str, float] | None = None, temperature: float = 0.5, grain: int = 32) -> DataFrame:
@@ -190,15 +224,17 @@ def pack(docs: DataFrame, encode_args: tuple, id_col: str = "doc_id", text_col:
     def run(batches):
         unpack, (names, schedule) = zstandard.ZstdDecompressor(), shared.value
         for batch in pieces(batches):
-            row, cols = [], []
-            for i, (n, packed, q, at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("n", "ids", "queue", "at")))):
+            n, at = (batch.column(c).to_numpy() for c in ("n", "at"))
+            q = np.array([names[x] for x in batch.column("queue").to_pylist()], dtype=np.int64)
+            row, start, length, *rest = schedule.layouts(at, n, q)
+            # pieces of a document follow one another, so one pass over the texts meets them all
+            crcs, ends = [], np.searchsorted(row, np.arange(len(n)), side="right").tolist()
+            spans = list(zip((4 * start).tolist(), (4 * (start + length)).tolist()))
+            for size, packed, first, last in zip(n.tolist(), batch.column("ids").to_pylist(), [0, *ends], ends):
                 halves = np.frombuffer(unpack.decompress(packed), dtype="<u2").astype("<u4")
-                data = memoryview((halves[:n] | (halves[n:] << np.uint32(16))).astype("<u4").tobytes())
-                for start, length, seq, offset, window in schedule.layout(at, n, names[q]):
-                    row.append(i)
-                    cols.append((start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), n, seq, offset, window))
-            rows = pa.array(row, pa.int64())
-            made = {c: pa.array(x, pa.int64()) for c, x in zip(("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window"), zip(*cols) if cols else [[]] * 7)}
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(rows), **made, "source": batch.column("source").take(rows)})
+                data = memoryview((halves[:size] | (halves[size:] << np.uint32(16))).astype("<u4").tobytes())
+                crcs += [zlib.crc32(data[s:e]) for s, e in spans[first:last]]
+            made = {c: pa.array(x, pa.int64()) for c, x in zip(("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window"), (start, length, crcs, n[row], *rest))}
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(pa.array(row)), **made, "source": batch.column("source").take(pa.array(row))})
 
     return placed.mapInArrow(run, PIECES)
