@@ -212,3 +212,36 @@ def test_pairs_of_one_path_lie_in_many_parts(spark, monkeypatch):
     assert sorted((r["plan_id"], r["ancestor"], r["descendant"]) for r in got) == sorted(under) and len(got) == 4780
     most = max(sum(r["part"] == p for r in got) for p in {r["part"] for r in got})
     assert most < len(got) / 4
+
+
+def folder_accesses(seed):
+    """Accesses of three plans of few rows and one of many, with folders, repeats and nulls."""
+    r = random.Random(seed)
+    path = lambda: "/" + "/".join(r.choice("ab") for _ in range(r.randint(1, 3))) if r.random() < 0.95 else r.choice(["a", "/", "/ab", None])
+    modes = ["read", "snapshot", "create", "overwrite", "append"]
+    return [(p, r.randint(1, 12), path(), r.choice(modes), r.random() < 0.5) for p, n in (("p", 12), ("q", 20), ("r", 2), ("many", 90)) for _ in range(n)]
+
+
+ACCESS = "plan_id string, unit_id long, resource string, mode string, commutative boolean"
+
+
+def nested_and_harmful(a, b):
+    """Of two rows (plan_id, unit_id, resource, mode, commutative)."""
+    if a[0] != b[0] or a[1] == b[1] or a[2] is None or b[2] is None or not (a[2] == b[2] or a[2].startswith(b[2] + "/") or b[2].startswith(a[2] + "/")):
+        return False
+    return not (a[3] in ("read", "snapshot") and b[3] in ("read", "snapshot")) and not (a[3] == b[3] == "append" and a[4] and b[4])
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_nested_pairs_are_made_where_the_rows_of_a_plan_lie(spark, monkeypatch):
+    data = folder_accesses(1)
+    want = sorted({(a[0], a[1], b[1], a[2], b[2]) for a in data for b in data if a[1] < b[1] and nested_and_harmful(a, b)})
+    acc = spark.createDataFrame(data + [(None, 1, "/a", "create", False), ("p", None, "/a", "create", False)], ACCESS)
+    # rows are shuffled by plan and nothing after
+    assert exchanges(conflicts.nested_conflicts(acc)) == 1
+    for near in (512, 30, 1):
+        monkeypatch.setattr(conflicts, "NEAR", near)
+        assert sorted(map(tuple, conflicts.nested_conflicts(acc).collect())) == want, near
