@@ -245,3 +245,33 @@ def test_nested_pairs_are_made_where_the_rows_of_a_plan_lie(spark, monkeypatch):
     for near in (512, 30, 1):
         monkeypatch.setattr(conflicts, "NEAR", near)
         assert sorted(map(tuple, conflicts.nested_conflicts(acc).collect())) == want, near
+
+
+def test_reasons_of_a_plan_are_found_where_its_rows_lie(spark, monkeypatch):
+    data = folder_accesses(2) + [("p", 77, None, "read", False)]
+    held = [("p", 1, "l"), ("p", 2, "l"), ("p", 30, "l"), ("q", 5, "l"), ("q", 6, "m"), ("many", 1, "l"), ("many", 9, "l"), ("s", 1, "l"), ("s", 2, "l"), ("s", 3, None)]
+    alone = [("p", 3), ("p", 77), ("p", 99), ("q", 1), ("many", 4), ("s", 1), (None, 2)]
+    units = {(a[0], a[1]) for a in data}
+    acc, ex, serial = spark.createDataFrame(data, ACCESS), spark.createDataFrame(held, "plan_id string, unit_id long, resource string"), spark.createDataFrame(alone, "plan_id string, unit_id long")
+    # rows are shuffled by plan and nothing after
+    assert exchanges(conflicts.unit_conflict_reasons(acc, ex, serial, nested=True)) == 1
+    write = lambda mode: mode not in ("read", "snapshot")
+    for nested in (True, False):
+        want = {}
+        add = lambda p, a, b, why: want.setdefault((p, min(a, b), max(a, b)), set()).add(why)
+        for a in data:
+            for b in data:
+                if a[1] < b[1] and (write(a[3]) or write(b[3])) and nested_and_harmful((*a[:3], "create", False), (*b[:3], "create", False)) and (nested or a[2] == b[2]):
+                    add(a[0], a[1], b[1], "write-write" if write(a[3]) and write(b[3]) else "write-read" if write(a[3]) else "read-write")
+        for p, u, r in held:
+            for q, v, t in held:
+                if p == q and u < v and r == t and r is not None:
+                    add(p, u, v, "exclusive-resource")
+        for p, u in alone:
+            for q, v in units:
+                if p == q and u != v and (p, u) in units:
+                    add(p, u, v, "forced-serial")
+        for near in (512, 30, 1):
+            monkeypatch.setattr(conflicts, "NEAR", near)
+            got = conflicts.unit_conflict_reasons(acc, ex, serial, nested=nested).collect()
+            assert len(got) == len(want) and {(r["plan_id"], r["first"], r["second"]): set(r["reasons"]) for r in got} == want, (nested, near)

@@ -313,16 +313,56 @@ def unit_conflict_reasons(accesses: DataFrame, exclusive: DataFrame, serial: Dat
     ``nested``: resources are paths, and a folder overlaps what lies below it.
     """
     kind = F.when(F.col("mode").isin(*SHARED_MODES), "read").otherwise("write")
-    rows = accesses.select("plan_id", "unit_id", "resource", kind.alias("mode"), F.lit(False).alias("commutative")).distinct()
-    met = _nested_pairs(rows, _both("mode", ("read",))) if nested else _pairs(rows, ["resource"], _both("mode", ("read",))).select("x.plan_id", "x", "y")
-    reason = F.when((F.col("x.mode") == "write") & (F.col("y.mode") == "write"), "write-write").when(F.col("x.mode") == "write", "write-read").otherwise("read-write")
+    used = accesses.select("plan_id", "unit_id", "resource", kind.alias("mode")).distinct()
+    held = exclusive.select("plan_id", "unit_id", "resource", F.lit("exclusive").alias("mode")).distinct()
+    lone = serial.select("plan_id", "unit_id", F.lit(None).cast(used.schema["resource"].dataType).alias("resource"), F.lit("serial").alias("mode")).distinct()
+    plans = _by_plan(used.unionByName(held).unionByName(lone))
+    out = _near_reasons(plans.near, nested)
+    return out if plans.far is None else out.unionByName(_far_reasons(plans.far, nested))
+
+
+def _reason() -> Column:
+    return F.when((F.col("x.mode") == "write") & (F.col("y.mode") == "write"), "write-write").when(F.col("x.mode") == "write", "write-read").otherwise("read-write")
+
+
+def _reasons_of(every: DataFrame) -> DataFrame:
+    return every.groupBy("plan_id", "first", "second").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+
+
+def _near_reasons(near: DataFrame, nested: bool) -> DataFrame:
+    """Reasons of rows dealt by plan, in lists: by folder or resource, by exclusive resource, and one of the whole plan for units that run alone."""
+    held, lone = F.col("mode") == "exclusive", F.col("mode") == "serial"
+    whole = F.lit("alone")
+    named = lambda what, c: F.concat(F.lit(what), c)
+    folders = _folders() if nested else F.array("resource")
+    used = F.concat(F.when(F.col("resource").isNotNull(), F.transform(folders, lambda f: named("on ", f))).otherwise(F.array().cast("array<string>")), F.array(whole))
+    keys = F.when(lone, F.array(whole)).when(held, F.array(named("held ", F.col("resource")))).otherwise(used)
+    deep = near.select("plan_id", _row(near).alias("a"), F.explode(keys).alias("key"))
+    single = F.col("a.mode") == "serial"
+    own = F.when(F.col("key") == whole, single).when(F.col("a.mode") == "exclusive", True).otherwise(F.col("key") == named("on ", F.col("a.resource")))
+    lists = deep.groupBy("plan_id", "key").agg(F.collect_list(F.when(~single, F.col("a"))).alias("under"), F.collect_list(F.when(own, F.col("a"))).alias("own"))
+    # a unit that runs alone is one that has accesses
+    lists = lists.withColumn("own", F.when(F.col("key") == whole, F.filter("own", lambda b: F.array_contains(F.col("under.unit_id"), b["unit_id"]))).otherwise(F.col("own")))
+    met = lists.select("plan_id", "under", F.explode("own").alias("b")).select("plan_id", F.explode("under").alias("a"), "b")
+    a, b = F.col("a"), F.col("b")
+    alone = b["mode"] == "serial"
+    on = (alone & (a["unit_id"] != b["unit_id"])) | (~alone & _overlap(a, b) & ~((a["mode"] == "read") & (b["mode"] == "read")))
+    both = lambda mode: (F.col("x.mode") == mode) | (F.col("y.mode") == mode)
+    reason = F.when(both("serial"), "forced-serial").when(both("exclusive"), "exclusive-resource").otherwise(_reason())
+    return _reasons_of(_ahead(met.where(on)).select("plan_id", F.col("x.unit_id").alias("first"), F.col("y.unit_id").alias("second"), reason.alias("reason")))
+
+
+def _far_reasons(far: DataFrame, nested: bool) -> DataFrame:
+    used = far.where("mode in ('read', 'write')").withColumn("commutative", F.lit(False))
+    met = _nested_pairs(used, _both("mode", ("read",))) if nested else _pairs(used, ["resource"], _both("mode", ("read",))).select("x.plan_id", "x", "y")
     cols = ["plan_id", "first", "second", "reason"]
-    hit = met.select("plan_id", F.col("x.unit_id").alias("first"), F.col("y.unit_id").alias("second"), reason.alias("reason"))
-    held = _pairs(exclusive.distinct(), ["resource"], F.lit(False)).select("x.plan_id", F.col("x.unit_id").alias("first"), F.col("y.unit_id").alias("second"), F.lit("exclusive-resource").alias("reason"))
-    units = dealt(accesses.select("plan_id", "unit_id").distinct(), "plan_id").join(serial.distinct().withColumn("alone", F.lit(True)), ["plan_id", "unit_id"], "left")
+    hit = met.select("plan_id", F.col("x.unit_id").alias("first"), F.col("y.unit_id").alias("second"), _reason().alias("reason"))
+    held = _pairs(far.where("mode = 'exclusive'"), ["resource"], F.lit(False)).select("x.plan_id", F.col("x.unit_id").alias("first"), F.col("y.unit_id").alias("second"), F.lit("exclusive-resource").alias("reason"))
+    lone = far.where("mode = 'serial'").select("plan_id", "unit_id", F.lit(True).alias("alone"))
+    units = dealt(used.select("plan_id", "unit_id").distinct(), "plan_id").join(lone, ["plan_id", "unit_id"], "left")
     alone = exclusive_conflicts(units, F.coalesce("alone", F.lit(False))).withColumn("reason", F.lit("forced-serial"))
     every = hit.select(cols).unionByName(held.select(cols)).unionByName(alone.select(cols))
-    return dealt(every, "plan_id", "first", "second").groupBy("plan_id", "first", "second").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    return _reasons_of(dealt(every, "plan_id", "first", "second"))
 
 
 def bad_references(units: DataFrame, edges: DataFrame) -> DataFrame:
