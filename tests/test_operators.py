@@ -1,8 +1,9 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from weftline.operators import conflicts, evidence, graph, history, hosts, rules, runs
+from weftline.operators import chains, conflicts, evidence, graph, history, hosts, rules, runs
 
 
 def rows(df, *cols):
@@ -275,3 +276,58 @@ def test_reasons_of_a_plan_are_found_where_its_rows_lie(spark, monkeypatch):
             monkeypatch.setattr(conflicts, "NEAR", near)
             got = conflicts.unit_conflict_reasons(acc, ex, serial, nested=nested).collect()
             assert len(got) == len(want) and {(r["plan_id"], r["first"], r["second"]): set(r["reasons"]) for r in got} == want, (nested, near)
+
+
+def test_flow_of_a_plan_is_found_where_its_rows_lie(spark, monkeypatch):
+    data = folder_accesses(3) + [("s", u, "/a", m, False) for u, m in ((1, "create"), (2, "read"), (3, "read"), (4, "snapshot"))]
+    acc = spark.createDataFrame(data, ACCESS)
+    # s: a cycle of three; p: more links than a small plan has
+    links = [("s", 2, 1), ("s", 1, 3), ("s", 3, 2), ("q", 7, 3), ("q", 3, 1), ("r", None, 1)] + [("p", u, u - 1) for u in range(2, 12)]
+    edges = spark.createDataFrame(links, "plan_id string, unit_id long, pred_id long")
+    above = {(p, u): far_above(links, p, u) for p, u in {(a[0], a[1]) for a in data}}
+    want = flow_by_hand(data, lambda p, u, a: a in above[p, u])
+    # rows, links and what they lead to are shuffled by plan, no pairs
+    keys = re.findall(r"Exchange hashpartitioning\((.*), \d+\)", conflicts.data_flow(acc, edges)._jdf.queryExecution().executedPlan().toString())
+    assert len(keys) == 3 and all(re.fullmatch(r"plan_id#\d+", k) for k in keys)
+    for near, small in ((512, 64), (30, 64), (512, 8), (1, 8)):
+        monkeypatch.setattr(conflicts, "NEAR", near)
+        monkeypatch.setattr(chains, "SMALL", small)
+        assert sorted(map(tuple, conflicts.data_flow(acc, edges).collect())) == want, (near, small)
+
+
+def far_above(links, plan, unit):
+    seen, fresh = set(), {unit}
+    while fresh:
+        fresh = {a for p, u, a in links if p == plan and u in fresh} - seen
+        seen |= fresh
+    return seen
+
+
+def flow_by_hand(data, follows):
+    makers, pairs, out = {}, {}, []
+    for p, u, r, m, _ in data:
+        if m == "create":
+            makers.setdefault((p, r), set()).add(u)
+    sole = lambda a: a[3] == "create" and len(makers[a[0], a[2]]) == 1
+    read = lambda a: a[3] in ("read", "snapshot")
+    for a in data:
+        for b in data:
+            if a[1] < b[1] and nested_and_harmful(a, b):
+                ahead, behind, clash = pairs.setdefault((a[0], a[1], b[1]), (set(), set(), set()))
+                if sole(a) and read(b):
+                    ahead.add(a[2])
+                elif sole(b) and read(a):
+                    behind.add(b[2])
+                else:
+                    clash.add(f"{a[3]}/{b[3]} on {a[2]} and {b[2]}")
+    for (p, x, y), (ahead, behind, clash) in pairs.items():
+        after, before = follows(p, y, x), follows(p, x, y)
+        if ahead and behind:
+            out.append((p, "BIDIRECTIONAL_DATA_FLOW", x, y, ",".join(sorted(ahead | behind))))
+        elif not clash:
+            a, b, items, against, along = (x, y, ahead, before, after) if ahead else (y, x, behind, after, before)
+            if against or not along:
+                out.append((p, "CONTRADICTORY_DATA_ORDER" if against else "DATA_EDGE", a, b, ",".join(sorted(items))))
+        if clash and not after and not before:
+            out.append((p, "UNORDERED_ARTIFACT_CONFLICT", x, y, "; ".join(sorted(clash))))
+    return sorted(out)

@@ -101,6 +101,14 @@ def small_closure(small: DataFrame) -> DataFrame:
     return _whole(small, _closure_rows, "ancestor")
 
 
+def small_above(small: DataFrame, parts: int) -> DataFrame:
+    """(plan_id, above) of small plans, made in ``parts``: for each unit that follows others all of them."""
+    kind = small.schema["unit_id"].dataType.simpleString()
+    found = F.udf(lambda units, preds: {u: list(s) for u, s in _closed(units, preds).items()}, f"map<{kind},array<{kind}>>")
+    plans = small.repartition(parts, "plan_id").groupBy("plan_id").agg(F.collect_list(F.struct("unit_id", "pred_id")).alias("l"))
+    return plans.select("plan_id", found("l.unit_id", "l.pred_id").alias("above"))
+
+
 class _Found:
     """Rows found round by round, written together now and then."""
 

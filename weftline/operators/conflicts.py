@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators import chains
@@ -134,13 +134,14 @@ class _Plans(NamedTuple):
     parts: int
 
 
-def _by_plan(rows: DataFrame) -> _Plans:
+def _by_plan(rows: DataFrame, others: DataFrame | None = None) -> _Plans:
     """``rows`` are written and dealt by plan once: what is made of the rows of one plan then needs no further shuffle.
-    A plan with many rows would all be one task's, so these are left to ``meet``."""
+    A plan with many rows would all be one task's, so these are left to ``meet``; so are the plans of ``others`` (plan_id, distinct)."""
     rows = cut(rows.dropna(subset=["plan_id", "unit_id"]))
     # a part holds some 1 MB of the files, as rows meet in more than one folder
     n = parts(rows, times=4)
-    large, some = cut_counting(rows.groupBy("plan_id").agg(F.count("*").alias("n")).where(F.col("n") > NEAR).select("plan_id"))
+    large = rows.groupBy("plan_id").agg(F.count("*").alias("n")).where(F.col("n") > NEAR).select("plan_id")
+    large, some = cut_counting(large if others is None else large.unionByName(others).distinct())
     if not some:
         return _Plans(rows.repartition(n, "plan_id"), None, n)
     return _Plans(rows.join(large, "plan_id", "left_anti").repartition(n, "plan_id"), rows.join(large, "plan_id", "left_semi"), n)
@@ -280,18 +281,40 @@ def data_flow(accesses: DataFrame, edges: DataFrame) -> DataFrame:
     ``BIDIRECTIONAL_DATA_FLOW``. Any other harmful overlap is ambiguous: it takes the edge away, and is an
     ``UNORDERED_ARTIFACT_CONFLICT`` where dependencies do not order the units.
     """
-    many = creators(accesses).where("creators > 1").select("plan_id", "resource", F.lit(True).alias("many"))
-    rows = accesses.select("plan_id", "unit_id", "resource", "mode", "commutative").distinct().join(many, ["plan_id", "resource"], "left").withColumn("sole", (F.col("mode") == "create") & F.col("many").isNull())
-    met = _nested_pairs(rows, _both("mode", SHARED_MODES) | _append_freely())
+    links = cut(chains.links_of(edges))
+    small, large = chains.by_size(links)
+    rows = accesses.select("plan_id", "unit_id", "resource", "mode", "commutative").distinct()
+    near, far, n = _by_plan(rows, None if large is None else large.select("plan_id").distinct())
+    harmless = _both("mode", SHARED_MODES) | _append_freely()
+    create, one = F.col("mode") == "create", Window.partitionBy("plan_id", "resource")
+    maker = F.when(create, F.col("unit_id"))
+    # of many creators the first is not the last
+    near = near.withColumn("sole", create & ~F.coalesce(F.min(maker).over(one) < F.max(maker).over(one), F.lit(False)))
+    follows = lambda a, b: F.coalesce(F.array_contains(F.try_element_at("above", F.col(a)), F.col(b)), F.lit(False))
+    # pairs stay dealt by plan; merged, what units follow is not sent to the driver
+    pair = _flows(_near_nested(near, harmless)).join(chains.small_above(small, n).hint("merge"), "plan_id", "left")
+    out = _said(pair.withColumns({"after": follows("second", "first"), "before": follows("first", "second")}))
+    if far is None:
+        return out
+    many = creators(far).where("creators > 1").select("plan_id", "resource", F.lit(True).alias("many"))
+    far = far.join(many, ["plan_id", "resource"], "left").withColumn("sole", create & F.col("many").isNull()).drop("many")
+    pair = cut(_flows(_nested_pairs(far, harmless)))
+    order = chains.order_of(pair, links).toDF("plan_id", "first", "second", "after", "before")
+    return out.unionByName(_said(pair.join(order, ["plan_id", "first", "second"])))
+
+
+def _flows(met: DataFrame) -> DataFrame:
+    """(plan_id, first, second, ahead, behind, clash): what flows from the first to the second unit and back, and what else overlaps."""
     ahead = F.col("x.sole") & F.col("y.mode").isin(*SHARED_MODES)
     behind = F.col("y.sole") & F.col("x.mode").isin(*SHARED_MODES)
     clash = F.concat(F.col("x.mode"), F.lit("/"), F.col("y.mode"), F.lit(" on "), F.col("x.resource"), F.lit(" and "), F.col("y.resource"))
-    pair = met.groupBy("plan_id", F.col("x.unit_id").alias("first"), F.col("y.unit_id").alias("second")).agg(
+    return met.groupBy("plan_id", F.col("x.unit_id").alias("first"), F.col("y.unit_id").alias("second")).agg(
         F.array_sort(F.collect_set(F.when(ahead, F.col("x.resource")))).alias("ahead"), F.array_sort(F.collect_set(F.when(behind, F.col("y.resource")))).alias("behind"), F.array_sort(F.collect_set(F.when(~ahead & ~behind, clash))).alias("clash")
     )
-    pair = cut(pair)
-    order = chains.order_of(pair, chains.links_of(edges)).toDF("plan_id", "first", "second", "after", "before")
-    o = pair.join(order, ["plan_id", "first", "second"])
+
+
+def _said(o: DataFrame) -> DataFrame:
+    """``data_flow`` of ``_flows`` with (after, before): whether the second unit follows the first, and the other way round."""
     has = lambda c: F.size(c) > 0
     row = lambda code, a, b, items, sep=",": F.struct(F.lit(code).alias("code"), F.col(a).alias("first"), F.col(b).alias("second"), F.array_join(items, sep).alias("detail"))
     one = lambda a, b, items, against, along: F.when(F.col(against), row("CONTRADICTORY_DATA_ORDER", a, b, items)).when(~F.col(along), row("DATA_EDGE", a, b, items))
