@@ -238,3 +238,10 @@ def test_large_plans_by_chains(spark, tables, plans, monkeypatch):
     got = {(r["plan_id"], r["first"], r["second"]): (r["forward"], r["backward"]) for r in chains.order_of(spark.createDataFrame(pairs, "plan_id int, first int, second int"), chains.links_of(tables[1])).collect()}
     far = {p: closure(links) for p, (_, links) in plans.items()}
     assert got == {(p, a, b): ((b, a) in far[p], (a, b) in far[p]) for p, a, b in pairs}
+
+
+def test_parts_without_chains(spark):
+    """A graph whose links are all branches or joins has no chain to rank: the parts that rank them have no rows."""
+    links = spark.createDataFrame([(0, 1, 0), (0, 2, 0), (0, 3, 1), (0, 3, 2), (0, 4, 1), (0, 4, 2)], "plan_id int, unit_id int, pred_id int")
+    placed = chains.contract(chains.ends_of(links), links, parts=3).placed.collect()
+    assert sorted((r["unit_id"], r["head"], r["hops"]) for r in placed) == [(i, i, 0) for i in range(5)]

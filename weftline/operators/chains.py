@@ -137,9 +137,11 @@ def _in_ranges(begun: DataFrame, sums: tuple[str, ...], parts: int) -> DataFrame
     names = begun.columns
 
     def run(batches):
-        t = pa.Table.from_batches(list(batches))
-        if not t.num_rows:
+        batches = list(batches)
+        # a part without rows may have no batches either
+        if not any(b.num_rows for b in batches):
             return
+        t = pa.Table.from_batches(batches)
         n, d = t.num_rows, {c: t.column(c).to_pandas().to_numpy() for c in names}
         plan, unit = pd.factorize(d["plan_id"])[0].astype(np.int64), pd.factorize(np.concatenate([d["unit_id"], d["at"]]))[0].astype(np.int64)
         key, wide = plan * (2 * n) + unit[:n], plan * (2 * n) + unit[n:]
