@@ -372,3 +372,21 @@ def test_document_dedup_filters_ids_not_texts(spark, odd, monkeypatch):
         got = corpus_pipeline.dedup_documents(spark, docs, "").collect()
         assert sorted(map(repr, got)) == sorted(map(repr, want))
         assert "ArrowEvalPython" not in plans["near-equal"] + plans["near-sketches"]
+
+
+def test_filters_come_to_the_driver_as_numbers(spark):
+    """Rows of a filter are no Python objects: what the driver takes is some bytes a row."""
+    import tracemalloc
+
+    from weftline.llm import common
+
+    keys = spark.range(400_000).select(F.xxhash64("id").alias("h"))
+    common.bit_filter(keys.limit(10), "h")
+    tracemalloc.start()
+    table = common.bit_filter(keys, "h", 22)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.count_nonzero(table) > 60_000 and peak < 40 * len(table)
+    known = np.array([r["h"] for r in keys.limit(1000).collect()], dtype=np.int64).view(np.uint64)
+    assert common.passes(table, known).all()
+    assert not common.bit_filter(keys.where("false"), "h", 18).any()

@@ -215,17 +215,17 @@ def bit_filter(keys: DataFrame, column: str, bits: int = 22) -> np.ndarray:
     """A filter of ``2**bits`` bits over a column of 64-bit keys: no key is missed, some strangers pass.
 
     Its size is bounded, however many keys there are, so it can always be sent to all tasks.
-    At most ``2**bits / 64`` rows come to the driver.
+    At most ``2**bits / 64`` rows come to the driver, as Arrow: as Python objects they would take many times their bytes.
     """
     k = F.col(column)
     words = (
         keys.select(k.bitwiseAND((1 << bits) - 1).alias("bit"))
         .groupBy(F.shiftrightunsigned("bit", 6).alias("word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask"))
-        .toPandas()
+        .toArrow()
     )
     table = np.zeros(1 << (bits - 6), dtype=np.int64)
-    table[words["word"].to_numpy(dtype=np.int64)] = words["mask"].to_numpy(dtype=np.int64)
+    table[words["word"].to_numpy()] = words["mask"].to_numpy()
     return table.view(np.uint64)
 
 
