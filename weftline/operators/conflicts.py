@@ -337,11 +337,17 @@ def unit_conflict_reasons(accesses: DataFrame, exclusive: DataFrame, serial: Dat
     """
     kind = F.when(F.col("mode").isin(*SHARED_MODES), "read").otherwise("write")
     used = accesses.select("plan_id", "unit_id", "resource", kind.alias("mode")).distinct()
+    if not nested:
+        # resources that are equal are joined at less cost
+        return _met_reasons(used, accesses, exclusive.distinct(), serial.distinct(), nested)
     held = exclusive.select("plan_id", "unit_id", "resource", F.lit("exclusive").alias("mode")).distinct()
     lone = serial.select("plan_id", "unit_id", F.lit(None).cast(used.schema["resource"].dataType).alias("resource"), F.lit("serial").alias("mode")).distinct()
-    plans = _by_plan(used.unionByName(held).unionByName(lone))
-    out = _near_reasons(plans.near, nested)
-    return out if plans.far is None else out.unionByName(_far_reasons(plans.far, nested))
+    near, far, _ = _by_plan(used.unionByName(held).unionByName(lone))
+    out = _near_reasons(near)
+    if far is None:
+        return out
+    used = far.where("mode in ('read', 'write')")
+    return out.unionByName(_met_reasons(used, used, far.where("mode = 'exclusive'"), far.where("mode = 'serial'"), nested))
 
 
 def _reason() -> Column:
@@ -352,13 +358,12 @@ def _reasons_of(every: DataFrame) -> DataFrame:
     return every.groupBy("plan_id", "first", "second").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
 
 
-def _near_reasons(near: DataFrame, nested: bool) -> DataFrame:
-    """Reasons of rows dealt by plan, in lists: by folder or resource, by exclusive resource, and one of the whole plan for units that run alone."""
+def _near_reasons(near: DataFrame) -> DataFrame:
+    """Reasons of rows dealt by plan, in lists: by folder, by exclusive resource, and one of the whole plan for units that run alone."""
     held, lone = F.col("mode") == "exclusive", F.col("mode") == "serial"
     whole = F.lit("alone")
     named = lambda what, c: F.concat(F.lit(what), c)
-    folders = _folders() if nested else F.array("resource")
-    used = F.concat(F.when(F.col("resource").isNotNull(), F.transform(folders, lambda f: named("on ", f))).otherwise(F.array().cast("array<string>")), F.array(whole))
+    used = F.concat(F.when(F.col("resource").isNotNull(), F.transform(_folders(), lambda f: named("on ", f))).otherwise(F.array().cast("array<string>")), F.array(whole))
     keys = F.when(lone, F.array(whole)).when(held, F.array(named("held ", F.col("resource")))).otherwise(used)
     deep = near.select("plan_id", _row(near).alias("a"), F.explode(keys).alias("key"))
     single = F.col("a.mode") == "serial"
@@ -375,14 +380,15 @@ def _near_reasons(near: DataFrame, nested: bool) -> DataFrame:
     return _reasons_of(_ahead(met.where(on)).select("plan_id", F.col("x.unit_id").alias("first"), F.col("y.unit_id").alias("second"), reason.alias("reason")))
 
 
-def _far_reasons(far: DataFrame, nested: bool) -> DataFrame:
-    used = far.where("mode in ('read', 'write')").withColumn("commutative", F.lit(False))
-    met = _nested_pairs(used, _both("mode", ("read",))) if nested else _pairs(used, ["resource"], _both("mode", ("read",))).select("x.plan_id", "x", "y")
+def _met_reasons(used: DataFrame, accesses: DataFrame, exclusive: DataFrame, serial: DataFrame, nested: bool) -> DataFrame:
+    """Reasons of rows (distinct) that ``meet`` deals by resource; all units of ``accesses`` conflict with those that run alone."""
+    rows = used.withColumn("commutative", F.lit(False))
+    met = _nested_pairs(rows, _both("mode", ("read",))) if nested else _pairs(rows, ["resource"], _both("mode", ("read",))).select("x.plan_id", "x", "y")
     cols = ["plan_id", "first", "second", "reason"]
     hit = met.select("plan_id", F.col("x.unit_id").alias("first"), F.col("y.unit_id").alias("second"), _reason().alias("reason"))
-    held = _pairs(far.where("mode = 'exclusive'"), ["resource"], F.lit(False)).select("x.plan_id", F.col("x.unit_id").alias("first"), F.col("y.unit_id").alias("second"), F.lit("exclusive-resource").alias("reason"))
-    lone = far.where("mode = 'serial'").select("plan_id", "unit_id", F.lit(True).alias("alone"))
-    units = dealt(used.select("plan_id", "unit_id").distinct(), "plan_id").join(lone, ["plan_id", "unit_id"], "left")
+    held = _pairs(exclusive, ["resource"], F.lit(False)).select("x.plan_id", F.col("x.unit_id").alias("first"), F.col("y.unit_id").alias("second"), F.lit("exclusive-resource").alias("reason"))
+    lone = serial.select("plan_id", "unit_id", F.lit(True).alias("alone"))
+    units = dealt(accesses.select("plan_id", "unit_id").distinct(), "plan_id").join(lone, ["plan_id", "unit_id"], "left")
     alone = exclusive_conflicts(units, F.coalesce("alone", F.lit(False))).withColumn("reason", F.lit("forced-serial"))
     every = hit.select(cols).unionByName(held.select(cols)).unionByName(alone.select(cols))
     return _reasons_of(dealt(every, "plan_id", "first", "second"))
